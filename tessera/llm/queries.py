@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat
+from tessera.llm import bpe, chat, langid, quality
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -15,6 +16,28 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang", langid.remainder(F.col("doc_id"), 3).alias("part"))
+    model = langid.fit(docs.where("part <> 1"))
+    held = docs.select("doc_id", "text", F.coalesce(F.col("part") == 1, F.lit(False)).alias("held_out"))
+    return langid.predict(held, model, keep=("doc_id", "held_out"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Learned from the labelled rows whose remainder modulo 4 isn't 2."""
+    return quality.fit(docs, labels.where(langid.remainder(F.col("doc_id"), 4) != 2))
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every document, learned from labels that aren't held out."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model(docs, _table(spark, folder, "labels"))
+    held = docs.withColumn("held_out", F.coalesce(langid.remainder(F.col("doc_id"), 4) == 2, F.lit(False)))
+    scored = quality.score(held, model, keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and conversation -7, whose texts hold control strings."""
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -34,6 +57,8 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op2_quality": op2_quality,
     "op3_chat_format": op3_chat_format,
     "op8_bpe": op8_bpe,
 }

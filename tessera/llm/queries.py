@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, langid, quality
+from tessera.llm import bpe, chat, langid, quality, simhash
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -42,10 +42,15 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and conversation -7, whose texts hold control strings."""
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     return chat.digests(chat.format_chats(turns.unionByName(extra)))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint and the near-duplicate component of every document."""
+    return simhash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded with the multilingual ranks and decoded again."""
     import public_tokenizers
@@ -60,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality": op2_quality,
     "op3_chat_format": op3_chat_format,
+    "op5_simhash": op5_simhash,
     "op8_bpe": op8_bpe,
 }

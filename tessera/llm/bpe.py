@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.shipping import ship
+
 #: Code points with the Unicode property White_Space: what ``\s`` means to tiktoken's regex engine.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG_TEXT = 1 << 16
@@ -103,6 +105,7 @@ def _added(df: DataFrame, column: str, kind: T.DataType) -> tuple[DataFrame, T.S
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with ``out``, the array of ids of ``text``."""
+    ship(df.sparkSession)
     source = f"__{text}" if text == out else text
     df = df.withColumnRenamed(text, source) if text == out else df
     _, schema = _added(df, out, T.ArrayType(T.IntegerType(), False))
@@ -121,6 +124,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``, the raw bytes of ``ids``: bytes, as a slice of ids need not end between characters."""
+    ship(df.sparkSession)
     _, schema = _added(df, out, T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 BITS = 16
 ORDERS = (1, 2, 3, 4)
 #: Labelled texts the fit takes of each language, in expectation.
@@ -87,6 +89,7 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = FIT_TEXTS, smooth: float = 0.5) -> Model:
     """Learn from rows with non-null ``lang`` and text; about ``per_lang`` rows of each language, chosen by a hash of ``key``."""
+    ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = tuple(sorted(sizes))
@@ -136,6 +139,7 @@ def posteriors(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nd
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row with ``lang_pred`` and ``score``."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model.langs, model.matrix, model.prior))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 BITS = 12
 MARKS = 64
 WIDTH = (2 << BITS) + MARKS
@@ -89,6 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     ``rows`` bounds what the driver gets: their labels, then their features.
     """
     spark = docs.sparkSession
+    ship(spark)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     share = F.pmod(F.xxhash64("key", F.lit("quality fit")), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(share < rows / max(1, known.count())).collect()
@@ -148,6 +151,7 @@ def votes(model: Model, texts: list[str | None], block: int = 256) -> np.ndarray
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
     """The columns ``keep`` of every row with its score."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model.idf, model.project, model.vectors, model.labels, model.prior))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in keep]).schema]
 

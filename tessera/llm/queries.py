@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, langid, quality, simhash
+from tessera.llm import bpe, chat, langid, lsh, pivots, quality, simhash
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -51,6 +51,17 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op6_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors of equal label with a cosine of 0.98 or more."""
+    return pivots.near_vectors(_table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op7_lsh(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest found of every vector whose id is divisible by 100."""
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return lsh.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded with the multilingual ranks and decoded again."""
     import public_tokenizers
@@ -66,5 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_chat_format": op3_chat_format,
     "op5_simhash": op5_simhash,
+    "op6_pivots": op6_pivots,
+    "op7_lsh": op7_lsh,
     "op8_bpe": op8_bpe,
 }

@@ -37,7 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.runs import whole_runs
 from tessera.llm.storage import written
+from tessera.shipping import ship
 
 WORDS = 4
 SEED = 42
@@ -68,6 +70,7 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = WORDS, seed: int = SEED) -> DataFrame:
     """The columns ``keep`` of every row with ``fp``, its fingerprint as a signed long."""
+    ship(df.sparkSession)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +162,7 @@ def forest_links(cells: np.ndarray, side: np.ndarray, values: np.ndarray, radius
 
 def links(distinct: DataFrame, count: int, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """Links ``a``, ``b`` of a table of ``count`` distinct fingerprints ``fp`` that connect all within the radius."""
+    ship(distinct.sparkSession)
     keep = next((k for k in range(1, 9) if count >> (64 * k // (radius + k)) <= tree), 8)
     chosen = masks(keep, radius)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(chosen)]))
@@ -174,34 +178,14 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, tree: int = TRE
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         cells = each.select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "fp")
 
+    places = ["mask", "key", "i", "j"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= _FLUSH:
-                held = list(search(held, False))
-                yield from held[:-1]
-                held = held[-1:]
-                rows = held[0].num_rows
-        if rows:
-            yield from list(search(held, True))[:-1]
-
-    def search(held: list[pa.RecordBatch], end: bool) -> Iterator[pa.RecordBatch]:
-        """The links of all whole cells, then the rows of the last one unless it is whole too."""
-        table = pa.Table.from_batches(held).combine_chunks()
-        keys = [table[c].to_numpy() for c in ("mask", "key", "i", "j")]
-        new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
-        cut = len(new) if end else int(np.flatnonzero(new)[-1])
-        cell = np.cumsum(new)[:cut]
-        size = np.bincount(cell)[cell] > 1
-        a, b = forest_links(cell[size], table["side"].to_numpy()[:cut][size], table["fp"].to_numpy().view(np.uint64)[:cut][size], radius)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-        rest = table.slice(cut).combine_chunks().to_batches()
-        yield rest[0] if rest else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in table.schema], schema=table.schema)
+        for table, cell in whole_runs(batches, places, _FLUSH):
+            more = np.bincount(cell)[cell] > 1
+            a, b = forest_links(cell[more], table["side"].to_numpy()[more], table["fp"].to_numpy().view(np.uint64)[more], radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    places = ["mask", "key", "i", "j"]
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * len(chosen) / (4 * _FLUSH)))
     return cells.repartition(parts, *places).sortWithinPartitions(*places).mapInArrow(run, "a long, b long")
 

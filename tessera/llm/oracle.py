@@ -38,4 +38,19 @@ def _op3() -> str:
     FROM o GROUP BY conv_id"""
 
 
+def _op10(shards: int = 24, groups: int = 64) -> str:
+    return f"""
+    WITH d AS (
+      SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, coalesce(text, '') AS t,
+        CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS k1,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k2
+      FROM documents),
+    k AS (SELECT k1, k2, CAST(sum(size) AS HUGEINT) AS size FROM d GROUP BY k1, k2),
+    b AS (SELECT k1, k2, size, sum(size) OVER (ORDER BY k1, k2) - size AS below, sum(size) OVER () AS total FROM k),
+    s AS (SELECT d.*, CAST(least({shards} - 1, (2 * below + b.size) * {shards} // (2 * total)) AS INTEGER) AS shard FROM d JOIN b USING (k1, k2))
+    SELECT doc_id, CAST(size AS BIGINT) AS size, 'bytes' AS law, shard,
+      row_number() OVER (PARTITION BY shard ORDER BY k2 & {groups - 1}, k1, k2, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+    FROM s"""
+
+
 ORACLE: dict[str, str] = {"op3_chat_format": _op3()}

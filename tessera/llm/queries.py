@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, langid, lsh, pivots, quality, simhash
+from tessera.llm import bpe, chat, langid, lsh, pivots, quality, sharding, simhash
 
+SHARDS = 24
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -72,6 +73,11 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(coded, ranks, pattern))
 
 
+def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of equal bytes."""
+    return sharding.shards(_table(spark, folder, "documents").select("doc_id", "text"), SHARDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality": op2_quality,
@@ -80,4 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pivots": op6_pivots,
     "op7_lsh": op7_lsh,
     "op8_bpe": op8_bpe,
+    "op10_shards": op10_shards,
 }

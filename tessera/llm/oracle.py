@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat
+from tessera.llm import chat, mixing
 
 
 def _sql(text: str) -> str:
@@ -38,9 +38,44 @@ def _op3() -> str:
     FROM o GROUP BY conv_id"""
 
 
+def _op4() -> str:
+    good, poor = mixing.LEVELS
+    return f"""
+    WITH r AS (
+      SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+        (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) || '|{mixing.SEED}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+      FROM documents),
+    w AS (SELECT *, -ln(u) / CASE WHEN size > 0 AND length(t) / size BETWEEN 3 AND 12 THEN {good} ELSE {poor} END AS draw FROM r),
+    s0 AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM w GROUP BY source),
+    s1 AS (SELECT *, (place - 1) % 3 + 1 AS w, CAST({mixing.MOST} * source_size AS DOUBLE) AS most, sum(source_size) OVER () AS total FROM s0),
+    s2 AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(w) OVER (ORDER BY most / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
+    s3 AS (SELECT *, CASE WHEN most / w <= level THEN most ELSE max(CASE WHEN most / w > level THEN level END) OVER () * w END AS target FROM s2),
+    s4 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM s3),
+    d AS (SELECT w.*, source_size, target, epochs, target - epochs * source_size AS rest,
+        sum(size) OVER (PARTITION BY place ORDER BY draw) AS upto, sum(size) OVER (PARTITION BY place, draw) AS same
+      FROM w JOIN s4 ON w.source IS NOT DISTINCT FROM s4.source)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+      CAST(size * (epochs + CASE WHEN rest > 0 AND 2 * upto - same <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    FROM d"""
+
+
+def _crc32(text: str) -> tuple[str, str]:
+    """SQL for the CRC-32 of a text's bytes, by the table of the reversed polynomial 0xEDB88320."""
+    step = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    entry = "CAST(x AS BIGINT)"
+    for _ in range(8):
+        entry = f"list_transform([{entry}], lambda v: {step})[1]"
+    table = f"(SELECT list_transform(range(256), lambda x: {entry}))"
+    return f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex({text}), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, b: xor(c >> 8, crc_table[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)""", table
+
+
 def _op10(shards: int = 24, groups: int = 64) -> str:
+    crc, table = _crc32("t")
     return f"""
-    WITH d AS (
+    WITH c AS (SELECT {table} AS crc_table),
+    d AS (
       SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, coalesce(text, '') AS t,
         CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS k1,
         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k2
@@ -48,9 +83,9 @@ def _op10(shards: int = 24, groups: int = 64) -> str:
     k AS (SELECT k1, k2, CAST(sum(size) AS HUGEINT) AS size FROM d GROUP BY k1, k2),
     b AS (SELECT k1, k2, size, sum(size) OVER (ORDER BY k1, k2) - size AS below, sum(size) OVER () AS total FROM k),
     s AS (SELECT d.*, CAST(least({shards} - 1, (2 * below + b.size) * {shards} // (2 * total)) AS INTEGER) AS shard FROM d JOIN b USING (k1, k2))
-    SELECT doc_id, CAST(size AS BIGINT) AS size, 'bytes' AS law, shard,
+    SELECT doc_id, CAST(size AS BIGINT) AS size, {crc} AS text_crc32, 'bytes' AS law, shard,
       row_number() OVER (PARTITION BY shard ORDER BY k2 & {groups - 1}, k1, k2, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
-    FROM s"""
+    FROM s, c"""
 
 
-ORACLE: dict[str, str] = {"op3_chat_format": _op3()}
+ORACLE: dict[str, str] = {"op3_chat_format": _op3(), "op4_mixing": _op4(), "op10_shards": _op10()}

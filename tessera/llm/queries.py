@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, langid, lsh, pivots, quality, sharding, simhash
+from tessera.llm import bpe, chat, langid, lsh, mixing, pivots, quality, sharding, simhash
 
 SHARDS = 24
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -47,6 +47,11 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(extra)))
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    return mixing.decided(_table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """The fingerprint and the near-duplicate component of every document."""
     return simhash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality": op2_quality,
     "op3_chat_format": op3_chat_format,
+    "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_pivots": op6_pivots,
     "op7_lsh": op7_lsh,

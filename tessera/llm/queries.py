@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, langid, lsh, mixing, pivots, quality, sharding, simhash
+from tessera.llm import bpe, chat, langid, lines, lsh, mixing, pivots, quality, sharding, simhash
 
 SHARDS = 24
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -78,6 +78,12 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(coded, ranks, pattern))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with one line kept of each component of similar lines."""
+    found = lines.dedup_lines(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.withColumnsRenamed({"_lines": "n_lines", "_kept": "n_kept"})
+
+
 def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 shards of equal bytes."""
     return sharding.shards(_table(spark, folder, "documents").select("doc_id", "text"), SHARDS)
@@ -92,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pivots": op6_pivots,
     "op7_lsh": op7_lsh,
     "op8_bpe": op8_bpe,
+    "op9_line_dedup": op9_line_dedup,
     "op10_shards": op10_shards,
 }

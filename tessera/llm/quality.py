@@ -98,11 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if not chosen:
         return Model(np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
     small = spark.createDataFrame(chosen, "key long, label int").dropDuplicates()
-    found = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("_text")).join(F.broadcast(small), "key")
+    found = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("__text")).join(F.broadcast(small), "key")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [features(t) for t in batch.column("_text").to_pylist()]
+            got = [features(t) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array([p.astype(np.uint16).tobytes() for p, _ in got]), pa.array([w.astype(np.float16).tobytes() for _, w in got])], ["key", "label", "places", "weights"])
 
     sample = found.mapInArrow(take, "key long, label int, places binary, weights binary").toArrow().sort_by([("key", "ascending"), ("label", "ascending"), ("places", "ascending")])
@@ -158,7 +158,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            found = votes(own, batch.column("_text").to_pylist())
+            found = votes(own, batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*keep, out])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text")).mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text")).mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))

@@ -81,7 +81,7 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with one line kept of each component of similar lines."""
     found = lines.dedup_lines(_table(spark, folder, "documents").select("doc_id", "text"))
-    return found.withColumnsRenamed({"_lines": "n_lines", "_kept": "n_kept"})
+    return found.withColumnsRenamed({"__lines": "n_lines", "__kept": "n_kept"})
 
 
 def op10_shards(spark: SparkSession, folder: str) -> DataFrame:

@@ -75,10 +75,10 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), words, seed) for t in batch.column("_text")), np.uint64, batch.num_rows)
+            found = np.fromiter((fingerprint(t.as_py(), words, seed) for t in batch.column("__text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*keep, "fp"])
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, ", ".join([*fields, "fp long"]))
+    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, ", ".join([*fields, "fp long"]))
 
 
 def hexed(fp: Column) -> Column:
@@ -190,14 +190,18 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, tree: int = TRE
     return cells.repartition(parts, *places).sortWithinPartitions(*places).mapInArrow(run, "a long, b long")
 
 
-def components_of(rows: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
-    """``rows`` (with ``fp``, a written table) with ``component_id``: the smallest key reachable over fingerprints within the radius."""
+def rooted(rows: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
+    """For every fingerprint of ``rows`` its ``root``, which its component agrees on, and the ``least`` key that has it; a written table."""
     seen = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
     roots = components(links(seen.select("fp"), seen.count(), radius))
-    rooted = seen.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "roots")
-    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "named")
+    return written(seen.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def components_of(rows: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
+    """``rows`` (with ``fp``, a written table) with ``component_id``: the smallest key reachable over fingerprints within the radius."""
+    known = rooted(rows, radius, key)
+    least = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = written(known.join(least, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from tessera.plans import strings
+
+MODULES = [strings]
+
 
 def queries() -> dict:
     """Name to callable."""
-    return {}
+    return {name: q for module in MODULES for name, q in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let, places
+
 #: File commands that make a sample depend on other files.
 EXTERNAL_LITERALS = [
     r"\input{", r"\include{", r"\bibliography{", r"\addbibresource{", r"\subfile{",
@@ -35,7 +37,7 @@ REMOVED = [
     "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet",
     "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets",
     "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}",
-    "^\\circ", "^{\\circ}", "\;", ",\\!", "{,}", '"', "\\dots",
+    "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
 ]
 #: Patterns (with their replacement) that an answer's normal form unwraps, in order.
 UNWRAPPED = [
@@ -265,15 +267,14 @@ def estimated_tokens(code: Column) -> Column:
 def char_grams(text: Column, n: int = 3) -> Column:
     """The set of character n-grams of a text in lower case without blanks and line feeds."""
     text = F.replace(F.replace(F.lower(text), F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
-    count = F.length(text) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: F.substring(text, k, F.lit(n)))
-    return F.when(count >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return let(text, lambda t: F.array_distinct(F.transform(places(F.length(t), n), lambda k: F.substring(t, k, F.lit(n)))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two sets; 0 if one is empty."""
     common = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
+    union = F.size(a) + F.size(b) - common
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / union)
 
 
 def text_similarity(code: Column, reference: Column) -> Column:

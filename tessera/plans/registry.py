@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import strings
+from tessera.plans import curation, strings
 
-MODULES = [strings]
+MODULES = [curation, strings]
 
 
 def queries() -> dict:

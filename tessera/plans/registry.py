@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import curation, strings
+from tessera.plans import curation, io, learning, strings
 
-MODULES = [curation, strings]
+MODULES = [curation, io, learning, strings]
 
 
 def queries() -> dict:

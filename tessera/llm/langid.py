@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import unused
 from tessera.shipping import ship
 
 BITS = 16
@@ -147,10 +148,10 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         own = Model(*shared.value)
         names = np.array([*own.langs, UNKNOWN], object)
         for batch in batches:
-            best, score = posteriors(own, batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names[best].tolist(), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            best, score = posteriors(own, batch.columns[-1].to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return df.select(*keep, F.col(text).alias(unused("text", keep))).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def remainder(key: Column, by: int) -> Column:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import unused
 from tessera.shipping import ship
 
 BITS = 12
@@ -107,6 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     sample = found.mapInArrow(take, "key long, label int, places binary, weights binary").toArrow().sort_by([("key", "ascending"), ("label", "ascending"), ("places", "ascending")])
     keep = [k for k, p in enumerate(sample["places"].to_pylist()) if p]
+    if not keep:
+        return Model(np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
     sample = sample.take(keep)
     y = np.array(sample["label"].to_pylist(), np.float32)
     x = np.zeros((len(y), WIDTH), np.float32)
@@ -158,7 +161,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            found = votes(own, batch.column("__text").to_pylist())
+            found = votes(own, batch.columns[-1].to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*keep, out])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text")).mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(unused("text", keep))).mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))

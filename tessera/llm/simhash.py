@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.runs import whole_runs
-from tessera.llm.storage import written
+from tessera.llm.storage import unused, written
 from tessera.shipping import ship
 
 WORDS = 4
@@ -75,10 +75,10 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), words, seed) for t in batch.column("__text")), np.uint64, batch.num_rows)
+            found = np.fromiter((fingerprint(t.as_py(), words, seed) for t in batch.columns[-1]), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*keep, "fp"])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, ", ".join([*fields, "fp long"]))
+    return df.select(*keep, F.col(text).alias(unused("text", keep))).mapInArrow(run, ", ".join([*fields, "fp long"]))
 
 
 def hexed(fp: Column) -> Column:

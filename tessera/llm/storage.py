@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name`` behind as many underscores as make it differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return the table that was written."""
     spark = df.sparkSession

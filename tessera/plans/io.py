@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import advantage as V
 from tessera.operators import balance as B
 from tessera.operators import external as E
+from tessera.operators import metrics as S
 from tessera.operators import relational as R
 from tessera.operators.filters import row_numbers
 from tessera.plans.fixtures import SAMPLES, samples, table
 from tessera.sources import readers, writers
-from tessera.sources.scratch import scratch_dir
+from tessera.sources.scratch import kept, scratch_dir
 from tessera.streaming import resume
 
 _SCHEMA = "doc_id BIGINT, lang STRING, n BIGINT"
@@ -218,6 +220,65 @@ def windows(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
+def tex_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """TeX tokens of normalised samples, and those of comments-free text that the other metric's normal form gives: one rule for both."""
+    s = samples(spark, folder)
+    return s.select("doc_id", F.array_join(S.tex_tokens_of(T.normalize_tex(F.col("tex"))), " ").alias("tokens"))
+
+
+def greedy(spark: SparkSession, folder: str) -> DataFrame:
+    """One batch of 64 documents, each in turn to the lightest of eight sets."""
+    lengths = [r["n_chars"] for r in table(spark, folder, "documents").orderBy("doc_id").limit(64).select("n_chars").collect()]
+    sets = B.greedy(lengths, 8)
+    return R.from_columns(spark, {"docs": [len(x) for x in sets], "chars": [sum(lengths[i] for i in x) for x in sets]})
+
+
+def appended_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with their answers appended to one folder and the errors to another; what both hold."""
+    path = scratch_dir(spark)
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", F.when(F.col("doc_id") % 6 != 0, F.col("source")).alias("prompt"))
+    asked = E.generated(docs.where("prompt IS NOT NULL"), E.StubGenerator())
+    out = R.merged_record(docs.join(asked, "id"), {"outputs": F.array("output"), "prompt_name": F.lit("plain")}).drop("output", "error")
+    writers.append_jsonl(out, f"{path}/answers")
+    writers.append_jsonl(docs.where("prompt IS NULL").select("id", F.lit("no prompt").alias("error")), f"{path}/errors")
+    a = spark.read.schema("id BIGINT, lang STRING, prompt_name STRING, outputs ARRAY<STRING>").json(f"{path}/answers")
+    b = spark.read.schema("id BIGINT, error STRING").json(f"{path}/errors")
+    return a.select("id", "lang", "prompt_name", F.size("outputs").alias("n")).unionByName(b.select("id", F.lit(None).cast("string").alias("lang"), F.col("error").alias("prompt_name"), F.lit(0).alias("n")))
+
+
+def saved_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch saved and read again, with its sizes checked."""
+    turns = table(spark, folder, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    return kept(turns).select("conv_id", F.size(R.equal_sizes(F.col("turns"), F.transform("turns", lambda t: t + 1))).alias("n"))
+
+
+def kl_controllers(spark: SparkSession, folder: str) -> DataFrame:
+    """The coefficients of both controllers over five steps of divergence."""
+    fixed, adaptive, rows = V.FixedKL(0.1), V.AdaptiveKL(0.1, 0.05, 1000), []
+    for step, kl in enumerate((0.02, 0.05, 0.1, 0.2, 0.01)):
+        fixed.update(kl, 64)
+        adaptive.update(kl, 64)
+        rows.append(F.struct(F.lit(step).alias("step"), F.lit(fixed.coef).alias("fixed"), F.round(F.lit(adaptive.coef), 9).alias("adaptive")))
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+#: Wrappers of a question by model family; ``{content}`` stands for the question.
+FAMILIES = {"plain": "{content}", "instruct": "[INST] {content} [/INST]", "named": "<|user|>\n{content}\n<|assistant|>\n"}
+
+
+def model_templates(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", *[T.filled(t, content=F.substring("text", 1, 30)).alias(n) for n, t in FAMILIES.items()])
+
+
+def second_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Only the rows that are ready get a second call; the others keep an empty answer."""
+    docs = row_numbers(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
+    ready = docs.where("row_idx % 4 = 1").select(F.col("row_idx").alias("id"), F.col("lang").alias("prompt"))
+    part = E.generated(ready, E.StubGenerator()).select(F.col("id").alias("row_idx"), F.col("output").alias("code_prime"))
+    return R.scattered(docs.select("row_idx", "doc_id"), part, "code_prime").select("doc_id", (F.col("code_prime") != "").alias("asked"))
+
+
 QUERIES = {
     "src1_tolerant_jsonl": tolerant,
     "src2_counting_jsonl": counted,
@@ -246,6 +307,13 @@ QUERIES = {
     "bl4_micro_batches": micro,
     "sx1_sx2_resumed_stream": streamed,
     "extension_tumbling_windows": windows,
+    "str35_str36_tex_tokens": tex_tokens,
+    "bl3_greedy": greedy,
+    "snk4_snk5_snk7_appended_answers": appended_answers,
+    "snk16_ck3_saved_batch": saved_batch,
+    "mt8_kl_controllers": kl_controllers,
+    "str30_model_templates": model_templates,
+    "ux6_jn5_second_answers": second_answers,
 }
 _DOC = "SELECT doc_id, lang, n_chars AS n FROM documents"
 ORACLE = {
@@ -269,10 +337,13 @@ ORACLE = {
     "snk13_merged_parts": "SELECT doc_id, lang FROM documents",
     "snk14_flattened_metrics": "SELECT * FROM (VALUES ('reward/mean', 1.5::DOUBLE), ('reward/max/all', 2.0), ('step', 3.0)) v(key, value)",
     "snk17_manifest_retention": "WITH r AS (SELECT o_orderkey AS step, round(o_totalprice, 2) AS reward, row_number() OVER (ORDER BY o_orderkey DESC) AS a, row_number() OVER (ORDER BY round(o_totalprice, 2) DESC, o_orderkey DESC) AS b FROM orders) SELECT step, reward FROM r WHERE a <= 3 OR b = 1",
-    "ux5_repair_loop": "SELECT doc_id AS id, 'ok' AS status FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND false",
     "bl1_bl2_bl5_balanced": "SELECT g.range AS g, CAST(64 AS BIGINT) AS docs, CAST(8 AS BIGINT) AS most, CAST(8 AS BIGINT) AS parts FROM (SELECT count(*) AS n FROM documents), range(0, (SELECT count(*) // 64 FROM documents)) g",
     "bl4_micro_batches": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, n_chars FROM (SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 64)",
     "sx1_sx2_resumed_stream": "SELECT event_id AS id, event_type, CAST(length(event_type) AS INTEGER) AS n FROM events",
+    "snk4_snk5_snk7_appended_answers": "SELECT doc_id AS id, CASE WHEN doc_id % 6 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 6 <> 0 THEN 'plain' ELSE 'no prompt' END AS prompt_name, CAST(doc_id % 6 <> 0 AS INTEGER) AS n FROM documents",
+    "snk16_ck3_saved_batch": "SELECT conv_id, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY conv_id",
+    "mt8_kl_controllers": "SELECT * FROM (VALUES (0, 0.1::DOUBLE, round(0.1::DOUBLE * 0.9872, 9)), (1, 0.1, round(0.1::DOUBLE * 0.9872, 9)), (2, 0.1, round(0.1::DOUBLE * 0.9872 * 1.0128, 9)), (3, 0.1, round(0.1::DOUBLE * 0.9872 * 1.0128 * 1.0128, 9)), (4, 0.1, round(0.1::DOUBLE * 0.9872 * 1.0128 * 1.0128 * 0.9872, 9))) v(step, fixed, adaptive)",
+    "str30_model_templates": "SELECT conv_id, turn, substr(text, 1, 30) AS plain, '[INST] ' || substr(text, 1, 30) || ' [/INST]' AS instruct, '<|user|>' || chr(10) || substr(text, 1, 30) || chr(10) || '<|assistant|>' || chr(10) AS named FROM conversations WHERE role = 'user'",
+    "ux6_jn5_second_answers": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 4 = 1 AS asked FROM documents",
     "extension_tumbling_windows": "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
 }
-del ORACLE["ux5_repair_loop"]

@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
-``encode`` adds the ids of each text, ``decode`` turns ids back into raw bytes.
+``encode`` turns each text into ids, and on request these back into raw bytes in the same
+pass; ``decode`` does that with ids from elsewhere.
 
 The merges run on one match of the split pattern at a time, so a text may be cut
 wherever no match can cross and no look-ahead changes. Such a place is a
@@ -13,7 +14,8 @@ text, else all but its last character), so it goes to the merges directly.
 
 Null texts count as empty: no ids, no bytes. Null id lists decode to no bytes.
 Order and number of rows are kept, repeated rows included; further columns pass
-through, except one named like the output column, which the output replaces.
+through, except one named like an output column, which the output replaces. A step holds
+some megabytes of text and its ids, whatever the batch.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.storage import unused
 from tessera.shipping import ship
 
 #: Code points with the Unicode property White_Space: what ``\s`` means to tiktoken's regex engine.
@@ -98,34 +101,30 @@ def _pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Record
         yield batch.slice(at, rows)
 
 
-def _added(df: DataFrame, column: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
-    rest = df.drop(column)
-    return rest, T.StructType([*rest.schema.fields, T.StructField(column, kind)])
-
-
-def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with ``out``, the array of ids of ``text``."""
+def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` without ``text`` but with ``out``, the array of its ids; ``decoded`` names a column for the bytes that these ids give back."""
     ship(df.sparkSession)
-    source = f"__{text}" if text == out else text
-    df = df.withColumnRenamed(text, source) if text == out else df
-    _, schema = _added(df, out, T.ArrayType(T.IntegerType(), False))
+    added = [c for c in (out, decoded) if c]
+    rest = [c for c in df.columns if c not in (text, *added)]
+    fields = [*df.select(*[F.col(f"`{c}`") for c in rest]).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))]
+    fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
+    source = unused("text", [*rest, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(rank_file, pattern)
         for whole in batches:
-            for batch in _pieces(whole, source, 1 << 23):
-                ids = [encode_text(enc, t) if t else [] for t in batch.column(source).to_pylist()]
-                kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != out]
-                yield pa.RecordBatch.from_arrays([*(c for _, c in kept), _lists(ids, np.int32)], [*(n for n, _ in kept), out])
+            for batch in _pieces(whole, source, 1 << 22):
+                ids = [encode_text(enc, t.as_py()) if t.is_valid else [] for t in batch.columns[-1]]
+                back = [pa.array(map(enc.decode_bytes, ids), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(ids, np.int32), *back], [*rest, *added])
 
-    result = df.mapInArrow(run, schema)
-    return result.drop(source) if text == out else result
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias(source)).mapInArrow(run, T.StructType(fields))
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``, the raw bytes of ``ids``: bytes, as a slice of ids need not end between characters."""
     ship(df.sparkSession)
-    _, schema = _added(df, out, T.BinaryType())
+    schema = T.StructType([*df.drop(out).schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(rank_file, pattern)

@@ -74,8 +74,7 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, ranks, pattern).drop("text")
-    return bpe.digests(bpe.decode(coded, ranks, pattern))
+    return bpe.digests(bpe.encode(docs, ranks, pattern, decoded="decoded"))
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -64,8 +64,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN
-    coded = bpe.encode(docs.select("doc_id", "text"), ranks, pattern).drop("text")
-    return bpe.digests(bpe.decode(coded, ranks, pattern))
+    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), ranks, pattern, decoded="decoded"))
 
 
 def _counted(docs: DataFrame) -> DataFrame:

@@ -34,11 +34,11 @@ def unused(name: str, columns: Iterable[str]) -> str:
     return name
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return the table that was written."""
+def written(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
+    """Write ``df`` once and return the table that was written; ``hashes``: mostly hashes, which no dictionary shortens."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._tessera_path = path
     return table

@@ -9,11 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BYTES, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Texts can be long; a worker holds a few copies of a batch.
+BATCH = "16m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the Python workers of this application; does so once."""
+    """Add the package to the Python workers of this application, once, and bound the batches they get by ``BATCH`` unless the session says otherwise."""
     context = spark.sparkContext
+    if spark.conf.get(_BYTES, None) == _DEFAULT:
+        spark.conf.set(_BYTES, BATCH)
     if context.applicationId in _shipped:
         return
     home = Path(__file__).resolve().parent

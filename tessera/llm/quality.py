@@ -116,8 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     for k, (p, w) in enumerate(zip(sample["places"].to_pylist(), sample["weights"].to_pylist(), strict=True)):
         x[k, np.frombuffer(p, np.uint16)] = np.frombuffer(w, np.float16)
     idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(0.1)
+    del sample
     x *= idf
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     wide = min(dims + 16, *x.shape)
     q = x.T @ (x @ np.random.default_rng(seed).standard_normal((WIDTH, wide), np.float32))
     for _ in range(3):

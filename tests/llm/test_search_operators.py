@@ -165,7 +165,9 @@ def brute_lines(rows):
     return set(order.values())
 
 
-def test_lines(spark, docs):
+@pytest.mark.parametrize("small", [400_000, 0])
+def test_lines(spark, docs, monkeypatch, small):
+    monkeypatch.setattr(lines, "SMALL", small)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     keep = brute_lines([r for r in rows if r[1]])
     out = lines.dedup_lines(docs)

@@ -6,8 +6,8 @@ are linked when the Jaccard similarity of their character shingles is ``JACCARD`
 more, and of every component of lines the first one stays: the least (id, text hash,
 position). Blank lines stay where they are and take no part.
 
-Shingles are the ``CHARS`` characters from each word's beginning on, over the following
-words, and again from every ``STRIDE`` characters inside of longer words. Their hashes
+Shingles are the ``CHARS`` characters from every character's position on; a line that is
+no longer is its only shingle. Their hashes
 stand on a circle in order. A signature has ``BANDS`` permutations of the hashes, each
 a rotation of the circle, and a band is the ``ROWS`` smallest hashes of one of them.
 Lines that share a band are candidates: each against the least line of the band, and
@@ -29,17 +29,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let
 from tessera.llm.components import components
 from tessera.llm.storage import dropped, written
 
 JACCARD = 0.8
 CHARS = 9
-STRIDE = 12
 BANDS = 8
 ROWS = 4
 #: Rows up to which a table of ids is broadcast.
 SMALL = 400_000
-_SHINGLES = rf"(?s)(?=(.{{1,{CHARS}}}+))\S{{1,{STRIDE}}}+\s*+"
 _TURNS = [-(1 << 63) + k * ((1 << 64) // BANDS) + 12345 for k in range(BANDS)]
 
 
@@ -50,13 +49,15 @@ def compared(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """The shingles of a compared line, repeats included."""
-    return F.regexp_extract_all(line, F.lit(_SHINGLES), F.lit(1))
+    """The hashes of a compared line's shingles, repeats included; four bytes a character make every one a slice at a known place."""
+    wide = F.encode(line, "UTF-32")
+    starts = lambda x: F.sequence(F.lit(1), F.greatest(F.octet_length(x) - 4 * (CHARS - 1), F.lit(1)), F.lit(4))
+    return let(wide, lambda x: F.transform(starts(x), lambda k: F.xxhash64(F.substring(x, k, F.lit(4 * CHARS)))))
 
 
 def hashes(line: Column) -> Column:
     """The sorted set of the hashes of a compared line's shingles."""
-    return F.sort_array(F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s))))
+    return F.sort_array(F.array_distinct(shingles(line)))
 
 
 def bands(hashes: Column, rows: int = ROWS) -> Column:

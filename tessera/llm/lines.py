@@ -10,10 +10,13 @@ Shingles are the ``CHARS`` characters from every character's position on; a line
 no longer is its only shingle. Their hashes
 stand on a circle in order. A signature has ``BANDS`` permutations of the hashes, each
 a rotation of the circle, and a band is the ``ROWS`` smallest hashes of one of them.
-Lines that share a band are candidates: each against the least line of the band, and
-those that aren't similar to it again among themselves, from the third round on by bands
-of twice as many rows, until none is left over. The exact similarity of the shingles, as
-sets of 64-bit hashes, decides.
+Lines that share a band are candidates, and every pair of candidates is settled: first
+each line against the least line of its band; then, in bands whose other lines aren't in
+one component by now, all pairs of lines of different components, without any limit on a
+band. A band of many lines is cut into pairs of blocks of about ``BLOCK`` lines. Pairs are
+only left out where they can't be similar: by their sizes, or as their distances from the
+band's least line differ by more than two similar lines' do (Jaccard distance is a metric).
+The exact similarity of the shingles, as sets of 64-bit hashes, decides.
 Components come from repeated contraction of the links, on all machines.
 
 Only hashes are shuffled before the verification. A table that the rest is joined with
@@ -31,12 +34,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arrays import let
 from tessera.llm.components import components
-from tessera.llm.storage import dropped, written
+from tessera.llm.storage import written
 
 JACCARD = 0.8
 CHARS = 9
 BANDS = 8
 ROWS = 4
+#: Lines of a block of a band.
+BLOCK = 512
 #: Rows up to which a table of ids is broadcast.
 SMALL = 400_000
 _TURNS = [-(1 << 63) + k * ((1 << 64) // BANDS) + 12345 for k in range(BANDS)]
@@ -60,20 +65,46 @@ def hashes(line: Column) -> Column:
     return F.sort_array(F.array_distinct(shingles(line)))
 
 
-def bands(hashes: Column, rows: int = ROWS) -> Column:
+def bands(hashes: Column) -> Column:
     """The set of band keys of a sorted array of distinct hashes."""
     turned = F.sort_array(F.concat(hashes, F.array(*map(F.lit, _TURNS))))
     circle = F.concat(hashes, hashes)
-    keys = [F.xxhash64(F.slice(circle, (F.array_position(turned, turn) - k).cast("int"), rows)) for k, turn in enumerate(_TURNS)]
+    keys = [F.xxhash64(F.slice(circle, (F.array_position(turned, turn) - k).cast("int"), ROWS)) for k, turn in enumerate(_TURNS)]
     few = F.when(F.size(hashes) > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(F.size(hashes) >= rows, F.array_distinct(F.array(*keys))).otherwise(few)
+    return F.when(F.size(hashes) >= ROWS, F.array_distinct(F.array(*keys))).otherwise(few)
 
 
 def _starred(dealt: DataFrame) -> DataFrame:
-    """Of ``line_id`` by ``band`` each line with the least line ``to`` of its band, itself left out."""
-    least = dealt.groupBy("band").agg(F.min("line_id").alias("to"), F.max("line_id").alias("most")).where("`to` <> most")
-    shared = written(least.select("band", "to"), "bands")
-    return written(dealt.join(small(shared), "band").where("line_id <> `to`").select("band", F.col("line_id").alias("line"), "to"), "members", hashes=True)
+    """Of ``line_id``, ``n`` by ``band`` each line once with the least line ``to`` (of size ``m``) of its band, itself left out."""
+    least = dealt.groupBy("band").agg(F.min(F.struct("line_id", "n")).alias("to"), F.max("line_id").alias("most")).where("to.line_id <> most")
+    shared = written(least.select("band", F.col("to.line_id").alias("to"), F.col("to.n").alias("m")), "bands")
+    own = dealt.join(small(shared), "band").where("line_id <> `to`")
+    return written(own.select("band", F.col("line_id").alias("line"), "n", "to", "m").distinct(), "members", hashes=True)
+
+
+def _fits(n: str, m: str, jaccard: float) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(n, m) >= jaccard * F.greatest(n, m)
+
+
+def _rest(members: DataFrame, stars: DataFrame, roots: DataFrame, jaccard: float) -> DataFrame:
+    """Pairs ``line``, ``to`` (of sizes ``n``, ``m``) of different components that share a band and weren't compared with each other."""
+    known = members.join(small(roots), members.line == roots.node, "left").select("band", "line", "n", "to", F.coalesce("root", "line").alias("root"))
+    mixed = known.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("two"), F.count("*").alias("size")).where("one <> two")
+    mixed = written(mixed.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-bands")
+    own = known.join(small(mixed), "band").withColumn("own", F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks")).cast("int"))
+    own = written(own.join(stars.select("line", "to", "far"), ["line", "to"], "left").select("band", "blocks", "own", "line", "n", "root", "far"), "rest")
+    kept = ["band", "own", "line", "n", "root", "far"]
+    a = own.select(*[F.col(c).alias(f"a_{c}") for c in kept], F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("a_other"))
+    b = own.select(*[F.col(c).alias(f"b_{c}") for c in kept], F.explode(F.sequence(F.lit(0), F.col("own"))).alias("b_other"))
+    cell = (F.col("a_band") == F.col("b_band")) & (F.col("a_own") == F.col("b_other")) & (F.col("a_other") == F.col("b_own"))
+    once = (F.col("a_own") < F.col("b_own")) | (F.col("a_line") < F.col("b_line"))
+    apart = F.abs(F.col("a_far") - F.col("b_far")) > 1 - jaccard + 1e-9
+    pairs = a.join(b, cell & once & (F.col("a_root") != F.col("b_root")) & _fits("a_n", "b_n", jaccard) & ~F.coalesce(apart, F.lit(False)))
+    turned = F.col("a_line") < F.col("b_line")
+    one, two = F.struct(F.col("a_line").alias("id"), F.col("a_n").alias("n")), F.struct(F.col("b_line").alias("id"), F.col("b_n").alias("n"))
+    both = pairs.select(F.when(turned, one).otherwise(two).alias("x"), F.when(turned, two).otherwise(one).alias("y"))
+    return both.select(F.col("x.id").alias("line"), F.col("x.n").alias("n"), F.col("y.id").alias("to"), F.col("y.n").alias("m")).distinct()
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -87,18 +118,18 @@ def _lines(docs: DataFrame, text: str, key: str, where: Column | None = None) ->
     return named.select("doc", "hash", "pos", compared(F.col("line")).alias("line")).where("line <> ''")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
-    """``pairs`` (``line``, ``to``) with ``near``: whether their shingles are similar enough; the sizes alone tell that some can't be."""
-    one = pairs.join(sets.select(F.col("line_id").alias("line"), F.col("set").alias("a")), "line")
-    both = one.join(sets.select(F.col("line_id").alias("to"), F.col("set").alias("b")), "to")
-    n, m = F.size("a"), F.size("b")
-    common = both.withColumn("common", F.when(F.least(n, m) >= jaccard * F.greatest(n, m), F.size(F.array_intersect("a", "b"))).otherwise(0))
-    return common.select("line", "to", (F.col("common") >= jaccard * (n + m - F.col("common"))).alias("near"))
+def similar(pairs: DataFrame, texts: DataFrame, jaccard: float) -> DataFrame:
+    """``pairs`` (``line``, ``to``, of ``n`` and ``m`` shingles) with ``far``, their Jaccard distance, and ``near``, whether they are similar enough."""
+    one = pairs.join(texts.select(F.col("line_id").alias("line"), F.col("line").alias("a")), "line")
+    both = one.join(texts.select(F.col("line_id").alias("to"), F.col("line").alias("b")), "to")
+    counted = both.withColumn("common", F.size(F.array_intersect(shingles(F.col("a")), shingles(F.col("b")))))
+    either = F.col("n") + F.col("m") - F.col("common")
+    return counted.select("line", "to", (1 - F.col("common") / either).alias("far"), (F.col("common") >= jaccard * either).alias("near"))
 
 
-def line_links(docs: DataFrame, firsts: DataFrame, keys: DataFrame, text: str, key: str, jaccard: float) -> DataFrame:
-    """Links ``a``, ``b`` between similar lines. ``firsts``: where each line stands first; ``keys``: the bands of the lines."""
-    members = _starred(keys.select("line_id", F.explode("bands").alias("band")))
+def line_roots(docs: DataFrame, firsts: DataFrame, keys: DataFrame, text: str, key: str, jaccard: float) -> DataFrame:
+    """``node``, ``root``: the components of similar lines. ``firsts``: where each line stands first; ``keys``: the bands of the lines."""
+    members = _starred(keys.select("line_id", "n", F.explode("bands").alias("band")))
     asked = members.select(F.explode(F.array("line", "to")).alias("line_id")).distinct()
     asked = written(asked, "asked")
     at = written(firsts.join(small(asked), "line_id").select("line_id", "first.*"), "at")
@@ -108,38 +139,27 @@ def line_links(docs: DataFrame, firsts: DataFrame, keys: DataFrame, text: str, k
     lines = _lines(some, "_text", "_id").withColumn("line_id", F.xxhash64("line"))
     there = small(at).withColumnsRenamed({"doc": "_doc", "hash": "_hash", "pos": "_pos", "line_id": "_line"})
     texts = lines.join(there, (lines.line_id == there._line) & (lines.pos == there._pos) & (lines.hash == there._hash) & lines.doc.eqNullSafe(there._doc))
-    sets = written(texts.select("line_id", hashes(F.col("line")).alias("set")), "line-sets", hashes=True)
-    if sets.count() > at.count():  # rows that agree in id and text stand for the same lines
-        sets = written(sets.dropDuplicates(["line_id"]), "line-sets", hashes=True)
-    found, rows = [], ROWS
-    while True:
-        pairs = written(similar(members.select("line", "to").distinct(), sets, jaccard), "pairs")
-        found.append(pairs.where("near").select(F.col("line").alias("a"), F.col("to").alias("b")))
-        far = pairs.where("NOT near").select("line", "to")
-        if len(found) == 1:
-            dealt = members.join(far, ["line", "to"]).select("band", F.col("line").alias("line_id")).distinct()
-        else:
-            rows *= 2
-            left = sets.join(far.select(F.col("line").alias("line_id")).distinct(), "line_id")
-            dealt = left.select("line_id", F.explode(bands(F.col("set"), rows)).alias("band"))
-        last, members = members, _starred(dealt)
-        dropped(last)
-        if members.isEmpty():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    found = written(texts.select("line_id", "line"), "line-texts", hashes=True)
+    if found.count() > at.count():  # rows that agree in id and text stand for the same lines
+        found = written(found.dropDuplicates(["line_id"]), "line-texts", hashes=True)
+    near = lambda pairs: pairs.where("near").select(F.col("line").alias("a"), F.col("to").alias("b"))
+    stars = written(similar(members.where(_fits("n", "m", jaccard)).select("line", "n", "to", "m").distinct(), found, jaccard), "pairs")
+    roots = written(components(near(stars)), "star-roots")
+    rest = written(similar(_rest(members, stars, roots, jaccard), found, jaccard), "pairs")
+    if rest.where("near").isEmpty():
+        return roots
+    return components(near(rest).union(roots.select("node", "root")))
 
 
 def kept_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", jaccard: float = JACCARD) -> DataFrame:
     """Per document (``doc``, ``hash``) that keeps lines: ``kept``, the ascending positions of its kept lines that aren't blank."""
     lines = _lines(docs, text, key)
-    keys = written(lines.select("doc", "hash", "pos", F.xxhash64("line").alias("line_id"), bands(hashes(F.col("line"))).alias("bands")), "signatures", hashes=True)
+    hashed = lines.select("doc", "hash", "pos", F.xxhash64("line").alias("line_id"), hashes(F.col("line")).alias("hashes"))
+    keys = written(hashed.select("doc", "hash", "pos", "line_id", F.size("hashes").alias("n"), bands(F.col("hashes")).alias("bands")), "signatures", hashes=True)
     place = F.struct("doc", "hash", "pos")
     firsts = written(keys.groupBy("line_id").agg(F.min(place).alias("first")), "firsts", hashes=True)
-    links = line_links(docs, firsts, keys, text, key, jaccard)
-    roots = small(written(components(links).select(F.col("node").alias("line_id"), "root"), "line-roots"))
+    found = line_roots(docs, firsts, keys, text, key, jaccard)
+    roots = small(written(found.select(F.col("node").alias("line_id"), "root"), "line-roots"))
     rooted = firsts.join(roots, "line_id", "left")
     alone = rooted.where("root IS NULL").select("first.*")
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("first")).select("first.*")

@@ -44,3 +44,24 @@ def test_every_position_counts(spark):
     wide = ["a𝄞ü€b", "𝄞" * 12 + "ab", "Grüße aus Köln", "short"]
     found = spark.createDataFrame([(x,) for x in wide], "line string").select("line", F.size(lines.hashes(F.col("line"))).alias("n"))
     assert {r.line: r.n for r in found.collect()} == {x: len(grams(x)) for x in wide}
+
+
+def edited(rng, line, n):
+    """``line`` with ``n`` of its words replaced."""
+    words = line.split(" ")
+    for k in rng.choice(len(words), n, replace=False):
+        words[k] = "".join(rng.choice(list("qxyzjkvw"), 5))
+    return " ".join(words)
+
+
+def text(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+
+
+def test_lines_around_a_template(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    base = text(rng, 52)
+    around = [edited(rng, base, 2) for _ in range(120)]
+    found = [*around, *[edited(rng, x, 2) for x in around[:60]]]
+    assert len(kept(spark, found)) == brute(found) < 140

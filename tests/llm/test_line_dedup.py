@@ -65,3 +65,12 @@ def test_lines_around_a_template(spark, monkeypatch):
     around = [edited(rng, base, 2) for _ in range(120)]
     found = [*around, *[edited(rng, x, 2) for x in around[:60]]]
     assert len(kept(spark, found)) == brute(found) < 140
+
+
+def test_chains(spark):
+    rng = np.random.default_rng(8)
+    found = []
+    for _ in range(80):
+        middle = text(rng, 23)
+        found += [edited(rng, middle, 1), middle, edited(rng, middle, 1)]
+    assert len(kept(spark, found)) == brute(found)

@@ -38,8 +38,8 @@ from tessera.llm.storage import written
 
 JACCARD = 0.8
 CHARS = 9
-BANDS = 8
-ROWS = 4
+BANDS = 10
+ROWS = 3
 #: Lines of a block of a band.
 BLOCK = 512
 #: Rows up to which a table of ids is broadcast.

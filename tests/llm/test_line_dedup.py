@@ -74,3 +74,11 @@ def test_chains(spark):
         middle = text(rng, 23)
         found += [edited(rng, middle, 1), middle, edited(rng, middle, 1)]
     assert len(kept(spark, found)) == brute(found)
+
+
+def test_bands_of_short_lines(spark):
+    rng = np.random.default_rng(9)
+    drawn = [sorted(map(int, rng.integers(-(1 << 63), 1 << 63, 10))) for _ in range(2000)]
+    pairs = [([x for x in h if x != h[a]], [x for x in h if x != h[b]]) for h, (a, b) in ((h, rng.choice(10, 2, replace=False)) for h in drawn)]
+    found = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>")
+    assert found.where(F.arrays_overlap(lines.bands(F.col("a")), lines.bands(F.col("b")))).count() >= 0.99 * len(pairs)

@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication by MinHash; DataFrame functions only.
+"""Fuzzy line deduplication by MinHash.
 
 A line is a part of a text between line feeds, compared in lower case without blanks,
 tabs and carriage returns at its ends. Equal lines are the same line. Different lines
@@ -6,178 +6,233 @@ are linked when the Jaccard similarity of their character shingles is ``JACCARD`
 more, and of every component of lines the first one stays: the least (id, text hash,
 position). Blank lines stay where they are and take no part.
 
-Shingles are the ``CHARS`` characters from every character's position on; a line that is
-no longer is its only shingle. Their hashes
-stand on a circle in order. A signature has ``BANDS`` permutations of the hashes, each
-a rotation of the circle, and a band is the ``ROWS`` smallest hashes of one of them.
-Lines that share a band are candidates, and every pair of candidates is settled: first
-each line against the least line of its band; then, in bands whose other lines aren't in
-one component by now, all pairs of lines of different components, without any limit on a
-band. A band of many lines is cut into pairs of blocks of about ``BLOCK`` lines. Pairs are
-only left out where they can't be similar: by their sizes, or as their distances from the
-band's least line differ by more than two similar lines' do (Jaccard distance is a metric).
-The exact similarity of the shingles, as sets of 64-bit hashes, decides.
-Components come from repeated contraction of the links, on all machines.
-
-Only hashes are shuffled before the verification. A table that the rest is joined with
-is broadcast when it has at most ``SMALL`` rows; a larger one is shuffled.
+Signatures and similarities are computed in numpy (:mod:`tessera.llm.shingles`), behind
+Arrow: shingles as array functions cost several times the CPU, and the pairs of a hot
+band as rows grow with the square of its lines.
+
+Lines that share a band are candidates. Bands with the same lines count once. The lines
+of a band form a cell, in which all pairs are settled by their exact similarity; a band
+of more than about ``BLOCK`` characters or ``LINES`` lines is cut into blocks, each pair
+of blocks being a cell of its own, so no task holds more and no pair is left out. A cell
+returns no pairs but a spanning forest of its links. Components come from repeated
+contraction of the links, on all machines.
+
+A line's number is a 64-bit hash. A second hash tells different lines of one number
+apart; such lines take their second hash as number.
+
+Only hashes are shuffled before the verification, then the texts of lines that share a
+band. A table that the rest is joined with is broadcast when its rows take at most
+``SMALL`` bytes; a larger one is shuffled.
 
 A null text stays null, an empty one empty. A text that loses all its lines becomes
 empty; its row stays. Rows that agree in id and text are one document: they keep the
-same lines. Further columns pass through.
+same lines. Further columns pass through. A line is worked on whole, so a task's memory
+grows with its longest line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import let
+from tessera.llm import shingles
 from tessera.llm.components import components
-from tessera.llm.storage import written
+from tessera.llm.runs import whole_runs
+from tessera.llm.simhash import joined
+from tessera.llm.storage import dropped, unused, written
+from tessera.shipping import ship
 
 JACCARD = 0.8
-CHARS = 9
-BANDS = 10
-ROWS = 3
-#: Lines of a block of a band.
-BLOCK = 512
-#: Rows up to which a table of ids is broadcast.
-SMALL = 400_000
-_TURNS = [-(1 << 63) + k * ((1 << 64) // BANDS) + 12345 for k in range(BANDS)]
-
-
-def compared(line: Column) -> Column:
-    """A line as it is compared: trimming blanks alone is cheaper where nothing else needs it."""
-    other = F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\t"))
-    return F.lower(F.when(other, F.trim(line, F.lit(" \t\r"))).otherwise(F.trim(line)))
-
-
-def shingles(line: Column) -> Column:
-    """The hashes of a compared line's shingles, repeats included; four bytes a character make every one a slice at a known place."""
-    wide = F.encode(line, "UTF-32")
-    starts = lambda x: F.sequence(F.lit(1), F.greatest(F.octet_length(x) - 4 * (CHARS - 1), F.lit(1)), F.lit(4))
-    return let(wide, lambda x: F.transform(starts(x), lambda k: F.xxhash64(F.substring(x, k, F.lit(4 * CHARS)))))
-
-
-def hashes(line: Column) -> Column:
-    """The sorted set of the hashes of a compared line's shingles."""
-    return F.sort_array(F.array_distinct(shingles(line)))
-
-
-def bands(hashes: Column) -> Column:
-    """The set of band keys of a sorted array of distinct hashes."""
-    turned = F.sort_array(F.concat(hashes, F.array(*map(F.lit, _TURNS))))
-    circle = F.concat(hashes, hashes)
-    keys = [F.xxhash64(F.slice(circle, (F.array_position(turned, turn) - k).cast("int"), ROWS)) for k, turn in enumerate(_TURNS)]
-    few = F.when(F.size(hashes) > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(F.size(hashes) >= ROWS, F.array_distinct(F.array(*keys))).otherwise(few)
-
-
-def _starred(dealt: DataFrame) -> DataFrame:
-    """Of ``line_id``, ``n`` by ``band`` each line once with the least line ``to`` (of size ``m``) of its band, itself left out."""
-    least = dealt.groupBy("band").agg(F.min(F.struct("line_id", "n")).alias("to"), F.max("line_id").alias("most")).where("to.line_id <> most")
-    shared = written(least.select("band", F.col("to.line_id").alias("to"), F.col("to.n").alias("m")), "bands")
-    own = dealt.join(small(shared), "band").where("line_id <> `to`")
-    return written(own.select("band", F.col("line_id").alias("line"), "n", "to", "m").distinct(), "members", hashes=True)
-
-
-def _fits(n: str, m: str, jaccard: float) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return F.least(n, m) >= jaccard * F.greatest(n, m)
-
-
-def _rest(members: DataFrame, stars: DataFrame, roots: DataFrame, jaccard: float) -> DataFrame:
-    """Pairs ``line``, ``to`` (of sizes ``n``, ``m``) of different components that share a band and weren't compared with each other."""
-    known = members.join(small(roots), members.line == roots.node, "left").select("band", "line", "n", "to", F.coalesce("root", "line").alias("root"))
-    mixed = known.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("two"), F.count("*").alias("size")).where("one <> two")
-    mixed = written(mixed.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-bands")
-    own = known.join(small(mixed), "band").withColumn("own", F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks")).cast("int"))
-    own = written(own.join(stars.select("line", "to", "far"), ["line", "to"], "left").select("band", "blocks", "own", "line", "n", "root", "far"), "rest")
-    kept = ["band", "own", "line", "n", "root", "far"]
-    a = own.select(*[F.col(c).alias(f"a_{c}") for c in kept], F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("a_other"))
-    b = own.select(*[F.col(c).alias(f"b_{c}") for c in kept], F.explode(F.sequence(F.lit(0), F.col("own"))).alias("b_other"))
-    cell = (F.col("a_band") == F.col("b_band")) & (F.col("a_own") == F.col("b_other")) & (F.col("a_other") == F.col("b_own"))
-    once = (F.col("a_own") < F.col("b_own")) | (F.col("a_line") < F.col("b_line"))
-    apart = F.abs(F.col("a_far") - F.col("b_far")) > 1 - jaccard + 1e-9
-    pairs = a.join(b, cell & once & (F.col("a_root") != F.col("b_root")) & _fits("a_n", "b_n", jaccard) & ~F.coalesce(apart, F.lit(False)))
-    turned = F.col("a_line") < F.col("b_line")
-    one, two = F.struct(F.col("a_line").alias("id"), F.col("a_n").alias("n")), F.struct(F.col("b_line").alias("id"), F.col("b_n").alias("n"))
-    both = pairs.select(F.when(turned, one).otherwise(two).alias("x"), F.when(turned, two).otherwise(one).alias("y"))
-    return both.select(F.col("x.id").alias("line"), F.col("x.n").alias("n"), F.col("y.id").alias("to"), F.col("y.n").alias("m")).distinct()
+#: Characters and lines of a block of a band.
+BLOCK, LINES = 1 << 19, 1024
+#: Bytes of rows up to which a table of ids is broadcast.
+SMALL = 16 << 20
+_TRIMMED = " \t\r"
+
+
+def _named(column: str) -> Column:
+    return F.col(f"`{column}`")
+
+
+def compared(line: str) -> str:
+    """A line as it is compared."""
+    return line.strip(_TRIMMED).lower()
+
+
+def blank(line: Column) -> Column:
+    return F.trim(line, F.lit(_TRIMMED)) == ""
+
+
+def numbers(lines: list[str]) -> np.ndarray:
+    """Two 64-bit hashes of every line."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.int64).reshape(-1, 2)
+
+
+def _places(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Of a batch with a column ``text``, in parts: the row, the position and the compared form of lines that aren't blank."""
+    row, pos, lines, size = [], [], [], 0
+    for k, text in enumerate(batch.column("text")):
+        for p, part in enumerate((text.as_py() or "").split("\n")):
+            line = compared(part)
+            if line:
+                row.append(k)
+                pos.append(p)
+                lines.append(line)
+                size += len(line)
+                if size >= shingles.PART or len(lines) >= shingles.MOST:
+                    yield row, pos, lines
+                    row, pos, lines, size = [], [], [], 0
+    if lines:
+        yield row, pos, lines
+
+
+def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Per line that isn't blank ``doc``, ``hash`` of the document's text, ``pos``, ``line_id``, ``second`` and ``bands``."""
+    ship(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, pos, lines in _places(batch):
+                number = numbers(lines)
+                keys, sizes = shingles.bands(lines)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(keys.view(np.int64)))
+                at = pa.array(row)
+                made = [batch.column("doc").take(at), batch.column("hash").take(at), pa.array(pos, pa.int32()), pa.array(number[:, 0]), pa.array(number[:, 1]), lists]
+                yield pa.RecordBatch.from_arrays(made, ["doc", "hash", "pos", "line_id", "second", "bands"])
+
+    rows = docs.select(_named(key).alias("doc"), F.xxhash64(_named(text)).alias("hash"), _named(text).alias("text")).where("text <> ''")
+    return rows.mapInArrow(run, f"doc {kind}, hash long, pos int, line_id long, second long, bands array<long>")
 
 
 def small(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if its number of rows allows that."""
-    return F.broadcast(table) if table.count() <= SMALL else table
-
-
-def _lines(docs: DataFrame, text: str, key: str, where: Column | None = None) -> DataFrame:
-    """Per line ``doc``, ``hash`` of the document's text, ``pos``, and ``line`` as it is compared."""
-    named = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("hash"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return named.select("doc", "hash", "pos", compared(F.col("line")).alias("line")).where("line <> ''")
-
-
-def similar(pairs: DataFrame, texts: DataFrame, jaccard: float) -> DataFrame:
-    """``pairs`` (``line``, ``to``, of ``n`` and ``m`` shingles) with ``far``, their Jaccard distance, and ``near``, whether they are similar enough."""
-    one = pairs.join(texts.select(F.col("line_id").alias("line"), F.col("line").alias("a")), "line")
-    both = one.join(texts.select(F.col("line_id").alias("to"), F.col("line").alias("b")), "to")
-    counted = both.withColumn("common", F.size(F.array_intersect(shingles(F.col("a")), shingles(F.col("b")))))
-    either = F.col("n") + F.col("m") - F.col("common")
-    return counted.select("line", "to", (1 - F.col("common") / either).alias("far"), (F.col("common") >= jaccard * either).alias("near"))
-
-
-def line_roots(docs: DataFrame, firsts: DataFrame, keys: DataFrame, text: str, key: str, jaccard: float) -> DataFrame:
-    """``node``, ``root``: the components of similar lines. ``firsts``: where each line stands first; ``keys``: the bands of the lines."""
-    members = _starred(keys.select("line_id", "n", F.explode("bands").alias("band")))
-    asked = members.select(F.explode(F.array("line", "to")).alias("line_id")).distinct()
-    asked = written(asked, "asked")
-    at = written(firsts.join(small(asked), "line_id").select("line_id", "first.*"), "at")
-    held = small(written(at.select("doc", "hash").distinct(), "holders"))
-    some = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    some = some.join(held, some._id.eqNullSafe(held.doc) & (F.xxhash64("_text") == held.hash), "left_semi")
-    lines = _lines(some, "_text", "_id").withColumn("line_id", F.xxhash64("line"))
-    there = small(at).withColumnsRenamed({"doc": "_doc", "hash": "_hash", "pos": "_pos", "line_id": "_line"})
-    texts = lines.join(there, (lines.line_id == there._line) & (lines.pos == there._pos) & (lines.hash == there._hash) & lines.doc.eqNullSafe(there._doc))
-    found = written(texts.select("line_id", "line"), "line-texts", hashes=True)
-    if found.count() > at.count():  # rows that agree in id and text stand for the same lines
-        found = written(found.dropDuplicates(["line_id"]), "line-texts", hashes=True)
-    near = lambda pairs: pairs.where("near").select(F.col("line").alias("a"), F.col("to").alias("b"))
-    stars = written(similar(members.where(_fits("n", "m", jaccard)).select("line", "n", "to", "m").distinct(), found, jaccard), "pairs")
-    roots = written(components(near(stars)), "star-roots")
-    rest = written(similar(_rest(members, stars, roots, jaccard), found, jaccard), "pairs")
-    if rest.where("near").isEmpty():
-        return roots
-    return components(near(rest).union(roots.select("node", "root")))
+    """A written table, to be broadcast if its rows are few enough for that."""
+    width = 8 + sum(64 if f.dataType.simpleString() == "string" else 8 for f in table.schema)
+    return F.broadcast(table) if table.count() * width <= SMALL else table
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """``band``, ``line_id``: the lines of every band that has different ones, of bands with the same lines one."""
+    dealt = keys.select("line_id", F.explode("bands").alias("band"))
+    least = dealt.groupBy("band").agg(F.min("line_id").alias("one"), F.max("line_id").alias("two")).where("one <> two")
+    shared = written(least.select("band"), "bands", hashes=True)
+    members = written(dealt.join(small(shared), "band").distinct(), "members", hashes=True)
+    named = members.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("line_id")).alias("all"), F.min("line_id").alias("one"), F.max("line_id").alias("two"))
+    once = written(named.groupBy("n", "all", "one", "two").agg(F.min("band").alias("band")).select("band"), "bands", hashes=True)
+    out = written(members.join(small(once), "band"), "members", hashes=True)
+    dropped(shared, members, once)
+    return out
+
+
+def _texts(docs: DataFrame, asked: DataFrame, firsts: DataFrame, text: str, key: str) -> DataFrame:
+    """``line_id``, ``line`` and ``chars`` of the lines ``asked`` for, read from where they stand first."""
+    at = written(firsts.join(small(asked), "line_id").select("line_id", "first.*"), "at", hashes=True)
+    held = written(at.select("doc", "hash").distinct(), "holders", hashes=True)
+    some = docs.select(_named(key).alias("_id"), _named(text).alias("_text"), F.xxhash64(_named(text)).alias("_code"))
+    some = some.join(small(held), some._id.eqNullSafe(F.col("doc")) & (F.col("_code") == F.col("hash")), "left_semi")
+    lines = some.select("_id", "_code", F.posexplode(F.split("_text", "\n")).alias("_pos", "line"))
+    there = small(at)
+    found = lines.join(there, (lines._pos == there.pos) & (lines._code == there.hash) & lines._id.eqNullSafe(there.doc))
+    whole = written(found.select("line_id", "line", F.length("line").alias("chars")), "line-texts", hashes=True)
+    if whole.count() > at.count():  # rows that agree in id and text stand for the same lines
+        once = written(whole.dropDuplicates(["line_id"]), "line-texts", hashes=True)
+        dropped(whole)
+        whole = once
+    dropped(at, held)
+    return whole
+
+
+def _cells(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``band``, ``i``, ``j``, ``side``, ``line_id``, ``line``: the lines of each cell; ``side`` is 0 in a block with itself, else 1 and 2."""
+    sized = members.join(texts.select("line_id", "chars"), "line_id").groupBy("band").agg(F.greatest(F.ceil(F.sum("chars") / BLOCK), F.ceil(F.count("*") / LINES)).cast("int").alias("blocks"))
+    large = written(sized.where("blocks > 1"), "large-bands", hashes=True)
+    if large.isEmpty():
+        cells = members.select("band", "line_id", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    else:
+        own = F.pmod(F.xxhash64("line_id", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int")
+        each = members.join(small(large), "band", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        cells = each.select("band", "line_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    return cells.join(texts.select("line_id", "line"), "line_id")
+
+
+def similar(cells: DataFrame, jaccard: float) -> DataFrame:
+    """Links ``a``, ``b`` that connect the similar lines of every cell."""
+    spark = cells.sparkSession
+    ship(spark)
+    places = ["band", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, number in whole_runs(batches, places, 1 << 12):
+            side, (ids, first, line) = table["side"].to_numpy(), np.unique(table["line_id"].to_numpy(), return_index=True, return_inverse=True)
+            found, sizes = shingles.sets([compared(x.as_py()) for x in table["line"].combine_chunks().take(pa.array(first))])
+            labels = np.arange(len(side))
+            ends = np.flatnonzero(np.r_[number[1:] != number[:-1], True]) + 1
+            weight = np.cumsum(sizes[line])
+            start = 0
+            for k, end in enumerate(ends):  # cells together, up to a part's shingles
+                if k + 1 == len(ends) or weight[ends[k + 1] - 1] - (weight[start - 1] if start else 0) > shingles.PART:
+                    at = slice(start, end)
+                    a, b = shingles.near(number[at], side[at], line[at], found, sizes, jaccard)
+                    joined(labels, a + start, b + start)
+                    start = end
+            while (labels[labels] != labels).any():
+                labels = labels[labels]
+            moved = np.flatnonzero(labels != np.arange(len(labels)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[line[moved]]), pa.array(ids[line[labels[moved]]])], ["a", "b"])
+
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return cells.select(*places, "side", "line_id", "line").repartition(count, *places).sortWithinPartitions(*places).mapInArrow(run, "a long, b long")
+
+
+def _numbered(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``keys`` and, by ``line_id``, where each line stands ``first``; different lines of one number get their second hash for it."""
+    place = F.struct("doc", "hash", "pos")
+    count = lambda rows: written(rows.groupBy("line_id").agg(F.min(place).alias("first"), (F.min("second") != F.max("second")).alias("clash")), "firsts", hashes=True)
+    firsts = count(keys)
+    clashes = firsts.where("clash").select(F.col("line_id").alias("number"))
+    if clashes.isEmpty():
+        return keys, firsts
+    apart = keys.join(clashes, keys.line_id == clashes.number, "left")
+    apart = written(apart.withColumn("line_id", F.when(F.col("number").isNotNull(), F.col("second")).otherwise(F.col("line_id"))).drop("number"), "signatures", hashes=True)
+    again = count(apart)
+    dropped(keys, firsts)
+    return apart, again
 
 
 def kept_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", jaccard: float = JACCARD) -> DataFrame:
     """Per document (``doc``, ``hash``) that keeps lines: ``kept``, the ascending positions of its kept lines that aren't blank."""
-    lines = _lines(docs, text, key)
-    hashed = lines.select("doc", "hash", "pos", F.xxhash64("line").alias("line_id"), hashes(F.col("line")).alias("hashes"))
-    keys = written(hashed.select("doc", "hash", "pos", "line_id", F.size("hashes").alias("n"), bands(F.col("hashes")).alias("bands")), "signatures", hashes=True)
-    place = F.struct("doc", "hash", "pos")
-    firsts = written(keys.groupBy("line_id").agg(F.min(place).alias("first")), "firsts", hashes=True)
-    found = line_roots(docs, firsts, keys, text, key, jaccard)
-    roots = small(written(found.select(F.col("node").alias("line_id"), "root"), "line-roots"))
-    rooted = firsts.join(roots, "line_id", "left")
+    keys, firsts = _numbered(written(signatures(docs, text, key), "signatures", hashes=True))
+    members = _shared(keys)
+    asked = written(members.select("line_id").distinct(), "asked", hashes=True)
+    texts = _texts(docs, asked, firsts, text, key)
+    links = written(similar(_cells(members, texts), jaccard), "line-links", hashes=True)
+    roots = written(components(links), "line-roots", hashes=True)
+    dropped(keys, members, asked, texts, links)
+    rooted = firsts.join(small(roots), firsts.line_id == roots.node, "left")
     alone = rooted.where("root IS NULL").select("first.*")
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     return alone.union(least).groupBy("doc", "hash").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", jaccard: float = JACCARD) -> DataFrame:
-    """``docs`` with only the kept lines in ``text``, and ``__lines``, ``__kept``: the number of lines before and after."""
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", jaccard: float = JACCARD, counts: tuple[str, str] = ("__lines", "__kept")) -> DataFrame:
+    """``docs`` with only the kept lines in ``text``, and as ``counts`` the number of lines before and after; a name that ``docs`` has gets underscores before it."""
     kept = kept_lines(docs, text, key, jaccard)
     names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"))
-    joined = whole.join(kept.hint("shuffle_hash"), whole._id.eqNullSafe(kept.doc) & (whole._hash == kept.hash), "left")
-    parts = F.split(F.col(f"row.{text}"), "\n")
-    blank = F.filter(F.transform(parts, lambda x, k: F.when(compared(x) == "", k)), lambda k: k.isNotNull())
+    before, after = (unused(c, names) for c in counts)
+    whole = docs.select(F.struct(*[_named(c) for c in names]).alias("row"), _named(key).alias("_id"), F.xxhash64(_named(text)).alias("_hash"))
+    joined_ = whole.join(kept.hint("shuffle_hash"), whole._id.eqNullSafe(kept.doc) & (whole._hash == kept.hash), "left")
+    said = F.col("row").getField(text)
+    parts = F.split(said, "\n")
+    empty = F.filter(F.transform(parts, lambda x, k: F.when(blank(x), k)), lambda k: k.isNotNull())
     stay = F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), F.col("blank")))
-    cut = joined.withColumn("parts", parts).withColumn("blank", blank).withColumn("stay", stay)
+    cut = joined_.withColumn("parts", parts).withColumn("blank", empty).withColumn("stay", stay)
     rest = F.array_join(F.transform("stay", lambda k: F.get("parts", k)), "\n")
     rest = F.when(F.col("kept").isNull() & (F.size("blank") < F.size("parts")), F.lit("")).otherwise(rest)
-    out = [F.when(F.col(f"row.{text}").isNotNull(), rest).alias(text) if c == text else F.col("row").getField(c).alias(c) for c in names]
-    before = F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("__lines")
-    return cut.select(*out, before, F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("__kept"))
+    out = [F.when(said.isNotNull(), rest).alias(text) if c == text else F.col("row").getField(c).alias(c) for c in names]
+    return cut.select(*out, F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias(before), F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias(after))

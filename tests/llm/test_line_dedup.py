@@ -1,9 +1,10 @@
 """Line deduplication against brute force over all shingles of every pair of lines."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import lines
+from tessera.llm import lines, shingles
 
 
 def grams(line):
@@ -40,10 +41,11 @@ def test_every_position_counts(spark):
     rng = np.random.default_rng(5)
     chinese = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 49)))
     different = ["2024-01-15T10:30:00", "2024-01-16T10:30:00", "user_id=10045", "user_id=12345", "andththwhes.", "andththwhwh."]
-    assert kept(spark, [*different, chinese, "x" + chinese]) == set(range(7))
-    wide = ["a𝄞ü€b", "𝄞" * 12 + "ab", "Grüße aus Köln", "short"]
-    found = spark.createDataFrame([(x,) for x in wide], "line string").select("line", F.size(lines.hashes(F.col("line"))).alias("n"))
-    assert {r.line: r.n for r in found.collect()} == {x: len(grams(x)) for x in wide}
+    long = "y" * 200 + text(rng, 100_000)
+    assert kept(spark, [*different, chinese, "x" + chinese, long, "z" + long]) == {*range(7), 8}
+    wide = ["a𝄞ü€b", "𝄞" * 12 + "ab", "Grüße aus Köln", "short", "short   ", "x" * 50]
+    assert shingles.sets(wide)[1].tolist() == [len(grams(x)) for x in wide]
+    assert len(set(shingles.sets(["short", "short ", "short\0", "shorts"])[0].tolist())) == 4
 
 
 def edited(rng, line, n):
@@ -58,8 +60,11 @@ def text(rng, n):
     return " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
 
 
-def test_lines_around_a_template(spark, monkeypatch):
-    monkeypatch.setattr(lines, "BLOCK", 16)
+@pytest.mark.parametrize("blocks", [(1 << 19, 1024), (4000, 1024), (1 << 19, 16)])
+def test_lines_around_a_template(spark, monkeypatch, blocks):
+    """One hot band: a template, lines near it, and lines that are near no other."""
+    monkeypatch.setattr(lines, "BLOCK", blocks[0])
+    monkeypatch.setattr(lines, "LINES", blocks[1])
     rng = np.random.default_rng(7)
     base = text(rng, 52)
     around = [edited(rng, base, 2) for _ in range(120)]
@@ -76,9 +81,73 @@ def test_chains(spark):
     assert len(kept(spark, found)) == brute(found)
 
 
-def test_bands_of_short_lines(spark):
-    rng = np.random.default_rng(9)
-    drawn = [sorted(map(int, rng.integers(-(1 << 63), 1 << 63, 10))) for _ in range(2000)]
-    pairs = [([x for x in h if x != h[a]], [x for x in h if x != h[b]]) for h, (a, b) in ((h, rng.choice(10, 2, replace=False)) for h in drawn)]
-    found = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>")
-    assert found.where(F.arrays_overlap(lines.bands(F.col("a")), lines.bands(F.col("b")))).count() >= 0.99 * len(pairs)
+def shared(pairs):
+    """How many pairs of lines share a band."""
+    flat, sizes = shingles.bands([x for pair in pairs for x in pair])
+    each = np.split(flat, np.cumsum(sizes)[:-1])
+    return sum(bool(set(a.tolist()) & set(b.tolist())) for a, b in zip(each[::2], each[1::2], strict=True))
+
+
+def test_bands_of_repeats(spark):
+    """Sets decide, however often a shingle stands in a line."""
+    rng = np.random.default_rng(10)
+    pairs = []
+    for _ in range(300):
+        few = text(rng, 3)[: rng.integers(1, 14)]
+        a, b = sorted(rng.integers(12, 60, 2))
+        pairs.append(((few * 60)[: len(few) * a], (few * 60)[: len(few) * b]))
+    assert shared(pairs) == len(pairs)
+    assert kept(spark, ["ab" * 30, "ab" * 200, "xyz" * 10, "abc" * 100]) == {0, 2, 3}
+
+
+@pytest.mark.parametrize("size", [12, 20, 40, 120, 400])
+def test_recall(size):
+    """Pairs at a Jaccard similarity of 0.8 to 0.85, by the length of the lines."""
+    rng = np.random.default_rng(size)
+    pairs = []
+    while len(pairs) < 1000:
+        line = "x" + "".join(rng.choice(list("abcdefghij "), size + 30)) + "y"
+        other = list(line)
+        for k in rng.choice(len(line), rng.integers(0, size // 60 + 1), replace=False):
+            other[k] = "z"
+        other = "".join(other)[rng.integers(0, 12) :]
+        if 0.8 <= jaccard(line, other) <= 0.85:
+            pairs.append((line, other))
+    assert shared(pairs) >= 0.99 * len(pairs)
+
+
+def test_near_pairs():
+    """Both ways of counting, against sets."""
+    rng = np.random.default_rng(4)
+    base = [text(rng, 30) for _ in range(4)]
+    found = [edited(rng, base[k % 4], rng.integers(0, 4)) for k in range(150)] + ["ab", "ab", "aB"]
+    flat, sizes = shingles.sets(found)
+    cell = np.sort(rng.integers(0, 3, len(found)))
+    side = np.where(cell == 2, rng.integers(1, 3, len(found)), 0)
+    a, b = shingles.near(cell, side, np.arange(len(found)), flat, sizes, 0.8)
+    want = {(x, y) for x in range(len(found)) for y in range(x + 1, len(found)) if cell[x] == cell[y] and (cell[x] < 2 or side[x] != side[y]) and jaccard(found[x], found[y]) >= 0.8}
+    assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)} == want and len(want) > 100
+
+
+def test_numbers_that_clash(spark, monkeypatch):
+    """Different lines whose first hash agrees stay different lines."""
+    written = lines.written
+
+    def clashing(df, label, **options):
+        return written(df.withColumn("line_id", F.lit(7).cast("bigint")) if label == "signatures" and "number" not in df.columns and "second" in df.columns and not clashing.done else df, label, **options)
+
+    def once(df, label, **options):
+        out = clashing(df, label, **options)
+        clashing.done |= label == "signatures"
+        return out
+
+    clashing.done = False
+    monkeypatch.setattr(lines, "written", once)
+    assert kept(spark, ["first line of text here", "another line of text", "third thing altogether", "first line of text here"]) == {0, 1, 2}
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([("a", "x\ny", 1, 2), ("b", "x\nz", 3, 4)], "`doc.id` string, `te.xt` string, __lines int, __kept int")
+    out = lines.dedup_lines(df, "te.xt", "doc.id")
+    assert out.columns == ["doc.id", "te.xt", "__lines", "__kept", "___lines", "___kept"]
+    assert [tuple(r) for r in out.orderBy("`doc.id`").collect()] == [("a", "x\ny", 1, 2, 2, 2), ("b", "z", 3, 4, 2, 1)]

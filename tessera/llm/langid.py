@@ -5,7 +5,8 @@ returns the matrix of log-probabilities (buckets by languages). ``predict`` broa
 the matrix and scores every whole text in numpy: the n-grams of a batch of texts are
 looked up as sparse rows and summed by text.
 
-Texts are lower-cased and every run of other characters than letters counts as a blank.
+Texts are lower-cased, every run of other characters than letters counts as a blank, and
+one stands behind every text.
 A null text, an empty one and one without a letter gets ``und`` with score 1.0 (it is
 certain that nothing can be told). Scores are posterior probabilities. Equal posteriors
 go to the language that sorts first. With no labelled text at all every text is ``und``
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import unused
+from tessera.llm.runs import beside
 from tessera.shipping import ship
 
 BITS = 16
@@ -51,10 +52,10 @@ def _letters() -> np.ndarray:
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
     """Whether each text has a letter; then for each order the text and bucket of each n-gram, texts ascending."""
-    codes = np.frombuffer(" ".join(texts).lower().encode("utf-32-le", "surrogatepass"), "<u4") if texts else np.zeros(0, np.uint32)
+    codes = np.frombuffer("".join(f"{t.lower()} " for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
     lengths = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
     letter = _letters()[codes]
-    at = np.repeat(np.arange(len(texts)), lengths + 1)[: len(codes)]
+    at = np.repeat(np.arange(len(texts)), lengths + 1)
     has = np.zeros(len(texts), np.bool_)
     has[at[letter]] = True
     kept = letter | np.r_[False, letter[:-1]]  # of a run of other characters only the first
@@ -139,19 +140,15 @@ def posteriors(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nd
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row with ``lang_pred`` and ``score``."""
-    ship(df.sparkSession)
+    """The columns ``keep`` of every row with ``lang_pred`` and ``score``; underscores go before these names if ``keep`` has them."""
     shared = df.sparkSession.sparkContext.broadcast((model.langs, model.matrix, model.prior))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: pa.Array) -> list[pa.Array]:
         own = Model(*shared.value)
-        names = np.array([*own.langs, UNKNOWN], object)
-        for batch in batches:
-            best, score = posteriors(own, batch.columns[-1].to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+        best, score = posteriors(own, texts.to_pylist())
+        return [pa.array(np.array([*own.langs, UNKNOWN], object)[best].tolist(), pa.string()), pa.array(score)]
 
-    return df.select(*keep, F.col(text).alias(unused("text", keep))).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return beside(df, keep, text, make, {"lang_pred": "string", "score": "double"})
 
 
 def remainder(key: Column, by: int) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import unused
+from tessera.llm.runs import beside
 from tessera.shipping import ship
 
 BITS = 12
@@ -154,15 +154,6 @@ def votes(model: Model, texts: list[str | None], block: int = 256) -> np.ndarray
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
-    """The columns ``keep`` of every row with its score."""
-    ship(df.sparkSession)
+    """The columns ``keep`` of every row with its score as ``out``; underscores go before that name if ``keep`` has it."""
     shared = df.sparkSession.sparkContext.broadcast((model.idf, model.project, model.vectors, model.labels, model.prior))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in keep]).schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
-        for batch in batches:
-            found = votes(own, batch.columns[-1].to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*keep, out])
-
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(unused("text", keep))).mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))
+    return beside(df, keep, text, lambda texts: [pa.array(votes(Model(*shared.value), texts.to_pylist()))], {out: "double"})

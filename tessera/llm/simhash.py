@@ -37,8 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.runs import whole_runs
-from tessera.llm.storage import unused, written
+from tessera.llm.runs import beside, whole_runs
+from tessera.llm.storage import written
 from tessera.shipping import ship
 
 WORDS = 4
@@ -69,16 +69,13 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """The columns ``keep`` of every row with ``fp``, its fingerprint as a signed long."""
-    ship(df.sparkSession)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
+    """The columns ``keep`` of every row with ``fp``, its fingerprint as a signed long; underscores go before that name if ``keep`` has it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), words, seed) for t in batch.columns[-1]), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*keep, "fp"])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        found = np.fromiter((fingerprint(t.as_py(), words, seed) for t in texts), np.uint64, len(texts))
+        return [pa.array(found.view(np.int64))]
 
-    return df.select(*keep, F.col(text).alias(unused("text", keep))).mapInArrow(run, ", ".join([*fields, "fp long"]))
+    return beside(df, keep, text, make, {"fp": "long"})
 
 
 def hexed(fp: Column) -> Column:

@@ -4,13 +4,14 @@ Equal vectors of equal label count once, as a class. Each class is described by
 ``LONG`` nearest reference points (pivots: vectors drawn by a hash, none near another) in order, and enters
 the inverted lists of the first ``SHORT`` of them, one list for each label, number of
 dimensions and pivot. Within a list the pairs that share at least ``SHARED`` pivots are
-candidates, counted by blocked matrix products, and candidates are verified by their
-cosine in double precision. A pair counts only in the smallest list that both are in,
+candidates, counted by blocked matrix products over marks; only of candidates a cosine is
+taken, in double precision. A pair counts only in the smallest list that both are in,
 so the number of links adds up over the lists. A list returns per class the weight of
 its links there and one link of a spanning forest, never its pairs.
 
-The number of pivots grows with the square root of the classes up to ``MOST_PIVOTS``,
-which bounds what is broadcast. A list of more than ``LIST`` classes is cut into groups,
+The number of pivots grows with the square root of the classes up to ``MOST_PIVOTS`` (or
+``DRAWN_BYTES``), which bounds what is broadcast; beyond about 270 million classes lists
+grow with the table. A list of more than ``LIST`` classes is cut into groups,
 each pair of groups being a cell of its own, so no task holds more and no pair is
 missed.
 
@@ -32,7 +33,7 @@ from tessera.llm.components import components
 from tessera.llm.runs import whole_runs
 from tessera.llm.simhash import joined
 from tessera.llm.storage import written
-from tessera.llm.vectors import matrix, usable
+from tessera.llm.vectors import matrix, units, usable
 from tessera.shipping import ship
 
 COSINE = 0.98
@@ -40,7 +41,9 @@ LONG = 12
 SHORT = 4
 SHARED = 4
 LIST = 384
-MOST_PIVOTS = 8192
+MOST_PIVOTS = 32768
+#: Bytes of drawn vectors that go to the driver.
+DRAWN_BYTES = 128 << 20
 #: Vectors drawn for each pivot wanted, and the cosine from which two are too alike to be both pivots.
 DRAWN = 4
 PIVOT_COSINE = 0.8
@@ -86,16 +89,18 @@ def _cell_links(pivot: int, perm: np.ndarray, unit: np.ndarray, weight: np.ndarr
     least = min(SHARED, perm.shape[1])
     for start in range(0, n, _BLOCK):
         rows = slice(start, min(start + _BLOCK, n))
-        near = (marks[rows] @ marks.T >= least) & (unit[rows] @ unit.T >= cosine)
-        near &= np.where(side[rows, None] == 0, np.arange(n)[None] > np.arange(n)[rows, None], False) if not side.any() else (side[rows, None] == 1) & (side[None] == 2)
+        near = marks[rows] @ marks.T >= least
+        near &= (side[rows, None] == 1) & (side[None] == 2) if side.any() else np.arange(n)[None] > np.arange(n)[rows, None]
         a, b = np.nonzero(near)
         a += start
-        for part in range(0, len(a), 1 << 18):
-            x, y = a[part : part + (1 << 18)], b[part : part + (1 << 18)]
+        for part in range(0, len(a), 1 << 16):
+            x, y = a[part : part + (1 << 16)], b[part : part + (1 << 16)]
             short_x, short_y = perm[x, :SHORT], perm[y, :SHORT]
             both = np.where((short_x[:, :, None] == short_y[:, None, :]).any(2), short_x, np.iinfo(np.int32).max)
             here = both.min(1) == pivot
             x, y = x[here], y[here]
+            good = (unit[x] * unit[y]).sum(1) >= cosine
+            x, y = x[good], y[good]
             np.add.at(found, x, weight[y])
             np.add.at(found, y, weight[x])
             joined(labels, x, y)
@@ -108,14 +113,14 @@ def list_links(classes: DataFrame, count: int, width: int, cosine: float = COSIN
     """For classes (``node``, ``label``, ``n``, ``vector``): rows ``a``, ``b``, ``w``: ``a`` has links of weight ``w`` in a list, and ``b`` is in its component."""
     spark = classes.sparkSession
     ship(spark)
-    drawn = classes.orderBy("node").limit(DRAWN * pivot_count(count)).select("vector").toArrow()
-    points = matrix(drawn["vector"], width)
-    shared = spark.sparkContext.broadcast(apart(points / np.sqrt((points * points).sum(1, keepdims=True)), pivot_count(count)))
+    wanted = min(pivot_count(count), max(32, DRAWN_BYTES // (8 * width * DRAWN)))
+    drawn = classes.orderBy("node").limit(DRAWN * wanted).select("vector").toArrow()
+    shared = spark.sparkContext.broadcast(apart(units(matrix(drawn["vector"], width)), wanted))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("vector"), width)
-            perm = nearest_pivots(x / np.sqrt((x * x).sum(1, keepdims=True)), shared.value)
+            perm = nearest_pivots(units(x), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(perm.ravel()), perm.shape[1]).cast(pa.list_(pa.int32()))], [*batch.schema.names, "perm"])
 
     kind = classes.schema["vector"].dataType.simpleString()
@@ -138,8 +143,7 @@ def list_links(classes: DataFrame, count: int, width: int, cosine: float = COSIN
         for table, number in whole_runs(batches, places, 1 << 14):
             node, n, pivot, side = (table[c].to_numpy() for c in ("node", "n", "pivot", "side"))
             perm = table["perm"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-            x = matrix(table["vector"], width)
-            unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+            unit = units(matrix(table["vector"], width))
             ends = np.flatnonzero(np.r_[number[1:] != number[:-1], True]) + 1
             for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
                 if end - start < 2:

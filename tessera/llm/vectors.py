@@ -14,6 +14,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one; scaled first, so that squares stay in the range of doubles."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     """Lists of numbers as rows of doubles, shorter ones filled up with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -5,12 +5,17 @@ turn and share all words; a target stops at ``MOST`` times its source's size, an
 excess is shared again by weight until none is above. A source gives as many complete
 epochs as fit in its target. For the rest each document draws an exponential key over
 its quality weight (Efraimidis and Spirakis), and documents in ascending order of key
-are taken whole while the middle of their words is within the rest.
+are taken whole while the middle of their words is within the rest. The weight is any
+positive column, such as a classifier's score; one that is null, no number or not
+positive counts as ``LEAST``, so such documents come last.
 
 Nothing is sorted but one small group of keys per source: keys are dealt to groups of
-about ``GROUP`` documents by their distribution function, which keeps their order, and
+about ``GROUP`` documents by an approximate distribution function, ``KNOTS`` quantiles
+with straight lines between, which keeps their order whatever it is worth, and
 the running sums over the groups name the group in which the budget ends. Only that
-group is put in order, to find the key at which the source's selection ends.
+group is put in order, to find the key at which the source's selection ends. Sources are
+numbered range by range, and the level of the targets is found by sums over all sources
+in a few rounds, so no task holds all sources.
 
 Keys depend on the seed and the id alone (a null id: on the text), so reruns agree.
 Rows of a source with equal keys, that is repeated ids, are taken together. A null text
@@ -22,53 +27,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import written
+from tessera.llm.storage import dropped, written
+from tessera.operators.filters import row_numbers
 
 MOST = 3
 GROUP = 256
 SEED = 2024
-#: Quality weights: of texts whose mean word is of usual length, and of all others.
-LEVELS = (1.0, 0.5)
+LEAST = 1e-9
+KNOTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def quality_weight(chars: Column, size: Column) -> Column:
-    """The first of ``LEVELS`` if there are 3 to 12 characters a word, blanks counted, else the second."""
-    return F.when((chars / F.when(size > 0, size)).between(3, 12), LEVELS[0]).otherwise(LEVELS[1])
+    """Between 0 and 1, the less the further the characters a word, blanks counted, are from 6."""
+    return F.coalesce(1 / (1 + F.abs(chars / F.when(size > 0, size) - 6)), F.lit(1.0))
 
 
-def sized(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = SEED, carry: tuple[Column, ...] = ()) -> DataFrame:
-    """Per row the columns ``carry``, then ``source``, ``size`` in words, ``weight`` and the exponential ``draw``."""
-    said = F.coalesce(F.col(text), F.lit(""))
-    named = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text "), F.md5(said.cast("binary"))))
+def sized(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = SEED, carry: tuple[Column, ...] = (), weight: Column | None = None) -> DataFrame:
+    """Per row the columns ``carry``, then ``source``, ``size`` in words and the exponential ``draw``."""
+    said = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    named = F.coalesce(F.col(f"`{key}`").cast("string"), F.concat(F.lit("text "), F.md5(said.cast("binary"))))
     uniform = (F.conv(F.substring(F.md5(F.concat(named, F.lit(f"|{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     carried = [c.alias(f"_carry{k}") for k, c in enumerate(carry)]
-    rows = docs.select(*carried, F.col(source).alias("source"), F.regexp_count(said, F.lit(WORD)).cast("long").alias("size"), F.length(said).alias("chars"), uniform.alias("uniform"))
-    weighed = rows.withColumn("weight", quality_weight(F.col("chars"), F.col("size")))
-    return weighed.select(*[f"_carry{k}" for k in range(len(carry))], "source", "size", "weight", (-F.log("uniform") / F.col("weight")).alias("draw"))
+    given = (weight if weight is not None else F.lit(None)).cast("double").alias("weight")
+    rows = docs.select(*carried, F.col(f"`{source}`").alias("source"), F.regexp_count(said, F.lit(WORD)).cast("long").alias("size"), F.length(said).alias("chars"), uniform.alias("uniform"), given)
+    usual = quality_weight(F.col("chars"), F.col("size")) if weight is None else F.when((F.col("weight") > 0) & ~F.isnan("weight"), F.greatest("weight", F.lit(LEAST))).otherwise(LEAST)
+    return rows.select(*[f"_carry{k}" for k in range(len(carry))], "source", "size", (-F.log("uniform") / usual).alias("draw"))
+
+
+def _level(sources: DataFrame) -> float:
+    """The words a unit of weight at which sources that don't stop at ``most`` share what the others leave."""
+    everything, weights = sources.agg(F.sum("source_size"), F.sum("w")).first()
+    level = everything / weights
+    while True:
+        stops = F.col("most") / F.col("w") <= level
+        before, left = sources.agg(F.sum(F.when(stops, F.col("most"))), F.sum(F.when(~stops, F.col("w")))).first()
+        higher = (everything - (before or 0.0)) / left if left else level
+        if not higher > level:
+            return level
+        level = higher
 
 
 def targets(rows: DataFrame) -> DataFrame:
-    """Per source: ``place``, ``source_size``, ``target``, ``epochs``, the words left ``rest``, ``groups`` of keys and the share ``good`` of the first level."""
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg((F.col("weight") == LEVELS[0]).cast("int")).alias("good"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weighed = sums.withColumn("place", place).withColumn("w", (F.col("place") - 1) % 3 + 1).withColumn("most", (MOST * F.col("source_size")).cast("double"))
-    by_cap = Window.orderBy(F.col("most") / F.col("w"), "place")
-    before = F.coalesce(F.sum("most").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_ = F.sum("w").over(by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    everything = F.sum("source_size").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    level = weighed.withColumn("level", (everything - before) / open_)
-    free = F.when(F.col("most") / F.col("w") > F.col("level"), F.col("level"))
-    shared = F.max(free).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    capped = level.withColumn("target", F.when(F.col("most") / F.col("w") <= F.col("level"), F.col("most")).otherwise(shared * F.col("w")))
+    """Per source: ``place``, ``source_size``, ``target``, ``epochs``, the words left ``rest``, the number ``groups`` of keys and the quantiles ``knots`` of its draws."""
+    shares = F.array(*[F.lit(k / KNOTS) for k in range(1, KNOTS)])
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.percentile_approx("draw", shares, 1000).alias("knots"))
+    placed = row_numbers(sums.withColumn("none", F.col("source").isNull()), "none", "source", name="place")
+    weighed = written(placed.withColumn("w", F.col("place") % 3 + 1).withColumn("most", (MOST * F.col("source_size")).cast("double")), "sources")
+    level = 0.0 if weighed.isEmpty() else _level(weighed)
+    capped = weighed.withColumn("target", F.when(F.col("most") / F.col("w") <= level, F.col("most")).otherwise(F.lit(level) * F.col("w")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    return capped.withColumn("epochs", epochs).select("source", "place", "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"), F.greatest(F.ceil(F.col("n") / GROUP), F.lit(1)).alias("groups"), "good")
+    return capped.withColumn("epochs", epochs).select("source", "place", "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"), F.greatest(F.ceil(F.col("n") / GROUP), F.lit(1)).alias("groups"), "knots")
 
 
 def _group() -> Column:
-    """The group of a key, by the distribution of the source's keys: a mixture of two exponentials."""
-    below = F.col("good") * (1 - F.exp(-LEVELS[0] * F.col("draw"))) + (1 - F.col("good")) * (1 - F.exp(-LEVELS[1] * F.col("draw")))
-    return F.least(F.floor(below * F.col("groups")), F.col("groups") - 1)
+    """The group of a key: by straight lines between the quantiles, and beyond the last one by an exponential tail."""
+    draw, knots = F.col("draw"), F.col("knots")
+    at = F.size(F.filter(knots, lambda q: q <= draw))
+    low, last = F.coalesce(F.get(knots, at - 1), F.lit(0.0)), F.element_at(knots, -1)
+    high = F.get(knots, at)
+    tail = 1 - F.exp(-(draw - last) / F.greatest(last / 4, F.lit(1e-300)))
+    inside = F.when(high.isNull(), tail).when(high > low, (draw - low) / (high - low)).otherwise(0.0)
+    return F.least(F.floor((at + inside) / KNOTS * F.col("groups")), F.col("groups") - 1)
 
 
 def selections(rows: DataFrame) -> DataFrame:
@@ -88,22 +108,24 @@ def selections(rows: DataFrame) -> DataFrame:
 
 def _times(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` of :func:`sized` with ``source_size``, ``target`` and ``times``: how often the mix takes the row."""
-    named = plan.select(F.col("source").alias("_source"), "source_size", "target", "epochs", "groups", "good", "end", F.col("draw").alias("last"))
+    named = plan.select(F.col("source").alias("_source"), "source_size", "target", "epochs", "groups", "knots", "end", F.col("draw").alias("last"))
     group = _group()
     partly = F.coalesce((group < F.col("end")) | ((group == F.col("end")) & (F.col("draw") <= F.col("last"))), F.lit(False))
     return rows.join(named, rows.source.eqNullSafe(named._source)).withColumn("times", (F.col("epochs") + partly.cast("int")).cast("int"))
 
 
-def decided(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def decided(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weight: Column | None = None) -> DataFrame:
     """Per row: ``key``, ``size``, ``source_size``, ``target`` and the words ``taken``."""
-    rows = written(sized(docs, text, key, source, carry=(F.col(key),)), "sizes")
+    rows = written(sized(docs, text, key, source, carry=(F.col(f"`{key}`"),), weight=weight), "sizes")
     taken = (F.col("size") * F.col("times")).cast("long").alias("taken")
     return _times(rows, selections(rows)).select(F.col("_carry0").alias(key), "size", "source_size", "target", taken)
 
 
-def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weight: Column | None = None) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; documents without words go."""
-    plan = selections(written(sized(docs, text, key, source), "sizes"))
+    sizes = written(sized(docs, text, key, source, weight=weight), "sizes")
+    plan = selections(sizes)
+    dropped(sizes)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = _times(sized(docs, text, key, source, carry=(whole,)), plan).where("size > 0 AND times > 0")
+    rows = _times(sized(docs, text, key, source, carry=(whole,), weight=weight), plan).where("size > 0 AND times > 0")
     return rows.select(F.explode(F.array_repeat("_carry0", F.col("times"))).alias("row")).select("row.*")

@@ -39,13 +39,12 @@ def _op3() -> str:
 
 
 def _op4() -> str:
-    good, poor = mixing.LEVELS
     return f"""
     WITH r AS (
       SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) || '|{mixing.SEED}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
       FROM documents),
-    w AS (SELECT *, -ln(u) / CASE WHEN size > 0 AND length(t) / size BETWEEN 3 AND 12 THEN {good} ELSE {poor} END AS draw FROM r),
+    w AS (SELECT *, -ln(u) / CASE WHEN size > 0 THEN 1 / (1 + abs(length(t) / size - 6)) ELSE 1.0 END AS draw FROM r),
     s0 AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM w GROUP BY source),
     s1 AS (SELECT *, (place - 1) % 3 + 1 AS w, CAST({mixing.MOST} * source_size AS DOUBLE) AS most, sum(source_size) OVER () AS total FROM s0),
     s2 AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))

@@ -110,7 +110,7 @@ def _machine(template: Template) -> Column:
 
 
 def format_chats(turns: DataFrame, template: Template = INSTRUCT, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Per conversation: ``conv_id``, ``formatted``, ``segments`` (array of role, text, loss), ``valid``, ``bad_turn`` (index of the first turn out of order, from 0; the number of turns if it ends too early; else null)."""
+    """Per conversation: ``conv_id``, ``formatted``, ``segments`` (array of role, text, loss), ``loss_spans`` (array of start from 1, length in ``formatted``), ``valid``, ``bad_turn`` (index of the first turn out of order, from 0; the number of turns if it ends too early; else null)."""
     said = F.coalesce(F.col(role), F.lit(""))
     rows = turns.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), said.alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -135,7 +135,14 @@ def format_chats(turns: DataFrame, template: Template = INSTRUCT, conv: str = "c
     start = F.struct(F.lit("").alias("at"), F.lit(None).cast("int").alias("bad"), F.lit(0).alias("n"))
     ran = grouped.withColumn("run", F.aggregate("turns", start, step)).withColumn("segments", F.flatten(F.transform("turns", parts)))
     bad = F.coalesce(F.col("run.bad"), F.when(~F.col("run.at").isin(*template.end), F.col("run.n")))
-    return ran.select("conv_id", F.array_join(F.transform("segments", lambda s: s.text), "").alias("formatted"), "segments", bad.isNull().alias("valid"), bad.alias("bad_turn"))
+    at = F.struct(F.lit(1).cast("bigint").alias("at"), F.array().cast("array<struct<start: bigint, length: bigint>>").alias("spans"))
+
+    def span(s: Column, x: Column) -> Column:
+        long = F.length(x.text).cast("bigint")
+        return F.struct((s.at + long).alias("at"), F.when(x.loss, F.array_append(s.spans, F.struct(s.at.alias("start"), long.alias("length")))).otherwise(s.spans).alias("spans"))
+
+    ran = ran.withColumn("loss_spans", F.aggregate("segments", at, span, lambda s: s.spans))
+    return ran.select("conv_id", F.array_join(F.transform("segments", lambda s: s.text), "").alias("formatted"), "segments", "loss_spans", bad.isNull().alias("valid"), bad.alias("bad_turn"))
 
 
 def read_back(formatted: Column, template: Template = INSTRUCT) -> Column:
@@ -163,7 +170,7 @@ def read_back(formatted: Column, template: Template = INSTRUCT) -> Column:
 
 def digests(chats: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """Per conversation, read back from the output: counts and digests of its turns and of its loss text."""
-    read = chats.withColumn("back", read_back(F.col("formatted"), template)).withColumn("learned", F.array_join(F.transform(F.filter("segments", lambda s: s.loss), lambda s: unescaped(s.text)), ""))
+    read = chats.withColumn("back", read_back(F.col("formatted"), template)).withColumn("learned", F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring("formatted", s.start, s.length))), ""))
     turns = F.array_join(F.transform("back", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return read.select(
         "conv_id",

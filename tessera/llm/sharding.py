@@ -18,13 +18,15 @@ the id, then by key; they are counted in small groups, never a whole shard in on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import written
+from tessera.llm.storage import dropped, written
 from tessera.shipping import ship
 
 #: Bits of each half of a key, and bits by which a round refines an interval.
@@ -71,14 +73,17 @@ class Interval:
         return not (self.bits1 or self.bits2)
 
 
+def _inside(at: Interval) -> Column:
+    inside = F.shiftright("k1", at.bits1) == (at.k1 >> at.bits1)
+    return inside if at.bits1 else inside & (F.shiftright("k2", at.bits2) == (at.k2 >> at.bits2))
+
+
 def histogram(rows: DataFrame, intervals: list[Interval], step: int) -> dict[int, list[tuple[int, int]]]:
     """For each interval by its place: the bytes in each of its 2**step parts that has rows, in order."""
     pieces = []
     for place, at in enumerate(intervals):
         half, take, left = at.refined(step)
-        inside = F.shiftright("k1", at.bits1) == (at.k1 >> at.bits1)
-        if half == 2:
-            inside &= F.shiftright("k2", at.bits2) == (at.k2 >> at.bits2)
+        inside = _inside(at)
         part = F.shiftright(f"k{half}", left).bitwiseAND(F.lit((1 << take) - 1))
         pieces.append(F.when(inside, part + (place << step)))
     counted = rows.select(F.coalesce(*pieces).alias("part"), "size").where("part IS NOT NULL").groupBy("part").agg(F.sum("size").alias("size"))
@@ -91,12 +96,14 @@ def histogram(rows: DataFrame, intervals: list[Interval], step: int) -> dict[int
 def splitters(rows: DataFrame, shards: int, tolerance: int = 0) -> list[tuple[int, int]]:
     """The first key of shards 1 and on: a row belongs to the last shard whose splitter isn't above its key.
 
-    Each round collects at most ``2**FIRST`` or ``shards * 2**NEXT`` counts.
+    Each round collects at most ``2**FIRST`` or ``shards * 2**NEXT`` counts. After two
+    rounds only the rows in open intervals are read. A search ends where an interval's
+    bytes are within ``tolerance``; with 0 it ends at single keys, and shards are exact.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     whole = Interval(0, BITS, 0, BITS, 0, total)
     open_, out = {j: whole for j in range(1, shards)}, {}
-    step = FIRST
+    step, rounds, narrowed = FIRST, 0, None
     while open_:
         distinct = list({id(i): i for i in open_.values()}.values())
         parts = histogram(rows, distinct, step)
@@ -125,7 +132,12 @@ def splitters(rows: DataFrame, shards: int, tolerance: int = 0) -> list[tuple[in
                 out[j] = (first.k1, first.k2) if first else _behind(at, inner[hit])
             else:
                 still[j] = inner[hit]
-        open_, step = still, NEXT
+        open_, step, rounds = still, NEXT, rounds + 1
+        if rounds == 2 and open_:  # what lies outside has been counted
+            inside = [_inside(at) for at in {id(i): i for i in open_.values()}.values()]
+            rows = written(rows.where(reduce(or_, inside)).select("k1", "k2", "size"), "open-keys", hashes=True)
+            narrowed = rows
+    dropped(*([narrowed] if narrowed is not None else []))
     return [out[j] for j in range(1, shards)]
 
 

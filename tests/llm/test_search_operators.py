@@ -131,21 +131,82 @@ def test_pivots(spark, vectors, monkeypatch, most):
     assert pivots.near_vectors(vectors.where("false")).count() == 0
 
 
-def test_lsh(spark, vectors, monkeypatch):
-    got = lsh.nearest(vectors, F.col("vec_id") % 50 == 0, 5)
+def nearest_rows(rows, q, k):
+    """By all distances."""
+    return sorted((float(lsh.distances(np.array([r.embedding]), np.array(q.embedding))[0]), r.vec_id) for r in rows if r.vec_id != q.vec_id and len(r.embedding) == len(q.embedding))[:k]
+
+
+def by_query(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.query_id, []).append(r)
+    return {q: [(r.score, r.vec_id) for r in sorted(found, key=lambda r: r.rank)] for q, found in out.items()}
+
+
+def test_lsh_exact(spark, vectors):
     rows = [r for r in vectors.collect() if r.vec_id is not None and usable(r.embedding)]
-    by = {}
-    for r in got.collect():
-        by.setdefault(r.query_id, []).append(r)
-    for q in (r for r in rows if r.vec_id % 50 == 0):
-        want = sorted((float(np.sqrt(((np.array(r.embedding) - np.array(q.embedding)) ** 2).sum())), r.vec_id) for r in rows if r.vec_id != q.vec_id and len(r.embedding) == len(q.embedding))[:5]
-        assert [(r.score, r.vec_id) for r in sorted(by[q.vec_id], key=lambda r: r.rank)] == want
+    got = by_query(lsh.nearest(vectors, F.col("vec_id") % 50 == 0, 5, exact=True))
+    assert got == {q.vec_id: nearest_rows(rows, q, 5) for q in rows if q.vec_id % 50 == 0}
+
+
+def test_lsh_odd_rows(spark, vectors):
     assert lsh.nearest(vectors, F.lit(False), 5).count() == 0
     assert lsh.nearest(vectors.where("vec_id = 50"), F.lit(True), 5).count() == 0
-    monkeypatch.setattr(lsh, "FLOOR", 30)
-    near = lsh.nearest(vectors, F.col("vec_id") % 50 == 0, 5)
-    exact = {(r.query_id, r.vec_id) for r in got.collect()}
-    assert len({(r.query_id, r.vec_id) for r in near.collect()} & exact) >= 0.9 * len(exact)
+    assert lsh.nearest(vectors.where("false"), F.lit(True), 5).count() == 0
+    few = by_query(lsh.nearest(vectors.where("vec_id < 5"), F.lit(True), 10))
+    assert {q: len(x) for q, x in few.items()} == dict.fromkeys(range(5), 4)
+    assert [x[1] for x in by_query(lsh.nearest(vectors, F.col("vec_id") == 307, 5))[307]] == [308]
+    same_ = vectors.where("vec_id = 10").select("embedding").crossJoin(spark.range(1000, 1030)).select(F.col("id").alias("vec_id"), "embedding")
+    tied = by_query(lsh.nearest(same_.union(vectors.select("embedding", "vec_id").where("vec_id < 60").select("vec_id", "embedding")), F.col("vec_id") == 1010, 5))
+    assert tied == {1010: [(0.0, k) for k in (10, 1000, 1001, 1002, 1003)]}
+    repeated = by_query(lsh.nearest(vectors.where("vec_id < 9").union(vectors.where("vec_id = 3")), F.col("vec_id") == 4, 20))[4]
+    assert len(repeated) == 9 and sorted(x[1] for x in repeated) == [0, 1, 2, 3, 3, 5, 6, 7, 8]
+    scaled = [(k, [float(x) for x in np.random.default_rng(k).standard_normal(8) * 10.0**e]) for e in (200, -200, 0) for k in range(e + 300, e + 320)]
+    wide = spark.createDataFrame(scaled, "vec_id long, embedding array<double>")
+    assert len(by_query(lsh.nearest(wide, F.col("vec_id") % 10 == 0, 10))) == 6
+    assert all(len(x) == 10 and all(math.isfinite(s) for s, _ in x) for x in by_query(lsh.nearest(wide, F.col("vec_id") % 10 == 0, 10)).values())
+
+
+def test_lsh_distances():
+    x = np.array([[3e200, 4e200], [3e-200, 4e-200], [3.0, 4.0], [0.0, 0.0]])
+    assert lsh.distances(x, np.zeros(2)) == pytest.approx([5e200, 5e-200, 5.0, 0.0])
+
+
+def test_lsh_probes():
+    """Buckets by falling success, none twice, and a vector's own bucket the first of each table."""
+    rng = np.random.default_rng(6)
+    q = rng.standard_normal(32)
+    found = lsh.probes(q, 2.0 * 0.5 * 32**0.5)
+    assert len(set(found.tolist())) == len(found)
+    assert set(lsh.keys(q[None], 2.0 * 0.5 * 32**0.5)[0].tolist()) <= set(found.tolist())
+    near = q + 0.5 * rng.standard_normal((2000, 32))
+    hit = np.isin(lsh.keys(near, 2.0 * 0.5 * 32**0.5), found).any(1).mean()
+    assert 0.88 <= hit <= 0.99
+
+
+@pytest.fixture(scope="module")
+def clusters(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((150, 24))
+    rows = [(k, (centres[k % 150] + 0.15 * rng.standard_normal(24)).tolist()) for k in range(3000)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("settings", [{}, {"HOT": 5, "PART": 200}])
+def test_lsh_recall(spark, clusters, monkeypatch, settings):
+    """Recall over buckets alone, whatever the files, the parts and the split buckets."""
+    for name, value in settings.items():
+        monkeypatch.setattr(lsh, name, value)
+    rows = clusters.collect()
+    want = {q.vec_id: {i for _, i in nearest_rows(rows, q, 10)} for q in rows if q.vec_id % 50 == 0}
+    seen = []
+    for files in (1, 4, 16):
+        got = by_query(lsh.nearest(clusters.repartition(files), F.col("vec_id") % 50 == 0, 10))
+        assert sum(len({i for _, i in got[q]} & w) for q, w in want.items()) >= 0.9 * 10 * len(want)
+        seen.append(got)
+    assert seen[0] == seen[1] == seen[2]
+    recall, share = lsh.visited(clusters, F.col("vec_id") % 50 == 0)
+    assert recall >= 0.9 and share < 0.2
 
 
 def brute_lines(rows):

@@ -145,3 +145,100 @@ def test_mixing_targets(spark):
     assert sizes.loc[20, "target"] == 60 and sizes.loc[30, "target"] == 90
     assert abs(sizes.loc[600, "target"] - free * 2 / 3) < 1e-6 and abs(sizes.loc[350, "target"] - free / 3) < 1e-6
     assert all(abs(r.target - r.taken) <= 5 for r in sizes.itertuples())
+
+
+def test_mixing_weights(spark):
+    """Any positive column weighs: heavier documents are taken earlier; what is no weight comes last."""
+    rows = [(k, "w w w", "a" if k % 2 else "b", [10.0, 0.1, None, float("nan"), -1.0][k % 5]) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
+    got = mixing.decided(df, weight=F.col("q")).toPandas().merge(df.select("doc_id", "q").toPandas(), on="doc_id")
+    taken = got.assign(share=(got.taken / got["size"]) % 1.0000001, w=got.q.fillna(-9).where(got.q != float("nan"), -9))
+    assert abs(got.taken.sum() - got["size"].sum()) <= 12
+    light = got[(got.doc_id % 5 == 0)].taken.mean(), got[(got.doc_id % 5 == 1)].taken.mean(), got[(got.doc_id % 5 >= 2)].taken.mean()
+    assert light[0] > light[1] > light[2] and len(taken) == 4000
+
+
+def test_mixing_many_sources(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 10_000).alias("source"))
+    got = mixing.decided(docs)
+    per = got.groupBy("source_size", "target").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"))
+    whole = got.agg(F.sum("size"), F.sum("taken"), F.count("*"), F.max(F.col("target") - 3 * F.col("source_size"))).first()
+    assert whole[2] == 30_000 and abs(whole[0] - whole[1]) < 0.05 * whole[0] and whole[3] <= 0 and per.count() > 3
+
+
+def hand_posterior(model, text):
+    """Symbol by symbol, n-gram by n-gram."""
+    import math
+
+    symbols, before = [], False
+    for c in text.lower() + " ":
+        if c.isalpha():
+            symbols.append(ord(c))
+        elif before:
+            symbols.append(32)
+        before = c.isalpha()
+    logs = list(model.prior)
+    for n in langid.ORDERS:
+        for k in range(len(symbols) - n + 1):
+            h = 0
+            for s in symbols[k : k + n]:
+                h = (h * 0x01000193 + s) % (1 << 32)
+            bucket = (h ^ (n * 0x85EBCA6B % (1 << 32))) * 0x9E3779B1 % (1 << 32) >> (32 - langid.BITS)
+            logs = [a + b for a, b in zip(logs, model.matrix[bucket], strict=True)]
+    best = max(range(len(logs)), key=lambda k: logs[k])
+    return model.langs[best], 1 / sum(math.exp(x - logs[best]) for x in logs)
+
+
+def test_language_posterior(spark, odd):
+    model = langid.fit(odd)
+    texts = ["the quick brown fox", "é中 1234", "word word word", "Don't; x", "Σ ΑΣ 1", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 3):
+        for r in langid.predict(df.repartition(parts), model).collect():
+            lang, score = hand_posterior(model, texts[r.doc_id])
+            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-9)
+
+
+def test_quality_votes(spark, tables):
+    """The vote over all labelled vectors, one cosine at a time."""
+    import numpy as np
+
+    docs = spark.read.parquet(tables + "/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(tables + "/labels.parquet"), rows=60)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect()] + ["", "x"]
+    got = quality.votes(model, texts)
+    for text, score in zip(texts, got, strict=True):
+        z = np.zeros(model.project.shape[1])
+        for place, weight in zip(*quality.features(text), strict=True):
+            z += float(weight) * float(model.idf[place]) * model.project[place].astype(float)
+        size = float(np.sqrt((z * z).sum()))
+        near = sorted(((float(v.astype(float) @ z) / size if size > 1e-9 else 0.0, float(y)) for v, y in zip(model.vectors, model.labels, strict=True)), reverse=True)[: quality.NEAREST]
+        weights = [max(c, 0.0) ** quality.POWER for c, _ in near]
+        want = sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / sum(weights) if sum(weights) > 1e-12 else model.prior
+        assert score == pytest.approx(want, abs=2e-3)
+
+
+def test_columns_that_clash(spark, odd):
+    df = odd.withColumn("lang_pred", F.lit("x")).withColumn("a.b", F.lit(1))
+    out = langid.predict(df, langid.fit(odd), keep=("doc_id", "score", "lang_pred", "a.b"))
+    assert out.columns == ["doc_id", "score", "lang_pred", "a.b", "_lang_pred", "_score"] and out.count() == len(ROWS)
+
+
+def test_loss_spans(spark):
+    hard = "</s>[INST] ok [/INST] \\"
+    df = spark.createDataFrame([(1, 0, "user", hard), (1, 1, "assistant", hard), (1, 2, "user", "x"), (1, 3, "assistant", "")], "conv_id long, turn long, role string, text string")
+    r = chat.format_chats(df).withColumn("said", F.transform("loss_spans", lambda s: chat.unescaped(F.substring("formatted", s.start, s.length)))).first()
+    assert r.said == [hard, ""]
+
+
+def test_bpe_long_texts(spark):
+    """Texts far beyond a cut, also without any white space, as in one go."""
+    import random
+
+    rng = random.Random(9)
+    ranks, pattern = public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN
+    enc = bpe.codec(ranks, pattern)
+    texts = ["".join(rng.choice("abcé1 \n\t.,'中") for _ in range(30_000)), "".join(rng.choice("abc1.") for _ in range(20_000)), " ".join("word" for _ in range(20_000)), "\n" * 9000 + "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(df, ranks, pattern).collect()}
+    assert all(got[k] == enc.encode_ordinary(t) for k, t in enumerate(texts))

@@ -7,7 +7,7 @@ All but the last return the columns of ``documents``; ``n_chars`` follows the te
 2. ``line_dedup``: of each component of similar lines one line stays.
 3. ``near_dedup``: of each SimHash component the document with the least id stays (of
    rows that share it, the one whose text hash is least; of rows that agree in both, one).
-4. ``mixing``: rows repeat as often as the mix of sources takes the document.
+4. ``mixing``: rows repeat as often as the mix of sources takes the document, by the quality score.
 5. ``tokens``: ids and digests of the encoded texts, in the order of the columns of op8.
 
 Null and empty texts pass the first three stages like others and leave at the fourth,
@@ -22,15 +22,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, lines, mixing, quality, queries, simhash
-from tessera.llm.storage import shared_dir, written
+from tessera.llm.storage import shared_dir, unused, written
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Learned from these documents' labels that aren't held out."""
+    return queries.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-neighbour classifier doesn't reject, learned from the labels that aren't held out."""
     names = docs.columns
-    model = queries.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model, keep=tuple(names), out="__score")
-    return scored.where(F.col("__score") >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in names])
+    score = unused("score", names)
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir), keep=tuple(names), out=score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in names])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +60,11 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    return mixing.mixed(docs)
+    """Every document as often as the mix takes it; its weight is the classifier's score."""
+    names = docs.columns
+    weight = unused("weight", names)
+    scored = written(quality.score(docs, quality_model(spark, docs, sf_dir), keep=tuple(names), out=weight), "scored")
+    return mixing.mixed(scored, weight=F.col(weight)).select(*[F.col(f"`{c}`") for c in names])
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

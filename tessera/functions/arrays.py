@@ -98,7 +98,9 @@ def placed_score(score: Column, length: Column, size: Column) -> Column:
 
 
 def kl(a: Column, b: Column, kind: str) -> Column:
-    """Estimate of the divergence of log-probabilities ``a`` from ``b``, place by place."""
+    """Estimate of the divergence of log-probabilities ``a`` from ``b``, place by place; ``full``: exact, from arrays of a place's log-probabilities over all tokens."""
+    if kind == "full":
+        return F.zip_with(a, b, lambda p, q: total(F.zip_with(p, q, lambda x, y: F.exp(x) * (x - y))))
 
     def one(x: Column, y: Column) -> Column:
         if kind == "kl":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,5 +87,19 @@ def number(x: Column, default: float | None = None) -> Column:
     return F.coalesce(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x), F.lit(default).cast("double"))
 
 
+def warmup_constant(step: Column, warmup: int) -> Column:
+    """A learning rate's factor: linear up to 1 at ``warmup`` steps, then 1."""
+    return F.when(step < warmup, F.least(step / max(1, warmup), F.lit(1.0))).otherwise(1.0)
+
+
+def warmup_cosine(step: Column, warmup: int, total: int, least: float = 0.0, cycles: float = 0.5, first: float = 0.0) -> Column:
+    """A learning rate's factor: linear from ``first`` to 1, then half-waves of a cosine between 1 and ``least``."""
+    if not 0 <= least <= 1:
+        raise ValueError("the least factor lies within 0 and 1")
+    rise = first + (1 - first) * step / max(1, warmup)
+    wave = F.cos(2 * math.pi * cycles * (step - warmup) / max(1, total - warmup))
+    return F.when(step < warmup, rise).otherwise(F.greatest(F.lit(float(least)), wave * (1 - least) / 2 + (1 + least) / 2))
+
+
 def edit_count(normed: Column, reference_tokens: Column) -> Column:
     return normed * F.greatest(reference_tokens, F.lit(1))

@@ -1,6 +1,7 @@
 """String functions over code samples and model answers, as Column expressions.
 
-Patterns keep to what both Java's and RE2's engines read alike. White space is ASCII.
+White space is ASCII. A repeated group is possessive where it may run over a long line:
+that is a loop in Java's engine, where other groups take a stack frame a repeat.
 A null text counts as empty unless said otherwise.
 """
 
@@ -90,7 +91,7 @@ def lines_unified(text: Column) -> Column:
 
 def strip_comments(text: Column, mode: str = "parity") -> Column:
     """Without comments: ``parity`` takes a sign behind an even run of backslashes, ``prev_char`` one not behind a backslash."""
-    pattern = r"(?m)^((?:[^%\\\n]|\\[^\n])*)%[^\n]*" if mode == "parity" else r"(?m)(^|[^\\\n])%[^\n]*"
+    pattern = r"(?m)^((?:[^%\\\n]|\\[^\n])*+)%[^\n]*" if mode == "parity" else r"(?m)(^|[^\\\n])%[^\n]*"
     return F.regexp_replace(lines_unified(empty(text)), pattern, "$1")
 
 
@@ -265,9 +266,10 @@ def estimated_tokens(code: Column) -> Column:
 
 
 def char_grams(text: Column, n: int = 3) -> Column:
-    """The set of character n-grams of a text in lower case without blanks and line feeds."""
+    """The set of character n-grams of a text in lower case without blanks and line feeds, as 64-bit hashes."""
     text = F.replace(F.replace(F.lower(text), F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
-    return let(text, lambda t: F.array_distinct(F.transform(places(F.length(t), n), lambda k: F.substring(t, k, F.lit(n)))))
+    wide = F.encode(text, "UTF-32")  # four bytes a character: a gram is a slice at a known place
+    return let(wide, lambda t: F.array_distinct(F.transform(places(F.shiftright(F.octet_length(t), 2), n), lambda k: F.xxhash64(F.substring(t, 4 * k - 3, F.lit(4 * n))))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -332,12 +334,28 @@ def normalize_answer(answer: Column) -> Column:
         text = F.replace(text, F.lit(word), F.lit(""))
     for pattern, by in UNWRAPPED:
         by = by.replace("$$", "\\$").replace(r"\3", "$3").replace(r"\2", "$2")
-        text = F.regexp_replace(text, pattern, by)
+        fast = F.contains(text, F.lit("$")) if pattern.startswith("(.*?)") else None  # where there is none, each place would look for one to its line's end
+        text = F.regexp_replace(text, pattern, by) if fast is None else F.when(fast, F.regexp_replace(text, pattern, by)).otherwise(text)
     text = F.replace(text, F.lit("$"), F.lit(""))
     plain = F.replace(text, F.lit(","), F.lit(""))
     return strip(F.when(plain.rlike(r"\A[0-9]+\z"), plain).otherwise(text))
 
 
+def boxed(text: Column) -> Column:
+    """What the last ``\\boxed{`` holds up to its own brace, trimmed; ``None`` without one that closes."""
+    start = "\\boxed{"
+    tail = F.substring_index(text, start, -1)
+    pieces = F.regexp_extract_all(tail, F.lit(r"[^{}]*[{}]"), F.lit(0))
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(None).cast("int").alias("end"))
+
+    def step(s: Column, piece: Column) -> Column:
+        depth, length = s.depth + F.when(piece.endswith("{"), 1).otherwise(-1), s.length + F.length(piece)
+        return F.struct(depth.alias("depth"), length.alias("length"), F.coalesce(s.end, F.when(depth == -1, length - 1)).alias("end"))
+
+    end = F.aggregate(pieces, begin, step, lambda s: s.end)
+    return F.coalesce(F.when(F.contains(text, F.lit(start)), strip(F.substring(tail, F.lit(1), end))), F.lit("None"))
+
+
 def last_answer(response: Column) -> Column:
     """What follows the last ``Answer:``, else ``[INVALID]``."""
     found = F.regexp_extract_all(response, F.lit(r"(?i)Answer\s*:\s*([^\n]+)"), F.lit(1))

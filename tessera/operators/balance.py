@@ -9,10 +9,9 @@ group is balanced by itself, on its own machine.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.shipping import ship
@@ -20,35 +19,51 @@ from tessera.shipping import ship
 MOST = 1_000_000
 
 
+class _Solution:
+    """``k`` sets of items, each (sum, number, items as (place, length) in the order they came), the heaviest first."""
+
+    def __init__(self, sets: list[tuple[int, int, list[tuple[int, int]]]]):
+        self.sets = sorted(sets, reverse=True)
+        self.spread = self.sets[0][0] - self.sets[-1][0]
+
+    def __lt__(self, other: _Solution) -> bool:
+        """Comes first: the wider spread, then the greater first set."""
+        return (self.spread, self.sets[0]) > (other.spread, other.sets[0])
+
+    def merged(self, other: _Solution) -> _Solution:
+        """The heaviest set of one with the lightest of the other, and so on."""
+        return _Solution([tuple(p + q for p, q in zip(x, y, strict=True)) for x, y in zip(self.sets, reversed(other.sets), strict=True)])
+
+
 def differenced(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
-    """``k`` sets of places with sums as equal as the largest-differencing method makes them; ``equal``: as many places in each."""
+    """``k`` sets of places with sums as equal as the largest-differencing method makes them; ``equal``: as many places in each.
+
+    Of two candidates of equal spread the one with the greater first set goes first; sets
+    compare by sum, number and items.
+    """
     n = len(lengths)
     if k < 1 or n < k or (equal and n % k):
         raise ValueError(f"{n} items don't go into {k} sets")
     order = sorted(range(n), key=lambda i: (lengths[i], i))
     groups = [order[i : i + k] for i in range(0, n, k)] if equal else [[i] for i in order]
-    heap = []
-    for number, group in enumerate(groups):
-        sets = sorted(((lengths[i], 1, [i]) for i in group), reverse=True)
-        sets += [(0, 0, [])] * (k - len(sets))
-        heapq.heappush(heap, (sets[-1][0] - sets[0][0], number, sets))
-    number = len(groups)
+    heap = [_Solution([(lengths[i], 1, [(i, lengths[i])]) for i in group] + [(0, 0, [])] * (k - len(group))) for group in groups]
+    heapq.heapify(heap)
     while len(heap) > 1:
-        (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        merged = sorted(((x[0] + y[0], x[1] + y[1], sorted(x[2] + y[2])) for x, y in zip(a, reversed(b), strict=True)), reverse=True)
-        heapq.heappush(heap, (merged[-1][0] - merged[0][0], number, merged))
-        number += 1
-    sets = [s[2] for s in heap[0][2]]
-    return checked(sets, n, equal)
+        first, second = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, first.merged(second))
+    return checked([[i for i, _ in s[2]] for s in heap[0].sets], n, equal)
 
 
-def greedy(lengths: list[int], k: int) -> list[list[int]]:
-    """Each item in input order to the set of least sum."""
+def greedy(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
+    """Each item in input order to the set of least sum, the first of equal ones; ``equal``: every item weighs so much more that the sets' numbers stay level. Raises if they aren't equal then."""
+    more = sum(lengths) + 1 if equal else 0
     heap, sets = [(0, j) for j in range(k)], [[] for _ in range(k)]
     for i, length in enumerate(lengths):
         total, j = heapq.heappop(heap)
         sets[j].append(i)
-        heapq.heappush(heap, (total + length, j))
+        heapq.heappush(heap, (total + length + more, j))
+    if equal and len({len(s) for s in sets}) > 1:
+        raise AssertionError("sets of different numbers")
     return sets
 
 
@@ -60,8 +75,8 @@ def checked(sets: list[list[int]], n: int, equal: bool) -> list[list[int]]:
     return [sorted(s) for s in sets]
 
 
-def balanced(df: DataFrame, length: str, k: int, group: str | None = None, order: str = "row_idx", equal: bool = False) -> DataFrame:
-    """``df`` with ``part``: the set of each row, within its group if there is one."""
+def dealt(df: DataFrame, length: str, deal, group: str | None = None, order: str = "row_idx") -> DataFrame:
+    """``df`` with ``part``, the number of the set that ``deal(lengths)`` puts each row in, within its group if there is one; the lengths come in ``order``."""
     ship(df.sparkSession)
     own = F.col(group) if group else F.lit(0)
     items = df.select(own.alias("g"), F.col(order).cast("long").alias("i"), F.col(length).cast("long").alias("n"))
@@ -71,19 +86,25 @@ def balanced(df: DataFrame, length: str, k: int, group: str | None = None, order
             raise ValueError(f"a batch of {len(part)} items; at most {MOST}, or give a group")
         part = part.sort_values("i", ignore_index=True)
         where = pd.Series(0, index=part.index)
-        for j, places in enumerate(differenced(part["n"].tolist(), k, equal)):
+        for j, places in enumerate(deal(part["n"].tolist())):
             where.iloc[places] = j
         return part.assign(part=where.astype("int32"))[["g", "i", "part"]]
 
     kind = items.schema["g"].dataType.simpleString()
-    found = items.groupBy("g").applyInPandas(run, f"g {kind}, i long, part int")
-    found = found.withColumnsRenamed({"g": "_g", "i": "_i"})
+    found = items.groupBy("g").applyInPandas(run, f"g {kind}, i long, part int").withColumnsRenamed({"g": "_g", "i": "_i"})
     match = F.col(order).cast("long") == F.col("_i")
     return df.join(found, match & F.col(group).eqNullSafe(F.col("_g")) if group else match).drop("_g", "_i")
 
 
+def balanced(df: DataFrame, length: str, k: int, group: str | None = None, order: str = "row_idx", equal: bool = False) -> DataFrame:
+    """``df`` with ``part``: the set of each row by :func:`differenced`."""
+    return dealt(df, length, lambda lengths: differenced(lengths, k, equal), group, order)
+
+
 def micro_batches(lengths: list[int], most: int) -> list[list[int]]:
-    """min(n, ceil(sum / most)) sets, the heaviest by squared lengths first."""
+    """min(n, ceil(sum / most)) sets, the heaviest by squared lengths first; no length may be above ``most``."""
+    if lengths and max(lengths) > most:
+        raise ValueError(f"a length of {max(lengths)} is above {most}")
     k = min(len(lengths), -(-sum(lengths) // most))
     sets = differenced(lengths, k)
     return sorted(sets, key=lambda s: (sum(lengths[i] ** 2 for i in s), min(s)), reverse=True)
@@ -97,5 +118,18 @@ def restored(values: list, sets: list[list[int]]) -> list:
     return out
 
 
-def imbalance(sums: Column) -> Iterator[Column]:
-    yield from (F.min(sums).alias("min"), F.max(sums).alias("max"), (F.max(sums) - F.min(sums)).alias("minmax_diff"), F.avg(sums).alias("mean"))
+def ordered(df: DataFrame, order: str = "row_idx", part: str = "part") -> DataFrame:
+    """Rows dealt to sets with ``new_idx``, their place when set stands behind set: what :func:`tessera.operators.relational.reordered` takes."""
+    sizes = df.groupBy(part).count()
+    before = sizes.join(sizes.select(F.col(part).alias("_p"), F.col("count").alias("_c")), F.col("_p") < F.col(part), "left").groupBy(part).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
+    return df.withColumn("_in", inside).join(F.broadcast(before), part).withColumn("new_idx", F.col("_before") + F.col("_in")).drop("_before", "_in")
+
+
+def imbalance(df: DataFrame, length: str, k: int, order: str = "row_idx", part: str = "part") -> DataFrame:
+    """One row: ``min``, ``max``, ``minmax_diff`` of the sums of runs of n // ``k`` rows as they come, ``balanced_min``, ``balanced_max`` of those of the sets in ``part``, and ``mean``."""
+    size = max(1, df.count() // k)
+    sums = df.groupBy(F.floor(F.col(order) / size).alias("_run")).agg(F.sum(length).alias("s"))
+    plain = sums.agg(F.min("s").alias("min"), F.max("s").alias("max"), (F.max("s") - F.min("s")).alias("minmax_diff"), (F.sum("s") / k).alias("mean"))
+    even = df.groupBy(part).agg(F.sum(length).alias("s")).agg(F.min("s").alias("balanced_min"), F.max("s").alias("balanced_max"))
+    return plain.crossJoin(F.broadcast(even))

@@ -55,6 +55,38 @@ class StubGenerator:
         return f"```latex\n{whole}\n```"
 
 
+def checked(models: list[str] | None, model: str | None = None, **needed: str | None) -> str:
+    """The model to ask, before anything is asked: raises ValueError where a needed setting is empty, no model is there, or ``model`` isn't among them."""
+    absent = [k for k, v in needed.items() if not v]
+    if absent:
+        raise ValueError(f"missing settings: {', '.join(absent)}")
+    if not models:
+        raise ValueError("no model is served")
+    if model and model not in models:
+        raise ValueError(f"unknown model {model!r}; served: {', '.join(models)}")
+    return model or models[0]
+
+
+class Lazy:
+    """Makes a renderer or generator once in each Python worker, when it is first called; only how to make it is sent."""
+
+    _made: dict[str, object] = {}
+
+    def __init__(self, make, name: str):
+        self.make, self.name = make, name
+
+    def _own(self):
+        if self.name not in Lazy._made:
+            Lazy._made[self.name] = self.make()
+        return Lazy._made[self.name]
+
+    def render(self, code: str) -> bytes:
+        return self._own().render(code)
+
+    def generate(self, prompt: str) -> str:
+        return self._own().generate(prompt)
+
+
 def executable(name: str, given: str | None = None, variable: str | None = None, places: tuple[str, ...] = ()) -> str | None:
     """The first that exists: the given path, the one in a variable, the one on PATH, or one of ``places``."""
     tries = [given, os.environ.get(variable) if variable else None, shutil.which(name), *places]
@@ -64,21 +96,47 @@ def executable(name: str, given: str | None = None, variable: str | None = None,
 class TexRenderer:
     """Runs a TeX engine in a folder of its own, without shell escape and with a time limit."""
 
-    def __init__(self, engine: str = "pdflatex", seconds: int = 20):
-        self.engine, self.seconds = engine, seconds
+    def __init__(self, engine: str = "pdflatex", seconds: int = 20, density: int = 300, margin: int = 10):
+        self.engine, self.seconds, self.density, self.margin = engine, seconds, density, margin
 
     def render(self, code: str) -> bytes:
-        program = executable(self.engine)
+        program, convert = executable(self.engine), executable("convert")
         if program is None:
             raise RuntimeError(f"{self.engine} isn't installed")
+        if convert is None:
+            raise RuntimeError("convert isn't installed")
         with tempfile.TemporaryDirectory() as folder:
             (Path(folder) / "x.tex").write_text(code, encoding="utf-8")
             env = {k: v for k, v in os.environ.items() if k in ("PATH", "HOME", "LANG")} | {"TEXMFVAR": folder, "openin_any": "p", "openout_any": "p"}
-            run = subprocess.run([program, "-no-shell-escape", "-interaction=nonstopmode", "-halt-on-error", "x.tex"], cwd=folder, env=env, capture_output=True, timeout=self.seconds, check=False)
-            made = Path(folder) / "x.pdf"
-            if run.returncode or not made.exists():
-                raise RuntimeError(run.stdout.decode(errors="replace")[-2000:])
-            return made.read_bytes()
+            try:
+                run = subprocess.run([program, "-no-shell-escape", "-interaction=nonstopmode", "-halt-on-error", "x.tex"], cwd=folder, env=env, capture_output=True, timeout=self.seconds, check=False)
+                log, failed = run.stdout.decode("latin-1") + "\n" + run.stderr.decode("latin-1"), run.returncode != 0
+            except subprocess.TimeoutExpired as e:
+                log, failed = (e.stdout or b"").decode("latin-1") + f"\n[TIMEOUT] {self.engine} exceeded {self.seconds}s", True
+            if failed or not (Path(folder) / "x.pdf").exists():
+                raise RuntimeError(errors_of(log))
+            return self.image(folder, convert)
+
+    def image(self, folder: str, convert: str) -> bytes:
+        """The first page of ``x.pdf``, cropped by pdfcrop where it works, else by its white border, as PNG."""
+        crop, source, border = executable("pdfcrop"), "x.pdf", []
+        if crop and subprocess.run([crop, "--margins", str(self.margin), "x.pdf", "y.pdf"], cwd=folder, capture_output=True, timeout=300, check=False).returncode == 0:
+            source = "y.pdf"
+        else:
+            border = ["-fuzz", "1%", "-trim", "+repage", "-bordercolor", "white", "-border", str(round(self.density * self.margin / 72))]
+        run = subprocess.run([convert, "-density", str(self.density), f"{source}[0]", "-background", "white", "-flatten", *border, "-quality", "95", "x.png"], cwd=folder, capture_output=True, timeout=self.seconds, check=False)
+        made = Path(folder) / "x.png"
+        if run.returncode or not made.exists():
+            raise RuntimeError(run.stderr.decode(errors="replace")[-2000:])
+        return made.read_bytes()
+
+
+def errors_of(log: str, last: int = 20, most: int = 3000) -> str:
+    """The lines of a log that begin like errors, else its last ones; cut at ``most`` characters."""
+    lines = log.splitlines()
+    told = [x for x in lines if x.strip().startswith(("!", "l.", "L.", "[TIMEOUT]"))] or lines[-last:]
+    text = "\n".join(told)
+    return text if len(text) <= most else text[:most] + "\n...[log truncated]"
 
 
 def rendered(df: DataFrame, renderer: Renderer, key: str = "id", code: str = "code") -> DataFrame:
@@ -93,14 +151,19 @@ def rendered(df: DataFrame, renderer: Renderer, key: str = "id", code: str = "co
                 try:
                     rows.append((k, c, renderer.render(c or ""), None))
                 except Exception as e:  # the sample's fault becomes its status
-                    rows.append((k, c, None, str(e)[:2000]))
+                    rows.append((k, c, None, str(e)))
             yield pd.DataFrame(rows, columns=[key, "code", "image", "error"])
 
     return df.select(key, code).mapInPandas(run, f"`{key}` {kind}, code string, image binary, error string")
 
 
-def generated(df: DataFrame, generator: Generator, prompt: str = "prompt", key: str = "id", at_once: int = 8, retries: int = 3, wait: float = 0.0) -> DataFrame:
-    """``key``, ``output`` and ``error``: the answers, asked ``at_once`` a task, each up to ``retries`` times with growing waits."""
+def waits(tries: int, first: float = 2.0, factor: float = 1.8, most: float = 20.0) -> list[float]:
+    """Seconds to wait after each failed try but the last."""
+    return [min(first * factor**k, most) for k in range(tries - 1)]
+
+
+def generated(df: DataFrame, generator: Generator, prompt: str = "prompt", key: str = "id", at_once: int = 8, retries: int = 3, wait: float = 2.0, factor: float = 1.8, most: float = 20.0) -> DataFrame:
+    """``key``, ``output`` and ``error``: the answers, asked ``at_once`` a task, each up to ``retries`` times with the :func:`waits` of ``wait``, ``factor`` and ``most`` between."""
     if at_once < 1 or retries < 1:
         raise ValueError("at_once and retries must be 1 or more")
     ship(df.sparkSession)
@@ -108,7 +171,7 @@ def generated(df: DataFrame, generator: Generator, prompt: str = "prompt", key:
 
     def ask(text: str) -> tuple[str | None, str | None]:
         error = None
-        for attempt in range(retries):
+        for pause in [*waits(retries, wait, factor, most), 0.0]:
             try:
                 out = generator.generate(text)
                 if out:
@@ -116,7 +179,7 @@ def generated(df: DataFrame, generator: Generator, prompt: str = "prompt", key:
                 error = "empty answer"
             except Exception as e:  # any failure of the call is retried, then told
                 error = str(e)[:200]
-            time.sleep(wait * (attempt + 1))
+            time.sleep(pause)
         return None, f"api_error: {error}"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,9 +192,13 @@ def generated(df: DataFrame, generator: Generator, prompt: str = "prompt", key:
 
 
 def once(df: DataFrame, keys: list[str], call) -> DataFrame:
-    """``call`` on the different values of ``keys`` only, joined back to every row."""
-    out = call(df.select(*keys).distinct()).withColumnsRenamed({k: f"_{k}" for k in keys})
-    match = F.lit(True)
-    for k in keys:
-        match &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return df.join(out, match).drop(*[f"_{k}" for k in keys])
+    """``call`` on the different values of ``keys`` only, joined back to every row.
+
+    Values are found equal and joined by two hashes, so the texts that repeat aren't shuffled with every row.
+    """
+    marks = [F.xxhash64(*keys).alias("_mark"), F.xxhash64(F.lit(1), *keys).alias("_mark2")]
+    few = df.select(*marks, *keys).groupBy("_mark", "_mark2").agg(*[F.any_value(k).alias(k) for k in keys])
+    out = call(few.drop("_mark", "_mark2"))
+    out = out.select(*[m.alias(f"_of{m_}") for m, m_ in zip((F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys)), ("_mark", "_mark2"), strict=True)], *[c for c in out.columns if c not in keys])
+    marked = df.withColumns({"_mark": F.xxhash64(*keys), "_mark2": F.xxhash64(F.lit(1), *keys)})
+    return marked.join(out, (F.col("_mark") == F.col("_of_mark")) & (F.col("_mark2") == F.col("_of_mark2"))).drop("_mark", "_mark2", "_of_mark", "_of_mark2")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.arrays import ngrams
+from tessera.functions.arrays import let, places
 from tessera.sources.scratch import kept
 
 
@@ -21,7 +23,8 @@ def max_repeats(tokens: Column, n: int) -> Column:
         run = F.when((state.run > 0) & (state.last == gram), state.run + 1).otherwise(1)
         return F.struct(gram.alias("last"), run.alias("run"), F.greatest(state.most, run).alias("most"))
 
-    grams = F.sort_array(F.transform(ngrams(tokens, n), lambda g: F.xxhash64(g)))
+    words = F.transform(tokens, lambda w: F.xxhash64(w))
+    grams = F.sort_array(let(words, lambda w: F.transform(places(F.size(w), n), lambda k: F.xxhash64(F.slice(w, k, F.lit(n))))))
     return F.aggregate(grams, start, step, lambda s: s.most)
 
 
@@ -58,6 +61,25 @@ def informative_groups(df: DataFrame, group: str, score: str, low: float = 0.01,
     return df.join(mean, df[group] == mean["_g"], "left_semi")
 
 
+def accumulated(batches: Iterable[DataFrame], keep: Callable[[DataFrame], DataFrame], wanted: int, order: str, most: int = 0) -> DataFrame:
+    """The first ``wanted`` rows by ``order`` of what ``keep`` leaves of batch after batch, as many as it takes; each batch's rows stand behind those before.
+
+    Raises RuntimeError if a batch leaves nothing, or ``most`` batches (0: any number) aren't enough.
+    """
+    out, count = None, 0
+    for number, batch in enumerate(batches):
+        if most and number >= most:
+            break
+        left = kept(keep(batch).withColumn("_batch", F.lit(number)))
+        some = left.count()
+        if not some:
+            raise RuntimeError("no row is kept of a batch")
+        out, count = left if out is None else out.unionByName(left), count + some
+        if count >= wanted:
+            return out.orderBy("_batch", order).limit(wanted).drop("_batch")
+    raise RuntimeError(f"{count} rows after all batches that may be taken; {wanted} are wanted")
+
+
 def ready_for_second_stage(rendered: Column, size: Column, width: Column, height: Column) -> Column:
     """Rendered, of at least 1024 bytes and with sides of at most 15 to 1."""
     ratio = F.greatest(width, height) / F.when(F.least(width, height) > 0, F.least(width, height))

@@ -1,6 +1,6 @@
 """Similarity metrics over pairs of texts, vectors and images.
 
-BLEU counts are relational: n-grams of a pair are grouped and matched on all machines.
+BLEU counts stay in the row of a pair.
 Edit distance and image similarity are numpy functions behind Arrow UDFs. A metric that
 needs a neural model takes its distance as a column.
 """
@@ -11,10 +11,12 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import let, ngrams
+from tessera.functions import maths as M
+from tessera.functions import text as T
+from tessera.functions.arrays import let, places
 from tessera.shipping import ship
 
 _SEP = "\x1f"
@@ -28,30 +30,54 @@ def tex_tokens(code: str | None) -> list[str]:
 
 def tex_tokens_of(code: Column) -> Column:
     """:func:`tex_tokens` of a column."""
+    return F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(_TEX.pattern), F.lit(0))
 
-    @F.pandas_udf("array<string>")
-    def run(part: pd.Series) -> pd.Series:
-        return part.map(tex_tokens)
 
-    return run(code)
+def gram_hashes(words: Column, n: int) -> Column:
+    """The hashes of the n-grams of an array of word hashes, repeats included."""
+    return let(words, lambda w: F.transform(places(F.size(w), n), lambda k: F.xxhash64(F.slice(w, k, F.lit(n)))))
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _matches(trivial: Column, ref: Column, hyp: Column) -> Column:
+    """Struct of ``matched``, ``total`` and ``kinds`` of n-gram hashes: one pass over all in order, where the trivial ones of a hash come first, then the reference's, then the hypothesis's."""
+    marked = lambda x, mark: F.transform(x, lambda h: h.bitwiseAND(F.lit(-4)) + mark)
+    every = F.sort_array(F.concat(marked(trivial, 0), marked(ref, 1), marked(hyp, 2)))
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("left"), zero.alias("matched"), zero.alias("total"), zero.alias("kinds"))
+
+    def step(s: Column, x: Column) -> Column:
+        mark = x.bitwiseAND(F.lit(3))
+        same = F.coalesce(F.shiftright(x, 2) == F.shiftright(s.last, 2), F.lit(False))
+        left = F.when(same, s.left).otherwise(0)
+        counts = (mark == 2) & (left >= 0)
+        hit = counts & (left > 0)
+        fresh = counts & ~(same & (s.last.bitwiseAND(F.lit(3)) == 2))
+        after = F.when(mark == 0, -1).when(left < 0, -1).when(mark == 1, left + 1).when(hit, left - 1).otherwise(left)
+        return F.struct(x.alias("last"), after.alias("left"), (s.matched + hit.cast("bigint")).alias("matched"), (s.total + counts.cast("bigint")).alias("total"), (s.kinds + fresh.cast("bigint")).alias("kinds"))
+
+    return F.aggregate(every, start, step)
 
 
 def bleu_counts(pairs: DataFrame, key: str, hyp: str, ref: str, trivial: DataFrame | None = None, orders: int = 4) -> DataFrame:
     """Per key and order ``n``: ``matched``, ``total`` (n-grams of the hypothesis) and ``kinds`` (different ones), without those in ``trivial`` (``n``, ``gram``).
 
-    Both sides' n-grams become one table, so a pair is matched by one grouping.
+    A pair's n-grams are counted in its row, by 62-bit hashes; nothing is shuffled. ``trivial``
+    is a list of bounded length (the k commonest) and goes to every row.
     """
-
-    def grams(column: str, side: str) -> DataFrame:
-        named = lambda g: F.struct(F.size(g).alias("n"), F.array_join(g, _SEP).alias("gram"))
-        every = let(F.col(column), lambda t: F.concat(*[F.transform(ngrams(t, n), named) for n in range(1, orders + 1)]))
-        return pairs.select(key, F.explode(every).alias("g")).select(key, "g.n", "g.gram", F.lit(int(side == "h")).alias("h"), F.lit(int(side == "r")).alias("r"))
-
-    both = grams(hyp, "h").union(grams(ref, "r"))
+    none = F.array().cast("array<bigint>")
+    few = [none] * orders
     if trivial is not None:
-        both = both.join(trivial.select("n", "gram"), ["n", "gram"], "left_anti")
-    counted = both.groupBy(key, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return counted.groupBy(key, "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("total"), F.count_if(F.col("h") > 0).alias("kinds"))
+        named = trivial.select("n", F.xxhash64(word_hashes(F.split("gram", _SEP))).alias("h"))
+        listed = named.agg(*[F.collect_list(F.when(F.col("n") == n, F.col("h"))).alias(f"_trivial{n}") for n in range(1, orders + 1)])
+        pairs = pairs.crossJoin(F.broadcast(listed))
+        few = [F.col(f"_trivial{n}") for n in range(1, orders + 1)]
+    hashed = pairs.select(key, word_hashes(F.col(hyp)).alias("_hyp"), word_hashes(F.col(ref)).alias("_ref"), *([] if trivial is None else few))
+    each = [F.struct(F.lit(n).alias("n"), _matches(few[n - 1], gram_hashes(F.col("_ref"), n), gram_hashes(F.col("_hyp"), n)).alias("x")) for n in range(1, orders + 1)]
+    return hashed.select(key, F.explode(F.array(*each)).alias("c")).select(key, "c.n", "c.x.matched", "c.x.total", "c.x.kinds")
 
 
 def _score(counts: DataFrame, lengths: DataFrame, key: list[str], under: str, orders: int) -> DataFrame:
@@ -82,58 +108,108 @@ def fallback_bleu(pairs: DataFrame, key: str, hyp: str, ref: str, orders: int =
     return out.withColumn("bleu", F.least("bleu", F.lit(1.0))) if clip else out
 
 
+#: Costs of edits are whole numbers of this part of one, so that ties are ties.
+_UNIT = 1000
+
+
 def extended_edit_distance(hyp: str, ref: str, alpha: float = 2.0, rho: float = 0.3, deletion: float = 0.2, insertion: float = 1.0) -> float:
-    """Extended edit distance of characters, 0 to 1 (Stanchev et al. 2019): edits, jumps at blanks of the reference, and a penalty for repeated visits."""
+    """Extended edit distance of characters, 0 to 1 (Stanchev et al. 2019): edits, jumps at blanks of the reference, and a penalty for repeated visits.
+
+    Sums of costs are exact; among places of equal cost the first is visited.
+    """
     if not ref:
         return 0.0 if not hyp else 1.0
-    h = np.frombuffer(hyp.encode("utf-32-le"), np.uint32)
-    steps = np.arange(len(h) + 1) * deletion
-    row = np.ones(len(h) + 1)
-    row[0] = 0.0
+    jump, drop, more = (round(x * _UNIT) for x in (alpha, deletion, insertion))
+    h = np.frombuffer(hyp.encode("utf-32-le", "surrogatepass"), np.uint32)
+    steps = np.arange(len(h) + 1, dtype=np.int64) * drop
+    row = np.full(len(h) + 1, _UNIT, np.int64)
+    row[0] = 0
     visits = np.full(len(h) + 1, -1, np.int64)
     for c in ref:
         fresh = np.empty_like(row)
-        fresh[0] = row[0] + 1.0
-        fresh[1:] = np.minimum(row[:-1] + (h != ord(c)), row[1:] + insertion)
+        fresh[0] = row[0] + _UNIT
+        fresh[1:] = np.minimum(row[:-1] + np.where(h != ord(c), _UNIT, 0), row[1:] + more)
         fresh = np.minimum.accumulate(fresh - steps) + steps
         at = int(fresh.argmin())
         visits[at] += 1
         if c == " ":
-            fresh = np.minimum(fresh, alpha + fresh[at])
+            fresh = np.minimum(fresh, jump + fresh[at])
         row = fresh
     coverage = rho * float(np.where(visits >= 0, visits, 1).sum())
-    return min(1.0, (row[-1] + coverage) / (len(ref) + coverage))
+    return min(1.0, (float(row[-1]) / _UNIT + coverage) / (len(ref) + coverage))
+
 
+def edit_distance(spark: SparkSession, hyp: Column, ref: Column) -> Column:
+    """Extended edit distance of both sides' TeX tokens (arrays), joined by blanks and with one at either end; null if a side is null. A batch computes equal pairs once.
 
-def edit_distance(hyp: Column, ref: Column) -> Column:
-    """Extended edit distance of both sides' TeX tokens joined by blanks; null if a side is null. A batch computes equal pairs once."""
+    The recurrence runs over the characters of the reference, so this is Python behind Arrow.
+    """
+    ship(spark)
 
     @F.pandas_udf("double")
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
         made = {}
         for pair in zip(left, right, strict=True):
             if pair not in made:
-                made[pair] = None if None in pair else extended_edit_distance(*(" ".join(tex_tokens(x)) for x in pair))
+                made[pair] = None if None in pair else extended_edit_distance(*pair)
         return pd.Series([made[pair] for pair in zip(left, right, strict=True)], dtype="float64")
 
-    return run(hyp, ref)
+    spaced = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
+    return run(spaced(hyp), spaced(ref))
+
+
+def code_metrics(pairs: DataFrame, key: str, hyp: str, ref: str, trivial: DataFrame | None = None, tau: float = 0.4) -> DataFrame:
+    """The record of code metrics per key, over the normalised bodies of both sides: ``token_edit_dist_norm``, ``token_edit_dist`` (times the reference's tokens), ``token_edit_sim`` and ``crystalbleu``."""
+    body = lambda c: T.normalize_tex(T.document_body(F.col(c)))
+    both = pairs.select(key, tex_tokens_of(body(hyp)).alias("_h"), tex_tokens_of(body(ref)).alias("_r"), T.tokens(body(hyp)).alias("_hw"), T.tokens(body(ref)).alias("_rw"))
+    d = both.select(key, edit_distance(pairs.sparkSession, F.col("_h"), F.col("_r")).alias("token_edit_dist_norm"), F.size("_r").alias("_n"))
+    d = d.select(key, "token_edit_dist_norm", M.edit_count(F.col("token_edit_dist_norm"), F.col("_n")).alias("token_edit_dist"), M.from_distance(F.col("token_edit_dist_norm"), tau).alias("token_edit_sim"))
+    return d.join(crystal_bleu(both, key, "_hw", "_rw", trivial).withColumnRenamed("bleu", "crystalbleu"), key)
 
 
-def gray(width: int, pixels: bytes) -> np.ndarray:
-    """Rows of gray values from 8-bit pixels."""
-    return np.frombuffer(pixels, np.uint8).reshape(-1, width).astype(np.float64)
+def pixels(width: int, data: bytes, channels: int = 3) -> np.ndarray:
+    """Rows of RGB pixels from 8-bit ones; gray ones count in all three channels."""
+    image = np.frombuffer(data, np.uint8).reshape(-1, width, channels)
+    return image if channels == 3 else np.repeat(image, 3, axis=2)
 
 
 def trimmed(image: np.ndarray, pad: int = 2) -> np.ndarray:
-    """An image without its white border but for ``pad`` pixels; as it is if all white."""
-    rows, columns = np.flatnonzero((image < 255).any(1)), np.flatnonzero((image < 255).any(0))
+    """An image without its white border but for ``pad`` pixels; as it is if all white. A pixel is white whose difference from white has a luminance below one half."""
+    gap = 255 - image.astype(np.int64)
+    ink = (gap @ np.array([19595, 38470, 7471]) + 0x8000) >> 16 > 0
+    rows, columns = np.flatnonzero(ink.any(1)), np.flatnonzero(ink.any(0))
     if not len(rows):
         return image
     return image[max(0, rows[0] - pad) : rows[-1] + 1 + pad, max(0, columns[0] - pad) : columns[-1] + 1 + pad]
 
 
+def _resampled(image: np.ndarray, size: int) -> np.ndarray:
+    """The columns of an image brought down to ``size`` by the cubic kernel with a = -1/2, widened by the factor, in whole numbers."""
+    have = image.shape[1]
+    factor = have / size
+    centre = (np.arange(size) + 0.5) * factor
+    reach = 2 * factor
+    low, high = np.maximum(0, (centre - reach + 0.5).astype(int)), np.minimum(have, (centre + reach + 0.5).astype(int))
+    at = low[:, None] + np.arange((high - low).max())[None]
+    x = np.abs((at - centre[:, None] + 0.5) / factor)
+    weight = np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0)) * (at < high[:, None])
+    weight /= weight.sum(1, keepdims=True)
+    taken = image[:, np.minimum(at, have - 1)]
+    return np.clip(np.floor(np.einsum("hskc,sk->hsc", taken.astype(np.float64), weight) + 0.5), 0, 255).astype(np.uint8)
+
+
+def downscaled(image: np.ndarray, most: int = 1024) -> np.ndarray:
+    """An image whose longer side is at most ``most``; 0 leaves all as they are."""
+    height, width = image.shape[:2]
+    if not most or max(height, width) <= most:
+        return image
+    scale = most / max(height, width)
+    image = _resampled(image, max(1, round(width * scale)))
+    return _resampled(image.transpose(1, 0, 2), max(1, round(height * scale))).transpose(1, 0, 2)
+
+
 def fitted(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """An image cut or filled with white around its centre."""
+    """An image filled with white, or cut, around its centre."""
     for axis, size in ((0, height), (1, width)):
         have = image.shape[axis]
         if have > size:
@@ -141,36 +217,50 @@ def fitted(image: np.ndarray, height: int, width: int) -> np.ndarray:
             image = image[at : at + size] if axis == 0 else image[:, at : at + size]
         elif have < size:
             before = (size - have) // 2
-            pads = [(0, 0), (0, 0)]
+            pads = [(0, 0)] * 3
             pads[axis] = (before, size - have - before)
             image = np.pad(image, pads, constant_values=255)
     return image
 
 
-def structural_similarity(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
-    """Mean SSIM over square windows, after trimming borders and fitting ``b`` to ``a``."""
-    a = trimmed(a)
-    b = fitted(trimmed(b), *a.shape)
-    side = min(window, *a.shape)
-    views = [np.lib.stride_tricks.sliding_window_view(x, (side, side)) for x in (a, b)]
-    (ma, mb), n = [v.mean((2, 3)) for v in views], side * side
-    scale = n / (n - 1) if n > 1 else 1.0
-    va, vb = ((v * v).mean((2, 3)) - m * m for v, m in zip(views, (ma, mb), strict=True))
-    cov = (views[0] * views[1]).mean((2, 3)) - ma * mb
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    return float((((2 * ma * mb + c1) * (2 * cov * scale + c2)) / ((ma**2 + mb**2 + c1) * ((va + vb) * scale + c2))).mean())
+def _smooth(x: np.ndarray, window: int, sigma: float) -> np.ndarray:
+    """Means under a Gaussian window, where it lies inside the image; a side shorter than the window stays as it is."""
+    place = np.arange(window) - window // 2
+    weight = np.exp(-(place**2) / (2 * sigma**2))
+    weight /= weight.sum()
+    for axis in (0, 1):
+        if x.shape[axis] >= window:
+            x = np.lib.stride_tricks.sliding_window_view(x, window, axis) @ weight
+    return x
 
 
-def image_similarity(df: DataFrame, width: str, a: str, b: str, out: str = "ssim") -> DataFrame:
-    """``df`` with the similarity of two columns of 8-bit gray pixels; null where one is null or doesn't fit the width."""
+def structural_similarity(a: np.ndarray, b: np.ndarray, align: str = "pad", most: int = 1024, window: int = 11, sigma: float = 1.5, k1: float = 0.01, k2: float = 0.03) -> float:
+    """Mean SSIM of RGB images (Wang et al. 2004) under a Gaussian window, over all channels.
+
+    White borders go, longer sides come down to ``most``, and both are brought to one size: ``pad`` fills up to the larger one of each side, ``crop`` cuts to the smaller.
+    """
+    if align not in ("pad", "crop"):
+        raise ValueError(f"unknown alignment {align!r}")
+    a, b = (downscaled(trimmed(x), most) for x in (a, b))
+    pick = max if align == "pad" else min
+    size = [pick(x, y) for x, y in zip(a.shape[:2], b.shape[:2], strict=True)]
+    a, b = (fitted(x, *size).astype(np.float64) / 255 for x in (a, b))
+    ma, mb = _smooth(a, window, sigma), _smooth(b, window, sigma)
+    va, vb, cov = (_smooth(x, window, sigma) - m for x, m in ((a * a, ma * ma), (b * b, mb * mb), (a * b, ma * mb)))
+    c1, c2 = k1**2, k2**2
+    return float(((2 * ma * mb + c1) / (ma**2 + mb**2 + c1) * ((2 * cov + c2) / (va + vb + c2))).mean())
+
+
+def image_similarity(df: DataFrame, width: str, a: str, b: str, out: str = "ssim", channels: int = 1, align: str = "pad", most: int = 1024) -> DataFrame:
+    """``df`` with the similarity of two columns of 8-bit pixels, gray (1 channel) or RGB (3); null where one is null or doesn't fit the width. Windows over pixels are numpy behind Arrow."""
     ship(df.sparkSession)
 
     @F.pandas_udf("double")
     def run(widths: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
         def one(w, x, y):
-            if x is None or y is None or not w or len(x) % w or len(y) % w or not len(x) or not len(y):
+            if x is None or y is None or not w or len(x) % (w * channels) or len(y) % (w * channels) or not len(x) or not len(y):
                 return None
-            return structural_similarity(gray(int(w), x), gray(int(w), y))
+            return structural_similarity(pixels(int(w), x, channels), pixels(int(w), y, channels), align, most)
 
         return pd.Series([one(*row) for row in zip(widths, left, right, strict=True)], dtype="float64")
 

@@ -35,10 +35,12 @@ def missing_keys(truth: DataFrame, prediction: DataFrame, key: str = "id") -> Da
 
 
 def zipped(a: DataFrame, b: DataFrame, key: str = "row_idx") -> DataFrame:
-    """Both batches' columns by row; raises where a shared column differs."""
+    """Both batches' columns by row; raises where a shared column differs or a row has no partner."""
     shared = [c for c in a.columns if c in b.columns and c != key]
     other = b.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}" if c in shared else c) for c in b.columns if c != key])
-    both = a.join(other, a[key] == other["_key"])
+    both = a.join(other, a[key] == other["_key"], "full")
+    alone = F.raise_error(F.lit("the batches differ in length")).cast(a.schema[key].dataType)
+    both = both.withColumn(key, F.when(F.col(key).isNotNull() & F.col("_key").isNotNull(), F.col(key)).otherwise(alone))
     for c in shared:
         both = both.withColumn(c, F.when(F.col(c).eqNullSafe(F.col(f"_{c}")), F.col(c)).otherwise(F.raise_error(F.lit(f"values of {c} differ")).cast(a.schema[c].dataType)))
     return both.drop("_key", *[f"_{c}" for c in shared])
@@ -102,6 +104,16 @@ def padded(df: DataFrame, divisor: int, order: str = "row_idx") -> DataFrame:
     return flagged.unionByName(again.where(F.col(order) < count + pad).drop("_round").withColumn("is_pad", F.lit(True)))
 
 
+def inverse(order: DataFrame, old: str = "row_idx", new: str = "new_idx") -> DataFrame:
+    """The order (``old`` place, ``new`` place) that takes ``order`` back."""
+    return order.select(F.col(new).alias(old), F.col(old).alias(new))
+
+
+def reordered(df: DataFrame, order: DataFrame, old: str = "row_idx", new: str = "new_idx") -> DataFrame:
+    """``df`` with its rows at their new places."""
+    return df.join(order.select(old, new), old).drop(old).withColumnRenamed(new, old)
+
+
 def unpadded(df: DataFrame) -> DataFrame:
     return df.where(~F.col("is_pad")).drop("is_pad")
 
@@ -114,12 +126,24 @@ def chunked(df: DataFrame, chunks: int, order: str = "row_idx") -> DataFrame:
     return df.withColumn("chunk", F.floor(F.col(order) / max(1, count // chunks)).cast("int"))
 
 
+def split(df: DataFrame, size: int, order: str = "row_idx") -> DataFrame:
+    """``df`` with ``chunk``, parts of ``size`` rows in order; the last may be smaller."""
+    return df.withColumn("chunk", F.floor(F.col(order) / size).cast("int"))
+
+
 def folded(df: DataFrame, size: int, column: str, order: str = "row_idx") -> DataFrame:
     """Lists of ``size`` values in order."""
     pairs = F.sort_array(F.collect_list(F.struct(order, column)))
     return df.groupBy(F.floor(F.col(order) / size).cast("long").alias("fold")).agg(F.transform(pairs, lambda p: p[column]).alias(column))
 
 
+def collated(df: DataFrame, size: int, order: str = "row_idx") -> DataFrame:
+    """Batches of ``size`` rows as one row each, ``batch`` and every column an array in order."""
+    rows = F.sort_array(F.collect_list(F.struct(order, *[c for c in df.columns if c != order])))
+    grouped = df.groupBy(F.floor(F.col(order) / size).cast("long").alias("batch")).agg(rows.alias("_rows"))
+    return grouped.select("batch", *[F.col("_rows").getField(c).alias(c) for c in df.columns])
+
+
 def shuffled_key(key: Column, seed: int) -> Column:
     """A number that puts rows in an order that only the seed decides; the same in every run."""
     return F.md5(F.concat(key.cast("string"), F.lit(f"/{seed}")).cast("binary"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import importlib.util
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import maths as M
 from tessera.functions import text as T
+from tessera.operators.external import once
 from tessera.shipping import ship
 
 
@@ -26,17 +31,37 @@ class Reward:
 REWARDS: dict[str, Reward] = {}
 
 
-def reward(name: str, kind: str = "batch") -> Callable:
+def reward(name: str, kind: str = "batch", keep: bool = False) -> Callable:
+    """Registers a function; with ``keep`` the entry is given back instead of the function."""
     if kind not in ("batch", "sequential"):
         raise ValueError(f"unknown type {kind!r}")
 
     def add(function: Callable) -> Callable:
         REWARDS[name] = Reward(name, kind, function)
-        return function
+        return REWARDS[name] if keep else function
 
     return add
 
 
+def loaded(file: str, function: str) -> Reward:
+    """A reward from a Python file, also registered: ``REWARD_NAME`` (unknown without) and ``REWARD_TYPE`` (batch without) in the file say how it is called.
+
+    Raises FileNotFoundError, RuntimeError if the file can't be run, AttributeError without the function.
+    """
+    if not Path(file).exists():
+        raise FileNotFoundError(file)
+    spec = importlib.util.spec_from_file_location(f"reward_{Path(file).stem}", file)
+    module = importlib.util.module_from_spec(spec)
+    try:
+        spec.loader.exec_module(module)
+    except Exception as e:
+        raise RuntimeError(f"{file} can't be run: {e}") from e
+    found = getattr(module, function)
+    sys.modules[module.__name__] = module
+    cloudpickle.register_pickle_by_value(module)  # workers don't have the file
+    return reward(getattr(module, "REWARD_NAME", "unknown"), getattr(module, "REWARD_TYPE", "batch"), keep=True)(found)
+
+
 def scored(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` with the struct ``reward`` of the function ``name``; equal records are scored once where it is a Python function."""
     if name not in REWARDS:
@@ -51,11 +76,7 @@ def scored(df: DataFrame, name: str, **options) -> DataFrame:
     def run(response: pd.Series, truth: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([found.function({"response": a or "", "ground_truth": b or ""}, **options) for a, b in zip(response, truth, strict=True)], columns=["overall", "format", "accuracy"])
 
-    once = df.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("reward", run(*[f"_{k}" for k in keys]))
-    match = F.lit(True)
-    for k in keys:
-        match &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return df.join(once, match).drop(*[f"_{k}" for k in keys])
+    return once(df, keys, lambda few: few.withColumn("reward", run(*keys)))
 
 
 @reward("dapo")
@@ -67,31 +88,23 @@ def dapo(df: DataFrame, max_length: int = 4096, buffer: int = 1024, factor: floa
     return df.withColumn("reward", F.struct((right + long * factor).alias("overall"), right.alias("accuracy"), long.alias("overlong"), (0.5 * (right + 1)).alias("accuracy_normalized")))
 
 
-def boxed(text: Column) -> Column:
-    """What the last box holds; empty without one."""
-    return F.coalesce(F.try_element_at(F.regexp_extract_all(text, F.lit(r"\\boxed\{([^{}]*)\}"), F.lit(1)), F.lit(-1)), F.lit(""))
-
-
 @reward("math")
 def math(df: DataFrame, format_weight: float = 0.1) -> DataFrame:
     """Boxed answer and form; answers are equal when their normal forms are."""
     response = T.squeezed_marks(F.col("response"))
     good = T.boxed_format(response)
-    right = (T.normalize_answer(boxed(response)) == T.normalize_answer(F.col("ground_truth"))).cast("double")
+    right = (T.normalize_answer(T.boxed(response)) == T.normalize_answer(F.col("ground_truth"))).cast("double")
     return df.withColumn("reward", F.struct(((1 - format_weight) * right + format_weight * good).alias("overall"), good.alias("format"), right.alias("accuracy")))
 
 
-@reward("r1v", "sequential")
-def r1v(record: dict, format_weight: float = 0.5) -> dict[str, float]:
-    """Tagged answer and form, of one record."""
-    import re
-
-    response, truth = record["response"], record["ground_truth"]
-    good = float(bool(re.fullmatch(r"<think>.*?</think>\s*<answer>.*?</answer>", response, re.S)))
-    found = re.search(r"<answer>(.*?)</answer>", response)
-    given = (found.group(1) if found else response).strip()
-    right = float(given == truth.strip())
-    return {"overall": (1 - format_weight) * right + format_weight * good, "format": good, "accuracy": right}
+@reward("r1v")
+def r1v(df: DataFrame, format_weight: float = 0.5) -> DataFrame:
+    """Tagged answer and form; without a tag the whole response is the answer."""
+    response, truth = T.empty(F.col("response")), T.strip(T.empty(F.col("ground_truth")))
+    good = T.answer_format(response)
+    given = T.strip(T.extract(response, r"<answer>(.*?)</answer>", 1, response))
+    right = (given == truth).cast("double")
+    return df.withColumn("reward", F.struct(((1 - format_weight) * right + format_weight * good).alias("overall"), good.alias("format"), right.alias("accuracy")))
 
 
 @reward("choice")
@@ -161,6 +174,7 @@ def self_consistency(
     )
 
 
+#: The rubric's fields, in the order of the answer.
 RUBRIC = ("correctness", "layout_precision", "readability", "scientific_plausibility", "visual_complexity")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import let, ngrams
+from tessera.functions.arrays import let, ngrams, places, total
+from tessera.sources.scratch import kept
 
 PERCENTILES = (50, 75, 90, 95, 99)
 
@@ -47,14 +50,51 @@ def ngram_counts(df: DataFrame, tokens: Column, orders: int = 4) -> DataFrame:
     return df.select(F.explode(grams).alias("g")).groupBy("g.n", "g.gram").count()
 
 
+#: Marks of n-gram hashes that go to every row when n-grams are spelled.
+_MARKS = 1 << 16
+
+
 def trivial_ngrams(df: DataFrame, tokens: Column, k: int = 500, orders: int = 4) -> DataFrame:
-    """The ``k`` commonest n-grams; ties by order, then by n-gram."""
-    return ngram_counts(df, tokens, orders).orderBy(F.desc("count"), "n", "gram").limit(k)
+    """The ``k`` commonest n-grams; ties by order, then by n-gram.
+
+    Hashes are counted first. N-grams are only spelled, and counted again as such, if
+    their hash is as common as the k-th commonest one. Ties at that place make no
+    difference but to the number spelled. Two texts of one 64-bit hash would count
+    together in the first pass only.
+    """
+    words = df.select(tokens.alias("_t")).select("_t", F.transform("_t", lambda w: F.xxhash64(w)).alias("_h"))
+    hashed = lambda h, n: F.transform(places(F.size(h), n), lambda at: F.xxhash64(F.slice(h, at, F.lit(n))))
+    every = F.concat(*[hashed(F.col("_h"), n) for n in range(1, orders + 1)])
+    counted = words.select(F.explode(every).alias("hash")).groupBy("hash").count()
+    counts = kept(counted.where("count > 1"))  # most n-grams stand once
+    if counts.count() < k:
+        counts = kept(counted)
+    least = counts.orderBy(F.desc("count")).limit(k).agg(F.min("count")).first()[0]
+    common = counts.where(F.col("count") >= (least or 0)).select("hash")
+    at = F.col("hash").bitwiseAND(F.lit(_MARKS - 1)).cast("int")
+    bits = [0] * (_MARKS // 64)
+    for r in common.select(at.alias("at")).distinct().collect():  # at most _MARKS
+        bits[r["at"] >> 6] |= 1 << (r["at"] & 63)
+    marks = df.sparkSession.createDataFrame([([x - (1 << 64) if x >> 63 else x for x in bits],)], "_marks array<bigint>")
+
+    def marked(hash_: Column) -> Column:
+        low = hash_.bitwiseAND(F.lit(_MARKS - 1)).cast("int")
+        return F.getbit(F.get("_marks", F.shiftright(low, 6)), low.bitwiseAND(F.lit(63))) == 1
+
+    def spelled(n: int) -> Column:
+        found = F.filter(places(F.size("_h"), n), lambda at: marked(F.xxhash64(F.slice("_h", at, F.lit(n)))))
+        return F.transform(found, lambda at: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("_h", at, F.lit(n))).alias("hash"), F.array_join(F.slice("_t", at, F.lit(n)), "\x1f").alias("gram")))
+
+    texts = words.crossJoin(F.broadcast(marks)).select(F.explode(F.concat(*[spelled(n) for n in range(1, orders + 1)])).alias("g"))
+    spelled_ = texts.groupBy("g.n", "g.hash", "g.gram").count().join(common, "hash", "left_semi")
+    return spelled_.select("n", "gram", "count").orderBy(F.desc("count"), "n", "gram").limit(k)
 
 
 def fingerprint(df: DataFrame, column: str) -> DataFrame:
-    """One row that names the corpus whatever its order."""
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(column)).alias("fingerprint"))
+    """One row that names the corpus whatever its order, repeats included: the number of rows and the sums of three parts of the texts' MD5."""
+    digest = F.md5(F.col(column).cast("binary"))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")), F.lit(0))
+    return df.agg(F.count("*").alias("rows"), part(1).alias("high"), part(9).alias("low"), part(17).alias("third"))
 
 
 def length_metrics(df: DataFrame, column: str, most: float, prefix: str) -> DataFrame:
@@ -66,6 +106,67 @@ def explained_variance(returns: Column, values: Column) -> Column:
     return 1 - F.var_samp(returns - values) / (F.var_samp(returns) + 1e-5)
 
 
+def data_metrics(df: DataFrame, critic: bool = False) -> DataFrame:
+    """One row over responses: mean, max and min of the sums of ``scores`` and ``rewards``, and of the masked places of ``advantages`` and ``returns``; with ``critic`` also of ``values``, and the explained variance."""
+    three = lambda x, name: [F.avg(x).alias(f"{name}_mean"), F.max(x).alias(f"{name}_max"), F.min(x).alias(f"{name}_min")]
+    sums = df.select(total(F.col("scores")).alias("s"), total(F.col("rewards")).alias("r")).agg(*three(F.col("s"), "score"), *three(F.col("r"), "rewards"))
+    names = ["advantages", "returns", *(["values"] if critic else [])]
+    valid = df.select(F.explode(F.arrays_zip(*names, "mask")).alias("x")).where("x.mask = 1")
+    more = [e for name in names for e in three(F.col(f"x.{name}"), name)]
+    if critic:
+        more.append(explained_variance(F.col("x.returns"), F.col("x.values")).alias("vf_explained_var"))
+    return sums.crossJoin(F.broadcast(valid.agg(*more)))
+
+
+def timing_metrics(df: DataFrame, responses: str, overall: str, seconds: dict[str, float], gpus: int) -> DataFrame:
+    """One row: ``timing_s_*``, ``timing_per_token_ms_*`` of the sections that have tokens, and the throughput of the section ``step``."""
+    sums = df.agg(F.sum(responses).alias("_r"), F.sum(overall).alias("_o"))
+    tokens = dict.fromkeys(("gen", "reward"), F.col("_r")) | dict.fromkeys(("ref", "old", "values", "adv", "update_critic", "update_actor"), F.col("_o"))
+    took = [F.lit(float(s)).alias(f"timing_s_{name}") for name, s in seconds.items()]
+    each = [(F.lit(seconds[name] * 1000.0) / n).alias(f"timing_per_token_ms_{name}") for name, n in tokens.items() if name in seconds]
+    whole = [F.col("_o").alias("total_num_tokens"), F.lit(float(seconds["step"])).alias("time_per_step"), (F.col("_o") / (seconds["step"] * gpus)).alias("throughput")] if "step" in seconds else []
+    return sums.select(*took, *each, *whole)
+
+
+@dataclass(frozen=True)
+class Model:
+    """The sizes of a model that its floating-point operations depend on; ``experts`` and ``top`` of a mixture."""
+
+    kind: str
+    hidden: int
+    vocabulary: int
+    layers: int
+    heads: int
+    kv_heads: int
+    intermediate: int
+    head: int | None = None
+    experts: int = 0
+    top: int = 0
+
+
+#: Families whose operations are counted as dense models and as mixtures; peaks of devices in TFLOPS, the first name found counts.
+DENSE = ("llama", "qwen2", "qwen2_vl", "qwen2_5_vl", "qwen3", "qwen3_vl")
+MIXTURES = ("qwen2_moe", "qwen3_moe", "qwen3_vl_moe")
+PEAKS = (("H100", 989.0), ("H800", 989.0), ("A100", 312.0), ("A800", 312.0), ("L40", 181.05), ("L20", 119.5), ("H20", 148.0), ("910B", 354.0))
+
+
+def peak_tflops(device: str) -> float:
+    """A device's peak; infinite for an unknown one."""
+    return next((p for name, p in PEAKS if name in device), float("inf"))
+
+
+def tflops(df: DataFrame, length: str, model: Model, seconds: float) -> DataFrame:
+    """One row, ``tflops``: six operations a weight and token and twelve a pair of tokens, head place and layer, over the time; 0 for an unknown family."""
+    head = model.head or model.hidden // model.heads
+    sums = df.agg(F.coalesce(F.sum(F.col(length).cast("double")), F.lit(0.0)).alias("t"), F.coalesce(F.sum(F.col(length).cast("double") * F.col(length)), F.lit(0.0)).alias("q"))
+    if model.kind not in DENSE + MIXTURES:
+        return sums.select(F.lit(0.0).alias("tflops"))
+    mlp = 3 * model.hidden * model.intermediate * (model.top if model.kind in MIXTURES else 1) + (model.hidden * model.experts if model.kind in MIXTURES else 0)
+    attention = 2 * model.hidden * head * (model.heads + model.kv_heads)
+    weights = model.layers * (mlp + attention) + 2 * model.vocabulary * model.hidden
+    return sums.select(((6.0 * weights * F.col("t") + 12.0 * head * model.heads * model.layers * F.col("q")) / (seconds * 1e12)).alias("tflops"))
+
+
 def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:
     """Counts of equal bins from ``low`` to ``high``; the last one holds its end."""
     x = F.col(column)

@@ -9,9 +9,11 @@ from tessera.functions import text as T
 from tessera.operators import filters as L
 from tessera.operators import relational as R
 from tessera.operators import stats as S
-from tessera.plans.fixtures import table
+from tessera.plans.fixtures import documents, table
 
 N, THRESHOLD = 3, 5
+#: Parts of padded batches; no factor of the orders' number.
+PARTS = 7
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')"
 #: DuckDB: the largest number of equal n-grams of each document, without a join on whole texts.
 _REPEATS = f"""rep AS (
@@ -22,7 +24,7 @@ _REPEATS = f"""rep AS (
 
 
 def _flags(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    docs = documents(spark, folder).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").alias("n_tokens"), L.max_repeats(F.col("t"), N).alias("repeats"))
 
 
@@ -75,7 +77,7 @@ def online_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def usable_code(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit(" \n ")).when(F.col("doc_id") % 4 != 1, F.substring("text", 1, 10)).alias("code"))
+    docs = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit(" \n ")).when(F.col("doc_id") % 4 != 1, F.col("text")).alias("code"))
     return docs.select("doc_id", L.usable_code(F.col("code")).alias("code"))
 
 
@@ -137,7 +139,7 @@ def scatter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def repeat_rows(spark: SparkSession, folder: str) -> DataFrame:
-    b = _batch(spark, folder).where("row_idx < 200").select("row_idx")
+    b = _batch(spark, folder).select("row_idx")
     a = R.repeated(b, 3).select("row_idx", "copy", "new_idx", F.lit("interleave").alias("mode"))
     return a.unionByName(R.repeated(b, 3, interleave=False).select("row_idx", "copy", "new_idx", F.lit("tile").alias("mode")))
 
@@ -149,14 +151,16 @@ def path_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def permutation_inverse(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch is shuffled, and both the inverse order and the rows that it puts back are given."""
     b = _batch(spark, folder)
-    shuffled = L.row_numbers(b.withColumn("k", R.shuffled_key(F.col("o_orderkey"), 7)), "k", "o_orderkey", name="new_idx")
-    back = shuffled.select(F.col("row_idx"), "new_idx", "o_orderkey")
-    return back
+    order = L.row_numbers(b.select("row_idx", "o_orderkey", R.shuffled_key(F.col("o_orderkey"), 7).alias("k")), "k", "o_orderkey", name="new_idx").select("row_idx", "new_idx")
+    inverse = R.inverse(order)
+    back = R.reordered(R.reordered(b, order), inverse).select("row_idx", F.col("o_orderkey").alias("restored"))
+    return inverse.join(back, "row_idx")
 
 
 def profile(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.size(T.tokens(F.col("text"))).alias("n"))
+    docs = documents(spark, folder).select(F.size(T.tokens(F.col("text"))).alias("n"))
     return S.length_profile(docs, "n").withColumn("mean", F.round("mean", 6))
 
 
@@ -171,7 +175,7 @@ def value_counter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trivial(spark: SparkSession, folder: str) -> DataFrame:
-    return S.trivial_ngrams(table(spark, folder, "documents"), T.tokens(F.col("text")), 100).select("n", F.replace("gram", F.lit("\x1f"), F.lit(" ")).alias("gram"), "count")
+    return S.trivial_ngrams(documents(spark, folder), T.tokens(F.col("text")), 100).select("n", F.replace("gram", F.lit("\x1f"), F.lit(" ")).alias("gram"), "count")
 
 
 def corpus_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,39 +192,49 @@ def length_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def data_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").select("value", (F.col("value") * 0.9 + F.col("event_id") % 3).alias("returns"))
-    return e.agg(F.round(F.avg("value"), 6).alias("values_mean"), F.max("value").alias("values_max"), F.min("value").alias("values_min"), F.round(S.explained_variance(F.col("returns"), F.col("value")), 6).alias("explained_variance"))
+    """All metrics of a batch: sixteen events in order of their ids are a response."""
+    k, v = F.col("event_id"), F.col("value")
+    tok = table(spark, folder, "events").select(F.floor(k / 16).alias("row_idx"), F.struct((k % 16).alias("t"), v.alias("s"), (v - k % 3).alias("r"), (v / 2).alias("a"), (v * 0.9 + k % 3).alias("ret"), (k % 5 != 3).cast("int").alias("m")).alias("x"))
+    g = tok.groupBy("row_idx").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    pick = lambda c: F.transform("x", lambda s: s[c])
+    batch = g.select(pick("s").alias("scores"), pick("r").alias("rewards"), pick("a").alias("advantages"), pick("ret").alias("returns"), pick("s").alias("values"), pick("m").alias("mask"))
+    out = S.data_metrics(batch, critic=True)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+_METRICS = ", ".join(f"round({f}({x}), 6) AS {name}_{c}" for x, name in (("a", "advantages"), ("ret", "returns"), ("s", "values")) for f, c in (("avg", "mean"), ("max", "max"), ("min", "min")))
+_SUMS = ", ".join(f"round({f}({x}), 6) AS {name}_{c}" for x, name in (("s", "score"), ("r", "rewards")) for f, c in (("avg", "mean"), ("max", "max"), ("min", "min")))
+SECONDS = {"gen": 12.5, "adv": 2.0, "other": 1.0, "step": 16.0}
 
 
 def throughput(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").agg(F.sum("n_chars").alias("tokens"))
-    return docs.select("tokens", F.round(F.lit(12.5) * 1000 / F.col("tokens"), 9).alias("ms_per_token"), F.round(F.col("tokens") / (F.lit(12.5) * 8), 6).alias("tokens_per_second_gpu"))
+    docs = table(spark, folder, "documents").select((F.col("n_chars") / 2).cast("bigint").alias("r"), "n_chars")
+    out = S.timing_metrics(docs, "r", "n_chars", SECONDS, 8)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
 def batch_rates(spark: SparkSession, folder: str) -> DataFrame:
-    code = L.usable_code(F.when(F.col("doc_id") % 4 == 0, F.lit(" ")).otherwise(F.substring("text", 1, 100)))
+    code = L.usable_code(F.when(F.col("doc_id") % 4 == 0, F.lit(" ")).otherwise(F.col("text")))
     docs = table(spark, folder, "documents").select((F.col("doc_id") % 3 != 0).alias("rendered"), code.alias("code"))
     return docs.agg(F.round(S.rate(F.col("rendered")), 9).alias("p_render_ok"), F.round(S.rate(F.col("code").isNotNull()), 9).alias("p_codeprime_nonempty"), F.round(F.avg(F.length("code")), 6).alias("mean_length"))
 
 
-def imbalance(spark: SparkSession, folder: str) -> DataFrame:
-    docs = L.row_numbers(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id")
-    sums = S.planned_ranges(docs, 8).groupBy("part").agg(F.sum("n_chars").alias("s"))
-    return sums.agg(F.min("s").alias("min"), F.max("s").alias("max"), (F.max("s") - F.min("s")).alias("diff"), F.round(F.avg("s"), 6).alias("mean"))
-
-
 def planned(spark: SparkSession, folder: str) -> DataFrame:
     return S.planned_ranges(_batch(spark, folder), 7).groupBy("part").agg(F.min("row_idx").alias("start"), F.max("row_idx").alias("end"))
 
 
 def histogram(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.size(T.tokens(F.col("text"))).alias("n"))
+    docs = documents(spark, folder).select(F.size(T.tokens(F.col("text"))).alias("n"))
     return S.histogram(docs, "n", 120, 0, 4096)
 
 
+MODELS = (S.Model("llama", 2048, 32000, 16, 16, 4, 5632), S.Model("qwen3_moe", 1024, 50000, 12, 16, 2, 768, head=128, experts=64, top=8), S.Model("other", 1, 1, 1, 1, 1, 1))
+
+
 def flops(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").agg(F.sum("n_chars").cast("double").alias("t"), F.sum(F.col("n_chars") * F.col("n_chars")).cast("double").alias("q"))
-    return docs.select(F.round((6 * 1.5e9 * F.col("t") + 12 * F.col("q") * 128 * 16 * 28) / 1e12, 3).alias("tflops"))
+    """A dense model, a mixture and an unknown family over all documents."""
+    docs = table(spark, folder, "documents")
+    return R.concatenated([S.tflops(docs, "n_chars", m, 10.0).select(F.lit(m.kind).alias("kind"), F.round("tflops", 3).alias("tflops"), F.lit(S.peak_tflops("NVIDIA A100")).alias("peak")) for m in MODELS])
 
 
 def top_shuffled(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,9 +248,9 @@ def truncated_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reorder(spark: SparkSession, folder: str) -> DataFrame:
-    b = _batch(spark, folder).where("row_idx < 100")
-    order = b.select(F.col("row_idx"), (F.col("row_idx") * 37 % 100).alias("new_idx"))
-    return b.join(order, "row_idx").select("new_idx", "o_orderkey")
+    b = _batch(spark, folder)
+    order = b.select("row_idx", (F.col("row_idx") * 37 % b.count()).alias("new_idx"))
+    return R.reordered(b, order).select("row_idx", "o_orderkey")
 
 
 def concat_batches(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,27 +259,29 @@ def concat_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pad_unpad(spark: SparkSession, folder: str) -> DataFrame:
-    p = R.padded(_batch(spark, folder).where("row_idx < 101"), 8)
-    return p.select("row_idx", "o_orderkey", "is_pad").unionByName(R.unpadded(p).select((F.col("row_idx") + 1000).alias("row_idx"), "o_orderkey", F.lit(False).alias("is_pad")))
+    p = R.padded(_batch(spark, folder), PARTS)
+    return p.select("row_idx", "o_orderkey", "is_pad").unionByName(R.unpadded(p).select((-F.col("row_idx") - 1).alias("row_idx"), "o_orderkey", F.lit(False).alias("is_pad")))
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return R.chunked(_batch(spark, folder).where("row_idx < 96"), 8).select("row_idx", "chunk")
+    return R.chunked(R.padded(_batch(spark, folder), PARTS), PARTS).select("row_idx", "chunk")
 
 
 def folds(spark: SparkSession, folder: str) -> DataFrame:
-    return R.folded(_batch(spark, folder).where("row_idx < 100"), 10, "o_orderkey").select("fold", F.array_join(F.col("o_orderkey").cast("array<string>"), ",").alias("keys"))
+    return R.folded(_batch(spark, folder), 10, "o_orderkey").select("fold", F.array_join(F.col("o_orderkey").cast("array<string>"), ",").alias("keys"))
 
 
 def minibatches(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id").where("doc_id < 100000")
+    docs = table(spark, folder, "documents").select("doc_id")
     return R.minibatches(docs, 16, 2, 5, "doc_id", L.row_numbers).select("epoch", "batch", "place", "doc_id")
 
 
 def accumulate(spark: SparkSession, folder: str) -> DataFrame:
-    """Groups that inform, until there are enough rows: one pass, as later batches only append."""
+    """Groups that inform, from batch after batch of 250 events, until there are 64 rows."""
     e = table(spark, folder, "events").select("event_id", "user_id", (F.col("value") > 20).cast("double").alias("score"))
-    return L.informative_groups(e, "user_id", "score", 0.05, 0.95).orderBy("event_id").limit(64).select("event_id")
+    count = e.count()
+    batches = (e.where((F.col("event_id") >= k) & (F.col("event_id") < k + 250)) for k in range(0, count, 250))
+    return L.accumulated(batches, lambda b: L.informative_groups(b, "user_id", "score", 0.05, 0.95), 64, "event_id", most=40).select("event_id")
 
 
 _NGRAMS = " UNION ALL ".join(f"SELECT {n} AS n, unnest(list_transform(range(1, len(t) - {n - 2}), lambda k: array_to_string(list_slice(t, k, k + {n - 1}), chr(31)))) AS gram FROM tok" for n in range(1, 5))
@@ -303,7 +319,6 @@ QUERIES = {
     "ag9_data_metrics": data_metrics,
     "ag10_throughput": throughput,
     "ag14_batch_rates": batch_rates,
-    "ag15_imbalance": imbalance,
     "ag17_flops": flops,
     "ag19_planned_ranges": planned,
     "snk18_histogram": histogram,
@@ -326,7 +341,7 @@ ORACLE = {
     "flt7_status_filter": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'api_error: x' END AS status, doc_id % 3 <> 1 AS kept FROM labels",
     "flt9_online_filter": "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING avg(CAST(value > 20 AS DOUBLE)) > 0.3 AND avg(CAST(value > 20 AS DOUBLE)) < 0.5)",
     "flt10_second_stage": f"SELECT p_partkey, coalesce(p_partkey % 3 <> 0 AND h * 3 >= 1024 AND greatest(w, h) / nullif(least(w, h), 0) <= 15.0, false) AS ready FROM (SELECT p_partkey, {_GEOMETRY} FROM part)",
-    "flt11_usable_code": "SELECT doc_id, CASE WHEN doc_id % 4 > 1 THEN substr(text, 1, 10) END AS code FROM documents",
+    "flt11_usable_code": "SELECT doc_id, CASE WHEN doc_id % 4 > 1 THEN text END AS code FROM documents",
     "src4_row_range": f"WITH {_BATCH} SELECT * FROM b WHERE row_idx >= 100 AND row_idx < 250",
     "prj1_prj3_projection": f"WITH {_BATCH} SELECT row_idx, price + 1 AS cost FROM b",
     "prj2_mask_select": f"WITH {_BATCH} SELECT row_idx, o_orderkey FROM b WHERE row_idx % 7 = 3 AND price > 1000",
@@ -335,29 +350,29 @@ ORACLE = {
     "jn3_snk11_missing": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "jn4_zip_union": f"WITH {_BATCH} SELECT row_idx, o_orderkey, price, o_custkey FROM b",
     "jn5_scatter_back": f"WITH {_BATCH} SELECT row_idx, CASE WHEN row_idx % 3 = 0 THEN 'r' || o_custkey ELSE '' END AS answer FROM b",
-    "jn6_so2_repeat": "WITH r AS (SELECT i.range AS row_idx, c.range AS copy FROM range(200) i, range(3) c) SELECT row_idx, CAST(copy AS INTEGER) AS copy, row_idx * 3 + copy AS new_idx, 'interleave' AS mode FROM r UNION ALL SELECT row_idx, CAST(copy AS INTEGER), copy * 200 + row_idx, 'tile' FROM r",
+    "jn6_so2_repeat": "WITH r AS (SELECT i.range AS row_idx, c.range AS copy FROM range((SELECT count(*) FROM orders)) i, range(3) c) SELECT row_idx, CAST(copy AS INTEGER) AS copy, row_idx * 3 + copy AS new_idx, 'interleave' AS mode FROM r UNION ALL SELECT row_idx, CAST(copy AS INTEGER), copy * (SELECT count(*) FROM orders) + row_idx, 'tile' FROM r",
     "jn7_path_resolution": "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'a/img' || c_custkey WHEN c_custkey % 3 = 0 THEN 'b/img' || c_custkey END AS full FROM customer".replace(" AS full ", ' AS "full" '),
-    "jn8_permutation_inverse": f"WITH {_BATCH} SELECT row_idx, row_number() OVER (ORDER BY md5(o_orderkey || '/7'), o_orderkey) - 1 AS new_idx, o_orderkey FROM b",
+    "jn8_permutation_inverse": f"WITH {_BATCH} SELECT s.i AS row_idx, s.row_idx AS new_idx, b.o_orderkey AS restored FROM (SELECT row_idx, row_number() OVER (ORDER BY md5(o_orderkey || '/7'), o_orderkey) - 1 AS i FROM b) s JOIN b ON b.row_idx = s.i",
     "ag1_length_profile": f"WITH {_TOK}, f AS (SELECT len(t) AS n_tokens FROM tok) SELECT count(*) AS count, CAST(min(n_tokens) AS INTEGER) AS min, {_CUT}, CAST(max(n_tokens) AS INTEGER) AS max, round(avg(n_tokens), 6) AS mean FROM f",
     "ag2_ag3_conditional_means": f"WITH {_PAIRS} SELECT round(avg(similarity) FILTER (has_pred_image = 1), 9) AS compiled_only, round(avg(similarity) FILTER (has_pred_tex = 1), 9) AS all_tex, round(avg(coalesce(similarity, 0)), 9) AS overall, round(avg(has_pred_image), 9) AS compile_rate, count(*) AS n FROM pairs",
     "ag4_value_counter": "SELECT lang, count(*) AS count FROM documents GROUP BY lang",
     "ag5_trivial_ngrams": f"WITH {_TOK}, g AS ({_NGRAMS}) SELECT n, replace(gram, chr(31), ' ') AS gram, count(*) AS count FROM g GROUP BY g.n, g.gram ORDER BY count(*) DESC, n, g.gram LIMIT 100",
+    "ag6_corpus_fingerprint": "SELECT count(*) AS rows, coalesce(sum(CAST('0x' || substr(md5(text), 1, 8) AS BIGINT)), 0)::BIGINT AS high, coalesce(sum(CAST('0x' || substr(md5(text), 9, 8) AS BIGINT)), 0)::BIGINT AS low, coalesce(sum(CAST('0x' || substr(md5(text), 17, 8) AS BIGINT)), 0)::BIGINT AS third FROM documents",
     "ag7_reduce_metrics": "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
     "ag8_length_metrics": "SELECT round(avg(n), 6) AS response_mean, max(n) AS response_max, min(n) AS response_min, round(avg(CAST(n = 4000 AS INTEGER)), 9) AS response_clip_ratio FROM (SELECT least(n_chars, 4000) AS n FROM documents)",
-    "ag9_data_metrics": "SELECT round(avg(value), 6) AS values_mean, max(value) AS values_max, min(value) AS values_min, round(1 - var_samp(r - value) / (var_samp(r) + 1e-5), 6) AS explained_variance FROM (SELECT value, value * 0.9 + event_id % 3 AS r FROM events)",
-    "ag10_throughput": "SELECT CAST(sum(n_chars) AS BIGINT) AS tokens, round(12500.0 / sum(n_chars), 9) AS ms_per_token, round(sum(n_chars) / 100.0, 6) AS tokens_per_second_gpu FROM documents",
-    "ag14_batch_rates": "SELECT round(avg(CAST(doc_id % 3 <> 0 AS INTEGER)), 9) AS p_render_ok, round(avg(CAST(doc_id % 4 <> 0 AS INTEGER)), 9) AS p_codeprime_nonempty, round(avg(length(substr(text, 1, 100))) FILTER (doc_id % 4 <> 0), 6) AS mean_length FROM documents",
-    "ag15_imbalance": "WITH r AS (SELECT n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), s AS (SELECT sum(n_chars) AS s FROM r GROUP BY i // CAST(ceil(n / 8) AS BIGINT)) SELECT CAST(min(s) AS BIGINT) AS min, CAST(max(s) AS BIGINT) AS max, CAST(max(s) - min(s) AS BIGINT) AS diff, round(avg(s), 6) AS mean FROM s",
-    "ag17_flops": "SELECT round((6 * 1.5e9 * sum(n_chars) + 12 * CAST(sum(n_chars * n_chars) AS DOUBLE) * 128 * 16 * 28) / 1e12, 3) AS tflops FROM documents",
+    "ag9_data_metrics": f"WITH t AS (SELECT event_id // 16 AS i, value AS s, value - event_id % 3 AS r, value / 2 AS a, value * 0.9 + event_id % 3 AS ret, event_id % 5 <> 3 AS m FROM events), q AS (SELECT sum(s) AS s, sum(r) AS r FROM t GROUP BY i) SELECT * FROM (SELECT {_SUMS} FROM q), (SELECT {_METRICS}, round(1 - var_samp(ret - s) / (var_samp(ret) + 1e-5), 6) AS vf_explained_var FROM t WHERE m)",
+    "ag10_throughput": "SELECT 12.5::DOUBLE AS timing_s_gen, 2.0::DOUBLE AS timing_s_adv, 1.0::DOUBLE AS timing_s_other, 16.0::DOUBLE AS timing_s_step, round(12500.0 / sum(n_chars // 2), 9) AS timing_per_token_ms_gen, round(2000.0 / sum(n_chars), 9) AS timing_per_token_ms_adv, CAST(sum(n_chars) AS BIGINT) AS total_num_tokens, 16.0::DOUBLE AS time_per_step, round(sum(n_chars) / 128.0, 9) AS throughput FROM documents",
+    "ag14_batch_rates": "SELECT round(avg(CAST(doc_id % 3 <> 0 AS INTEGER)), 9) AS p_render_ok, round(avg(CAST(doc_id % 4 <> 0 AS INTEGER)), 9) AS p_codeprime_nonempty, round(avg(length(text)) FILTER (doc_id % 4 <> 0), 6) AS mean_length FROM documents",
+    "ag17_flops": "WITH d AS (SELECT CAST(sum(n_chars) AS DOUBLE) AS t, sum(CAST(n_chars AS DOUBLE) * n_chars) AS q FROM documents) SELECT 'llama' AS kind, round((6.0 * (16 * (3 * 2048 * 5632 + 2 * 2048 * 128 * 20) + 2 * 32000 * 2048) * t + 12.0 * 128 * 16 * 16 * q) / 1e13, 3) AS tflops, 312.0::DOUBLE AS peak FROM d UNION ALL SELECT 'qwen3_moe', round((6.0 * (12 * (8 * 768 * 3 * 1024 + 1024 * 64 + 2 * 1024 * 128 * 18) + 2 * 50000 * 1024) * t + 12.0 * 128 * 16 * 12 * q) / 1e13, 3), 312.0 FROM d UNION ALL SELECT 'other', 0.0, 312.0",
     "ag19_planned_ranges": f"WITH {_BATCH}, p AS (SELECT row_idx, CAST(row_idx // CAST(ceil((SELECT count(*) FROM orders) / 7) AS BIGINT) AS INTEGER) AS part FROM b) SELECT part, min(row_idx) AS start, max(row_idx) AS \"end\" FROM p GROUP BY part",
     "snk18_histogram": f"WITH {_TOK} SELECT CAST(least(floor(len(t) / (4096 / 120)), 119) AS INTEGER) AS bin, count(*) AS count FROM tok WHERE len(t) BETWEEN 0 AND 4096 GROUP BY 1",
     "st2_seeded_top": "SELECT doc_id, md5(doc_id || '/42') AS k FROM documents ORDER BY k, doc_id LIMIT 25",
     "st3_truncated_batch": "SELECT event_id FROM events WHERE value > 5 ORDER BY event_id LIMIT 40",
-    "st4_accumulate_until_full": "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING avg(CAST(value > 20 AS DOUBLE)) > 0.05 AND avg(CAST(value > 20 AS DOUBLE)) < 0.95) ORDER BY event_id LIMIT 64",
-    "st5_reorder": f"WITH {_BATCH} SELECT row_idx * 37 % 100 AS new_idx, o_orderkey FROM b WHERE row_idx < 100",
+    "st4_accumulate_until_full": "WITH e AS (SELECT event_id, user_id, event_id // 250 AS b, CAST(value > 20 AS DOUBLE) AS s FROM events), k AS (SELECT b, user_id FROM e GROUP BY b, user_id HAVING avg(s) > 0.05 AND avg(s) < 0.95) SELECT event_id FROM e JOIN k USING (b, user_id) ORDER BY event_id LIMIT 64",
+    "st5_reorder": f"WITH {_BATCH} SELECT row_idx * 37 % (SELECT count(*) FROM b) AS row_idx, o_orderkey FROM b",
     "so1_concat": f"WITH {_BATCH} SELECT row_idx, price FROM b WHERE row_idx < 10 UNION ALL SELECT row_idx, price FROM b WHERE row_idx % 5 = 0 UNION ALL SELECT row_idx, price FROM b WHERE row_idx < 3",
-    "so3_pad_unpad": f"WITH {_BATCH} SELECT row_idx, o_orderkey, false AS is_pad FROM b WHERE row_idx < 101 UNION ALL SELECT row_idx + 101, o_orderkey, true FROM b WHERE row_idx < 3 UNION ALL SELECT row_idx + 1000, o_orderkey, false FROM b WHERE row_idx < 101",
-    "so4_chunk": f"WITH {_BATCH} SELECT row_idx, CAST(row_idx // 12 AS INTEGER) AS chunk FROM b WHERE row_idx < 96",
-    "so5_fold": f"WITH {_BATCH} SELECT row_idx // 10 AS fold, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY row_idx) AS keys FROM b WHERE row_idx < 100 GROUP BY 1",
-    "so6_src13_minibatches": "WITH p AS (SELECT doc_id, e.range AS epoch, row_number() OVER (PARTITION BY e.range ORDER BY md5(doc_id || '/' || (5 + e.range)), doc_id) - 1 AS place, count(*) OVER (PARTITION BY e.range) AS n FROM documents, range(2) e WHERE doc_id < 100000) SELECT CAST(epoch AS INTEGER) AS epoch, CAST(place // 16 AS INTEGER) AS batch, place, doc_id FROM p WHERE place < n // 16 * 16",
+    "so3_pad_unpad": f"WITH {_BATCH} SELECT row_idx, o_orderkey, false AS is_pad FROM b UNION ALL SELECT row_idx + n, o_orderkey, true FROM b, (SELECT count(*) AS n FROM b) WHERE row_idx < (7 - n % 7) % 7 UNION ALL SELECT -row_idx - 1, o_orderkey, false FROM b",
+    "so4_chunk": f"WITH {_BATCH} SELECT i.range AS row_idx, CAST(i.range // ((n + 6) // 7) AS INTEGER) AS chunk FROM (SELECT count(*) AS n FROM b), range((SELECT (count(*) + 6) // 7 * 7 FROM b)) i",
+    "so5_fold": f"WITH {_BATCH} SELECT row_idx // 10 AS fold, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY row_idx) AS keys FROM b GROUP BY 1",
+    "so6_src13_minibatches": "WITH p AS (SELECT doc_id, e.range AS epoch, row_number() OVER (PARTITION BY e.range ORDER BY md5(doc_id || '/' || (5 + e.range)), doc_id) - 1 AS place, count(*) OVER (PARTITION BY e.range) AS n FROM documents, range(2) e) SELECT CAST(epoch AS INTEGER) AS epoch, CAST(place // 16 AS INTEGER) AS batch, place, doc_id FROM p WHERE place < n // 16 * 16",
 }

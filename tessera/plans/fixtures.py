@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Strings around the beginning of a document's text, by its id modulo their number.
+from tessera.sources.readers import spread
+
+#: Strings around a document's text, by its id modulo their number.
 AROUND = [
     ("```latex\n", "\n```"),
     ("Sure:\n```latex\n\\documentclass{article}\n\\begin{document}\n", "% cut"),
@@ -18,6 +20,7 @@ AROUND = [
     ("Think. Answer: $\\frac12$\nAnswer: ", " = 1,234 dollars"),
     ("<think> a </think> <answer>1</answer>", "\\boxed{7}"),
     ("! Undefined control sequence\n  l.3 \\foo\nFile `x' not found\n", "\n! Emergency stop\n"),
+    ("<think> \\boxed{3} </think> ", " so \\boxed{ \\frac{1}{2} } holds"),
 ]
 
 
@@ -25,9 +28,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, on all cores."""
+    return spread(table(spark, folder, "documents"))
+
+
 def samples(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id`` and ``tex``, a code sample of each document."""
-    docs = table(spark, folder, "documents").select("doc_id", F.substring("text", 1, 120).alias("part"))
+    docs = documents(spark, folder).select("doc_id", F.col("text").alias("part"))
     tex = None
     for k, (before, after) in enumerate(AROUND):
         tex = (F if tex is None else tex).when(F.col("doc_id") % len(AROUND) == k, F.concat(F.lit(before), "part", F.lit(after)))
@@ -39,4 +47,4 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-SAMPLES = "(SELECT doc_id, CASE " + " ".join(f"WHEN doc_id % {len(AROUND)} = {k} THEN {quoted(a)} || substr(text, 1, 120) || {quoted(b)}" for k, (a, b) in enumerate(AROUND)) + " END AS tex FROM documents)"
+SAMPLES = "(SELECT doc_id, CASE " + " ".join(f"WHEN doc_id % {len(AROUND)} = {k} THEN {quoted(a)} || text || {quoted(b)}" for k, (a, b) in enumerate(AROUND)) + " END AS tex FROM documents)"

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import maths as M
 from tessera.functions import text as T
 from tessera.operators import advantage as V
 from tessera.operators import balance as B
+from tessera.operators import dispatch as D
 from tessera.operators import external as E
 from tessera.operators import metrics as S
 from tessera.operators import relational as R
+from tessera.operators import rewards as W
 from tessera.operators.filters import row_numbers
 from tessera.plans.fixtures import SAMPLES, samples, table
+from tessera.plans.strings import extracted_sql as str1
 from tessera.sources import readers, writers
 from tessera.sources.scratch import kept, scratch_dir
 from tessera.streaming import resume
@@ -41,7 +48,12 @@ def counted(spark: SparkSession, folder: str) -> DataFrame:
 def strict(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_dir(spark)
     table(spark, folder, "documents").select("doc_id", "lang", F.col("n_chars").alias("n")).write.json(path)
-    return readers.jsonl(spark, path, _SCHEMA, "strict")
+    try:
+        readers.jsonl(spark, _jsonl(spark, folder), _SCHEMA, "strict").collect()
+        raised = False
+    except Exception:
+        raised = True
+    return readers.jsonl(spark, path, _SCHEMA, "strict").withColumn("bad_line_raises", F.lit(raised))
 
 
 def projected(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,21 +65,42 @@ def required_anti(spark: SparkSession, folder: str) -> DataFrame:
     return R.remaining(docs, table(spark, folder, "labels"), "doc_id")
 
 
+def _images(spark: SparkSession, folder: str) -> DataFrame:
+    """``k``, ``path`` and ``content``: image headers of four kinds, and bytes that are none."""
+    hexed = lambda c, n: F.lpad(F.hex(c), n, "0")
+    turned = lambda x, n: F.concat(*[F.substring(x, 2 * i + 1, 2) for i in reversed(range(n))])
+    k = F.col("p_partkey")
+    w, h = (k * 3 % 16000 + 1).cast("int"), ((k + 7) % 16000 + 1).cast("int")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(w, 8), hexed(h, 8))
+    jpeg = F.concat(F.lit("FFD8FFE00010" + "00" * 14 + "FFDB0003FFFFC2000B08"), hexed(h, 4), hexed(w, 4), F.lit("0301110002"))
+    riff = lambda kind: F.lit("52494646FFFFFFFF57454250" + kind.encode().hex())
+    extended = F.concat(riff("VP8X"), F.lit("0A00000000000000"), turned(hexed(w - 1, 6), 3), turned(hexed(h - 1, 6), 3))
+    lossless = F.concat(riff("VP8L"), F.lit("000000002F"), turned(hexed((w - 1).cast("long") + F.shiftleft((h - 1).cast("long"), 14), 8), 4))
+    plain = F.concat(riff("VP8 "), F.lit("0000000000000" + "09D012A"), turned(hexed(w, 4), 2), turned(hexed(h, 4), 2))
+    hexes = F.element_at(F.array(F.lit("00000D0A"), png, jpeg, extended, lossless, plain), (k % 6 + 1).cast("int"))
+    return table(spark, folder, "part").select(k.alias("k"), F.concat(F.lit("p"), k.cast("string")).alias("path"), F.unhex(hexes).alias("content"))
+
+
 def image_headers(spark: SparkSession, folder: str) -> DataFrame:
-    hexed = lambda c: F.lpad(F.hex(c), 8, "0")
-    k = F.col("p_partkey").cast("int")
-    content = F.unhex(F.concat(F.when(k % 9 == 0, "00000000").otherwise("89504E47"), F.lit("0D0A1A0A0000000D49484452"), hexed(k * 3), hexed(k + 7)))
-    return table(spark, folder, "part").select("p_partkey", readers.png_size(content).alias("s")).select("p_partkey", "s.w", "s.h")
+    return _images(spark, folder).select("k", readers.image_size(F.col("content")).alias("s")).select("k", "s.w", "s.h")
+
+
+def bad_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Records without an id or path don't count; files that aren't there or are no image are bad."""
+    k = F.col("p_partkey")
+    records = table(spark, folder, "part").select(F.when(k % 11 == 0, "x").otherwise(k.cast("string")).alias("id"), F.when(k % 10 == 0, "").otherwise(F.concat(F.lit("p"), k.cast("string"))).alias("image_path"))
+    return readers.image_counts(records, _images(spark, folder).where("k % 7 <> 0"))
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """Stems of a folder's files and whether each has a text."""
     path = scratch_dir(spark)
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    nations.repartition(8, "n_nationkey").select(F.col("n_name").alias("value"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id")).write.partitionBy("id").text(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "id=([^/]*)/", 1).alias("id"), F.trim(F.col("content").cast("string"), F.lit("\n")).alias("text")).where("id <> ''")
+    nations.repartitionByRange(25, "n_nationkey").select("n_name").write.text(path)
+    found = readers.files(spark, path, ".txt").select("id", F.trim(F.col("content").cast("string"), F.lit("\n")).alias("text"))
+    named = found.join(nations, found.text == nations.n_name).select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.when(F.col("id").startswith("part-"), F.col("text")).alias("text"))
     wanted = nations.select(F.concat(F.lit("n"), (F.col("n_nationkey") * 2).cast("string")).alias("id"))
-    return readers.texts(wanted, found)
+    return readers.texts(wanted, named)
 
 
 def stems(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,6 +120,68 @@ def corpus_loader(spark: SparkSession, folder: str) -> DataFrame:
     return readers.corpus(s, 10, tex=True).groupBy(F.length("text").alias("n")).count()
 
 
+def text_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples in text files with empty lines between; the parts that look like TeX."""
+    path = scratch_dir(spark)
+    samples(spark, folder).select("tex").write.option("lineSep", "\n\n").text(path)
+    return readers.blocks(spark, path).groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).count()
+
+
+def line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Without any TeX, runs of lines that aren't blank."""
+    path = scratch_dir(spark)
+    table(spark, folder, "nation").select(F.concat("n_name", F.lit(" first line\nsecond\n \t\n"), F.when(F.col("n_nationkey") % 2 == 0, "short").otherwise("a longer third line"))).write.option("lineSep", "\n\n").text(path)
+    return readers.blocks(spark, path)
+
+
+def json_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON lines whose text is in one of several fields, or in none."""
+    path = scratch_dir(spark)
+    k = F.col("doc_id")
+    table(spark, folder, "documents").select(F.when(k % 4 == 0, F.col("text")).alias("response"), F.when(k % 4 == 1, "").otherwise(F.col("lang")).alias("content"), F.when(k % 8 == 0, "").alias("code")).write.json(path)
+    return readers.json_corpus(spark, path).groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).count()
+
+
+def shared_chats(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as arrays of messages with names of their own, through the registry."""
+    path = scratch_dir(spark)
+    turn = F.struct("turn", F.struct(F.when(F.col("role") == "system", "user").otherwise(F.col("role")).alias("role"), F.col("text").alias("said")).alias("m"))
+    chats = table(spark, folder, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(turn)), lambda t: t.m).alias("talk"))
+    chats.withColumn("system", F.when(F.col("conv_id") % 2 == 0, "Be brief.")).write.parquet(f"{path}/sets/talks/test")
+    tags = {"role_tag": "role", "content_tag": "said", "user_tag": "user", "assistant_tag": "assistant"}
+    config = {"talks": {"file_name": "talks", "folder": f"{path}/sets", "split": "test", "formatting": "sharegpt", "columns": {"messages": "talk"}, "tags": tags}}
+    out = readers.read(spark, readers.registry(config)["talks"])
+    return out.select("conv_id", F.posexplode("messages").alias("place", "m")).select("conv_id", "place", "m.role", "m.content")
+
+
+def template_file(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_dir(spark)
+    spark.createDataFrame([("Question: {content}\n{<|image_pad|>}",)], "value string").coalesce(1).write.text(f"{path}/plain.txt")
+    text = readers.template(spark, path, "plain")
+    try:
+        readers.template(spark, path, "absent")
+        raised = False
+    except FileNotFoundError:
+        raised = True
+    c = table(spark, folder, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", T.filled(text.rstrip("\n"), content=F.col("text")).alias("prompt"), F.lit(readers.uses_image(text)).alias("image"), F.lit(raised).alias("absent_raises"))
+
+
+def fanned_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_dir(spark)
+    writers.fan_out(table(spark, folder, "nation").select(F.concat(F.lit("n/"), F.col("n_nationkey").cast("string")).alias("id"), F.concat("n_name", F.lit("\nline")).alias("content")), path)
+    return writers.fanned(spark, path)
+
+
+def generation_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as generation samples in two steps of one log; how often each line stands there."""
+    path = scratch_dir(spark)
+    c = table(spark, folder, "conversations").select(F.col("turn"), F.col("role").alias("prompt"), F.col("text").alias("output"), F.col("conv_id").cast("string").alias("ground_truth"), (F.col("turn") / 4).alias("score"))
+    for half in (0, 1):
+        writers.sample_log(c.where(f"turn % 2 = {half}"), path)
+    return spark.read.option("lineSep", "\n").text(path).groupBy("value").count()
+
+
 def registered(spark: SparkSession, folder: str) -> DataFrame:
     config = {"pages": {"file_name": f"{folder}/conversations.parquet", "columns": {"prompt": "role", "query": "text", "response": "role"}}}
     entry = readers.registry(config)["pages"]
@@ -96,7 +191,7 @@ def registered(spark: SparkSession, folder: str) -> DataFrame:
 
 def chat_parts(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "conversations")
-    text = F.concat(F.when(F.col("turn") % 2 == 0, "<image>").otherwise(""), F.substring("text", 1, 20), F.lit("<video>end"))
+    text = F.concat(F.when(F.col("turn") % 2 == 0, "<image>").otherwise(""), F.col("text"), F.lit("<video>end"))
     parts = F.transform(readers.messages(text), lambda p: F.concat_ws(":", p.type, p.text))
     return c.select("conv_id", "turn", F.array_join(parts, "|").alias("parts"))
 
@@ -134,14 +229,14 @@ def sorted_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def validated(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_dir(spark)
-    writers.validated(samples(spark, folder).select(F.col("doc_id").alias("id"), F.substring("tex", 1, 8).alias("image_bytes"), F.col("tex").alias("code")), path)
+    writers.validated(samples(spark, folder).select(F.col("doc_id").alias("id"), F.col("tex").alias("image_bytes"), F.col("tex").alias("code")), path)
     back = spark.read.parquet(path)
     return back.select("id", F.hex("image.bytes").alias("bytes"), F.col("image.path").alias("path"), F.length("code").alias("n"))
 
 
 def summarised(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
-    return writers.summary(docs)
+    docs = table(spark, folder, "documents").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"), F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("lang") == "de").alias("de"))
+    return writers.report(docs, {"languages": ["en", "de"]})
 
 
 def merged_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,9 +250,14 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flattened(spark: SparkSession, folder: str) -> DataFrame:
-    flat = writers.flattened({"reward": {"mean": 1.5, "max": {"all": 2.0}}, "step": 3.0})
-    rows = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in flat.items()]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """Nested metrics of the documents, logged by language and read again."""
+    path = scratch_dir(spark)
+    log = writers.MetricLog.open("file", spark, path)
+    found = table(spark, folder, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"), F.min("n_chars").alias("shortest")).orderBy("lang").collect()
+    for step, r in enumerate(found):
+        log.log({"length": {"max": r.longest, "bounds": {"min": r.shortest}}, "n": r.n}, step)
+    back = spark.read.schema("step INT, metrics MAP<STRING, DOUBLE>").json(path)
+    return back.select("step", F.explode("metrics").alias("key", "value"))
 
 
 def rendered(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,20 +286,38 @@ def deduped_calls(spark: SparkSession, folder: str) -> DataFrame:
     return E.once(docs, ["prompt"], call)
 
 
-def balanced(spark: SparkSession, folder: str) -> DataFrame:
-    """Sums of sets of equal size in groups of 64 documents: how far apart they are, and that nothing is lost."""
+def _by_64(spark: SparkSession, folder: str) -> DataFrame:
     docs = row_numbers(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id")
-    whole = docs.withColumn("g", F.floor(F.col("row_idx") / 64)).where(F.col("g") < F.lit(docs.count() // 64))
-    parts = B.balanced(whole, "n_chars", 8, group="g", equal=True).groupBy("g", "part").agg(F.sum("n_chars").alias("s"), F.count("*").alias("n"))
-    return parts.groupBy("g").agg(F.sum("n").alias("docs"), F.max("n").alias("most"), F.count("*").alias("parts"))
+    return docs.withColumn("g", F.floor(F.col("row_idx") / 64))
+
+
+def balanced(spark: SparkSession, folder: str) -> DataFrame:
+    """Sets of equal size in groups of 64 documents, the last one filled up: that nothing is lost, and that no two sums differ by more than the longest document, as the method promises."""
+    whole = R.padded(_by_64(spark, folder).drop("g"), 64).withColumn("g", F.floor(F.col("row_idx") / 64))
+    parts = B.balanced(whole, "n_chars", 8, group="g", equal=True).groupBy("g", "part").agg(F.sum("n_chars").alias("s"), F.count("*").alias("n"), F.max("n_chars").alias("long"), F.min("n_chars").alias("short"))
+    return parts.groupBy("g").agg(F.sum("n").alias("docs"), F.sum("s").alias("chars"), F.max("n").alias("most"), F.count("*").alias("parts"), (F.max("s") - F.min("s") <= F.max("long")).alias("even"))
 
 
 def micro(spark: SparkSession, folder: str) -> DataFrame:
-    """One batch of 64 documents in micro-batches by tokens, then back in place."""
-    first = [r["n_chars"] for r in table(spark, folder, "documents").orderBy("doc_id").limit(64).select("n_chars").collect()]
-    sets = B.micro_batches(first, 30_000)
-    back = B.restored([first[i] for s in sets for i in s], sets)
-    return R.from_columns(spark, {"n": back}).select("row_idx", F.col("n").cast("bigint").alias("n_chars"))
+    """Groups of 64 documents in micro-batches by tokens: their number, that the heaviest comes first, that sums differ by no more than the longest; and that putting the sets behind each other and the inverse order give every row its place again."""
+    docs = _by_64(spark, folder)
+    most = 2 * docs.agg(F.max("n_chars")).first()[0]
+    sets = kept(B.dealt(docs, "n_chars", lambda lengths: B.micro_batches(lengths, most), group="g"))
+    sums = sets.groupBy("g", "part").agg(F.sum("n_chars").alias("s"), F.sum(F.col("n_chars") * F.col("n_chars")).alias("q"), F.max("n_chars").alias("long"), F.count("*").alias("n"))
+    falls = F.collect_list(F.struct("part", "q"))
+    order = F.transform(F.sort_array(falls), lambda x: x.q)
+    out = sums.groupBy("g").agg(F.count("*").alias("parts"), F.sum("n").alias("docs"), (order == F.sort_array(order, False)).alias("heaviest_first"), (F.max("s") - F.min("s") <= F.max("long")).alias("even"))
+    placed = B.ordered(sets.withColumn("part", F.col("g") * 64 + F.col("part")))
+    back = R.reordered(R.reordered(placed.select("row_idx", "new_idx", F.col("row_idx").alias("was")), placed.select("row_idx", "new_idx")).drop("new_idx"), R.inverse(placed.select("row_idx", "new_idx")))
+    right = back.groupBy(F.floor(F.col("row_idx") / 64).alias("g")).agg(F.count_if(F.col("row_idx") == F.col("was")).alias("restored"))
+    return out.join(right, "g")
+
+
+def imbalance(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of eight runs of the documents as they come, and of eight sets by turns of the greedy rule."""
+    docs = _by_64(spark, folder)
+    found = B.imbalance(B.dealt(docs.where("g = 0"), "n_chars", lambda lengths: B.greedy(lengths, 8)), "n_chars", 8)
+    return found.withColumn("mean", F.round("mean", 6))
 
 
 def streamed(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,10 +345,8 @@ def tex_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def greedy(spark: SparkSession, folder: str) -> DataFrame:
-    """One batch of 64 documents, each in turn to the lightest of eight sets."""
-    lengths = [r["n_chars"] for r in table(spark, folder, "documents").orderBy("doc_id").limit(64).select("n_chars").collect()]
-    sets = B.greedy(lengths, 8)
-    return R.from_columns(spark, {"docs": [len(x) for x in sets], "chars": [sum(lengths[i] for i in x) for x in sets]})
+    """Groups of 64 documents, each in turn to the lightest of eight sets."""
+    return B.dealt(_by_64(spark, folder), "n_chars", lambda lengths: B.greedy(lengths, 8), group="g").select("doc_id", "part")
 
 
 def appended_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,19 +363,26 @@ def appended_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def saved_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """A batch saved and read again, with its sizes checked."""
+    """A batch saved and read again, with its sizes checked; whether unequal ones raise."""
     turns = table(spark, folder, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    return kept(turns).select("conv_id", F.size(R.equal_sizes(F.col("turns"), F.transform("turns", lambda t: t + 1))).alias("n"))
+    back = kept(turns)
+    try:
+        back.select(R.equal_sizes(F.col("turns"), F.slice("turns", 2, 100))).collect()
+        raised = False
+    except Exception:
+        raised = True
+    return back.select("conv_id", F.size(R.equal_sizes(F.col("turns"), F.transform("turns", lambda t: t + 1))).alias("n"), F.lit(raised).alias("unequal_raises"))
 
 
 def kl_controllers(spark: SparkSession, folder: str) -> DataFrame:
-    """The coefficients of both controllers over five steps of divergence."""
+    """The coefficients of both controllers over steps of divergence, one a nation."""
     fixed, adaptive, rows = V.FixedKL(0.1), V.AdaptiveKL(0.1, 0.05, 1000), []
-    for step, kl in enumerate((0.02, 0.05, 0.1, 0.2, 0.01)):
-        fixed.update(kl, 64)
-        adaptive.update(kl, 64)
-        rows.append(F.struct(F.lit(step).alias("step"), F.lit(fixed.coef).alias("fixed"), F.round(F.lit(adaptive.coef), 9).alias("adaptive")))
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    steps = table(spark, folder, "nation").select(F.col("n_nationkey").alias("step"), (F.col("n_regionkey") / 40 + 0.01).alias("kl")).orderBy("step").collect()
+    for r in steps:
+        fixed.update(r.kl, 64)
+        adaptive.update(r.kl, 64)
+        rows.append((r.step, fixed.coef, round(adaptive.coef, 9)))
+    return spark.createDataFrame(rows, "step long, fixed double, adaptive double")
 
 
 #: Wrappers of a question by model family; ``{content}`` stands for the question.
@@ -268,7 +391,54 @@ FAMILIES = {"plain": "{content}", "instruct": "[INST] {content} [/INST]", "named
 
 def model_templates(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "conversations").where("role = 'user'")
-    return c.select("conv_id", "turn", *[T.filled(t, content=F.substring("text", 1, 30)).alias(n) for n, t in FAMILIES.items()])
+    return c.select("conv_id", "turn", *[T.filled(t, content=F.col("text")).alias(n) for n, t in FAMILIES.items()])
+
+
+def lazy_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches joined, cut and picked from without a computation until the end; the picked chunk collated."""
+    b = row_numbers(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
+    both = R.concatenated([b, b.withColumn("row_idx", F.col("row_idx") + b.count())])
+    chunk = R.split(both, 300).where("chunk % 2 = 1").select("row_idx", "o_orderkey")
+    out = R.collated(chunk, 50)
+    return out.select("batch", F.array_join(F.col("o_orderkey").cast("array<string>"), ",").alias("keys"), F.size("row_idx").alias("n"))
+
+
+def dispatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations to five workers: all to all of them, and in equal runs whose sums come together."""
+    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("row_idx"), F.col("n_regionkey").alias("x"))
+    def work(run):
+        return run.assign(x=run["x"].sum())
+
+    every = D.one_to_all(nations, 5).select("row_idx", F.col("worker").cast("long").alias("x"), F.lit("all").alias("mode"))
+    each = D.data_parallel(nations, 5, work, "row_idx long, x long").select("row_idx", "x", F.lit("runs").alias("mode"))
+    own = D.all_to_all(nations, 25).select("row_idx", F.col("worker").cast("long").alias("x"), F.lit("own").alias("mode"))
+    return every.union(each).union(own)
+
+
+def learning_rates(spark: SparkSession, folder: str) -> DataFrame:
+    step = F.col("p_partkey")
+    return table(spark, folder, "part").select("p_partkey", F.round(M.warmup_constant(step, 50), 9).alias("constant"), F.round(M.warmup_cosine(step, 50, 150, 0.1, 0.5, 0.2), 9).alias("cosine"))
+
+
+def reward_file(spark: SparkSession, folder: str) -> DataFrame:
+    """A reward that a Python file defines, over every turn; equal records are scored once."""
+    with tempfile.TemporaryDirectory() as place:  # read by the driver alone
+        file = Path(place) / "length_reward.py"
+        file.write_text(REWARD_FILE, encoding="utf-8")
+        W.loaded(str(file), "score")
+    c = table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("response"), F.col("role").alias("ground_truth"))
+    return W.scored(c, "length").select("conv_id", "turn", "reward.overall", "reward.accuracy")
+
+
+#: A reward as a user writes it.
+REWARD_FILE = """
+REWARD_NAME, REWARD_TYPE = "length", "sequential"
+
+
+def score(record):
+    n = len(record["response"])
+    return {"overall": n / 100, "format": 1.0, "accuracy": float(record["ground_truth"] == "user")}
+"""
 
 
 def second_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -286,7 +456,20 @@ QUERIES = {
     "src5_projected_parquet": projected,
     "src6_required_anti": required_anti,
     "src7_image_headers": image_headers,
+    "src2_bad_images": bad_images,
     "src8_src9_listing_texts": listing,
+    "src11_text_blocks": text_blocks,
+    "src11_line_blocks": line_blocks,
+    "src11_json_texts": json_texts,
+    "src12_shared_chats": shared_chats,
+    "src15_template_file": template_file,
+    "snk9_fanned_files": fanned_files,
+    "snk15_generation_log": generation_log,
+    "ag15_imbalance": imbalance,
+    "so7_so8_lz1_lazy_chunks": lazy_chunks,
+    "ux3_dispatched": dispatched,
+    "mt14_learning_rates": learning_rates,
+    "ux1_reward_file": reward_file,
     "src8_stems": stems,
     "src10_dataset_resolver": resolved,
     "src11_corpus_loader": corpus_loader,
@@ -315,35 +498,56 @@ QUERIES = {
     "str30_model_templates": model_templates,
     "ux6_jn5_second_answers": second_answers,
 }
+#: Groups of 64 documents dealt in turn to the lightest of eight sets.
+_GREEDY = """WITH RECURSIVE docs AS (SELECT doc_id, n_chars, k // 64 AS g, k % 64 AS i FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents)),
+  r AS (SELECT g, CAST(-1 AS BIGINT) AS i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS sums, CAST(-1 AS BIGINT) AS part FROM docs WHERE i = 0
+    UNION ALL SELECT r.g, docs.i, list_transform(range(1, 9), lambda j: sums[j] + CASE WHEN j = list_position(sums, list_min(sums)) THEN n_chars ELSE 0 END), list_position(sums, list_min(sums)) - 1 FROM r JOIN docs ON docs.g = r.g AND docs.i = r.i + 1)"""
 _DOC = "SELECT doc_id, lang, n_chars AS n FROM documents"
 ORACLE = {
     "src1_tolerant_jsonl": _DOC,
     "src2_counting_jsonl": "SELECT count(*) + count(*) FILTER (doc_id % 20 = 10) AS scanned, count(*) FILTER (doc_id % 20 = 10) AS bad_json FROM documents",
-    "src3_strict_jsonl": _DOC,
+    "src3_strict_jsonl": _DOC.replace(" FROM", ", true AS bad_line_raises FROM"),
     "src5_projected_parquet": "SELECT doc_id, lang FROM documents",
     "src6_required_anti": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "src7_image_headers": "SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_partkey * 3 AS INTEGER) END AS w, CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_partkey + 7 AS INTEGER) END AS h FROM part",
+    "src7_image_headers": "SELECT p_partkey AS k, CASE WHEN p_partkey % 6 <> 0 THEN CAST(p_partkey * 3 % 16000 + 1 AS INTEGER) END AS w, CASE WHEN p_partkey % 6 <> 0 THEN CAST((p_partkey + 7) % 16000 + 1 AS INTEGER) END AS h FROM part",
+    "src2_bad_images": "SELECT count(*) AS with_image, count(*) FILTER (p_partkey % 6 = 0 OR p_partkey % 7 = 0) AS bad_image FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 10 <> 0",
     "src8_src9_listing_texts": "SELECT 'n' || (a.n_nationkey * 2) AS id, coalesce(b.n_name, '') AS text FROM nation a LEFT JOIN nation b ON b.n_nationkey = a.n_nationkey * 2",
     "src8_stems": r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)\z', 1), '\.[^.]*\z', '') AS stem FROM pages",
     "src10_dataset_resolver": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'train' ELSE 'test' END AS split FROM customer",
-    "src11_corpus_loader": f"SELECT CAST(length(tex) AS INTEGER) AS n, count(*) AS count FROM {SAMPLES} s WHERE length(tex) > 10 AND contains(tex, '\\') GROUP BY 1",
+    "src11_corpus_loader": f"SELECT CAST(length(tex) AS INTEGER) AS n, count(*) AS count FROM {SAMPLES} s WHERE length(tex) > 10 AND (contains(tex, '\\') OR contains(lower(tex), 'tikz') OR contains(lower(tex), 'document')) GROUP BY 1",
+    "src11_text_blocks": f"SELECT md5(p) AS digest, count(*) AS count FROM (SELECT regexp_replace(unnest(string_split(tex, chr(10) || chr(10))), '\\A\\s+|\\s+\\z', '', 'g') AS p FROM {SAMPLES} s) WHERE length(p) > 10 AND (contains(p, '\\') OR contains(lower(p), 'tikz') OR contains(lower(p), 'document')) GROUP BY 1",
+    "src11_line_blocks": "SELECT n_name || ' first line' || chr(10) || 'second' AS text FROM nation UNION ALL SELECT 'a longer third line' FROM nation WHERE n_nationkey % 2 = 1",
+    "src11_json_texts": "SELECT md5(t) AS digest, count(*) AS count FROM (SELECT CASE WHEN doc_id % 4 = 0 AND text <> '' THEN text WHEN doc_id % 4 <> 1 AND lang <> '' THEN lang END AS t FROM documents) WHERE t IS NOT NULL GROUP BY 1",
     "src12_dataset_registry": "SELECT conv_id, turn, role || CASE WHEN text <> '' THEN chr(10) || text ELSE '' END AS user, role AS assistant FROM conversations".replace("AS user", 'AS "user"'),
-    "src14_chat_parts": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'image|' ELSE '' END || 'text:' || substr(text, 1, 20) || '|video|text:end' AS parts FROM conversations",
+    "src12_shared_chats": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY t) - 1 AS INTEGER) AS place, role, content FROM (SELECT conv_id, turn AS t, CASE WHEN role = 'system' THEN 'user' ELSE role END AS role, text AS content FROM conversations UNION ALL SELECT DISTINCT conv_id, -1, 'system', 'Be brief.' FROM conversations WHERE conv_id % 2 = 0)",
+    "src15_template_file": "SELECT conv_id, turn, 'Question: ' || text || chr(10) || '{<|image_pad|>}' AS prompt, true AS image, true AS absent_raises FROM conversations WHERE role = 'user'",
+    "snk9_fanned_files": "SELECT 'n_' || n_nationkey AS id, n_name || chr(10) || 'line' AS content FROM nation",
+    "snk15_generation_log": "SELECT value, count(*) AS count FROM (SELECT unnest(string_split('[prompt] ' || role || chr(10) || '[output] ' || text || chr(10) || '[ground_truth] ' || conv_id || chr(10) || '[score] ' || CAST(turn / 4 AS DOUBLE) || chr(10), chr(10))) AS value FROM conversations) GROUP BY value",
+    "so7_so8_lz1_lazy_chunks": "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders), b AS (SELECT i, o_orderkey FROM o UNION ALL SELECT i + n, o_orderkey FROM o) SELECT i // 50 AS batch, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY i) AS keys, CAST(count(*) AS INTEGER) AS n FROM b WHERE i // 300 % 2 = 1 GROUP BY 1",
+    "ux3_dispatched": "SELECT n_nationkey AS row_idx, w.range AS x, 'all' AS mode FROM nation, range(5) w UNION ALL SELECT n_nationkey, CAST(sum(n_regionkey) OVER (PARTITION BY n_nationkey // 5) AS BIGINT), 'runs' FROM nation UNION ALL SELECT n_nationkey, n_nationkey, 'own' FROM nation",
+    "mt14_learning_rates": "SELECT p_partkey, round(CASE WHEN p_partkey < 50 THEN p_partkey / 50 ELSE 1.0::DOUBLE END, 9) AS constant, round(CASE WHEN p_partkey < 50 THEN 0.2 + 0.8 * p_partkey / 50 ELSE greatest(0.1::DOUBLE, cos(pi() * (p_partkey - 50) / 100) * 0.45 + 0.55) END, 9) AS cosine FROM part",
+    "ux1_reward_file": "SELECT conv_id, turn, length(text) / 100 AS overall, CAST(role = 'user' AS DOUBLE) AS accuracy FROM conversations",
+    "ag15_imbalance": f"{_GREEDY}, d AS (SELECT n_chars, i, part FROM docs JOIN r USING (g, i) WHERE g = 0), p AS (SELECT sum(n_chars) AS s FROM d GROUP BY i // greatest((SELECT count(*) FROM d) // 8, 1)), e AS (SELECT sum(n_chars) AS s FROM d GROUP BY part) SELECT CAST(min(s) AS BIGINT) AS min, CAST(max(s) AS BIGINT) AS max, CAST(max(s) - min(s) AS BIGINT) AS minmax_diff, round(sum(s) / 8, 6) AS mean, (SELECT CAST(min(s) AS BIGINT) FROM e) AS balanced_min, (SELECT CAST(max(s) AS BIGINT) FROM e) AS balanced_max FROM p",
+    "bl3_greedy": f"{_GREEDY} SELECT doc_id, CAST(part AS INTEGER) AS part FROM docs JOIN r USING (g, i)",
+    "ux4_rendered": f"SELECT id, ok, CASE WHEN NOT ok THEN '! Missing document' END AS error FROM (SELECT doc_id AS id, contains(c, '\\begin{{document}}') AND contains(c, '\\end{{document}}') AS ok FROM (SELECT doc_id, {str1('tex')} AS c FROM {SAMPLES} s))",
+    "ux5_repair_loop": f"SELECT id, CASE WHEN contains(lower(w), '\\documentclass') AND regexp_matches(w, '(?i)\\\\begin\\s*\\{{document\\}}') AND regexp_matches(w, '(?i)\\\\end\\s*\\{{document\\}}') THEN 'ok' ELSE 'not_complete_doc' END AS status FROM (SELECT id, CASE WHEN contains(c, '\\documentclass') THEN c ELSE '\\documentclass \\begin{{document}} ' || c || ' \\end{{document}}' END AS w FROM (SELECT doc_id AS id, trim(substr(tex, 1, 10000), '`' || chr(10)) AS c FROM {SAMPLES} s WHERE doc_id NOT IN (SELECT doc_id FROM labels)))",
+    "ux7_ux8_deduped_calls": f"SELECT doc_id, lang AS prompt, CAST({len(E.StubGenerator().generate(''))} + length(coalesce(lang, '')) AS INTEGER) AS n FROM documents",
+    "src14_chat_parts": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'image|' ELSE '' END || CASE WHEN text <> '' THEN 'text:' || text || '|' ELSE '' END || 'video|text:end' AS parts FROM conversations",
     "str37_api_messages": "SELECT conv_id, turn, role || chr(10) || chr(10) || 'One block.' AS text, 'data:x' AS url FROM conversations",
     "snk1_snk3_snk8_snk10_sinks": "SELECT s.sink, doc_id AS id FROM documents, (SELECT unnest(['ids', 'jsonl', 'csv']) AS sink) s UNION ALL SELECT CASE WHEN doc_id % 4 <> 0 THEN 'success' ELSE 'failed' END, doc_id FROM documents",
     "snk2_sorted_ids": "SELECT DISTINCT doc_id % 50 AS id FROM documents WHERE doc_id % 3 <> 0 ORDER BY 1",
-    "snk6_validated_parquet": f"SELECT CAST(doc_id AS VARCHAR) AS id, hex(substr(tex, 1, 8)) AS bytes, doc_id || '.png' AS path, CAST(length(tex) AS INTEGER) AS n FROM {SAMPLES} s",
-    "snk12_summary": """SELECT '{"n":' || count(*) || ',"longest":' || max(n_chars) || '}' AS summary FROM documents""",
+    "snk6_validated_parquet": f"SELECT CAST(doc_id AS VARCHAR) AS id, hex(tex) AS bytes, doc_id || '.png' AS path, CAST(length(tex) AS INTEGER) AS n FROM {SAMPLES} s",
+    "snk12_summary": """SELECT '{"n":' || count(*) || ',"longest":' || max(n_chars) || ',"languages":{"en":' || count(*) FILTER (lang = 'en') || ',"de":' || count(*) FILTER (lang = 'de') || '}}' AS summary FROM documents""",
     "snk13_merged_parts": "SELECT doc_id, lang FROM documents",
-    "snk14_flattened_metrics": "SELECT * FROM (VALUES ('reward/mean', 1.5::DOUBLE), ('reward/max/all', 2.0), ('step', 3.0)) v(key, value)",
+    "snk14_flattened_metrics": "WITH m AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS INTEGER) AS step, count(*) AS n, max(n_chars) AS a, min(n_chars) AS b FROM documents GROUP BY lang) SELECT step, 'n' AS key, CAST(n AS DOUBLE) AS value FROM m UNION ALL SELECT step, 'length/max', a FROM m UNION ALL SELECT step, 'length/bounds/min', b FROM m",
     "snk17_manifest_retention": "WITH r AS (SELECT o_orderkey AS step, round(o_totalprice, 2) AS reward, row_number() OVER (ORDER BY o_orderkey DESC) AS a, row_number() OVER (ORDER BY round(o_totalprice, 2) DESC, o_orderkey DESC) AS b FROM orders) SELECT step, reward FROM r WHERE a <= 3 OR b = 1",
-    "bl1_bl2_bl5_balanced": "SELECT g.range AS g, CAST(64 AS BIGINT) AS docs, CAST(8 AS BIGINT) AS most, CAST(8 AS BIGINT) AS parts FROM (SELECT count(*) AS n FROM documents), range(0, (SELECT count(*) // 64 FROM documents)) g",
-    "bl4_micro_batches": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, n_chars FROM (SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 64)",
+    "bl1_bl2_bl5_balanced": "WITH d AS (SELECT n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), p AS (SELECT i, n_chars FROM d UNION ALL SELECT i + n, n_chars FROM d WHERE i < (64 - n % 64) % 64) SELECT i // 64 AS g, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(8 AS BIGINT) AS most, CAST(8 AS BIGINT) AS parts, true AS even FROM p GROUP BY 1",
+    "bl4_micro_batches": "WITH d AS (SELECT n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS g, 2 * max(n_chars) OVER () AS most FROM documents) SELECT g, least(count(*), CAST(ceil(sum(n_chars) / any_value(most)) AS BIGINT)) AS parts, count(*) AS docs, true AS heaviest_first, true AS even, count(*) AS restored FROM d GROUP BY g",
     "sx1_sx2_resumed_stream": "SELECT event_id AS id, event_type, CAST(length(event_type) AS INTEGER) AS n FROM events",
     "snk4_snk5_snk7_appended_answers": "SELECT doc_id AS id, CASE WHEN doc_id % 6 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 6 <> 0 THEN 'plain' ELSE 'no prompt' END AS prompt_name, CAST(doc_id % 6 <> 0 AS INTEGER) AS n FROM documents",
-    "snk16_ck3_saved_batch": "SELECT conv_id, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY conv_id",
-    "mt8_kl_controllers": "SELECT * FROM (VALUES (0, 0.1::DOUBLE, round(0.1::DOUBLE * 0.9872, 9)), (1, 0.1, round(0.1::DOUBLE * 0.9872, 9)), (2, 0.1, round(0.1::DOUBLE * 0.9872 * 1.0128, 9)), (3, 0.1, round(0.1::DOUBLE * 0.9872 * 1.0128 * 1.0128, 9)), (4, 0.1, round(0.1::DOUBLE * 0.9872 * 1.0128 * 1.0128 * 0.9872, 9))) v(step, fixed, adaptive)",
-    "str30_model_templates": "SELECT conv_id, turn, substr(text, 1, 30) AS plain, '[INST] ' || substr(text, 1, 30) || ' [/INST]' AS instruct, '<|user|>' || chr(10) || substr(text, 1, 30) || chr(10) || '<|assistant|>' || chr(10) AS named FROM conversations WHERE role = 'user'",
+    "snk16_ck3_saved_batch": "SELECT conv_id, CAST(count(*) AS INTEGER) AS n, true AS unequal_raises FROM conversations GROUP BY conv_id",
+    "mt8_kl_controllers": "SELECT n_nationkey AS step, 0.1::DOUBLE AS fixed, round(0.1 * exp(sum(ln(1 + greatest(-0.2, least(0.2, (n_regionkey / 40 + 0.01) / 0.05 - 1)) * 0.064)) OVER (ORDER BY n_nationkey)), 9) AS adaptive FROM nation",
+    "str30_model_templates": "SELECT conv_id, turn, text AS plain, '[INST] ' || text || ' [/INST]' AS instruct, '<|user|>' || chr(10) || text || chr(10) || '<|assistant|>' || chr(10) AS named FROM conversations WHERE role = 'user'",
     "ux6_jn5_second_answers": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 4 = 1 AS asked FROM documents",
     "extension_tumbling_windows": "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
 }

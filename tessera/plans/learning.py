@@ -11,7 +11,7 @@ from tessera.functions import text as T
 from tessera.operators import advantage as V
 from tessera.operators import metrics as S
 from tessera.operators import rewards as W
-from tessera.plans.fixtures import AROUND, SAMPLES, samples, table
+from tessera.plans.fixtures import AROUND, SAMPLES, documents, samples, table
 
 #: Responses: sixteen events in order of their ids each; four responses of a group.
 _ROLL = """tok AS (SELECT event_id // 16 AS row_idx, event_id // 64 AS uid, event_id % 16 AS t, round(value, 2) AS r, (event_id % 7) / 10.0 AS v, CAST(event_id % 5 <> 3 AS INTEGER) AS m,
@@ -91,7 +91,7 @@ def masks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ngram_windows(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", F.slice(T.tokens(F.col("text")), 1, 20).alias("t"))
+    docs = documents(spark, folder).select("doc_id", T.tokens(F.col("text")).alias("t"))
     grams = F.transform(A.padded_ngrams(F.col("t"), 3, "<s>"), lambda g: F.array_join(g, " "))
     return docs.select("doc_id", F.array_join(grams, "|").alias("grams"))
 
@@ -128,7 +128,10 @@ def group_stats(spark: SparkSession, folder: str) -> DataFrame:
 def divergences(spark: SparkSession, folder: str) -> DataFrame:
     df = responses(spark, folder)
     each = [F.round(A.total(A.kl(F.col("log_probs"), F.col("old_log_probs"), k)), 5).alias(k) for k in ("kl", "abs", "mse", "low_var_kl")]
-    return df.select("row_idx", *each)
+    size = 4  # the values of a row by fours, as the distributions of its tokens
+    rows = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(c) / size) - 1, F.lit(0)).cast("int")), lambda k: F.slice(c, k * size + 1, F.lit(size)))
+    full = F.round(A.total(A.kl(rows("log_probs"), rows("old_log_probs"), "full")), 5).alias("full")
+    return df.where(F.size("log_probs") >= size).select("row_idx", *each, full)
 
 
 def shaped_rewards(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,12 +191,13 @@ def cosines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return docs.select("doc_id", F.slice(T.tokens(F.substring("text", 1, 400)), 1, 40).alias("ref"), F.slice(T.tokens(F.substring("text", 1, 400)), F.lit(1) + (F.col("doc_id") % 4).cast("int"), F.lit(36)).alias("hyp"))
+    docs = documents(spark, folder)
+    words = docs.select("doc_id", T.tokens(F.col("text")).alias("ref"))
+    return words.withColumn("hyp", F.slice("ref", F.lit(1) + (F.col("doc_id") % 4).cast("int"), F.greatest(F.size("ref") - 4, F.lit(0))))
 
 
-_TOK = r"list_filter(regexp_split_to_array(lower(substr(text, 1, 400)), '\s+'), lambda w: w <> '')"
-_PAIRS = f"pr AS (SELECT doc_id, list_slice({_TOK}, 1, 40) AS ref, list_slice({_TOK}, 1 + doc_id % 4, 36 + doc_id % 4) AS hyp FROM documents)"
+_TOK = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')"
+_PAIRS = f"pr AS (SELECT doc_id, ref, list_slice(ref, 1 + doc_id % 4, greatest(len(ref) - 4, 0) + doc_id % 4) AS hyp FROM (SELECT doc_id, {_TOK} AS ref FROM documents))"
 
 
 def _unnest(side: str) -> str:
@@ -230,20 +234,30 @@ def corpus_bleu(spark: SparkSession, folder: str) -> DataFrame:
     return S.corpus_bleu(_pairs(spark, folder), "doc_id", "hyp", "ref").withColumn("bleu", F.round("bleu", 6))
 
 
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Each turn of a conversation as TeX, ``hyp``, with the turn before it, ``ref``."""
+    c = table(spark, folder, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    tex = lambda x: F.concat(F.lit("\\documentclass{article} % c\n\\begin{document}\n\\draw (0,0); "), F.coalesce(x, F.lit("")), F.lit(" \\% $x_1$\\end{document}"))
+    return c.select("conv_id", "turn", F.col("text"), before.alias("before")).select(F.concat_ws("/", "conv_id", "turn").alias("id"), tex(F.col("text")).alias("hyp"), tex(F.col("before")).alias("ref"))
+
+
 def edit_distances(spark: SparkSession, folder: str) -> DataFrame:
-    """Both sides' bodies, normalised; distance, similarity and edit count of short samples."""
-    s = samples(spark, folder).select("doc_id", T.normalize_tex(T.document_body(F.col("tex"))).alias("ref"))
-    s = s.withColumn("hyp", F.concat(F.substring("ref", 3, 60), F.lit(" \\draw")))
-    d = s.withColumn("d", S.edit_distance(F.col("hyp"), F.substring("ref", 1, 80)))
-    return d.select("doc_id", F.round("d", 6).alias("distance"), F.round(M.from_distance(F.col("d"), 0.4), 6).alias("similarity"))
+    """The record of code metrics of every turn against the one before it."""
+    from tessera.operators.stats import trivial_ngrams
+
+    p = _turns(spark, folder)
+    trivial = trivial_ngrams(p, T.tokens(T.normalize_tex(T.document_body(F.col("ref")))), 50)
+    out = S.code_metrics(p, "id", "hyp", "ref", trivial)
+    return out.select("id", *[F.round(c, 6).alias(c) for c in ("token_edit_dist_norm", "token_edit_dist", "token_edit_sim", "crystalbleu")])
 
 
 def image_similarities(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "part").select("p_partkey", F.concat(F.repeat(F.lit("ÿ"), 32), F.rpad("p_name", 64, " "), F.repeat(F.lit("~"), 64)).alias("t"))
-    a = F.substring(F.encode(F.col("t"), "ISO-8859-1"), 1, 144)
-    b = F.substring(F.encode(F.reverse(F.col("t")), "ISO-8859-1"), 1, 144)
-    out = S.image_similarity(p.select("p_partkey", F.lit(12).alias("w"), a.alias("a"), b.alias("b")), "w", "a", "b")
-    return out.select("p_partkey", F.round("ssim", 6).alias("ssim"), F.round(M.from_distance(1 - F.col("ssim"), 0.5), 6).alias("sim"))
+    """Pages as gray images of 32 columns, each against its own text turned round."""
+    p = table(spark, folder, "pages").select("page_id", F.encode(F.regexp_replace("html", r"[^\x20-\x7e]", "~"), "ISO-8859-1").alias("a"), F.encode(F.reverse(F.regexp_replace("html", r"[^\x20-\x7e]", "~")), "ISO-8859-1").alias("b"))
+    fill = lambda c: F.rpad(F.col(c), F.octet_length(c) + (32 - F.octet_length(c) % 32) % 32, F.lit(b" "))
+    out = S.image_similarity(p.select("page_id", F.lit(32).alias("w"), fill("a").alias("a"), fill("b").alias("b")), "w", "a", "b")
+    return out.select("page_id", F.round("ssim", 6).alias("ssim"), F.round(M.from_distance(1 - F.col("ssim"), 0.5), 6).alias("sim"))
 
 
 def metric_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,11 +267,11 @@ def metric_table(spark: SparkSession, folder: str) -> DataFrame:
 
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
     s = samples(spark, folder)
-    truth = F.when(F.col("doc_id") % len(AROUND) == 8, "1234").when(F.col("doc_id") % len(AROUND) == 9, "1").otherwise("7")
+    truth = F.when(F.col("doc_id") % len(AROUND) == 8, "1234").when(F.col("doc_id") % len(AROUND) == 9, "1").when(F.col("doc_id") % len(AROUND) == 11, r"\frac{1}{2}").otherwise("7")
     return s.select("doc_id", F.concat("tex", F.lit("\nAnswer: 1,234 dollars")).alias("response"), F.col("tex").alias("plain"), truth.alias("ground_truth"), F.length("tex").alias("response_length"))
 
 
-_ANSWERS = f"ans AS (SELECT doc_id, tex || chr(10) || 'Answer: 1,234 dollars' AS response, tex AS plain, CASE doc_id % {len(AROUND)} WHEN 8 THEN '1234' WHEN 9 THEN '1' ELSE '7' END AS ground_truth, length(tex) AS response_length FROM {SAMPLES} s)"
+_ANSWERS = f"ans AS (SELECT doc_id, tex || chr(10) || 'Answer: 1,234 dollars' AS response, tex AS plain, CASE doc_id % {len(AROUND)} WHEN 8 THEN '1234' WHEN 9 THEN '1' WHEN 11 THEN '\\frac{{1}}{{2}}' ELSE '7' END AS ground_truth, length(tex) AS response_length FROM {SAMPLES} s)"
 
 
 def dapo(spark: SparkSession, folder: str) -> DataFrame:
@@ -374,7 +388,7 @@ ORACLE = {
     "wn1_wn3_suffix_sums": f"WITH {_ROLL} SELECT row_idx, CAST(t AS INTEGER) AS t, round(sum(r) OVER (PARTITION BY row_idx ORDER BY t DESC), 6) AS ret FROM tok",
     "wn4_wn5_masks_positions": f"""WITH {_ROLL}, x AS (SELECT row_idx, t, CAST(sum(CAST(CAST(v * 10 AS INTEGER) IN (3, 5) AS INTEGER)) OVER w - CAST(CAST(v * 10 AS INTEGER) IN (3, 5) AS INTEGER) = 0 AS INTEGER) AS rm, greatest(sum(m) OVER w - 1, 0) AS pos, count(*) OVER (PARTITION BY row_idx) AS n FROM tok WINDOW w AS (PARTITION BY row_idx ORDER BY t))
       SELECT row_idx, string_agg(CAST(rm AS VARCHAR), ',' ORDER BY t) AS rm, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY t) AS pos, array_to_string(range(max(pos)::BIGINT + 1, max(pos)::BIGINT + 1 + max(n)), ',') AS after FROM x GROUP BY row_idx""",
-    "wn6_padded_ngrams": r"WITH d AS (SELECT doc_id, list_concat(list_concat(['<s>', '<s>'], list_slice(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), 1, 20)), ['<s>', '<s>']) AS t FROM documents) SELECT doc_id, array_to_string(list_transform(range(1, len(t) - 1), lambda k: array_to_string(list_slice(t, k, k + 2), ' ')), '|') AS grams FROM d",
+    "wn6_padded_ngrams": r"WITH d AS (SELECT doc_id, list_concat(list_concat(['<s>', '<s>'], list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')), ['<s>', '<s>']) AS t FROM documents) SELECT doc_id, array_to_string(list_transform(range(1, len(t) - 1), lambda k: array_to_string(list_slice(t, k, k + 2), ' ')), '|') AS grams FROM d",
     "wn7_top_two": f"WITH {_ROLL} SELECT uid, rank, row_idx, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, row_idx) AS INTEGER) AS rank FROM resp) WHERE rank <= 2",
     "wn8_first_last_match": "SELECT doc_id, regexp_extract(text, '([A-Za-z]{7,})', 1) AS first, coalesce(list_last(regexp_extract_all(text, '([A-Za-z]{7,})', 1)), '') AS last FROM documents",
     "adv1_grpo": _group_sql(f"(score - avg(score) OVER w) / {_STD}"),
@@ -386,7 +400,7 @@ ORACLE = {
     "ag11_masked_stats": f"WITH {_ROLL}, mu AS (SELECT sum(r * m) / (sum(m) + 1e-8) AS mu, sum(m) AS n FROM tok), va AS (SELECT sum((r - mu) ** 2 * m) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS va, any_value(mu) AS mu FROM tok, mu) SELECT row_idx, round(sum(r * m) / (sum(m) + 1e-8), 6) AS mean, round(sum((r - mu) / sqrt(va + 1e-8)), 4) AS whitened FROM tok, va GROUP BY row_idx",
     "ag12_average_loss": f"WITH {_ROLL}, q AS (SELECT sum(r * m) AS x, sum(m) AS m FROM tok GROUP BY row_idx) SELECT 'token' AS mode, round(sum(x) / (sum(m) + 1e-8), 6) AS loss FROM q UNION ALL SELECT 'seq', round(avg(x / (m + 1e-8)), 6) FROM q",
     "ag13_group_stats": f"WITH {_ROLL} SELECT uid, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, round(sum(score), 6) AS sum, count(*) AS n FROM resp GROUP BY uid",
-    "mt6_kl_estimators": f"WITH {_ROLL} SELECT row_idx, round(sum(a - b), 5) AS kl, round(sum(abs(a - b)), 5) AS abs, round(sum(0.5 * (a - b) ** 2), 5) AS mse, round(sum(greatest(least(exp(greatest(least(b - a, 20), -20)) - greatest(least(b - a, 20), -20) - 1, 10), -10)), 5) AS low_var_kl FROM tok GROUP BY row_idx",
+    "mt6_kl_estimators": f"WITH {_ROLL} SELECT row_idx, round(sum(a - b), 5) AS kl, round(sum(abs(a - b)), 5) AS abs, round(sum(0.5 * (a - b) ** 2), 5) AS mse, round(sum(greatest(least(exp(greatest(least(b - a, 20), -20)) - greatest(least(b - a, 20), -20) - 1, 10), -10)), 5) AS low_var_kl, round(sum(exp(a) * (a - b)) FILTER (t < n // 4 * 4), 5) AS full FROM (SELECT *, count(*) OVER (PARTITION BY row_idx) AS n FROM tok) WHERE n >= 4 GROUP BY row_idx",
     "mt7_kl_shaped_rewards": f"WITH {_ROLL} SELECT row_idx, round(sum(r - 0.05 * (a - b) * m), 5) AS shaped FROM tok GROUP BY row_idx",
     "mt9_policy_loss": _policy_sql("default"),
     "mt9_policy_loss_gspo": _policy_sql("gspo"),
@@ -399,7 +413,7 @@ ORACLE = {
     "ag16_corpus_bleu": _bleu_sql("total", False, True),
     "sm6_sm8_sm9_metric_table": "SELECT p_partkey, round(exp(-d / 0.5), 9) AS lpips_sim, round(1 - d, 9) AS dreamsim_sim, CAST(NULL AS DOUBLE) AS ssim FROM (SELECT p_partkey, (p_partkey % 10) / 10 AS d FROM part)",
     "rw2_dapo": f"WITH {_ANSWERS} SELECT doc_id, round({_RIGHT} + ({_LONG}) * 0.5, 6) AS overall, {_RIGHT} AS accuracy, round({_LONG}, 6) AS overlong, 0.5 * ({_RIGHT} + 1) AS accuracy_normalized FROM ans",
-    "rw3_math": f"WITH {_ANSWERS}, q AS (SELECT doc_id, {_GOOD} AS format, CAST({_answer_sql(_BOXED)} = {_answer_sql('ground_truth')} AS DOUBLE) AS accuracy FROM ans) SELECT doc_id, round(0.9 * accuracy + 0.1 * format, 6) AS overall, format, accuracy FROM q",
+    "rw3_math": f"WITH {_ANSWERS}, t AS (SELECT doc_id, ground_truth, {_GOOD} AS format, contains({_SQUEEZED}, '\\boxed{{') AS boxed, list_last(string_split({_SQUEEZED}, '\\boxed{{')) AS tail FROM ans), p AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM (SELECT doc_id, regexp_extract_all(tail, '[^{{}}]*[{{}}]') AS pieces FROM t WHERE boxed)), d AS (SELECT doc_id, sum(length(piece)) OVER w AS n, sum(CASE WHEN ends_with(piece, '{{') THEN 1 ELSE -1 END) OVER w AS depth FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)), e AS (SELECT doc_id, min(n) - 1 AS stop FROM d WHERE depth = -1 GROUP BY doc_id), q AS (SELECT doc_id, format, CAST({_answer_sql("coalesce(regexp_replace(substr(tail, 1, CAST(stop AS BIGINT)), '^[ \t\n]+|[ \t\n]+$', '', 'g'), 'None')")} = {_answer_sql('ground_truth')} AS DOUBLE) AS accuracy FROM t LEFT JOIN e USING (doc_id)) SELECT doc_id, round(0.9 * accuracy + 0.1 * format, 6) AS overall, format, accuracy FROM q",
     "rw4_ux1_ux7_r1v": f"WITH {_ANSWERS}, p AS (SELECT doc_id, ground_truth, {_R1} AS q FROM ans), q AS (SELECT doc_id, {_R1G} AS format, {_R1A} AS accuracy FROM p) SELECT doc_id, 0.5 * accuracy + 0.5 * format AS overall, format, accuracy FROM q",
     "rw5_choice": f"WITH {_ANSWERS} SELECT doc_id, CAST(regexp_extract(plain, '[012]', 0) = ground_truth AS DOUBLE) AS overall, CAST(regexp_extract(plain, '[012]', 0) = ground_truth AS DOUBLE) AS accuracy FROM ans",
     "rw1_self_consistency": _CONS,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.filters import depends_on_files
 from tessera.plans.fixtures import SAMPLES, quoted, samples
 
 
@@ -80,12 +81,11 @@ _ENDED = r"(?:\\end\s*\{(?:document|tikzpicture)\})"
 
 
 def _grams(x: str) -> str:
-    x = f"replace(replace(lower({x}), ' ', ''), chr(10), '')"
-    return f"list_distinct(list_transform(range(1, length({x}) - 1), lambda k: substr({x}, k, 3)))"
+    """Trigrams of ``x`` by ``doc_id``, each once."""
+    y = f"replace(replace(lower({x}), ' ', ''), chr(10), '')"
+    return f"(SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda k: c[k] || c[k + 1] || c[k + 2])) AS g FROM (SELECT doc_id, string_split({y}, '') AS c FROM ab))"
 
 
-_GA, _GB = _grams("tex"), _grams("reverse_of")
-_JACCARD = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END"
 _STANDALONE = f"contains(lower({_get('tex', T.CLASS, 2)}), 'standalone')"
 _DOC = "(contains(lower(tex), '\\documentclass') OR contains(lower(tex), '\\begin{document}'))"
 _BEGIN = r"\\begin\s*\{document\}"
@@ -93,6 +93,14 @@ _ANSWERS = f"regexp_extract_all(tex, {quoted(chr(40) + '?i)Answer' + chr(92) + '
 _ONE = _strip(_all(_S, r"\A(?:```latex\s*)+"))
 _BODY1 = _strip(f"CASE WHEN instr({_ONE}, '```') > 1 THEN substr({_ONE}, 1, instr({_ONE}, '```') - 1) ELSE {_ONE} END")
 
+
+
+def extracted_sql(x: str) -> str:
+    """What ``extract_latex`` takes from ``x``."""
+    x = _strip(x)
+    return _strip(f"CASE WHEN {_has(x, T.FENCE)} THEN {_get(x, T.FENCE, 1)} ELSE {x} END")
+
+
 #: Name: columns of the sample ``tex`` and id, and the same in SQL.
 SCALARS: dict[str, tuple[dict[str, object], dict[str, str]]] = {
     "str1_extract_latex": ({"out": T.extract_latex}, {"out": _strip(f"CASE WHEN {_has(_S, T.FENCE)} THEN {_get(_S, T.FENCE, 1)} ELSE {_S} END")}),
@@ -147,7 +155,7 @@ SCALARS: dict[str, tuple[dict[str, object], dict[str, str]]] = {
     ),
     "str34_first_choice": ({"out": T.first_choice}, {"out": "regexp_extract(tex, '[012]', 0)"}),
     "tok1_word_tokens": ({"out": lambda x: F.array_join(T.tokens(x), "|")}, {"out": r"array_to_string(list_filter(regexp_split_to_array(lower(tex), '\s+'), lambda w: w <> ''), '|')"}),
-    "flt4_external_dependency": ({"out": lambda x: T.strip_comments(x).rlike(T.EXTERNAL)}, {"out": _has(_comments("tex"), T.EXTERNAL)}),
+    "flt4_external_dependency": ({"out": depends_on_files}, {"out": _has(_comments("tex"), T.EXTERNAL)}),
     "flt8_repair_status": (
         {"out": lambda x: F.when(T.single_fence(x).isNull(), "bad_output_format").when(~T.is_complete(T.single_fence(x)), "not_complete_doc").otherwise("ok")},
         {"out": f"CASE WHEN NOT {_has(_S, T.ONE_FENCE)} OR {_strip(_get(_S, T.ONE_FENCE, 1))} = '' THEN 'bad_output_format' WHEN NOT ({_has(_S, '(?i)' + chr(92) * 2 + 'documentclass')} AND {_has(_S, T.BEGIN)} AND {_has(_S, T.END)}) THEN 'not_complete_doc' ELSE 'ok' END"},
@@ -164,28 +172,30 @@ def _query(columns: dict[str, object]):
 
 
 def _similarity(spark: SparkSession, folder: str) -> DataFrame:
-    both = samples(spark, folder).select("doc_id", F.substring("tex", 1, 60).alias("a"), F.substring("tex", 20, 60).alias("b"))
+    both = samples(spark, folder).select("doc_id", F.col("tex").alias("a"), F.substring("tex", F.lit(20), F.length("tex")).alias("b"))
     return both.select("doc_id", F.round(T.text_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
 def _ids(spark: SparkSession, folder: str) -> DataFrame:
     rows = samples(spark, folder)
-    key = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")).when(F.col("doc_id") % 3 == 1, F.substring("tex", 1, 30))
+    key = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")).when(F.col("doc_id") % 3 == 1, F.col("tex"))
     return rows.select("doc_id", T.six_digit_id(key).alias("id6"))
 
 
 def _urls(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat(F.lit("Fig"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".PNG", ".jpeg", ".webp", ""))), (F.col("doc_id") % 4 + 1).cast("int")))
-    return samples(spark, folder).select("doc_id", T.data_url(path, F.substring("tex", 1, 40).cast("binary")).alias("url"))
+    return samples(spark, folder).select("doc_id", T.data_url(path, F.col("tex").cast("binary")).alias("url"))
 
 
-_SIM = f"""SELECT doc_id, round(CASE WHEN length(b) = 0 THEN CASE WHEN contains(lower(a), 'tikz') AND (contains(a, '\\draw') OR contains(a, '\\node')) THEN 0.3 ELSE 0.0 END
-  ELSE {_JACCARD.replace('(a)', '(x)').replace('(b)', '(y)').replace('(a, b)', '(x, y)')} END, 9) AS similarity
-  FROM (SELECT *, {_grams('a')} AS x, {_grams('b')} AS y FROM (SELECT doc_id, substr(tex, 1, 60) AS a, substr(tex, 20, 60) AS b FROM {SAMPLES} s))"""
+_SIM = f"""WITH ab AS (SELECT doc_id, tex AS a, substr(tex, 20) AS b FROM {SAMPLES} s), ga AS {_grams('a')}, gb AS {_grams('b')},
+  na AS (SELECT doc_id, count(*) AS n FROM ga GROUP BY doc_id), nb AS (SELECT doc_id, count(*) AS m FROM gb GROUP BY doc_id), nc AS (SELECT doc_id, count(*) AS c FROM ga JOIN gb USING (doc_id, g) GROUP BY doc_id)
+  SELECT doc_id, round(CASE WHEN length(b) = 0 THEN CASE WHEN contains(lower(a), 'tikz') AND (contains(a, '\\draw') OR contains(a, '\\node')) THEN 0.3 ELSE 0.0 END
+    WHEN n IS NULL OR m IS NULL THEN 0.0 ELSE coalesce(c, 0) / (n + m - coalesce(c, 0)) END, 9) AS similarity
+  FROM ab LEFT JOIN na USING (doc_id) LEFT JOIN nb USING (doc_id) LEFT JOIN nc USING (doc_id)"""
 _ID = f"""SELECT doc_id, CASE WHEN regexp_matches(k, '\\A[0-9]+\\z') THEN CASE WHEN length(CAST(CAST(k AS BIGINT) AS VARCHAR)) >= 6 THEN CAST(CAST(k AS BIGINT) AS VARCHAR) ELSE lpad(CAST(CAST(k AS BIGINT) AS VARCHAR), 6, '0') END
   ELSE substr(regexp_replace(k, '[^\\w\\-.]+', '_', 'g'), 1, 128) END AS id6
-  FROM (SELECT doc_id, {_strip("CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 1 THEN substr(tex, 1, 30) ELSE '0' END")} AS k FROM {SAMPLES} s)"""
-_URL = f"""SELECT doc_id, 'data:' || CASE doc_id % 4 WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/webp' ELSE 'image/png' END || ';base64,' || base64(encode(substr(tex, 1, 40))) AS url FROM {SAMPLES} s"""
+  FROM (SELECT doc_id, {_strip("CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 1 THEN tex ELSE '0' END")} AS k FROM {SAMPLES} s)"""
+_URL = f"""SELECT doc_id, 'data:' || CASE doc_id % 4 WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/webp' ELSE 'image/png' END || ';base64,' || base64(encode(tex)) AS url FROM {SAMPLES} s"""
 
 QUERIES = {name: _query(columns) for name, (columns, _) in SCALARS.items()} | {"str25_text_similarity": _similarity, "str12_six_digit_id": _ids, "str15_data_url": _urls}
 ORACLE = {name: f"SELECT doc_id, {', '.join(f'{x} AS {c}' for c, x in sql.items())} FROM {SAMPLES} s" for name, (_, sql) in SCALARS.items()} | {"str25_text_similarity": _SIM, "str12_six_digit_id": _ID, "str15_data_url": _URL}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 
 def ids(df: DataFrame, path: str, key: str = "id") -> None:
     """One id a line, as they come."""
@@ -48,13 +50,38 @@ def merged(parts: list[DataFrame], order: str) -> DataFrame:
 
 
 def retained(manifest: DataFrame, limit: int, best: str | None = None, step: str = "step") -> DataFrame:
-    """Rows of a run manifest that stay: the latest ``limit`` steps and the best one by ``best``."""
-    rank = F.row_number().over(Window.orderBy(F.desc(step)))
-    ranked = manifest.withColumn("_rank", rank)
-    if best:
-        ranked = ranked.withColumn("_best", F.row_number().over(Window.orderBy(F.desc(best), F.desc(step))))
-        return ranked.where((F.col("_rank") <= limit) | (F.col("_best") == 1)).drop("_rank", "_best")
-    return ranked.where(F.col("_rank") <= limit).drop("_rank")
+    """Rows of a run manifest that stay: the latest ``limit`` steps and the best one by ``best``. Top rows come from partial sorts."""
+    latest = manifest.orderBy(F.desc(step)).limit(limit)
+    if not best:
+        return latest
+    top = manifest.orderBy(F.desc(best), F.desc(step)).limit(1)
+    return latest.union(top.join(latest.select(step), step, "left_anti").select(manifest.columns))
+
+
+def report(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """A one-row table as JSON text, with the named columns in nested groups and the others at the top."""
+    inner = {c for cs in groups.values() for c in cs}
+    nested = [F.struct(*cs).alias(g) for g, cs in groups.items()]
+    return df.select(F.to_json(F.struct(*[c for c in df.columns if c not in inner], *nested)).alias("summary"))
+
+
+def fan_out(df: DataFrame, folder: str, key: str = "id", content: str = "content", suffix: str = ".txt") -> None:
+    """One file a row, named by a safe form of its key, through Hadoop's file systems. A file that is there is overwritten, so a task may run again."""
+    name = F.concat(T.safe_name(F.col(key).cast("string")), F.lit(suffix))
+    rows = df.select(name.alias("_name"), F.col(content).cast("string").alias("value"))
+    rows.write.mode("overwrite").partitionBy("_name").option("maxRecordsPerFile", 1).text(folder)
+
+
+def fanned(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
+    """``id``, ``content`` of what :func:`fan_out` wrote."""
+    found = spark.read.text(folder, wholetext=True)
+    return found.select(F.regexp_replace(F.col("_name").cast("string"), T.literal(suffix) + r"\z", "").alias("id"), F.regexp_replace("value", r"\n\z", "").alias("content"))
+
+
+def sample_log(samples: DataFrame, path: str) -> None:
+    """Appends prompt, output, ground truth and score of generation samples as text, one block each."""
+    score = F.col("score").cast("string")
+    samples.select(F.concat(F.lit("[prompt] "), "prompt", F.lit("\n[output] "), "output", F.lit("\n[ground_truth] "), "ground_truth", F.lit("\n[score] "), score, F.lit("\n")).alias("value")).write.mode("append").text(path)
 
 
 class MetricLog:
@@ -81,6 +108,16 @@ class MetricLog:
         return cls.KINDS.get(name, cls)(spark, path)
 
 
+class ConsoleLog(MetricLog):
+    """Prints metrics by step."""
+
+    def log(self, metrics: dict, step: int) -> None:
+        print(f"step {step}: " + ", ".join(f"{k}={v}" for k, v in flattened(metrics).items()))
+
+
+MetricLog.add("console", ConsoleLog)
+
+
 def flattened(nested: dict, sep: str = "/") -> dict:
     """A nested mapping with joined keys."""
     out = {}

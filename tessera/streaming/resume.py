@@ -10,15 +10,18 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
-def processed(spark: SparkSession, source: str, schema: T.StructType, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "id", files: int | None = None) -> StreamingQuery:
+def processed(spark: SparkSession, source: str, schema: T.StructType, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "id", files: int | None = None, time: str | None = None, late: str = "1 day") -> StreamingQuery:
     """Take what is new in a folder of Parquet files through ``work`` into a folder of JSON lines, then end.
 
     A key that came before, in this run or another, isn't worked on again. ``files``
-    bounds how many files a step takes.
+    bounds how many files a step takes. With ``time``, a column of event times, keys are
+    forgotten ``late`` behind the latest one, which bounds the state: repeats must come
+    within that. Without it the state grows with the number of keys.
     """
     reader = spark.readStream.schema(schema)
     reader = reader.option("maxFilesPerTrigger", files) if files else reader
-    fresh = reader.parquet(source).dropDuplicates([key])
+    rows = reader.parquet(source)
+    fresh = rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if time else rows.dropDuplicates([key])
     return work(fresh).writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -78,18 +78,80 @@ def test_balanced_sets(lengths, k):
 @given(st.text(alphabet="ab \\{", max_size=20))
 def test_edit_distance(text):
     assert S.extended_edit_distance(text, text) <= S.extended_edit_distance(text + "zz", text) + 1e-9
-    assert 0 <= S.extended_edit_distance(text[::-1], text) <= 1
+    assert S.extended_edit_distance(text[::-1] + " a", text) == pytest.approx(slow_distance(text[::-1] + " a", text), abs=1e-9)
+
+
+def slow_distance(hyp, ref):
+    """The recurrence place by place, with exact costs."""
+    from fractions import Fraction
+
+    if not ref:
+        return 0.0 if not hyp else 1.0
+    row = [Fraction(0)] + [Fraction(1)] * len(hyp)
+    visits = [-1] * len(row)
+    for c in ref:
+        fresh = [row[0] + 1]
+        for i, h in enumerate(hyp, 1):
+            fresh.append(min(fresh[i - 1] + Fraction(1, 5), row[i - 1] + (h != c), row[i] + 1))
+        least = min(fresh)
+        visits[fresh.index(least)] += 1
+        row = [min(x, least + 2) for x in fresh] if c == " " else fresh
+    coverage = Fraction(3, 10) * sum(v if v >= 0 else 1 for v in visits)
+    return float(min(1, (row[-1] + coverage) / (len(ref) + coverage)))
 
 
 def test_image_similarity():
     import numpy as np
 
-    a = np.full((20, 20), 255.0)
-    a[5:12, 6:14] = 10
+    rng = np.random.default_rng(1)
+    a = np.full((40, 30, 3), 255, np.uint8)
+    a[5:32, 6:24] = rng.integers(0, 200, (27, 18, 3))
     shifted = np.roll(a, 3, axis=1)
     assert S.structural_similarity(a, a) == pytest.approx(1)
     assert S.structural_similarity(a, shifted) == pytest.approx(1)
-    assert S.structural_similarity(a, 255 - a) < 0.9
+    b = a.copy()
+    b[10:20, 10:20] = 255 - b[10:20, 10:20]
+    b = np.pad(b[4:], ((0, 9), (0, 0), (0, 0)), constant_values=7)
+    for align in ("pad", "crop"):
+        assert S.structural_similarity(a, b, align) == pytest.approx(slow_similarity(a, b, align), abs=1e-9)
+    with pytest.raises(ValueError):
+        S.structural_similarity(a, b, "stretch")
+    assert S.trimmed(a).shape == (31, 22, 3) and S.trimmed(a[:3]).shape == (3, 30, 3)
+    wide = rng.integers(0, 256, (50, 3000, 3), np.uint8)
+    assert S.downscaled(wide, 1024).shape == (17, 1024, 3) and S.downscaled(wide, 0).shape == wide.shape
+    flat = np.full((40, 2000, 3), 77, np.uint8)
+    assert (S.downscaled(flat, 500) == 77).all()
+
+
+def slow_similarity(a, b, align):
+    """Window by window, as the definition says."""
+    import numpy as np
+
+    a, b = S.trimmed(a), S.trimmed(b)
+    pick = max if align == "pad" else min
+    height, width = pick(a.shape[0], b.shape[0]), pick(a.shape[1], b.shape[1])
+    images = []
+    for x in (a, b):
+        y = np.full((height, width, 3), 255.0)
+        for row in range(height):
+            for column in range(width):
+                r, c = row, column
+                r += (x.shape[0] - height) // 2 if x.shape[0] > height else -((height - x.shape[0]) // 2)
+                c += (x.shape[1] - width) // 2 if x.shape[1] > width else -((width - x.shape[1]) // 2)
+                if 0 <= r < x.shape[0] and 0 <= c < x.shape[1]:
+                    y[row, column] = x[r, c]
+        images.append(y / 255)
+    weight = np.array([np.exp(-((k - 5) ** 2) / 4.5) for k in range(11)])
+    weight = np.outer(weight, weight) / weight.sum() ** 2
+    out = []
+    for channel in range(3):
+        for row in range(height - 10):
+            for column in range(width - 10):
+                x, y = (i[row : row + 11, column : column + 11, channel] for i in images)
+                mx, my = (x * weight).sum(), (y * weight).sum()
+                vx, vy, c = (x * x * weight).sum() - mx * mx, (y * y * weight).sum() - my * my, (x * y * weight).sum() - mx * my
+                out.append((2 * mx * my + 1e-4) * (2 * c + 9e-4) / ((mx * mx + my * my + 1e-4) * (vx + vy + 9e-4)))
+    return float(np.mean(out))
 
 
 def test_resume_and_scatter(spark):
@@ -111,6 +173,164 @@ def test_row_numbers_and_chunks(spark):
         R.chunked(df, 10)
 
 
+def slow_bleu(hyp, ref, trivial, kinds=False):
+    """Matched n-grams by counters."""
+    from collections import Counter
+    from math import exp, log
+
+    grams = lambda t, n: Counter(tuple(t[k : k + n]) for k in range(len(t) - n + 1))
+    logs = []
+    for n in range(1, 5):
+        h, r = ({g: c for g, c in grams(t, n).items() if g not in trivial} for t in (hyp, ref))
+        matched = sum(min(c, r.get(g, 0)) for g, c in h.items())
+        if not matched:
+            return 0.0
+        logs.append(log(matched / (len(h) if kinds else sum(h.values()))))
+    return min(1.0, exp(1 - len(ref) / len(hyp))) * exp(sum(logs) / 4)
+
+
+def test_bleu_counts(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = [(k, [rng.choice("abc") for _ in range(rng.randint(0, 40))]) for k in range(60)]
+    pairs = [(k, h, [x if rng.random() < 0.8 else "d" for x in h] + ["a"] * rng.randint(0, 3)) for k, h in pairs]
+    df = spark.createDataFrame(pairs, "id int, hyp array<string>, ref array<string>")
+    trivial = spark.createDataFrame([(1, "a"), (2, "a\x1fb"), (4, "a\x1fb\x1fc\x1fa")], "n int, gram string")
+    skip = {("a",), ("a", "b"), ("a", "b", "c", "a")}
+    got = {r.id: r.bleu for r in S.crystal_bleu(df, "id", "hyp", "ref", trivial).collect()}
+    plain = {r.id: r.bleu for r in S.fallback_bleu(df, "id", "hyp", "ref").collect()}
+    clipped = {r.id: r.bleu for r in S.fallback_bleu(df, "id", "hyp", "ref", clip=True).collect()}
+    for k, h, r in pairs:
+        assert got[k] == pytest.approx(slow_bleu(h, r, skip) if h and r else 0.0, abs=1e-9)
+        assert plain[k] == pytest.approx(slow_bleu(h, r, (), True) if h and r else 0.0, abs=1e-9)
+        assert clipped[k] == pytest.approx(min(1.0, plain[k]))
+
+
+def test_trivial_ngrams_with_ties(spark):
+    from collections import Counter
+
+    texts = ["a b a b c", "c a b", "x y", "a b c d e f g", ""] * 3 + ["tie tie"]
+    counted = Counter()
+    for t in texts:
+        w = t.split()
+        counted.update((n, "\x1f".join(w[k : k + n])) for n in range(1, 5) for k in range(len(w) - n + 1))
+    want = sorted(((c, n, g) for (n, g), c in counted.items()), key=lambda x: (-x[0], x[1], x[2]))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("t", F.filter(F.split("t", " "), lambda x: x != ""))
+    for k in (1, 4, 7, 1000):
+        assert [(r["count"], r.n, r.gram) for r in stats.trivial_ngrams(df, F.col("t"), k).collect()] == want[:k]
+    assert stats.trivial_ngrams(df.where("false"), F.col("t"), 5).count() == 0
+
+
+def test_largest_differencing_ties():
+    """Written out: two candidates at a time, the widest spread first, of equal ones the greater first set."""
+
+    def slow(lengths, k, equal):
+        order = sorted((n, i) for i, n in enumerate(lengths))
+        groups = [order[i : i + k] for i in range(0, len(order), k)] if equal else [[x] for x in order]
+        states = [sorted([(n, 1, [(i, n)]) for n, i in g] + [(0, 0, [])] * (k - len(g)), reverse=True) for g in groups]
+        while len(states) > 1:
+            states.sort(key=lambda s: (s[0][0] - s[-1][0], s[0]))
+            a, b = states.pop(), states.pop()
+            states.append(sorted([(x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x, y in zip(a, b[::-1], strict=True)], reverse=True))
+        return [sorted(i for i, _ in s[2]) for s in states[0]]
+
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        k = rng.randint(1, 5)
+        lengths = [rng.randint(1, 6) for _ in range(k * rng.randint(1, 8))]
+        for equal in (False, True):
+            assert B.differenced(lengths, k, equal) == slow(lengths, k, equal)
+    with pytest.raises(ValueError):
+        B.micro_batches([5, 50], 20)
+
+
+def test_greedy_equal():
+    sets = B.greedy([3, 1, 1, 9, 2, 2], 2, equal=True)
+    assert [len(s) for s in sets] == [3, 3] and sets[0][0] == 0 and sets[1][0] == 1
+    with pytest.raises(AssertionError):
+        B.greedy([1, 2, 3], 2, equal=True)
+
+
+def test_boxed(spark):
+    cases = {"\\boxed{1}": "1", "x \\boxed{\\frac{1}{2}} y": "\\frac{1}{2}", "\\boxed{1} \\boxed{a{b}{c}} d}": "a{b}{c}", "\\boxed{open": "None", "none": "None", "\\boxed{ 3 }": "3"}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert df.where(T.boxed(F.col("t")) != F.col("want")).count() == 0
+
+
+def test_long_lines(spark):
+    """Whole lines of a hundred thousand characters pass the functions with repeated groups."""
+    line = "ab\\%" * 30_000
+    got = spark.createDataFrame([(line + "% note\nx",)], "t string").select(T.strip_comments(F.col("t")).alias("c"), T.normalize_answer(F.col("t")).alias("a"), F.size(T.char_grams(F.col("t"))).alias("n")).first()
+    assert got.c == line + "\nx" and got.n < 50
+
+
+def test_accumulated(spark):
+    parts = [spark.createDataFrame([(k * 10 + i,) for i in range(10)], "id int") for k in range(4)]
+    keep = lambda b: b.where("id % 2 = 0")
+    assert values(L.accumulated(iter(parts), keep, 8, "id"), "id") == [0, 2, 4, 6, 8, 10, 12, 14]
+    with pytest.raises(RuntimeError):
+        L.accumulated(iter(parts), keep, 8, "id", most=1)
+    with pytest.raises(RuntimeError):
+        L.accumulated(iter(parts), lambda b: b.where("id < 0"), 1, "id")
+
+
+def test_options():
+    from dataclasses import dataclass, field
+
+    from tessera import options
+
+    @dataclass
+    class Inner:
+        a: int = 1
+        b: str = "x"
+
+        def post_init(self):
+            self.c = self.a * 2
+
+    @dataclass
+    class Outer:
+        inner: Inner = field(default_factory=Inner)
+        n: int = 0
+
+        def post_init(self):
+            self.n += self.inner.c
+
+    got = options.merged(Outer(), {"inner": {"a": 5, "b": "file"}}, ["inner.b=line", "n=3"])
+    assert (got.inner.a, got.inner.b, got.n) == (5, "line", 13)
+    with pytest.raises(KeyError):
+        options.merged(Outer(), {"absent": 1})
+
+
+def test_waits_and_preflight():
+    assert E.waits(7) == pytest.approx([2.0, 3.6, 6.48, 11.664, 20.0, 20.0])
+    assert E.checked(["a", "b"], None, url="u") == "a" and E.checked(["a", "b"], "b") == "b"
+    for models, model, needed in (([], None, {}), (["a"], "c", {}), (["a"], "a", {"key": ""})):
+        with pytest.raises(ValueError):
+            E.checked(models, model, **needed)
+    assert E.errors_of("x\n! bad\nl.3 foo\ny") == "! bad\nl.3 foo" and E.errors_of("! " + "a" * 4000).endswith("\n...[log truncated]")
+    made = E.Lazy(E.StubGenerator, "test")
+    assert made.generate("x") == made.generate("x") and E.Lazy._made["test"] is made._own()
+
+
+def test_zipped_length(spark):
+    a, b = spark.range(3).withColumnRenamed("id", "row_idx"), spark.range(2).withColumnRenamed("id", "row_idx")
+    with pytest.raises(Exception, match="length"):
+        R.zipped(a, b).collect()
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tessera.sources import scratch
+
+    context = SimpleNamespace(master="spark://x", getConf=lambda: {}, applicationId="a")
+    with pytest.raises(RuntimeError):
+        scratch.scratch_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
 def test_zipped_conflict(spark):
     a = spark.createDataFrame([(0, 1)], "row_idx int, x int")
     b = spark.createDataFrame([(0, 2)], "row_idx int, x int")
@@ -129,7 +349,7 @@ def test_failed_calls_become_status(spark):
             raise RuntimeError("down")
 
     df = spark.createDataFrame([(1, "x"), (2, None)], "id int, prompt string")
-    assert set(values(E.generated(df, Broken(), retries=2), "error")) == {"api_error: down"}
+    assert set(values(E.generated(df, Broken(), retries=2, wait=0), "error")) == {"api_error: down"}
     images = E.rendered(spark.createDataFrame([(1, None)], "id int, code string"), E.StubRenderer()).first()
     assert images.image is None and images.error
 

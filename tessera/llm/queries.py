@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, langid, lines, lsh, mixing, pivots, quality, sharding, simhash
+from tessera.sources.readers import spread
 
 SHARDS = 24
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def op1_langid(spark: SparkSession, folder: str) -> DataFrame:

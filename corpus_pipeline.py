@@ -7,7 +7,7 @@ All but the last return the columns of ``documents``; ``n_chars`` follows the te
 2. ``line_dedup``: of each component of similar lines one line stays.
 3. ``near_dedup``: of each SimHash component the document with the least id stays (of
    rows that share it, the one whose text hash is least; of rows that agree in both, one).
-4. ``mixing``: rows repeat as often as the mix of sources takes the document, by the quality score.
+4. ``mixing``: rows repeat as often as the mix of sources takes the document.
 5. ``tokens``: ids and digests of the encoded texts, in the order of the columns of op8.
 
 Null and empty texts pass the first three stages like others and leave at the fourth,
@@ -60,11 +60,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; its weight is the classifier's score."""
-    names = docs.columns
-    weight = unused("weight", names)
-    scored = written(quality.score(docs, quality_model(spark, docs, sf_dir), keep=tuple(names), out=weight), "scored")
-    return mixing.mixed(scored, weight=F.col(weight)).select(*[F.col(f"`{c}`") for c in names])
+    """Every document as often as the mix takes it, by the default weight: the classifier's score is no column of documents, and taking it again here would be Python in a native stage."""
+    return mixing.mixed(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ from tessera.shipping import ship
 
 JACCARD = 0.8
 #: Characters and lines of a block of a band.
-BLOCK, LINES = 1 << 19, 1024
+BLOCK, LINES = 1 << 18, 512
 #: Bytes of rows up to which a table of ids is broadcast.
 SMALL = 16 << 20
 _TRIMMED = " \t\r"
@@ -168,7 +168,7 @@ def similar(cells: DataFrame, jaccard: float) -> DataFrame:
     places = ["band", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, number in whole_runs(batches, places, 1 << 12):
+        for table, number in whole_runs(batches, places, 1 << 11):
             side, (ids, first, line) = table["side"].to_numpy(), np.unique(table["line_id"].to_numpy(), return_index=True, return_inverse=True)
             found, sizes = shingles.sets([compared(x.as_py()) for x in table["line"].combine_chunks().take(pa.array(first))])
             labels = np.arange(len(side))

@@ -15,10 +15,10 @@ CHARS = 9
 BANDS = 10
 ROWS = 3
 #: Characters and lines of a part.
-PART, MOST = 1 << 20, 1 << 16
+PART, MOST = 1 << 19, 1 << 15
 #: Bits of a hash that order a line's shingles, and shingles up to which a cell's pairs are counted one by one.
 _BITS = 44
-_FEW = 16
+_FEW = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE2, _BASE4 = (np.uint64(pow(int(_BASE), k, 1 << 64)) for k in (2, 4))
 _PAD = np.uint64(0xD6E8FEB86659FD93)
@@ -143,16 +143,18 @@ def near(cell: np.ndarray, side: np.ndarray, line: np.ndarray, found: np.ndarray
             low, high = np.searchsorted(cell, [number, number + 1])
             mine = many[of == number]
             total = np.zeros((high - low, high - low), np.float32)
-            width = max(1, (1 << 22) // (high - low))
+            width = max(1, (1 << 20) // (high - low))
             for at in range(0, len(mine), width):
                 part = mine[at : at + width]
                 marks = np.zeros((high - low, len(part)), np.float32)
-                column = np.repeat(np.arange(len(part)), count[part])
+                column = np.repeat(np.arange(len(part), dtype=np.int32), count[part])
                 step = np.arange(len(column)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
                 marks[member[np.repeat(runs[part], count[part]) + step] - low, column] = 1
                 total += marks @ marks.T
             here = (a >= low) & (a < high)
             np.add.at(total, (a[here] - low, b[here] - low), common[here].astype(np.float32))
+            own = n[low:high]
+            total[total < jaccard / (1 + jaccard) * (own[:, None] + own[None]) - 0.5] = 0  # can't be similar enough
             x, y = np.nonzero(np.triu(total, 1))
             a, b, common = np.r_[a[~here], x + low], np.r_[b[~here], y + low], np.r_[common[~here], total[x, y].astype(np.int64)]
     met = np.where(side[a] == 0, side[b] == 0, side[a] + side[b] == 3)

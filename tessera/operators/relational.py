@@ -31,7 +31,8 @@ def against_truth(truth: DataFrame, *predictions: tuple[DataFrame, str], key: st
 
 
 def missing_keys(truth: DataFrame, prediction: DataFrame, key: str = "id") -> DataFrame:
-    return truth.join(prediction, key, "left_anti").select(key)
+    """The keys without a prediction, in order."""
+    return truth.join(prediction, key, "left_anti").select(key).orderBy(key)
 
 
 def zipped(a: DataFrame, b: DataFrame, key: str = "row_idx") -> DataFrame:
@@ -149,17 +150,18 @@ def shuffled_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"/{seed}")).cast("binary"))
 
 
-def minibatches(df: DataFrame, size: int, epochs: int, seed: int, key: str, numbered) -> DataFrame:
-    """Every row once an epoch, in an order of the epoch's own, with ``epoch``, ``place`` and ``batch``; an incomplete last batch goes.
+def minibatches(df: DataFrame, size: int, epochs: int, seed: int, key: str, numbered, done: int = 0) -> DataFrame:
+    """Every row once an epoch, in an order of the epoch's own, with ``epoch``, ``place`` and ``batch``; an incomplete last batch goes. The first ``done`` batches over all epochs are left out: where an earlier run ended.
 
     ``numbered(df, *order, name=...)`` gives row numbers.
     """
+    whole = df.count() // size
     out = []
-    for epoch in range(epochs):
+    for epoch in range(done // whole if whole else 0, epochs):
         placed = numbered(df.withColumn("_order", shuffled_key(F.col(key), seed + epoch)), "_order", key, name="place").drop("_order")
-        whole = df.count() // size * size
-        out.append(placed.where(F.col("place") < whole).withColumn("epoch", F.lit(epoch)).withColumn("batch", F.floor(F.col("place") / size).cast("int")))
-    return concatenated(out)
+        batch = F.floor(F.col("place") / size).cast("int")
+        out.append(placed.withColumns({"epoch": F.lit(epoch), "batch": batch}).where((F.col("batch") < whole) & (F.col("batch") + epoch * whole >= done)))
+    return concatenated(out) if out else df.where("false").withColumns({"place": F.lit(0).cast("bigint"), "epoch": F.lit(0), "batch": F.lit(0)})
 
 
 def from_columns(spark: SparkSession, columns: dict[str, Sequence]) -> DataFrame:

@@ -323,11 +323,11 @@ def imbalance(spark: SparkSession, folder: str) -> DataFrame:
 def streamed(spark: SparkSession, folder: str) -> DataFrame:
     """Events in two runs over growing files, some twice; every event comes out once."""
     path = scratch_dir(spark)
-    events = table(spark, folder, "events").select(F.col("event_id").alias("id"), "event_type")
+    events = table(spark, folder, "events").select(F.col("event_id").alias("id"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
     for k, part in enumerate(("id % 2 = 0", "id % 3 = 0 OR id % 2 = 1")):
         events.where(part).repartition(2).write.mode("append").parquet(f"{path}/in")
         work = lambda df: df.withColumn("n", F.length("event_type"))
-        query = resume.processed(spark, f"{path}/in", events.schema, work, f"{path}/out", f"{path}/checkpoint")
+        query = resume.processed(spark, f"{path}/in", events.schema, work, f"{path}/out", f"{path}/checkpoint", time="ts", late="1000 days")
         query.awaitTermination()
         query.stop()
     return spark.read.schema("id BIGINT, event_type STRING, n INT").json(f"{path}/out")

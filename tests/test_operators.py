@@ -315,6 +315,16 @@ def test_waits_and_preflight():
     assert made.generate("x") == made.generate("x") and E.Lazy._made["test"] is made._own()
 
 
+def test_executable(tmp_path, monkeypatch):
+    program = tmp_path / "prog"
+    program.write_text("")
+    assert E.executable("absent-program", str(program)) is None
+    program.chmod(0o755)
+    monkeypatch.setenv("PROG", str(program))
+    assert E.executable("absent-program", None, "PROG") == E.executable("absent-program", places=(str(program),)) == str(program)
+    assert E.executable("absent-program") is None
+
+
 def test_zipped_length(spark):
     a, b = spark.range(3).withColumnRenamed("id", "row_idx"), spark.range(2).withColumnRenamed("id", "row_idx")
     with pytest.raises(Exception, match="length"):
@@ -331,6 +341,14 @@ def test_scratch_needs_a_shared_folder():
         scratch.scratch_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
 
 
+def test_minibatches_resume(spark):
+    df = spark.range(103).withColumnRenamed("id", "k")
+    pick = lambda done: [tuple(r) for r in R.minibatches(df, 10, 3, 5, "k", L.row_numbers, done).select("epoch", "batch", "place", "k").orderBy("epoch", "place").collect()]
+    every = pick(0)
+    assert len(every) == 300 and len({(e, k) for e, _, _, k in every}) == 300
+    assert pick(13) == every[130:] and pick(30) == []
+
+
 def test_zipped_conflict(spark):
     a = spark.createDataFrame([(0, 1)], "row_idx int, x int")
     b = spark.createDataFrame([(0, 2)], "row_idx int, x int")

@@ -277,3 +277,19 @@ def test_pipeline_odd_rows(spark, docs, tables):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), tables).count() == 0
         assert stage(spark, docs, tables).count() >= 1
+
+
+def test_pipeline_runs_agree(spark, tables):
+    first, again = (sorted(map(str, corpus_pipeline.run(spark, tables).drop("ids").collect())) for _ in range(2))
+    assert first == again and len(first) > 100
+
+
+def test_pipeline_clashing_columns(spark, docs, tables):
+    named = docs.withColumns({"score": F.lit(1), "a.b": F.lit(2), "__lines": F.lit(3)})
+    long = named.limit(1).withColumns({"doc_id": F.lit(99_999).cast("long"), "text": F.concat(F.repeat(F.lit("x y"), 60_000), F.lit("\nshort line here"))})
+    given = named.unionByName(long)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, tables)
+        assert out.columns == given.columns and out.count() >= 1, name
+    cut = corpus_pipeline.dedup_lines(spark, given, tables)
+    assert cut.where("doc_id = 99999").first().text.startswith("x y")

@@ -16,13 +16,11 @@ as they have no words. Empty tables give empty results.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, lines, mixing, quality, queries, simhash
-from tessera.llm.storage import shared_dir, unused, written
+from tessera.llm.storage import dropped, unused, written
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
@@ -90,10 +88,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; what a stage has read goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/tessera/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        made = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)

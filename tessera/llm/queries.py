@@ -54,7 +54,11 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    """The fingerprint and the near-duplicate component of every document."""
+    """The fingerprint and the near-duplicate component of every document.
+
+    Shard trees go to the queries of their shard by an exchange, not by broadcast: all of
+    them are the fingerprints of all documents, which must not pass the driver.
+    """
     return simhash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
 
 

@@ -32,6 +32,13 @@ def has_repetition(tokens: Column, n: int = 50, threshold: int = 5) -> Column:
     return max_repeats(tokens, n) >= threshold
 
 
+def repetitive(df: DataFrame, key: str = "id", text: str = "text", fenced: bool = False, n: int = 50, threshold: int = 5) -> DataFrame:
+    """``key`` and ``repeats`` of the rows whose commonest n-gram of tokens comes ``threshold`` times or more; rows without a key are skipped, and with ``fenced`` only a fence's body counts."""
+    code = T.extract_latex(F.col(text)) if fenced else F.col(text)
+    counted = df.where(F.col(key).isNotNull()).select(key, max_repeats(T.tokens(code), n).alias("repeats"))
+    return counted.where(F.col("repeats") >= threshold)
+
+
 def bad_geometry(width: Column, height: Column) -> Column:
     """Whether an image is unreadable (null), empty, too small, too large or too elongated."""
     long, short = F.greatest(width, height), F.least(width, height)

@@ -270,3 +270,15 @@ def image_similarity(df: DataFrame, width: str, a: str, b: str, out: str = "ssim
 def dispatched(pairs: DataFrame, metrics: dict[str, Column], known: tuple[str, ...]) -> DataFrame:
     """``pairs`` with a column of every known metric: the given one, or null where it is off."""
     return pairs.withColumns({name: metrics.get(name, F.lit(None).cast("double")) for name in known})
+
+
+#: The fields of the records of image and code metrics. Of a metric that wasn't taken a similarity counts 0 and a distance nothing.
+IMAGE_RECORD = ("siglip_cos", "clip_cos", "lpips_dist", "dreamsim_dist", "siglip_sim", "clip_sim", "lpips_sim", "ssim", "dreamsim_sim")
+CODE_RECORD = ("token_edit_dist", "token_edit_dist_norm", "token_edit_sim", "crystalbleu")
+
+
+def recorded(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``df`` with every field of a record: as it is, NaN as null, or by default null for distances and cosines and 0 for similarities."""
+    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) if c in df.columns else F.lit(None).cast("double") for c in fields}
+    distance = lambda c: "dist" in c or c.endswith("_cos")
+    return df.withColumns({c: x if distance(c) else F.coalesce(x, F.lit(0.0)) for c, x in known.items()})

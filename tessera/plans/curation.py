@@ -36,7 +36,10 @@ def curation_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def repetition(spark: SparkSession, folder: str) -> DataFrame:
-    return _flags(spark, folder).where(F.col("repeats") >= THRESHOLD).select("doc_id", "repeats")
+    """Half of the documents in a fence, some without an id."""
+    key = F.when(F.col("doc_id") % 13 != 0, F.col("doc_id")).alias("doc_id")
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Sure: ```latex\n"), "text", F.lit("\n``` done"))).otherwise(F.col("text")).alias("text")
+    return L.repetitive(documents(spark, folder).select(key, text), "doc_id", "text", fenced=True, n=N, threshold=THRESHOLD)
 
 
 def token_length(spark: SparkSession, folder: str) -> DataFrame:
@@ -334,7 +337,7 @@ QUERIES = {
 }
 ORACLE = {
     "curation_report": f"WITH {_TOK}, {_REPEATS}, f AS (SELECT len(t) AS n_tokens, coalesce(most, 0) >= {THRESHOLD} OR len(t) > 2000 AS bad FROM tok LEFT JOIN rep USING (doc_id)) SELECT count(*) AS docs, count(*) FILTER (bad) AS flagged, {_CUT}, max(n_tokens) AS longest, round(avg(n_tokens), 6) AS mean FROM f",
-    "flt1_flt2_repetition": f"WITH {_TOK}, {_REPEATS} SELECT doc_id, most AS repeats FROM rep WHERE most >= {THRESHOLD}",
+    "flt1_flt2_repetition": f"WITH {_TOK}, {_REPEATS} SELECT doc_id, most AS repeats FROM rep WHERE most >= {THRESHOLD} AND doc_id % 13 <> 0",
     "flt3_image_geometry": f"SELECT p_partkey, w * h = 0 OR least(w, h) < 32 OR w * h >= 20000000 OR greatest(w, h) >= 6000 OR (least(w, h) > 0 AND greatest(w, h) / least(w, h) >= 15.0) AS bad FROM (SELECT p_partkey, {_GEOMETRY} FROM part)",
     "flt5_token_length": f"WITH {_TOK} SELECT doc_id FROM tok WHERE len(t) > 500",
     "flt6_overlong_prompts": f"SELECT conv_id, turn FROM conversations WHERE role = 'user' AND len({_TOKENS}) <= 20",

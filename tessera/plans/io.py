@@ -18,7 +18,8 @@ from tessera.operators import metrics as S
 from tessera.operators import relational as R
 from tessera.operators import rewards as W
 from tessera.operators.filters import row_numbers
-from tessera.plans.fixtures import SAMPLES, samples, table
+from tessera.plans.fixtures import SAMPLES, quoted, samples, table
+from tessera.plans.strings import _normalized as normalized
 from tessera.plans.strings import extracted_sql as str1
 from tessera.sources import readers, writers
 from tessera.sources.scratch import kept, scratch_dir
@@ -532,6 +533,7 @@ ORACLE = {
     "ux4_rendered": f"SELECT id, ok, CASE WHEN NOT ok THEN '! Missing document' END AS error FROM (SELECT doc_id AS id, contains(c, '\\begin{{document}}') AND contains(c, '\\end{{document}}') AS ok FROM (SELECT doc_id, {str1('tex')} AS c FROM {SAMPLES} s))",
     "ux5_repair_loop": f"SELECT id, CASE WHEN contains(lower(w), '\\documentclass') AND regexp_matches(w, '(?i)\\\\begin\\s*\\{{document\\}}') AND regexp_matches(w, '(?i)\\\\end\\s*\\{{document\\}}') THEN 'ok' ELSE 'not_complete_doc' END AS status FROM (SELECT id, CASE WHEN contains(c, '\\documentclass') THEN c ELSE '\\documentclass \\begin{{document}} ' || c || ' \\end{{document}}' END AS w FROM (SELECT doc_id AS id, trim(substr(tex, 1, 10000), '`' || chr(10)) AS c FROM {SAMPLES} s WHERE doc_id NOT IN (SELECT doc_id FROM labels)))",
     "ux7_ux8_deduped_calls": f"SELECT doc_id, lang AS prompt, CAST({len(E.StubGenerator().generate(''))} + length(coalesce(lang, '')) AS INTEGER) AS n FROM documents",
+    "str35_str36_tex_tokens": f"SELECT doc_id, array_to_string(regexp_extract_all({normalized('tex')}, {quoted(S._TEX.pattern)}), ' ') AS tokens FROM {SAMPLES} s",
     "src14_chat_parts": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'image|' ELSE '' END || CASE WHEN text <> '' THEN 'text:' || text || '|' ELSE '' END || 'video|text:end' AS parts FROM conversations",
     "str37_api_messages": "SELECT conv_id, turn, role || chr(10) || chr(10) || 'One block.' AS text, 'data:x' AS url FROM conversations",
     "snk1_snk3_snk8_snk10_sinks": "SELECT s.sink, doc_id AS id FROM documents, (SELECT unnest(['ids', 'jsonl', 'csv']) AS sink) s UNION ALL SELECT CASE WHEN doc_id % 4 <> 0 THEN 'success' ELSE 'failed' END, doc_id FROM documents",

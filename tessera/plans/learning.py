@@ -265,6 +265,13 @@ def metric_table(spark: SparkSession, folder: str) -> DataFrame:
     return S.dispatched(p, {"lpips_sim": F.round(M.from_distance(F.col("d"), 0.5), 9), "dreamsim_sim": F.round(M.unit(1 - F.col("d")), 9)}, ("lpips_sim", "dreamsim_sim", "ssim")).drop("d")
 
 
+def metric_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records from what was taken of some rows only."""
+    k = F.col("p_partkey")
+    p = table(spark, folder, "part").select(k, F.when(k % 3 == 0, float("nan")).otherwise(k / 100).alias("lpips_dist"), F.when(k % 4 != 0, k / 200).alias("ssim"), F.when(k % 5 == 0, float("nan")).otherwise(k / 300).alias("crystalbleu"))
+    return S.recorded(S.recorded(p, S.IMAGE_RECORD), S.CODE_RECORD)
+
+
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
     s = samples(spark, folder)
     truth = F.when(F.col("doc_id") % len(AROUND) == 8, "1234").when(F.col("doc_id") % len(AROUND) == 9, "1").when(F.col("doc_id") % len(AROUND) == 11, r"\frac{1}{2}").otherwise("7")
@@ -376,6 +383,8 @@ QUERIES = {
     "sm1_sm10_edit_distance": edit_distances,
     "sm7_image_similarity": image_similarities,
     "sm6_sm8_sm9_metric_table": metric_table,
+    "rec1_metric_records": metric_records,
+    "mt9_policy_loss_gspo_token": _policy("gspo_token"),
     "rw2_dapo": dapo,
     "rw3_math": math_reward,
     "rw4_ux1_ux7_r1v": r1v,
@@ -412,6 +421,12 @@ ORACLE = {
     "sm3_sm4_fallback_bleu": _bleu_sql("kinds", False),
     "ag16_corpus_bleu": _bleu_sql("total", False, True),
     "sm6_sm8_sm9_metric_table": "SELECT p_partkey, round(exp(-d / 0.5), 9) AS lpips_sim, round(1 - d, 9) AS dreamsim_sim, CAST(NULL AS DOUBLE) AS ssim FROM (SELECT p_partkey, (p_partkey % 10) / 10 AS d FROM part)",
+    "rec1_metric_records": "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey / 100 END AS lpips_dist, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey / 200 ELSE 0.0 END AS ssim, CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE p_partkey / 300 END AS crystalbleu, "
+    + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("siglip_cos", "clip_cos", "dreamsim_dist", "token_edit_dist", "token_edit_dist_norm"))
+    + ", "
+    + ", ".join(f"0.0::DOUBLE AS {c}" for c in ("siglip_sim", "clip_sim", "lpips_sim", "dreamsim_sim", "token_edit_sim"))
+    + " FROM part",
+    "mt9_policy_loss_gspo_token": _policy_sql("gspo"),
     "rw2_dapo": f"WITH {_ANSWERS} SELECT doc_id, round({_RIGHT} + ({_LONG}) * 0.5, 6) AS overall, {_RIGHT} AS accuracy, round({_LONG}, 6) AS overlong, 0.5 * ({_RIGHT} + 1) AS accuracy_normalized FROM ans",
     "rw3_math": f"WITH {_ANSWERS}, t AS (SELECT doc_id, ground_truth, {_GOOD} AS format, contains({_SQUEEZED}, '\\boxed{{') AS boxed, list_last(string_split({_SQUEEZED}, '\\boxed{{')) AS tail FROM ans), p AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM (SELECT doc_id, regexp_extract_all(tail, '[^{{}}]*[{{}}]') AS pieces FROM t WHERE boxed)), d AS (SELECT doc_id, sum(length(piece)) OVER w AS n, sum(CASE WHEN ends_with(piece, '{{') THEN 1 ELSE -1 END) OVER w AS depth FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)), e AS (SELECT doc_id, min(n) - 1 AS stop FROM d WHERE depth = -1 GROUP BY doc_id), q AS (SELECT doc_id, format, CAST({_answer_sql("coalesce(regexp_replace(substr(tail, 1, CAST(stop AS BIGINT)), '^[ \t\n]+|[ \t\n]+$', '', 'g'), 'None')")} = {_answer_sql('ground_truth')} AS DOUBLE) AS accuracy FROM t LEFT JOIN e USING (doc_id)) SELECT doc_id, round(0.9 * accuracy + 0.1 * format, 6) AS overall, format, accuracy FROM q",
     "rw4_ux1_ux7_r1v": f"WITH {_ANSWERS}, p AS (SELECT doc_id, ground_truth, {_R1} AS q FROM ans), q AS (SELECT doc_id, {_R1G} AS format, {_R1A} AS accuracy FROM p) SELECT doc_id, 0.5 * accuracy + 0.5 * format AS overall, format, accuracy FROM q",

@@ -196,9 +196,10 @@ def once(df: DataFrame, keys: list[str], call) -> DataFrame:
 
     Values are found equal and joined by two hashes, so the texts that repeat aren't shuffled with every row.
     """
-    marks = [F.xxhash64(*keys).alias("_mark"), F.xxhash64(F.lit(1), *keys).alias("_mark2")]
-    few = df.select(*marks, *keys).groupBy("_mark", "_mark2").agg(*[F.any_value(k).alias(k) for k in keys])
-    out = call(few.drop("_mark", "_mark2"))
-    out = out.select(*[m.alias(f"_of{m_}") for m, m_ in zip((F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys)), ("_mark", "_mark2"), strict=True)], *[c for c in out.columns if c not in keys])
-    marked = df.withColumns({"_mark": F.xxhash64(*keys), "_mark2": F.xxhash64(F.lit(1), *keys)})
-    return marked.join(out, (F.col("_mark") == F.col("_of_mark")) & (F.col("_mark2") == F.col("_of_mark2"))).drop("_mark", "_mark2", "_of_mark", "_of_mark2")
+    told = [x for k in keys for x in (F.col(k).isNull(), F.col(k))]  # a hash leaves nulls out
+    marks = {"_mark": F.xxhash64(*told), "_mark2": F.xxhash64(F.lit(1), *told)}
+    marked = df.withColumns(marks)
+    few = marked.groupBy(*marks).agg(*[F.first(k).alias(k) for k in keys]).select(*keys)
+    out = call(few)
+    out = out.select(*[m.alias(f"_of{name}") for name, m in marks.items()], *[c for c in out.columns if c not in keys])
+    return marked.join(out, (F.col("_mark") == F.col("_of_mark")) & (F.col("_mark2") == F.col("_of_mark2"))).drop(*marks, *[f"_of{name}" for name in marks])

@@ -315,6 +315,19 @@ def test_waits_and_preflight():
     assert made.generate("x") == made.generate("x") and E.Lazy._made["test"] is made._own()
 
 
+def test_once_with_nulls(spark):
+    rows = [(1, None, "a"), (2, "a", None), (3, "a", "a"), (4, None, None), (5, None, "a"), (6, "", "a")]
+    df = spark.createDataFrame(rows, "id int, x string, y string")
+    seen = []
+
+    def call(few):
+        seen.append(few.count())
+        return few.withColumn("told", F.concat_ws("/", F.coalesce("x", F.lit("null")), F.coalesce("y", F.lit("null"))))
+
+    got = {r.id: r.told for r in E.once(df, ["x", "y"], call).collect()}
+    assert seen == [5] and got == {k: f"{'null' if x is None else x}/{'null' if y is None else y}" for k, x, y in rows}
+
+
 def test_executable(tmp_path, monkeypatch):
     program = tmp_path / "prog"
     program.write_text("")

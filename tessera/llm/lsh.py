@@ -99,12 +99,16 @@ def probes(query: np.ndarray, width: float, success: float = SUCCESS) -> np.ndar
         mass = normal(low + WIDTH) - normal(low)
         halves = []
         for first in (0, HASHES // 2):
-            chance = np.prod([mass[first + k, _ALL[:, k] + 2] for k in range(HASHES // 2)], axis=0)
+            chance = mass[first]
+            for k in range(first + 1, first + HASHES // 2):
+                chance = np.multiply.outer(chance, mass[k]).ravel()
             top = np.argpartition(-chance, HALF - 1)[:HALF]
             halves.append((top, chance[top]))
         chance = np.outer(halves[0][1], halves[1][1]).ravel()
-        order = np.argsort(-chance, kind="stable")
-        order = order[: int(np.searchsorted(np.cumsum(chance[order]), need)) + 1]
+        falling = np.sort(chance)[::-1]
+        last = falling[min(int(np.searchsorted(np.cumsum(falling), need)), len(falling) - 1)]
+        order = np.flatnonzero(chance >= last)
+        order = order[np.argsort(-chance[order], kind="stable")]
         steps = np.hstack([_ALL[halves[0][0][order // HALF]], _ALL[halves[1][0][order % HALF]]])
         out.append(folded(own + steps, table, len(query)))
     return np.concatenate(out)
@@ -220,7 +224,7 @@ def _probed(rows: DataFrame, asked: DataFrame, count: int, k: int) -> DataFrame:
 
     fields = f"node long, id long, v {kind}, n long, keys array<long>"
     stored = written(rows.mapInArrow(lambda b: hashed(b, False), fields), "hashed")
-    visits = written(asked.mapInArrow(lambda b: hashed(b, True), fields), "probes", hashes=True)
+    visits = written(asked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node").mapInArrow(lambda b: hashed(b, True), fields), "probes", hashes=True)
     entries = stored.select("node", "id", "v", "n", F.explode("keys").alias("key"))
     hot = written(entries.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("split")), "hot-buckets", hashes=True)
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * TABLES // PART))

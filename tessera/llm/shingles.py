@@ -15,7 +15,7 @@ CHARS = 9
 BANDS = 10
 ROWS = 3
 #: Characters and lines of a part.
-PART, MOST = 1 << 19, 1 << 15
+PART, MOST = 1 << 18, 1 << 14
 #: Bits of a hash that order a line's shingles, and shingles up to which a cell's pairs are counted one by one.
 _BITS = 44
 _FEW = 8

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, mixing
+from tessera.llm import chat, merkle, mixing, negatives, queries, urls
 
 
 def _sql(text: str) -> str:
@@ -87,4 +87,17 @@ def _op10(shards: int = 24, groups: int = 64) -> str:
     FROM s, c"""
 
 
-ORACLE: dict[str, str] = {"op3_chat_format": _op3(), "op4_mixing": _op4(), "op10_shards": _op10()}
+def _op12() -> str:
+    crc, table = _crc32("CAST(doc_id AS VARCHAR)")
+    kept = "CASE WHEN doc_id IS NOT NULL AND (SELECT value FROM crcs WHERE crcs.id = doc_id) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+    return merkle.sql(kept, f"c AS (SELECT {table} AS crc_table), crcs AS MATERIALIZED (SELECT DISTINCT doc_id AS id, {crc} AS value FROM documents, c WHERE doc_id IS NOT NULL),")
+
+
+ORACLE: dict[str, str] = {
+    "op3_chat_format": _op3(),
+    "op4_mixing": _op4(),
+    "op10_shards": _op10(),
+    "op11_urls": urls.sql(queries.RULES),
+    "op12_merkle": _op12(),
+    "op13_hard_negatives": negatives.sql(),
+}

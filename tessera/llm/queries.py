@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, langid, lines, lsh, mixing, pivots, quality, sharding, simhash
+from tessera.llm import bpe, chat, langid, lines, lsh, merkle, mixing, negatives, pivots, quality, sharding, simhash, urls
 from tessera.sources.readers import spread
 
 SHARDS = 24
 RANKS = "byte_bpe_multi_50k.tiktoken"
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -93,6 +94,24 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(_table(spark, folder, "documents").select("doc_id", "text"), SHARDS)
 
 
+def op11_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's url judged by the rules, else by models learned from the urls that the rules settle."""
+    return urls.judged(_table(spark, folder, "pages").select("page_id", "url"), RULES).drop("url")
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in the manifest proved, with the line breaks of every second one's text gone by the CRC-32 of its id."""
+    docs = _table(spark, folder, "documents").select(*merkle.FIELDS)
+    odd = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    return merkle.manifest(docs, tampered={"text": F.when(odd, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Up to five hard negatives for each of the five positives of every vector whose id is divisible by 100; every seventh id's label moves on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, folder, "embeddings").select("vec_id", "embedding", "label"), F.col("vec_id") % 100 == 0, label=moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality": op2_quality,
@@ -104,4 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_shards": op10_shards,
+    "op11_urls": op11_urls,
+    "op12_merkle": op12_merkle,
+    "op13_hard_negatives": op13_hard_negatives,
 }

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("tables written in the scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +46,32 @@ def written(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
     df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._tessera_path = path
+    if (scope := _scope.get()) is not None:
+        scope.append(table)
     return table
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written inside goes at the end, but for tables that the function given was called with: what is returned reads them. Those belong to the scope around, if there is one."""
+    mine: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    token = _scope.set(mine)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        stay = {getattr(t, "_tessera_path", None) for t in kept}
+        dropped(*[t for t in mine if t._tessera_path not in stay])
+        if (outer := _scope.get()) is not None:
+            outer.extend(t for t in mine if t._tessera_path in stay)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of :func:`written` that nothing reads any more."""
     for table in tables:

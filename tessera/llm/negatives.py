@@ -138,6 +138,8 @@ class Goals:
         x = rows.astype(np.float64)
         self.norms = (x * x).sum(1)
         self.away = space.to_pivots(np.hstack([x, np.zeros((len(x), 1))]))
+        # anchors that are near each other are compared at once, with the rows that any of them may want
+        self.order = np.argsort(self.away.argmin(1), kind="stable")
         self.slack = 1e-9 * (self.norms + space.square) + 1
         self.score = np.full((len(low), k), LEAST)
         self.best = np.full((len(low), k), np.iinfo(np.int64).max)
@@ -156,7 +158,7 @@ class Goals:
         near = np.maximum(0, np.maximum(self.away - most, least - self.away)).max(1, initial=0)
         far = (self.away + most).min(1, initial=np.inf)
         hope = (self.space.scores(self.norms, near) + self.slack >= low) & (self.space.scores(self.norms, far) - self.slack <= high)
-        asked = np.flatnonzero(hope)
+        asked = self.order[hope[self.order]]
         for start in range(0, len(asked), AT_ONCE):
             self._compare(asked[start : start + AT_ONCE], low, high, ids, labels, rows, away)
 

@@ -32,10 +32,10 @@ def has_repetition(tokens: Column, n: int = 50, threshold: int = 5) -> Column:
     return max_repeats(tokens, n) >= threshold
 
 
-def repetitive(df: DataFrame, key: str = "id", text: str = "text", fenced: bool = False, n: int = 50, threshold: int = 5) -> DataFrame:
-    """``key`` and ``repeats`` of the rows whose commonest n-gram of tokens comes ``threshold`` times or more; rows without a key are skipped, and with ``fenced`` only a fence's body counts."""
+def repetitive(df: DataFrame, key: str = "id", text: str = "text", fenced: bool = False, n: int = 50, threshold: int = 5, tokens: Callable[[Column], Column] = T.tokens) -> DataFrame:
+    """``key`` and ``repeats`` of the rows whose commonest n-gram of ``tokens`` (words, or ids of :func:`tessera.operators.subwords.encoder`) comes ``threshold`` times or more; rows without a key are skipped, and with ``fenced`` only a fence's body counts."""
     code = T.extract_latex(F.col(text)) if fenced else F.col(text)
-    counted = df.where(F.col(key).isNotNull()).select(key, max_repeats(T.tokens(code), n).alias("repeats"))
+    counted = df.where(F.col(key).isNotNull()).select(key, tokens(code).alias("_tokens")).select(key, max_repeats(F.col("_tokens"), n).alias("repeats"))
     return counted.where(F.col("repeats") >= threshold)
 
 
@@ -52,8 +52,8 @@ def depends_on_files(code: Column) -> Column:
     return (T.empty(code) != "") & T.strip_comments(code).rlike(T.EXTERNAL)
 
 
-def too_long(text: Column, most: int = 8192) -> Column:
-    return F.size(T.tokens(T.strip(T.empty(text)))) > most
+def too_long(text: Column, most: int = 8192, tokens: Callable[[Column], Column] = T.tokens) -> Column:
+    return F.size(tokens(T.strip(T.empty(text)))) > most
 
 
 def only_ok(df: DataFrame, status: str = "status") -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import lexer as X
 from tessera.functions import maths as M
 from tessera.functions import text as T
 from tessera.functions.arrays import let, places
@@ -140,7 +141,7 @@ def extended_edit_distance(hyp: str, ref: str, alpha: float = 2.0, rho: float =
 
 
 def edit_distance(spark: SparkSession, hyp: Column, ref: Column) -> Column:
-    """Extended edit distance of both sides' TeX tokens (arrays), joined by blanks and with one at either end; null if a side is null. A batch computes equal pairs once.
+    """Extended edit distance of both sides' tokens (arrays), joined by blanks and with one at either end; null if a side is null. A batch computes equal pairs once.
 
     The recurrence runs over the characters of the reference, so this is Python behind Arrow.
     """
@@ -159,9 +160,12 @@ def edit_distance(spark: SparkSession, hyp: Column, ref: Column) -> Column:
 
 
 def code_metrics(pairs: DataFrame, key: str, hyp: str, ref: str, trivial: DataFrame | None = None, tau: float = 0.4) -> DataFrame:
-    """The record of code metrics per key, over the normalised bodies of both sides: ``token_edit_dist_norm``, ``token_edit_dist`` (times the reference's tokens), ``token_edit_sim`` and ``crystalbleu``."""
+    """The record of code metrics per key, over the normalised bodies of both sides: ``token_edit_dist_norm``, ``token_edit_dist`` (times the reference's tokens), ``token_edit_sim`` and ``crystalbleu``.
+
+    Both compare tokens of the TeX lexer; ``trivial`` holds n-grams of :func:`tessera.functions.lexer.code_words`.
+    """
     body = lambda c: T.normalize_tex(T.document_body(F.col(c)))
-    both = pairs.select(key, tex_tokens_of(body(hyp)).alias("_h"), tex_tokens_of(body(ref)).alias("_r"), T.tokens(body(hyp)).alias("_hw"), T.tokens(body(ref)).alias("_rw"))
+    both = pairs.select(key, X.edit_words(body(hyp)).alias("_h"), X.edit_words(body(ref)).alias("_r"), X.code_words(body(hyp)).alias("_hw"), X.code_words(body(ref)).alias("_rw"))
     d = both.select(key, edit_distance(pairs.sparkSession, F.col("_h"), F.col("_r")).alias("token_edit_dist_norm"), F.size("_r").alias("_n"))
     d = d.select(key, "token_edit_dist_norm", M.edit_count(F.col("token_edit_dist_norm"), F.col("_n")).alias("token_edit_dist"), M.from_distance(F.col("token_edit_dist_norm"), tau).alias("token_edit_sim"))
     return d.join(crystal_bleu(both, key, "_hw", "_rw", trivial).withColumnRenamed("bleu", "crystalbleu"), key)

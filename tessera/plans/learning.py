@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.functions import lexer as X
 from tessera.functions import maths as M
 from tessera.functions import text as T
 from tessera.operators import advantage as V
@@ -247,7 +248,7 @@ def edit_distances(spark: SparkSession, folder: str) -> DataFrame:
     from tessera.operators.stats import trivial_ngrams
 
     p = _turns(spark, folder)
-    trivial = trivial_ngrams(p, T.tokens(T.normalize_tex(T.document_body(F.col("ref")))), 50)
+    trivial = trivial_ngrams(p, X.code_words(T.normalize_tex(T.document_body(F.col("ref")))), 50)
     out = S.code_metrics(p, "id", "hyp", "ref", trivial)
     return out.select("id", *[F.round(c, 6).alias(c) for c in ("token_edit_dist_norm", "token_edit_dist", "token_edit_sim", "crystalbleu")])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import curation, io, learning, strings
+from tessera.plans import curation, io, learning, strings, tokens
 
-MODULES = [curation, io, learning, strings]
+MODULES = [curation, io, learning, strings, tokens]
 
 
 def queries() -> dict:

@@ -310,11 +310,10 @@ def truncated(text: Column, most: int, mark: str) -> Column:
 
 
 def filled(template: str, **columns: Column) -> Column:
-    """``template`` with each ``{name}`` replaced by a column."""
-    out = F.lit(template)
-    for name, column in columns.items():
-        out = F.replace(out, F.lit("{" + name + "}"), empty(column))
-    return out
+    """``template`` with each ``{name}`` replaced by a column, in one pass: what stands in a column stays as it is."""
+    from tessera.functions.templates import formatted
+
+    return formatted(template, columns)
 
 
 def repair_prompt(code: Column, error: Column, most: int = 10_000) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import maths as M
+from tessera.functions import templates as P
 from tessera.functions import text as T
 from tessera.operators import advantage as V
 from tessera.operators import balance as B
@@ -386,13 +387,27 @@ def kl_controllers(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "step long, fixed double, adaptive double")
 
 
-#: Wrappers of a question by model family; ``{content}`` stands for the question.
-FAMILIES = {"plain": "{content}", "instruct": "[INST] {content} [/INST]", "named": "<|user|>\n{content}\n<|assistant|>\n"}
-
-
 def model_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions with an image mark and a place for an image, as every model family wants them."""
     c = table(spark, folder, "conversations").where("role = 'user'")
-    return c.select("conv_id", "turn", *[T.filled(t, content=F.col("text")).alias(n) for n, t in FAMILIES.items()])
+    asked = F.concat(F.lit(P.IMAGE_MARK + P.IMAGE_PLACE), F.col("text"))
+    return c.select("conv_id", "turn", *[P.for_family(asked, n).alias(n) for n in P.FAMILIES])
+
+
+#: A conversation as one prompt: a loop with its state, a choice, filters, trimmed marks and a quoted name that isn't one.
+CHAT = """
+{%- for m in messages %}
+{%- if loop.first %}<{{ loop.index }}>{% elif m.role == 'assistant' and not loop.last %}[A]{% else %}{{ m.role | upper }}{% endif %} {{ m.text | replace("e", "{{ m }}") | trim }}{# gone #}
+{% endfor -%}
+{{ '{{ conv }}' }} {{ conv }}: {{ messages[0].role | default('none') }}, {{ messages | count }}
+"""
+
+
+def rendered_chats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation by a template with loops and choices."""
+    turn = F.struct("turn", "role", "text")
+    chats = table(spark, folder, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("messages"))
+    return chats.select("conv_id", P.rendered(CHAT, {"messages": F.col("messages"), "conv": F.col("conv_id")}).alias("prompt"))
 
 
 def lazy_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -497,6 +512,7 @@ QUERIES = {
     "snk16_ck3_saved_batch": saved_batch,
     "mt8_kl_controllers": kl_controllers,
     "str30_model_templates": model_templates,
+    "str29_rendered_chats": rendered_chats,
     "ux6_jn5_second_answers": second_answers,
 }
 #: Groups of 64 documents dealt in turn to the lightest of eight sets.
@@ -549,7 +565,10 @@ ORACLE = {
     "snk4_snk5_snk7_appended_answers": "SELECT doc_id AS id, CASE WHEN doc_id % 6 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 6 <> 0 THEN 'plain' ELSE 'no prompt' END AS prompt_name, CAST(doc_id % 6 <> 0 AS INTEGER) AS n FROM documents",
     "snk16_ck3_saved_batch": "SELECT conv_id, CAST(count(*) AS INTEGER) AS n, true AS unequal_raises FROM conversations GROUP BY conv_id",
     "mt8_kl_controllers": "SELECT n_nationkey AS step, 0.1::DOUBLE AS fixed, round(0.1 * exp(sum(ln(1 + greatest(-0.2, least(0.2, (n_regionkey / 40 + 0.01) / 0.05 - 1)) * 0.064)) OVER (ORDER BY n_nationkey)), 9) AS adaptive FROM nation",
-    "str30_model_templates": "SELECT conv_id, turn, text AS plain, '[INST] ' || text || ' [/INST]' AS instruct, '<|user|>' || chr(10) || text || chr(10) || '<|assistant|>' || chr(10) AS named FROM conversations WHERE role = 'user'",
+    "str30_model_templates": "SELECT conv_id, turn, " + ", ".join(f"{quoted(before)} || {quoted('<image>{<|image_pad|>}' if image is None else image)} || {'text' if image is None else 'replace(replace(text, ' + quoted(P.IMAGE_MARK) + chr(44) + chr(39) * 2 + '), ' + quoted(P.IMAGE_PLACE) + chr(44) + quoted(image) + ')'} || {quoted(behind)} AS {n}" for n, (before, behind, image) in P.FAMILIES.items()) + " FROM conversations WHERE role = 'user'",
+    "str29_rendered_chats": """WITH m AS (SELECT *, row_number() OVER w AS k, lead(turn) OVER w IS NULL AS last, count(*) OVER (PARTITION BY conv_id) AS n, first_value(role) OVER w AS r0 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+      SELECT conv_id, string_agg(CASE WHEN k = 1 THEN '<1>' WHEN role = 'assistant' AND NOT last THEN '[A]' ELSE upper(role) END || ' ' || trim(replace(text, 'e', '{{ m }}'), ' ' || chr(9) || chr(10) || chr(13)) || chr(10), '' ORDER BY k)
+        || '{{ conv }} ' || conv_id || ': ' || any_value(r0) || ', ' || any_value(n) AS prompt FROM m GROUP BY conv_id""",
     "ux6_jn5_second_answers": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 4 = 1 AS asked FROM documents",
     "extension_tumbling_windows": "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
 }

@@ -143,10 +143,13 @@ SCALARS: dict[str, tuple[dict[str, object], dict[str, str]]] = {
     "str26_log_message": ({"out": lambda x: T.log_message(x, F.lit(""))}, {"out": f"CASE WHEN len({_BANG}) > 0 THEN array_to_string(list_slice({_BANG}, 1, 3), ' | ') WHEN len({_MISSING}) > 0 THEN array_to_string(list_slice({_MISSING}, 1, 3), ' | ') ELSE 'Compile failed (unknown)' END"}),
     "str27_error_lines": ({"out": lambda x: T.error_lines(x, most=80)}, {"out": f"CASE WHEN length({_LINES}) > 80 THEN substr({_LINES}, 1, 80) || chr(10) || '...[log truncated]' ELSE {_LINES} END"}),
     "str28_repair_prompt": (
-        {"out": lambda x: T.repair_prompt(x, F.lit("! oops"), 100)},
-        {"out": "'Fix this LaTeX code with the fewest changes and answer with one fenced block.' || chr(10) || '<ERROR_START>' || chr(10) || '! oops' || chr(10) || '<ERROR_END>' || chr(10) || '<CODE_START>' || chr(10) || substr(tex, 1, 100) || chr(10) || '<CODE_END>' || chr(10) || CASE WHEN length(tex) > 100 THEN chr(10) || '[Code truncated]' || chr(10) ELSE '' END || chr(10)"},
+        {"out": lambda x: T.repair_prompt(x, F.concat(F.lit("! {code} {note} "), x, F.lit("{{error}}")), 100)},
+        {"out": "'Fix this LaTeX code with the fewest changes and answer with one fenced block.' || chr(10) || '<ERROR_START>' || chr(10) || '! {code} {note} ' || tex || '{{error}}' || chr(10) || '<ERROR_END>' || chr(10) || '<CODE_START>' || chr(10) || substr(tex, 1, 100) || chr(10) || '<CODE_END>' || chr(10) || CASE WHEN length(tex) > 100 THEN chr(10) || '[Code truncated]' || chr(10) ELSE '' END || chr(10)"},
+    ),
+    "str29_template": (
+        {"out": lambda x: T.filled("Question: {content}\nAnswer {{{hint}}}: {absent}", content=F.concat(F.lit("{hint}{content}"), x), hint=F.concat(F.lit("{content}"), x))},
+        {"out": "'Question: {hint}{content}' || tex || chr(10) || 'Answer {{content}' || tex || '}: {absent}'"},
     ),
-    "str29_template": ({"out": lambda x: T.filled("Question: {content}\nAnswer:", content=x)}, {"out": "'Question: ' || tex || chr(10) || 'Answer:'"}),
     "str31_normalize_answer": ({"out": T.normalize_answer}, {"out": _answer("tex")}),
     "str32_last_answer": ({"out": T.last_answer}, {"out": f"CASE WHEN len({_ANSWERS}) > 0 THEN list_last({_ANSWERS}) ELSE '[INVALID]' END"}),
     "str33_answer_formats": (

@@ -1,9 +1,15 @@
 """Balanced partitions of items by their lengths.
 
 The largest-differencing method merges whole candidate solutions and is sequential by
-nature; it runs on one machine over (place, length) alone, for a batch of bounded size
-(``MOST`` items), and the result is joined back. A group column splits the work: each
-group is balanced by itself, on its own machine.
+nature. :func:`balanced` runs it in two levels: the items of a group, longest first, are dealt
+to blocks of about ``BLOCK``, each of which is solved by itself, and then solutions
+are merged two by two, the heaviest set of one with the lightest of the other, on the sums of
+the sets alone. A group of up to two blocks is one block, and solved as the method is
+defined. Merging two solutions never makes the spread wider than that of the worse one, which
+for a block is its longest item at most; so that bound holds at every size.
+
+:func:`dealt` hands a whole group to a function, for rules that have no parts; a group
+of more than ``MOST`` items is refused.
 """
 
 from __future__ import annotations
@@ -14,9 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.filters import row_numbers, running_sums
 from tessera.shipping import ship
+from tessera.sources.scratch import kept
 
 MOST = 1_000_000
+BLOCK = 4096
 
 
 class _Solution:
@@ -96,9 +105,56 @@ def dealt(df: DataFrame, length: str, deal, group: str | None = None, order: str
     return df.join(found, match & F.col(group).eqNullSafe(F.col("_g")) if group else match).drop("_g", "_i")
 
 
-def balanced(df: DataFrame, length: str, k: int, group: str | None = None, order: str = "row_idx", equal: bool = False) -> DataFrame:
-    """``df`` with ``part``: the set of each row by :func:`differenced`."""
-    return dealt(df, length, lambda lengths: differenced(lengths, k, equal), group, order)
+def balanced(df: DataFrame, length: str, k: int, group: str | None = None, order: str = "row_idx", equal: bool = False, block: int = BLOCK) -> DataFrame:
+    """``df`` with ``part``: the set of each row of its group, by differencing in blocks and merging the blocks' sets; a group has ``k`` items at least, and with ``equal`` a number that ``k`` divides."""
+    ship(df.sparkSession)
+    size = -(-block // k) * k
+    own = F.col(group) if group else F.lit(0)
+    items = df.select(own.alias("g"), F.col(order).cast("long").alias("i"), F.col(length).cast("long").alias("n")).withColumn("falling", -F.col("n")).withColumn("none", F.col("g").isNull())
+    placed = kept(row_numbers(items, "none", "g", "falling", "i", name="at"))
+    groups = kept(placed.groupBy("g").agg(F.min("at").alias("first"), F.greatest(F.floor(F.count("*") / size), F.lit(1)).cast("long").alias("blocks")))
+    named = groups.withColumnRenamed("g", "_g")
+    block_ = F.least(F.floor((F.col("at") - F.col("first")) / size).cast("long"), F.col("blocks") - 1)
+    blocks = placed.join(named, F.col("g").eqNullSafe(F.col("_g"))).select("g", "i", "n", block_.alias("block"))
+    kind = blocks.schema["g"].dataType.simpleString()
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("i", ignore_index=True)
+        where = pd.Series(0, index=part.index)
+        for j, places in enumerate(differenced(part["n"].tolist(), k, equal)):
+            where.iloc[places] = j
+        return part.assign(set=where.astype("int32"))[["g", "block", "i", "n", "set"]]
+
+    solved = kept(blocks.groupBy("g", "block").applyInPandas(run, f"g {kind}, block long, i long, n long, set int"))
+    sets = solved.groupBy("g", "block", "set").agg(F.sum("n").alias("s"))
+    maps = []
+    left = groups.agg(F.max("blocks")).first()[0] or 1
+    while left > 1:  # the heavier sets of even blocks meet the lighter ones of odd blocks
+        pair = Window.partitionBy("g", "block")
+        falls = F.row_number().over(pair.orderBy(F.desc("s"), "set"))
+        last = F.col("block") % 2 == 1
+        met = F.when(last, k - falls).otherwise(falls - 1).cast("int")
+        maps.append(kept(sets.select("g", "block", "set", "s", F.floor(F.col("block") / 2).cast("long").alias("to_block"), met.alias("to_set"))))
+        sets = maps[-1].groupBy("g", F.col("to_block").alias("block"), F.col("to_set").alias("set")).agg(F.sum("s").alias("s"))
+        left = -(-left // 2)
+    found = solved.select("g", "i", "block", F.col("set").alias("part"))
+    if maps:
+        ends = maps[-1].select("g", "block", "set", F.col("to_set").alias("part"))
+        for way in reversed(maps[:-1]):
+            above = ends.withColumnsRenamed({"g": "_g", "block": "to_block", "set": "to_set"})
+            ends = way.join(above, way.g.eqNullSafe(above["_g"]) & (way.to_block == above.to_block) & (way.to_set == above.to_set)).select("g", "block", "set", "part")
+        ends = ends.withColumnsRenamed({"g": "_g", "block": "_b", "set": "_s"})
+        found = solved.join(ends, solved.g.eqNullSafe(ends["_g"]) & (solved.block == ends["_b"]) & (solved.set == ends["_s"])).select("g", "i", "part")
+    found = found.select(F.col("g").alias("_g"), F.col("i").alias("_i"), "part")
+    match = F.col(order).cast("long") == F.col("_i")
+    return df.join(found, match & F.col(group).eqNullSafe(F.col("_g")) if group else match).drop("_g", "_i")
+
+
+def snaked(df: DataFrame, length: str, k: int, order: str = "row_idx") -> DataFrame:
+    """``df`` with ``part``: rows from the longest to the shortest dealt to ``k`` sets forth and back, which any number of tasks can do."""
+    falling = row_numbers(df.withColumn("_falling", -F.col(length)), "_falling", order, name="_at").drop("_falling")
+    turn = F.col("_at") % (2 * k)
+    return falling.withColumn("part", F.least(turn, 2 * k - 1 - turn).cast("int")).drop("_at")
 
 
 def micro_batches(lengths: list[int], most: int) -> list[list[int]]:
@@ -120,10 +176,10 @@ def restored(values: list, sets: list[list[int]]) -> list:
 
 def ordered(df: DataFrame, order: str = "row_idx", part: str = "part") -> DataFrame:
     """Rows dealt to sets with ``new_idx``, their place when set stands behind set: what :func:`tessera.operators.relational.reordered` takes."""
-    sizes = df.groupBy(part).count()
-    before = sizes.join(sizes.select(F.col(part).alias("_p"), F.col("count").alias("_c")), F.col("_p") < F.col(part), "left").groupBy(part).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_before"))
+    sizes = running_sums(df.groupBy(F.col(part).alias("_p")).count(), "count", "_p", name="_upto")
     inside = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
-    return df.withColumn("_in", inside).join(F.broadcast(before), part).withColumn("new_idx", F.col("_before") + F.col("_in")).drop("_before", "_in")
+    placed = df.withColumn("_in", inside).join(sizes.select("_p", (F.col("_upto") - F.col("count")).alias("_before")), F.col(part) == F.col("_p"))
+    return placed.withColumn("new_idx", F.col("_before") + F.col("_in")).drop("_before", "_in", "_p")
 
 
 def imbalance(df: DataFrame, length: str, k: int, order: str = "row_idx", part: str = "part") -> DataFrame:

@@ -98,16 +98,25 @@ def usable_code(code: Column) -> Column:
     return F.when(T.strip(T.empty(code)) != "", code)
 
 
+def _ranged(df: DataFrame, order: tuple[str, ...], own: Column, size: Column, name: str) -> DataFrame:
+    """``df`` with a running value: ``own`` within ranges of a total order that are dealt to tasks, and the sum of ``size`` over the ranges before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(size.alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    numbered = ranged.withColumn("_in", own.over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(before), "_part")
+    return numbered.withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before", "_size")
+
+
 def row_numbers(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame:
     """``df`` with its row numbers from 0 in a total order.
 
     Ranges of the order are counted first, so no task holds more than its range.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = kept(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    counts = ranged.groupBy("_part").count()
-    before = counts.withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).select("_part", "_before")
-    numbered = ranged.withColumn("_in", inside).join(F.broadcast(before), "_part")
-    return numbered.withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    numbered = _ranged(df, order, F.row_number(), F.count("*"), "_number")
+    return numbered.withColumn(name, F.col("_number") - 1).drop("_number")
+
+
+def running_sums(df: DataFrame, value: str, *order: str, name: str = "upto") -> DataFrame:
+    """``df`` with the sum of ``value`` up to and with each row in a total order, range by range."""
+    return _ranged(df, order, F.sum(value), F.sum(value), name)

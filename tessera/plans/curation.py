@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import filters as L
+from tessera.operators import permutation as E
 from tessera.operators import relational as R
 from tessera.operators import stats as S
 from tessera.plans.fixtures import documents, table
@@ -258,7 +259,7 @@ def reorder(spark: SparkSession, folder: str) -> DataFrame:
 
 def concat_batches(spark: SparkSession, folder: str) -> DataFrame:
     b = _batch(spark, folder)
-    return R.concatenated([b.where("row_idx < 10"), b.where("row_idx % 5 = 0"), b.where("row_idx < 3")]).select("row_idx", "price")
+    return R.concatenated([b.where("row_idx % 2 = 0"), b, b.where("row_idx % 2 = 1")]).select("row_idx", "price")
 
 
 def pad_unpad(spark: SparkSession, folder: str) -> DataFrame:
@@ -279,6 +280,19 @@ def minibatches(spark: SparkSession, folder: str) -> DataFrame:
     return R.minibatches(docs, 16, 2, 5, "doc_id", L.row_numbers).select("epoch", "batch", "place", "doc_id")
 
 
+def permuted(spark: SparkSession, folder: str) -> DataFrame:
+    """Three epochs in orders of their own, from the tenth batch on: where an earlier run ended."""
+    docs = L.row_numbers(table(spark, folder, "documents").select("doc_id"), "doc_id")
+    return E.permuted_batches(docs, 16, 3, 5, done=10).select("epoch", "batch", "place", "doc_id")
+
+
+def chained(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint of the documents in the order of their ids, and in that of their lengths."""
+    docs = documents(spark, folder).select("doc_id", "text", "n_chars")
+    by_id = S.ordered_fingerprint(docs, "text", "doc_id").select("rows", "chain", F.lit("id").alias("sorted"))
+    return by_id.unionByName(S.ordered_fingerprint(docs, "text", "n_chars", "doc_id").select("rows", "chain", F.lit("length").alias("sorted")))
+
+
 def accumulate(spark: SparkSession, folder: str) -> DataFrame:
     """Groups that inform, from batch after batch of 250 events, until there are 64 rows."""
     e = table(spark, folder, "events").select("event_id", "user_id", (F.col("value") > 20).cast("double").alias("score"))
@@ -317,6 +331,7 @@ QUERIES = {
     "ag4_value_counter": value_counter,
     "ag5_trivial_ngrams": trivial,
     "ag6_corpus_fingerprint": corpus_fingerprint,
+    "ag6_ordered_fingerprint": chained,
     "ag7_reduce_metrics": reduced_metrics,
     "ag8_length_metrics": length_metrics,
     "ag9_data_metrics": data_metrics,
@@ -334,6 +349,7 @@ QUERIES = {
     "so4_chunk": chunks,
     "so5_fold": folds,
     "so6_src13_minibatches": minibatches,
+    "so6_src13_permuted_batches": permuted,
 }
 ORACLE = {
     "curation_report": f"WITH {_TOK}, {_REPEATS}, f AS (SELECT len(t) AS n_tokens, coalesce(most, 0) >= {THRESHOLD} OR len(t) > 2000 AS bad FROM tok LEFT JOIN rep USING (doc_id)) SELECT count(*) AS docs, count(*) FILTER (bad) AS flagged, {_CUT}, max(n_tokens) AS longest, round(avg(n_tokens), 6) AS mean FROM f",
@@ -360,6 +376,10 @@ ORACLE = {
     "ag2_ag3_conditional_means": f"WITH {_PAIRS} SELECT round(avg(similarity) FILTER (has_pred_image = 1), 9) AS compiled_only, round(avg(similarity) FILTER (has_pred_tex = 1), 9) AS all_tex, round(avg(coalesce(similarity, 0)), 9) AS overall, round(avg(has_pred_image), 9) AS compile_rate, count(*) AS n FROM pairs",
     "ag4_value_counter": "SELECT lang, count(*) AS count FROM documents GROUP BY lang",
     "ag5_trivial_ngrams": f"WITH {_TOK}, g AS ({_NGRAMS}) SELECT n, replace(gram, chr(31), ' ') AS gram, count(*) AS count FROM g GROUP BY g.n, g.gram ORDER BY count(*) DESC, n, g.gram LIMIT 100",
+    "ag6_ordered_fingerprint": " UNION ALL ".join(
+        f"SELECT CAST(count(*) AS BIGINT) AS rows, CAST(list_reduce(list_prepend(0::HUGEINT, list(CAST('0x' || substr(md5(coalesce('t' || text, 'n')), 1, 15) AS HUGEINT) ORDER BY {order})), lambda a, b: (a * {S.CHAIN_BASE}::HUGEINT + b) % {S.CHAIN_PRIME}::HUGEINT) AS BIGINT) AS chain, '{name}' AS sorted FROM documents"
+        for name, order in (("id", "doc_id"), ("length", "n_chars, doc_id"))
+    ),
     "ag6_corpus_fingerprint": "SELECT count(*) AS rows, coalesce(sum(CAST('0x' || substr(md5(text), 1, 8) AS BIGINT)), 0)::BIGINT AS high, coalesce(sum(CAST('0x' || substr(md5(text), 9, 8) AS BIGINT)), 0)::BIGINT AS low, coalesce(sum(CAST('0x' || substr(md5(text), 17, 8) AS BIGINT)), 0)::BIGINT AS third FROM documents",
     "ag7_reduce_metrics": "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
     "ag8_length_metrics": "SELECT round(avg(n), 6) AS response_mean, max(n) AS response_max, min(n) AS response_min, round(avg(CAST(n = 4000 AS INTEGER)), 9) AS response_clip_ratio FROM (SELECT least(n_chars, 4000) AS n FROM documents)",
@@ -373,9 +393,12 @@ ORACLE = {
     "st3_truncated_batch": "SELECT event_id FROM events WHERE value > 5 ORDER BY event_id LIMIT 40",
     "st4_accumulate_until_full": "WITH e AS (SELECT event_id, user_id, event_id // 250 AS b, CAST(value > 20 AS DOUBLE) AS s FROM events), k AS (SELECT b, user_id FROM e GROUP BY b, user_id HAVING avg(s) > 0.05 AND avg(s) < 0.95) SELECT event_id FROM e JOIN k USING (b, user_id) ORDER BY event_id LIMIT 64",
     "st5_reorder": f"WITH {_BATCH} SELECT row_idx * 37 % (SELECT count(*) FROM b) AS row_idx, o_orderkey FROM b",
-    "so1_concat": f"WITH {_BATCH} SELECT row_idx, price FROM b WHERE row_idx < 10 UNION ALL SELECT row_idx, price FROM b WHERE row_idx % 5 = 0 UNION ALL SELECT row_idx, price FROM b WHERE row_idx < 3",
+    "so1_concat": f"WITH {_BATCH} SELECT row_idx, price FROM b WHERE row_idx % 2 = 0 UNION ALL SELECT row_idx, price FROM b UNION ALL SELECT row_idx, price FROM b WHERE row_idx % 2 = 1",
     "so3_pad_unpad": f"WITH {_BATCH} SELECT row_idx, o_orderkey, false AS is_pad FROM b UNION ALL SELECT row_idx + n, o_orderkey, true FROM b, (SELECT count(*) AS n FROM b) WHERE row_idx < (7 - n % 7) % 7 UNION ALL SELECT -row_idx - 1, o_orderkey, false FROM b",
     "so4_chunk": f"WITH {_BATCH} SELECT i.range AS row_idx, CAST(i.range // ((n + 6) // 7) AS INTEGER) AS chunk FROM (SELECT count(*) AS n FROM b), range((SELECT (count(*) + 6) // 7 * 7 FROM b)) i",
     "so5_fold": f"WITH {_BATCH} SELECT row_idx // 10 AS fold, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY row_idx) AS keys FROM b GROUP BY 1",
+    "so6_src13_permuted_batches": "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), g AS (SELECT *, CAST(ceil(n / wide) AS BIGINT) AS high FROM (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS wide FROM d)), p AS ("
+    + " UNION ALL ".join(f"SELECT {e}::INTEGER AS epoch, doc_id, n, {E.sql_place('i', 5, e)} AS place FROM g" for e in range(3))
+    + ") SELECT epoch, CAST(place // 16 AS INTEGER) AS batch, place, doc_id FROM p WHERE place < n // 16 * 16 AND place // 16 + epoch * (n // 16) >= 10",
     "so6_src13_minibatches": "WITH p AS (SELECT doc_id, e.range AS epoch, row_number() OVER (PARTITION BY e.range ORDER BY md5(doc_id || '/' || (5 + e.range)), doc_id) - 1 AS place, count(*) OVER (PARTITION BY e.range) AS n FROM documents, range(2) e) SELECT CAST(epoch AS INTEGER) AS epoch, CAST(place // 16 AS INTEGER) AS batch, place, doc_id FROM p WHERE place < n // 16 * 16",
 }

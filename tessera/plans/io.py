@@ -316,10 +316,9 @@ def micro(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def imbalance(spark: SparkSession, folder: str) -> DataFrame:
-    """Sums of eight runs of the documents as they come, and of eight sets by turns of the greedy rule."""
-    docs = _by_64(spark, folder)
-    found = B.imbalance(B.dealt(docs.where("g = 0"), "n_chars", lambda lengths: B.greedy(lengths, 8)), "n_chars", 8)
-    return found.withColumn("mean", F.round("mean", 6))
+    """Sums of eight runs of all documents as they come, and of eight sets dealt forth and back by length."""
+    docs = row_numbers(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id")
+    return B.imbalance(B.snaked(docs, "n_chars", 8), "n_chars", 8).withColumn("mean", F.round("mean", 6))
 
 
 def streamed(spark: SparkSession, folder: str) -> DataFrame:
@@ -544,7 +543,9 @@ ORACLE = {
     "ux3_dispatched": "SELECT n_nationkey AS row_idx, w.range AS x, 'all' AS mode FROM nation, range(5) w UNION ALL SELECT n_nationkey, CAST(sum(n_regionkey) OVER (PARTITION BY n_nationkey // 5) AS BIGINT), 'runs' FROM nation UNION ALL SELECT n_nationkey, n_nationkey, 'own' FROM nation",
     "mt14_learning_rates": "SELECT p_partkey, round(CASE WHEN p_partkey < 50 THEN p_partkey / 50 ELSE 1.0::DOUBLE END, 9) AS constant, round(CASE WHEN p_partkey < 50 THEN 0.2 + 0.8 * p_partkey / 50 ELSE greatest(0.1::DOUBLE, cos(pi() * (p_partkey - 50) / 100) * 0.45 + 0.55) END, 9) AS cosine FROM part",
     "ux1_reward_file": "SELECT conv_id, turn, length(text) / 100 AS overall, CAST(role = 'user' AS DOUBLE) AS accuracy FROM conversations",
-    "ag15_imbalance": f"{_GREEDY}, d AS (SELECT n_chars, i, part FROM docs JOIN r USING (g, i) WHERE g = 0), p AS (SELECT sum(n_chars) AS s FROM d GROUP BY i // greatest((SELECT count(*) FROM d) // 8, 1)), e AS (SELECT sum(n_chars) AS s FROM d GROUP BY part) SELECT CAST(min(s) AS BIGINT) AS min, CAST(max(s) AS BIGINT) AS max, CAST(max(s) - min(s) AS BIGINT) AS minmax_diff, round(sum(s) / 8, 6) AS mean, (SELECT CAST(min(s) AS BIGINT) FROM e) AS balanced_min, (SELECT CAST(max(s) AS BIGINT) FROM e) AS balanced_max FROM p",
+    "ag15_imbalance": """WITH d AS (SELECT n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+      p AS (SELECT sum(n_chars) AS s FROM d GROUP BY i // greatest(n // 8, 1)), e AS (SELECT sum(n_chars) AS s FROM d GROUP BY least(pos % 16, 15 - pos % 16))
+      SELECT CAST(min(s) AS BIGINT) AS min, CAST(max(s) AS BIGINT) AS max, CAST(max(s) - min(s) AS BIGINT) AS minmax_diff, round(sum(s) / 8, 6) AS mean, (SELECT CAST(min(s) AS BIGINT) FROM e) AS balanced_min, (SELECT CAST(max(s) AS BIGINT) FROM e) AS balanced_max FROM p""",
     "bl3_greedy": f"{_GREEDY} SELECT doc_id, CAST(part AS INTEGER) AS part FROM docs JOIN r USING (g, i)",
     "ux4_rendered": f"SELECT id, ok, CASE WHEN NOT ok THEN '! Missing document' END AS error FROM (SELECT doc_id AS id, contains(c, '\\begin{{document}}') AND contains(c, '\\end{{document}}') AS ok FROM (SELECT doc_id, {str1('tex')} AS c FROM {SAMPLES} s))",
     "ux5_repair_loop": f"SELECT id, CASE WHEN contains(lower(w), '\\documentclass') AND regexp_matches(w, '(?i)\\\\begin\\s*\\{{document\\}}') AND regexp_matches(w, '(?i)\\\\end\\s*\\{{document\\}}') THEN 'ok' ELSE 'not_complete_doc' END AS status FROM (SELECT id, CASE WHEN contains(c, '\\documentclass') THEN c ELSE '\\documentclass \\begin{{document}} ' || c || ' \\end{{document}}' END AS w FROM (SELECT doc_id AS id, trim(substr(tex, 1, 10000), '`' || chr(10)) AS c FROM {SAMPLES} s WHERE doc_id NOT IN (SELECT doc_id FROM labels)))",

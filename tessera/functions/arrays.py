@@ -24,6 +24,28 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, lambda t: F.transform(places(F.size(t), n), lambda k: F.slice(t, k, F.lit(n))))
 
 
+def window_hashes(hashes: Column, n: int) -> Column:
+    """The 64-bit hashes of all windows of ``n`` elements of an array of hashes, repeats included.
+
+    Windows of m and the same ones further on make those of up to 2 m, so a window costs log n steps.
+    """
+    out, m = hashes, 1
+    while m < n:
+        step = min(m, n - m)
+        out, m = let(out, _together(step)), m + step
+    return out
+
+
+def _together(step: int) -> Callable[[Column], Column]:
+    """Every element hashed with the one ``step`` behind it."""
+
+    def pairs(w: Column) -> Column:
+        rest = F.greatest(F.size(w) - step, F.lit(0))
+        return F.zip_with(F.slice(w, F.lit(1), rest), F.slice(w, F.lit(1 + step), rest), lambda a, b: F.xxhash64(a, b))
+
+    return pairs
+
+
 def padded_ngrams(tokens: Column, n: int, pad: str) -> Column:
     """n-grams of the array with n - 1 pads at either end."""
     pads = F.array_repeat(F.lit(pad), n - 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.arrays import let, places
+from tessera.functions.arrays import window_hashes
 from tessera.sources.scratch import kept
 
 
@@ -24,7 +24,7 @@ def max_repeats(tokens: Column, n: int) -> Column:
         return F.struct(gram.alias("last"), run.alias("run"), F.greatest(state.most, run).alias("most"))
 
     words = F.transform(tokens, lambda w: F.xxhash64(w))
-    grams = F.sort_array(let(words, lambda w: F.transform(places(F.size(w), n), lambda k: F.xxhash64(F.slice(w, k, F.lit(n))))))
+    grams = F.sort_array(window_hashes(words, n))
     return F.aggregate(grams, start, step, lambda s: s.most)
 
 

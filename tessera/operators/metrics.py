@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import lexer as X
 from tessera.functions import maths as M
 from tessera.functions import text as T
-from tessera.functions.arrays import let, places
+from tessera.functions.arrays import let, window_hashes
 from tessera.shipping import ship
 
 _SEP = "\x1f"
@@ -34,11 +34,6 @@ def tex_tokens_of(code: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(_TEX.pattern), F.lit(0))
 
 
-def gram_hashes(words: Column, n: int) -> Column:
-    """The hashes of the n-grams of an array of word hashes, repeats included."""
-    return let(words, lambda w: F.transform(places(F.size(w), n), lambda k: F.xxhash64(F.slice(w, k, F.lit(n)))))
-
-
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -63,6 +58,30 @@ def _matches(trivial: Column, ref: Column, hyp: Column) -> Column:
     return F.aggregate(every, start, step)
 
 
+def _again(hashes: Column) -> Column:
+    """What an array of hashes holds besides the first of each: in order, without trivial ones it may be scanned."""
+
+    def behind(x: Column) -> Column:
+        rest = F.greatest(F.size(x) - 1, F.lit(0))
+        return F.filter(F.zip_with(F.slice(x, F.lit(2), rest), F.slice(x, F.lit(1), rest), lambda b, a: F.when(a == b, a)), lambda v: v.isNotNull())
+
+    return let(F.sort_array(hashes), behind)
+
+
+def _counted(trivial: Column, ref: Column, hyp: Column) -> Column:
+    """As :func:`_matches`: different n-grams by sets, and only what stands again, the lesser part, by a scan."""
+
+    def inner(x: Column) -> Column:
+        kinds = F.array_except(x["hyp"], trivial)
+        more = _matches(trivial, _again(x["ref"]), _again(x["hyp"]))
+        first = lambda m: F.struct(
+            (F.size(F.array_intersect(kinds, x["ref"])) + m["matched"]).alias("matched"), (F.size(kinds) + m["total"]).alias("total"), F.size(kinds).cast("bigint").alias("kinds")
+        )
+        return let(more, first)
+
+    return let(F.struct(ref.alias("ref"), hyp.alias("hyp")), inner)
+
+
 def bleu_counts(pairs: DataFrame, key: str, hyp: str, ref: str, trivial: DataFrame | None = None, orders: int = 4) -> DataFrame:
     """Per key and order ``n``: ``matched``, ``total`` (n-grams of the hypothesis) and ``kinds`` (different ones), without those in ``trivial`` (``n``, ``gram``).
 
@@ -72,12 +91,12 @@ def bleu_counts(pairs: DataFrame, key: str, hyp: str, ref: str, trivial: DataFra
     none = F.array().cast("array<bigint>")
     few = [none] * orders
     if trivial is not None:
-        named = trivial.select("n", F.xxhash64(word_hashes(F.split("gram", _SEP))).alias("h"))
-        listed = named.agg(*[F.collect_list(F.when(F.col("n") == n, F.col("h"))).alias(f"_trivial{n}") for n in range(1, orders + 1)])
+        words = word_hashes(F.split("gram", _SEP))
+        listed = trivial.agg(*[F.collect_list(F.when(F.col("n") == n, F.get(window_hashes(words, n), F.lit(0)))).alias(f"_trivial{n}") for n in range(1, orders + 1)])
         pairs = pairs.crossJoin(F.broadcast(listed))
         few = [F.col(f"_trivial{n}") for n in range(1, orders + 1)]
     hashed = pairs.select(key, word_hashes(F.col(hyp)).alias("_hyp"), word_hashes(F.col(ref)).alias("_ref"), *([] if trivial is None else few))
-    each = [F.struct(F.lit(n).alias("n"), _matches(few[n - 1], gram_hashes(F.col("_ref"), n), gram_hashes(F.col("_hyp"), n)).alias("x")) for n in range(1, orders + 1)]
+    each = [F.struct(F.lit(n).alias("n"), _counted(few[n - 1], window_hashes(F.col("_ref"), n), window_hashes(F.col("_hyp"), n)).alias("x")) for n in range(1, orders + 1)]
     return hashed.select(key, F.explode(F.array(*each)).alias("c")).select(key, "c.n", "c.x.matched", "c.x.total", "c.x.kinds")
 
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import let, ngrams, places, total
+from tessera.functions.arrays import let, ngrams, total, window_hashes
 from tessera.operators.filters import row_numbers
 from tessera.sources.scratch import kept
 
@@ -137,8 +137,7 @@ def trivial_ngrams(df: DataFrame, tokens: Column, k: int = 500, orders: int = 4)
     together in the first pass only.
     """
     words = df.select(tokens.alias("_t")).select("_t", F.transform("_t", lambda w: F.xxhash64(w)).alias("_h"))
-    hashed = lambda h, n: F.transform(places(F.size(h), n), lambda at: F.xxhash64(F.slice(h, at, F.lit(n))))
-    every = F.concat(*[hashed(F.col("_h"), n) for n in range(1, orders + 1)])
+    every = F.concat(*[window_hashes(F.col("_h"), n) for n in range(1, orders + 1)])
     counted = words.select(F.explode(every).alias("hash")).groupBy("hash").count()
     counts = kept(counted.where("count > 1"))  # most n-grams stand once
     if counts.count() < k:
@@ -156,8 +155,8 @@ def trivial_ngrams(df: DataFrame, tokens: Column, k: int = 500, orders: int = 4)
         return F.getbit(F.get("_marks", F.shiftright(low, 6)), low.bitwiseAND(F.lit(63))) == 1
 
     def spelled(n: int) -> Column:
-        found = F.filter(places(F.size("_h"), n), lambda at: marked(F.xxhash64(F.slice("_h", at, F.lit(n)))))
-        return F.transform(found, lambda at: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("_h", at, F.lit(n))).alias("hash"), F.array_join(F.slice("_t", at, F.lit(n)), "\x1f").alias("gram")))
+        placed = let(window_hashes(F.col("_h"), n), lambda g: F.filter(F.transform(g, lambda h, k: F.struct(h.alias("h"), k.alias("k"))), lambda x: marked(x["h"])))
+        return F.transform(placed, lambda x: F.struct(F.lit(n).alias("n"), x["h"].alias("hash"), F.array_join(F.slice("_t", x["k"] + 1, F.lit(n)), "\x1f").alias("gram")))
 
     texts = words.crossJoin(F.broadcast(marks)).select(F.explode(F.concat(*[spelled(n) for n in range(1, orders + 1)])).alias("g"))
     spelled_ = texts.groupBy("g.n", "g.hash", "g.gram").count().join(common, "hash", "left_semi")

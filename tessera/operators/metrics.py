@@ -159,20 +159,78 @@ def extended_edit_distance(hyp: str, ref: str, alpha: float = 2.0, rho: float =
     return min(1.0, (float(row[-1]) / _UNIT + coverage) / (len(ref) + coverage))
 
 
+#: Characters of hypotheses that are worked on at once: as many as a core keeps near.
+_CELLS = 1 << 15
+
+
+def extended_edit_distances(pairs: list[tuple[str, str]], alpha: float = 2.0, rho: float = 0.3, deletion: float = 0.2, insertion: float = 1.0) -> list[float]:
+    """:func:`extended_edit_distance` of many pairs: those of about equal length together, one character of all references a step."""
+    out = [0.0 if not r and not h else 1.0 for h, r in pairs]
+    order = sorted((k for k, (_, r) in enumerate(pairs) if r), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    start = 0
+    while start < len(order):
+        end = start + 1
+        while end < len(order) and end - start < 4096 and (end + 1 - start) * (len(pairs[order[end]][0]) + 1) <= _CELLS:
+            end += 1
+        some = sorted(order[start:end], key=lambda k: -len(pairs[k][1]))
+        for k, d in zip(some, _together([pairs[k] for k in some], alpha, rho, deletion, insertion), strict=True):
+            out[k] = d
+        start = end
+    return out
+
+
+def _together(pairs: list[tuple[str, str]], alpha: float, rho: float, deletion: float, insertion: float) -> list[float]:
+    """Distances of pairs, the longest reference first: at every step the pairs whose references go on are the first ones."""
+    jump, drop, more = (round(x * _UNIT) for x in (alpha, deletion, insertion))
+    codes = lambda x: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes, lengths = np.array([len(h) for h, _ in pairs]), np.array([len(r) for _, r in pairs])
+    kind = np.int32 if (int(sizes.max()) + int(lengths.max())) * 2 * max(_UNIT, jump, drop, more) < 2**31 else np.int64
+    wide, long = int(sizes.max()), int(lengths.max())
+    hyp, ref = np.zeros((len(pairs), wide), np.uint32), np.zeros((long, len(pairs)), np.uint32)
+    for k, (h, r) in enumerate(pairs):
+        hyp[k, : len(h)], ref[: len(r), k] = codes(h), codes(r)
+    beyond = np.where(np.arange(wide + 1)[None] > sizes[:, None], np.iinfo(kind).max // 2, 0).astype(kind)
+    steps = (np.arange(wide + 1) * drop).astype(kind)
+    row = np.full((len(pairs), wide + 1), _UNIT, kind)
+    row[:, 0] = 0
+    visits = np.full((len(pairs), wide + 1), -1, np.int32)
+    going = np.searchsorted(-lengths, -np.arange(long), side="left")  # references longer than the step's number
+    for step in range(long):
+        n = int(going[step])
+        now, fresh = row[:n], np.empty((n, wide + 1), kind)
+        fresh[:, 0] = now[:, 0] + _UNIT
+        np.multiply(hyp[:n] != ref[step, :n, None], kind(_UNIT), out=fresh[:, 1:], dtype=kind)
+        fresh[:, 1:] += now[:, :-1]
+        np.minimum(fresh[:, 1:], now[:, 1:] + kind(more), out=fresh[:, 1:])
+        fresh -= steps
+        np.minimum.accumulate(fresh, axis=1, out=fresh)
+        fresh += steps
+        at = np.maximum(fresh, beyond[:n]).argmin(1)
+        pair = np.arange(n)
+        visits[pair, at] += 1
+        blank = np.flatnonzero(ref[step, :n] == ord(" "))
+        if len(blank):
+            fresh[blank] = np.minimum(fresh[blank], jump + fresh[blank, at[blank]][:, None])
+        row[:n] = fresh
+    counted = np.where(beyond > 0, 0, np.where(visits >= 0, visits, 1)).sum(1)
+    last = row[np.arange(len(pairs)), sizes]
+    coverage = rho * counted.astype(np.float64)
+    return np.minimum(1.0, (last / _UNIT + coverage) / (lengths + coverage)).tolist()
+
+
 def edit_distance(spark: SparkSession, hyp: Column, ref: Column) -> Column:
     """Extended edit distance of both sides' tokens (arrays), joined by blanks and with one at either end; null if a side is null. A batch computes equal pairs once.
 
-    The recurrence runs over the characters of the reference, so this is Python behind Arrow.
+    The recurrence runs over the characters of the reference, for all pairs of a batch at once, in numpy behind Arrow.
     """
     ship(spark)
 
     @F.pandas_udf("double")
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        made = {}
-        for pair in zip(left, right, strict=True):
-            if pair not in made:
-                made[pair] = None if None in pair else extended_edit_distance(*pair)
-        return pd.Series([made[pair] for pair in zip(left, right, strict=True)], dtype="float64")
+        every = list(zip(left, right, strict=True))
+        few = list({pair for pair in every if None not in pair})
+        made = dict(zip(few, extended_edit_distances(few), strict=True))
+        return pd.Series([made.get(pair) for pair in every], dtype="float64")
 
     spaced = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
     return run(spaced(hyp), spaced(ref))

@@ -13,6 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import answers
 from tessera.functions import maths as M
 from tessera.functions import text as T
 from tessera.operators.external import once
@@ -88,13 +89,30 @@ def dapo(df: DataFrame, max_length: int = 4096, buffer: int = 1024, factor: floa
     return df.withColumn("reward", F.struct((right + long * factor).alias("overall"), right.alias("accuracy"), long.alias("overlong"), (0.5 * (right + 1)).alias("accuracy_normalized")))
 
 
+def same_answers(df: DataFrame, given: str, truth: str, out: str) -> DataFrame:
+    """``df`` with the flag ``out``: equal normal texts, else what both say (:mod:`tessera.functions.answers`); different pairs are read once, and only those whose texts differ."""
+    ship(df.sparkSession)
+    alike = T.normalize_answer(F.col(given)) == T.normalize_answer(F.col(truth))
+
+    @F.pandas_udf("boolean")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([answers.equal(x, y) for x, y in zip(left, right, strict=True)], dtype="bool")
+
+    marked = df.withColumn("_alike", F.coalesce(alike, F.lit(False)))
+    pairs = marked.where("NOT _alike").select(F.col(given).alias("_x"), F.col(truth).alias("_y")).distinct().where(run("_x", "_y"))
+    found = marked.join(pairs, F.col(given).eqNullSafe(F.col("_x")) & F.col(truth).eqNullSafe(F.col("_y")), "left")
+    return found.withColumn(out, F.col("_alike") | F.col("_x").isNotNull() | F.col("_y").isNotNull()).drop("_alike", "_x", "_y")
+
+
 @reward("math")
 def math(df: DataFrame, format_weight: float = 0.1) -> DataFrame:
-    """Boxed answer and form; answers are equal when their normal forms are."""
+    """Boxed answer and form; answers are equal when their normal texts are or when they say the same."""
     response = T.squeezed_marks(F.col("response"))
     good = T.boxed_format(response)
-    right = (T.normalize_answer(T.boxed(response)) == T.normalize_answer(F.col("ground_truth"))).cast("double")
-    return df.withColumn("reward", F.struct(((1 - format_weight) * right + format_weight * good).alias("overall"), good.alias("format"), right.alias("accuracy")))
+    boxed = df.withColumns({"_boxed": T.boxed(response), "_truth": T.empty(F.col("ground_truth"))})
+    right = F.col("_right").cast("double")
+    scored = same_answers(boxed, "_boxed", "_truth", "_right")
+    return scored.withColumn("reward", F.struct(((1 - format_weight) * right + format_weight * good).alias("overall"), good.alias("format"), right.alias("accuracy"))).drop("_boxed", "_truth", "_right")
 
 
 @reward("r1v")

@@ -22,7 +22,7 @@ from tessera.operators.filters import row_numbers
 from tessera.plans.fixtures import SAMPLES, quoted, samples, table
 from tessera.plans.strings import _normalized as normalized
 from tessera.plans.strings import extracted_sql as str1
-from tessera.sources import readers, writers
+from tessera.sources import ordered, readers, writers
 from tessera.sources.scratch import kept, scratch_dir
 from tessera.streaming import resume
 
@@ -51,7 +51,7 @@ def strict(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_dir(spark)
     table(spark, folder, "documents").select("doc_id", "lang", F.col("n_chars").alias("n")).write.json(path)
     try:
-        readers.jsonl(spark, _jsonl(spark, folder), _SCHEMA, "strict").collect()
+        readers.jsonl(spark, _jsonl(spark, folder), _SCHEMA, "strict").write.format("noop").mode("overwrite").save()
         raised = False
     except Exception:
         raised = True
@@ -315,6 +315,16 @@ def micro(spark: SparkSession, folder: str) -> DataFrame:
     return out.join(right, "g")
 
 
+def ordered_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers logged in three batches, by falling ids each; the second is handed over again, and once it dies before its commit."""
+    path = scratch_dir(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "lang").withColumn("back", -F.col("doc_id"))
+    docs.where("doc_id % 3 = 1").write.mode("overwrite").json(f"{path}/batch=1")
+    for batch in (0, 1, 1, 2):
+        ordered.commit_batch(docs.where(F.col("doc_id") % 3 == batch), path, batch, "back")
+    return ordered.log(spark, path, "doc_id long, lang string").withColumnRenamed(ordered.PLACE, "place")
+
+
 def imbalance(spark: SparkSession, folder: str) -> DataFrame:
     """Sums of eight runs of all documents as they come, and of eight sets dealt forth and back by length."""
     docs = row_numbers(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -368,7 +378,7 @@ def saved_batch(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     back = kept(turns)
     try:
-        back.select(R.equal_sizes(F.col("turns"), F.slice("turns", 2, 100))).collect()
+        back.select(R.equal_sizes(F.col("turns"), F.slice("turns", 2, 100))).write.format("noop").mode("overwrite").save()
         raised = False
     except Exception:
         raised = True
@@ -508,6 +518,7 @@ QUERIES = {
     "str35_str36_tex_tokens": tex_tokens,
     "bl3_greedy": greedy,
     "snk4_snk5_snk7_appended_answers": appended_answers,
+    "snk4_snk7_ordered_log": ordered_log,
     "snk16_ck3_saved_batch": saved_batch,
     "mt8_kl_controllers": kl_controllers,
     "str30_model_templates": model_templates,
@@ -563,6 +574,7 @@ ORACLE = {
     "bl1_bl2_bl5_balanced": "WITH d AS (SELECT n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), p AS (SELECT i, n_chars FROM d UNION ALL SELECT i + n, n_chars FROM d WHERE i < (64 - n % 64) % 64) SELECT i // 64 AS g, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(8 AS BIGINT) AS most, CAST(8 AS BIGINT) AS parts, true AS even FROM p GROUP BY 1",
     "bl4_micro_batches": "WITH d AS (SELECT n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS g, 2 * max(n_chars) OVER () AS most FROM documents) SELECT g, least(count(*), CAST(ceil(sum(n_chars) / any_value(most)) AS BIGINT)) AS parts, count(*) AS docs, true AS heaviest_first, true AS even, count(*) AS restored FROM d GROUP BY g",
     "sx1_sx2_resumed_stream": "SELECT event_id AS id, event_type, CAST(length(event_type) AS INTEGER) AS n FROM events",
+    "snk4_snk7_ordered_log": "SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id % 3, doc_id DESC) - 1 AS place FROM documents",
     "snk4_snk5_snk7_appended_answers": "SELECT doc_id AS id, CASE WHEN doc_id % 6 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 6 <> 0 THEN 'plain' ELSE 'no prompt' END AS prompt_name, CAST(doc_id % 6 <> 0 AS INTEGER) AS n FROM documents",
     "snk16_ck3_saved_batch": "SELECT conv_id, CAST(count(*) AS INTEGER) AS n, true AS unequal_raises FROM conversations GROUP BY conv_id",
     "mt8_kl_controllers": "SELECT n_nationkey AS step, 0.1::DOUBLE AS fixed, round(0.1 * exp(sum(ln(1 + greatest(-0.2, least(0.2, (n_regionkey / 40 + 0.01) / 0.05 - 1)) * 0.064)) OVER (ORDER BY n_nationkey)), 9) AS adaptive FROM nation",

@@ -292,6 +292,17 @@ def math_reward(spark: SparkSession, folder: str) -> DataFrame:
     return W.scored(df, "math").select("doc_id", *[F.round(f"reward.{c}", 6).alias(c) for c in ("overall", "format", "accuracy")])
 
 
+def equal_fractions(spark: SparkSession, folder: str) -> DataFrame:
+    """Fractions in several spellings, half of which are equal."""
+    a, b = F.col("p_partkey") % 40 + 1, F.col("p_size") % 12 + 1
+    c, d = F.when(F.col("p_partkey") % 2 == 0, a * 3).otherwise(a + 1), F.when(F.col("p_partkey") % 2 == 0, b * 3).otherwise(b)
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    given = F.when(F.col("p_partkey") % 3 == 0, text("\\frac{", a, "}{", b, "}")).when(F.col("p_partkey") % 3 == 1, text("x = ", a * 100, "\\% / ", b)).otherwise(text("(", a, "\\cdot\\sqrt{4}, -\\sqrt{", b * b * 2, "})"))
+    truth = F.when(F.col("p_partkey") % 3 != 2, text("$\\dfrac{", c, "}{", d, "}$")).otherwise(text("\\left(", a * 2, ", -", F.when(F.col("p_partkey") % 2 == 0, b).otherwise(b + 1), "\\sqrt2\\right)"))
+    rows = table(spark, folder, "part").select("p_partkey", given.alias("given"), truth.alias("truth"))
+    return W.same_answers(rows, "given", "truth", "same").select("p_partkey", "same")
+
+
 def r1v(spark: SparkSession, folder: str) -> DataFrame:
     df = _answers(spark, folder).withColumn("response", F.when(F.col("doc_id") % 2 == 0, "<think> a </think> <answer>1</answer>").otherwise(F.col("plain")))
     return W.scored(df, "r1v").select("doc_id", *[F.round(f"reward.{c}", 6).alias(c) for c in ("overall", "format", "accuracy")])
@@ -388,6 +399,7 @@ QUERIES = {
     "mt9_policy_loss_gspo_token": _policy("gspo_token"),
     "rw2_dapo": dapo,
     "rw3_math": math_reward,
+    "rw3_equal_fractions": equal_fractions,
     "rw4_ux1_ux7_r1v": r1v,
     "rw5_choice": choice,
     "rw1_self_consistency": consistency,
@@ -429,6 +441,7 @@ ORACLE = {
     + " FROM part",
     "mt9_policy_loss_gspo_token": _policy_sql("gspo"),
     "rw2_dapo": f"WITH {_ANSWERS} SELECT doc_id, round({_RIGHT} + ({_LONG}) * 0.5, 6) AS overall, {_RIGHT} AS accuracy, round({_LONG}, 6) AS overlong, 0.5 * ({_RIGHT} + 1) AS accuracy_normalized FROM ans",
+    "rw3_equal_fractions": "SELECT p_partkey, p_partkey % 2 = 0 AS same FROM part",
     "rw3_math": f"WITH {_ANSWERS}, t AS (SELECT doc_id, ground_truth, {_GOOD} AS format, contains({_SQUEEZED}, '\\boxed{{') AS boxed, list_last(string_split({_SQUEEZED}, '\\boxed{{')) AS tail FROM ans), p AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM (SELECT doc_id, regexp_extract_all(tail, '[^{{}}]*[{{}}]') AS pieces FROM t WHERE boxed)), d AS (SELECT doc_id, sum(length(piece)) OVER w AS n, sum(CASE WHEN ends_with(piece, '{{') THEN 1 ELSE -1 END) OVER w AS depth FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)), e AS (SELECT doc_id, min(n) - 1 AS stop FROM d WHERE depth = -1 GROUP BY doc_id), q AS (SELECT doc_id, format, CAST({_answer_sql("coalesce(regexp_replace(substr(tail, 1, CAST(stop AS BIGINT)), '^[ \t\n]+|[ \t\n]+$', '', 'g'), 'None')")} = {_answer_sql('ground_truth')} AS DOUBLE) AS accuracy FROM t LEFT JOIN e USING (doc_id)) SELECT doc_id, round(0.9 * accuracy + 0.1 * format, 6) AS overall, format, accuracy FROM q",
     "rw4_ux1_ux7_r1v": f"WITH {_ANSWERS}, p AS (SELECT doc_id, ground_truth, {_R1} AS q FROM ans), q AS (SELECT doc_id, {_R1G} AS format, {_R1A} AS accuracy FROM p) SELECT doc_id, 0.5 * accuracy + 0.5 * format AS overall, format, accuracy FROM q",
     "rw5_choice": f"WITH {_ANSWERS} SELECT doc_id, CAST(regexp_extract(plain, '[012]', 0) = ground_truth AS DOUBLE) AS overall, CAST(regexp_extract(plain, '[012]', 0) = ground_truth AS DOUBLE) AS accuracy FROM ans",

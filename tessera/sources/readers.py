@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.arrays import let
 from tessera.operators.relational import required
 
 _BAD = "_corrupt_record"
@@ -88,19 +89,28 @@ def _little(content: Column, at: int, count: int) -> Column:
     return _number(F.concat(*[F.substring(content, at + k, 1) for k in reversed(range(count))]))
 
 
+#: Segments of a JPEG header that are walked before it is known whether there are more.
+_SEGMENTS = 64
+
+
 def _jpeg_size(content: Column) -> Column:
-    """Struct of ``w`` and ``h`` in the first frame header, found from segment to segment."""
-    start = F.struct(F.lit(3).alias("at"), F.lit(None).cast("int").alias("w"), F.lit(None).cast("int").alias("h"))
+    """Struct of ``w`` and ``h`` in the first frame header, found from segment to segment; the walk ends at a frame header, where the scan starts, or where no segment is. Only headers of more than ``_SEGMENTS`` segments are walked on, as far as the file could hold any."""
+    start = F.struct(F.lit(3).alias("at"), F.lit(None).cast("int").alias("w"), F.lit(None).cast("int").alias("h"), F.lit(False).alias("ended"))
 
     def step(s: Column, _: Column) -> Column:
         mark = F.hex(F.substring(content, s.at, F.lit(2)))
         number = lambda k: _number(F.substring(content, s.at + k, F.lit(2)))
-        frame = s.w.isNull() & mark.rlike("^FFC[0-35-79-BD-F]$")
-        goes_on = s.w.isNull() & ~frame & mark.startswith("FF") & (F.octet_length(content) > s.at + 4)
-        return F.struct(F.when(goes_on, s.at + 2 + number(2)).otherwise(s.at).alias("at"), F.when(frame, number(7)).otherwise(s.w).alias("w"), F.when(frame, number(5)).otherwise(s.h).alias("h"))
+        frame = mark.rlike("^FFC[0-35-79-BD-F]$")
+        goes_on = ~frame & mark.startswith("FF") & (mark != "FFDA") & (F.octet_length(content) > s.at + 4)
+        moved = F.struct(F.when(goes_on, s.at + 2 + number(2)).otherwise(s.at).alias("at"), F.when(frame, number(7)).alias("w"), F.when(frame, number(5)).alias("h"), (~goes_on).alias("ended"))
+        return F.when(s.ended, s).otherwise(moved)
+
+    def walked(s: Column) -> Column:
+        more = F.sequence(F.lit(1), F.greatest((F.octet_length(content) / 4).cast("int"), F.lit(1)))
+        return F.when(s["ended"], s).otherwise(F.aggregate(more, s, step))
 
-    segments = F.sequence(F.lit(1), F.greatest((F.octet_length(content) / 4).cast("int"), F.lit(1)))
-    return F.aggregate(segments, start, step, lambda s: F.struct(s.w.alias("w"), s.h.alias("h")))
+    whole = let(F.aggregate(F.sequence(F.lit(1), F.lit(_SEGMENTS)), start, step), walked)
+    return F.struct(whole["w"].alias("w"), whole["h"].alias("h"))
 
 
 def image_size(content: Column) -> Column:

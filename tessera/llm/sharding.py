@@ -4,7 +4,7 @@ Rows have the key (MD5 of the text, MD5 of the id), so equal texts stand togethe
 a shard is a range of keys. The splitters are found without sorting: the exact bytes
 below evenly spaced probes of the key space are counted on all partitions, the interval
 that holds each splitter's target gets new probes inside, and so on until an interval's
-bytes are within the tolerance or it holds a single key. A hot text is one value of the
+bytes are within the tolerance or it holds a single key, which its least and greatest key tell. A hot text is one value of the
 first half of the key, so the search goes on in the second half. Then rows are
 exchanged once, to their place in their shard.
 
@@ -12,29 +12,28 @@ Splitter j stands before the first key whose bytes' middle is at j shares of all
 or above (with tolerance 0, exactly there). Rows that agree in text and id are one key
 and stay together. A null text has no bytes and the key of an empty text, a null id that
 of an empty string. Slots number the rows of a shard from 0 without gaps, by a hash of
-the id, then by key; they are counted in small groups, never a whole shard in one task.
+the id, then by key; they are counted in groups of about ``GROUP_ROWS`` rows, as many as the
+table needs, never a whole shard in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
-from operator import or_
+from math import ceil, log2
+from operator import add, or_
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import dropped, written
-from tessera.shipping import ship
+from tessera.llm.lines import small
+from tessera.llm.storage import scratch, written
 
 #: Bits of each half of a key, and bits by which a round refines an interval.
 BITS = 60
 FIRST, NEXT = 12, 8
 OVERHEAD = 8
-#: Groups of slots in each shard.
-SLOT_GROUPS = 64
+#: Groups of slots in each shard, at least, and rows of a group if there are more.
+SLOT_GROUPS, GROUP_ROWS = 64, 1 << 18
 
 
 def _half(text: Column) -> Column:
@@ -78,18 +77,19 @@ def _inside(at: Interval) -> Column:
     return inside if at.bits1 else inside & (F.shiftright("k2", at.bits2) == (at.k2 >> at.bits2))
 
 
-def histogram(rows: DataFrame, intervals: list[Interval], step: int) -> dict[int, list[tuple[int, int]]]:
-    """For each interval by its place: the bytes in each of its 2**step parts that has rows, in order."""
+def histogram(rows: DataFrame, intervals: list[Interval], step: int) -> dict[int, list[tuple[int, int, tuple[int, int] | None]]]:
+    """For each interval by its place: the bytes in each of its 2**step parts that has rows, in order, with the part's key if it has but one."""
     pieces = []
     for place, at in enumerate(intervals):
         half, take, left = at.refined(step)
         inside = _inside(at)
         part = F.shiftright(f"k{half}", left).bitwiseAND(F.lit((1 << take) - 1))
         pieces.append(F.when(inside, part + (place << step)))
-    counted = rows.select(F.coalesce(*pieces).alias("part"), "size").where("part IS NOT NULL").groupBy("part").agg(F.sum("size").alias("size"))
-    found: dict[int, list[tuple[int, int]]] = {}
+    counted = rows.select(F.coalesce(*pieces).alias("part"), "size", F.struct("k1", "k2").alias("key")).where("part IS NOT NULL").groupBy("part").agg(F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"))
+    found: dict[int, list[tuple[int, int, tuple[int, int] | None]]] = {}
     for r in sorted(counted.collect()):
-        found.setdefault(r["part"] >> step, []).append((r["part"] & ((1 << step) - 1), r["size"]))
+        only = tuple(r["low"]) if r["low"] == r["high"] else None
+        found.setdefault(r["part"] >> step, []).append((r["part"] & ((1 << step) - 1), r["size"], only))
     return found
 
 
@@ -103,7 +103,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: int = 0) -> list[tuple[in
     total = rows.agg(F.sum("size")).first()[0] or 0
     whole = Interval(0, BITS, 0, BITS, 0, total)
     open_, out = {j: whole for j in range(1, shards)}, {}
-    step, rounds, narrowed = FIRST, 0, None
+    step, rounds = FIRST, 0
     while open_:
         distinct = list({id(i): i for i in open_.values()}.values())
         parts = histogram(rows, distinct, step)
@@ -111,8 +111,10 @@ def splitters(rows: DataFrame, shards: int, tolerance: int = 0) -> list[tuple[in
         for place, at in enumerate(distinct):
             half, _, left = at.refined(step)
             below, inner = at.below, []
-            for part, size in parts.get(place, []):
-                if half == 1:
+            for part, size, only in parts.get(place, []):
+                if only:
+                    inner.append(Interval(only[0], 0, only[1], 0, below, size))
+                elif half == 1:
                     inner.append(Interval(at.k1 | part << left, left, 0, BITS, below, size))
                 else:
                     inner.append(Interval(at.k1, 0, at.k2 | part << left, left, below, size))
@@ -136,8 +138,6 @@ def splitters(rows: DataFrame, shards: int, tolerance: int = 0) -> list[tuple[in
         if rounds == 2 and open_:  # what lies outside has been counted
             inside = [_inside(at) for at in {id(i): i for i in open_.values()}.values()]
             rows = written(rows.where(reduce(or_, inside)).select("k1", "k2", "size"), "open-keys", hashes=True)
-            narrowed = rows
-    dropped(*([narrowed] if narrowed is not None else []))
     return [out[j] for j in range(1, shards)]
 
 
@@ -150,27 +150,16 @@ def _behind(outer: Interval, last: Interval) -> tuple[int, int]:
 
 def shards(docs: DataFrame, count: int, text: str = "text", key: str = "doc_id", tolerance: int = 0) -> DataFrame:
     """Per row: ``key``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard`` (null: shards of equal bytes move when their number changes)."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = written(keyed(docs, text, key), "keys")
-    shared = spark.sparkContext.broadcast(splitters(rows, count, tolerance))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
-            shard = np.zeros(len(k1), np.int32)
-            for s1, s2 in shared.value:
-                shard += (k1 > s1) | ((k1 == s1) & (k2 >= s2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], [*batch.schema.names, "shard"])
-
-    dealt = rows.mapInArrow(deal, f"{fields}, shard int").withColumn("group", F.col("k2").bitwiseAND(F.lit(SLOT_GROUPS - 1)).cast("int"))
-    sizes = {(r["shard"], r["group"]): r["count"] for r in dealt.groupBy("shard", "group").count().collect()}
-    before, seen = {}, {}
-    for shard, group in sorted(sizes):
-        before[shard, group] = seen.get(shard, 0)
-        seen[shard] = before[shard, group] + sizes[shard, group]
-    offsets = spark.createDataFrame([(s, g, n) for (s, g), n in before.items()], "shard int, group int, before long")
+    with scratch() as keep:
+        rows = keep(written(keyed(docs, text, key), "keys"))
+        ends = splitters(rows, count, tolerance)
+        groups = 1 << max(ceil(log2(SLOT_GROUPS)), ceil(log2(max(1, rows.count() / (count * GROUP_ROWS)))))
+        behind = [((F.col("k1") > k1) | ((F.col("k1") == k1) & (F.col("k2") >= k2))).cast("int") for k1, k2 in ends]
+        shard = reduce(add, behind, F.lit(0)).alias("shard")
+        dealt = rows.select("*", shard, F.col("k2").bitwiseAND(F.lit(groups - 1)).cast("int").alias("group"))
+        sizes = dealt.groupBy("shard", "group").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("shard").orderBy("group")) - F.col("n")
+        offsets = small(keep(written(sizes.select("shard", "group", before.alias("before")), "offsets")))
     inside = F.row_number().over(Window.partitionBy("shard", "group").orderBy("k1", "k2", key)) - 1
-    placed = dealt.withColumn("inside", inside).join(F.broadcast(offsets), ["shard", "group"])
+    placed = dealt.withColumn("inside", inside).join(offsets, ["shard", "group"])
     return placed.select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("inside") + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

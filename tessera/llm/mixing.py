@@ -12,7 +12,8 @@ positive counts as ``LEAST``, so such documents come last.
 Nothing is sorted but one small group of keys per source: keys are dealt to groups of
 about ``GROUP`` documents by an approximate distribution function, ``KNOTS`` quantiles
 with straight lines between, which keeps their order whatever it is worth, and
-the running sums over the groups name the group in which the budget ends. Only that
+the running sums over ``SUPER`` groups at a time, then over the groups of one such run,
+name the group in which the budget ends. Only that
 group is put in order, to find the key at which the source's selection ends. Sources are
 numbered range by range, and the level of the targets is found by sums over all sources
 in a few rounds, so no task holds all sources.
@@ -27,11 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import dropped, written
+from tessera.llm.storage import scratch, written
 from tessera.operators.filters import row_numbers
 
 MOST = 3
 GROUP = 256
+#: Key groups of a source that are summed before their running sums are taken.
+SUPER = 4096
 SEED = 2024
 LEAST = 1e-9
 KNOTS = 64
@@ -91,14 +94,21 @@ def _group() -> Column:
     return F.least(F.floor((at + inside) / KNOTS * F.col("groups")), F.col("groups") - 1)
 
 
+def _crossing(sums: DataFrame, part: str) -> DataFrame:
+    """Of every source the part in whose running sum, from ``start`` on, the words that are left end, with the sum ``before`` it."""
+    to_here = F.col("start") + F.sum("size").over(Window.partitionBy("place").orderBy(part))
+    return sums.withColumn("before", to_here - F.col("size")).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest")))
+
+
 def selections(rows: DataFrame) -> DataFrame:
     """:func:`targets` with ``end``, the group in which the source's selection ends, and ``draw``, the last key it takes there; null if none."""
     plan = written(targets(rows), "targets")
     grouped = rows.join(plan, rows.source.eqNullSafe(plan.source)).where("rest > 0").select("place", "rest", "size", "draw", _group().alias("group"))
-    sums = grouped.groupBy("place", "rest", "group").agg(F.sum("size").alias("size"))
-    to_here = F.sum("size").over(Window.partitionBy("place").orderBy("group"))
-    crossing = sums.withColumn("before", to_here - F.col("size")).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest")))
-    crossing = written(crossing.select("place", "group", "before"), "crossing")
+    run = F.floor(F.col("group") / SUPER).alias("run")
+    sums = written(grouped.groupBy("place", "rest", "group").agg(F.sum("size").alias("size")).select("*", run), "group-sums")
+    runs = _crossing(sums.groupBy("place", "rest", "run").agg(F.sum("size").alias("size")).withColumn("start", F.lit(0)), "run")
+    inner = sums.join(runs.select("place", "run", F.col("before").alias("start")), ["place", "run"])
+    crossing = written(_crossing(inner, "group").select("place", "group", "before"), "crossing")
     inside = grouped.join(crossing, ["place", "group"]).groupBy("place", "rest", "before", "draw").agg(F.sum("size").alias("size"))
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("place").orderBy("draw"))
     fits = inside.withColumn("upto", upto).where(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"))
@@ -116,16 +126,17 @@ def _times(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def decided(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weight: Column | None = None) -> DataFrame:
     """Per row: ``key``, ``size``, ``source_size``, ``target`` and the words ``taken``."""
-    rows = written(sized(docs, text, key, source, carry=(F.col(f"`{key}`"),), weight=weight), "sizes")
+    with scratch() as keep:
+        rows = keep(written(sized(docs, text, key, source, carry=(F.col(f"`{key}`"),), weight=weight), "sizes"))
+        plan = keep(selections(rows))
     taken = (F.col("size") * F.col("times")).cast("long").alias("taken")
-    return _times(rows, selections(rows)).select(F.col("_carry0").alias(key), "size", "source_size", "target", taken)
+    return _times(rows, plan).select(F.col("_carry0").alias(key), "size", "source_size", "target", taken)
 
 
 def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weight: Column | None = None) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; documents without words go."""
-    sizes = written(sized(docs, text, key, source, weight=weight), "sizes")
-    plan = selections(sizes)
-    dropped(sizes)
+    with scratch() as keep:
+        plan = keep(selections(written(sized(docs, text, key, source, weight=weight), "sizes")))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = _times(sized(docs, text, key, source, carry=(whole,), weight=weight), plan).where("size > 0 AND times > 0")
     return rows.select(F.explode(F.array_repeat("_carry0", F.col("times"))).alias("row")).select("row.*")

@@ -89,7 +89,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS, dims: int = DIMS, seed: int = 7) -> Model:
     """Learn from about ``rows`` labelled rows, chosen by a hash of ``key``; labels other than 0 and 1 and null keys are left out.
 
-    ``rows`` bounds what the driver gets: their labels, then their features.
+    ``rows`` bounds what the driver gets: their labels, then their features. A key counts
+    once, also where several documents have it: then the text whose hash is least.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -98,15 +99,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     chosen = known.where(share < rows / max(1, known.count())).collect()
     if not chosen:
         return Model(np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
-    small = spark.createDataFrame(chosen, "key long, label int").dropDuplicates()
-    found = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("__text")).join(F.broadcast(small), "key")
+    small = spark.createDataFrame(chosen, known.schema).dropDuplicates()
+    every = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("__text")).join(F.broadcast(small), "key")
+    found = every.groupBy("key", "label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text")).select("key", "__text", "label")
+    kind = found.schema["key"].dataType.simpleString()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(t) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array([p.astype(np.uint16).tobytes() for p, _ in got]), pa.array([w.astype(np.float16).tobytes() for _, w in got])], ["key", "label", "places", "weights"])
 
-    sample = found.mapInArrow(take, "key long, label int, places binary, weights binary").toArrow().sort_by([("key", "ascending"), ("label", "ascending"), ("places", "ascending")])
+    sample = found.mapInArrow(take, f"key {kind}, label int, places binary, weights binary").toArrow().sort_by([("key", "ascending"), ("label", "ascending"), ("places", "ascending")])
     keep = [k for k, p in enumerate(sample["places"].to_pylist()) if p]
     if not keep:
         return Model(np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
@@ -134,6 +137,14 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return np.divide(z, n, out=np.zeros_like(z), where=n > 1e-9)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` greatest in every row; of equal ones the first."""
+    least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k, None]
+    above, same = cosine > least, cosine == least
+    chosen = above | (same & (np.cumsum(same, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(chosen)[1].reshape(len(cosine), k)
+
+
 def votes(model: Model, texts: list[str | None], block: int = 256) -> np.ndarray:
     """The score of each text."""
     out = np.full(len(texts), model.prior)
@@ -145,7 +156,7 @@ def votes(model: Model, texts: list[str | None], block: int = 256) -> np.ndarray
             x[k, places] = weights
         cosine = _unit((x * model.idf) @ model.project) @ model.vectors.T
         k = min(NEAREST, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = nearest(cosine, k)
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(float) ** POWER
         total = weight.sum(1)
         voted = np.divide((weight * model.labels[near]).sum(1), total, out=np.full(len(part), model.prior), where=total > 1e-12)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.lines import small
-from tessera.llm.storage import dropped, written
+from tessera.llm.storage import dropped, scratch, written
 from tessera.llm.vectors import matrix, usable
 from tessera.shipping import ship
 
@@ -186,10 +186,9 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 asked = np.array(run.column("keys")[row].values, np.int64).view(np.uint64)
                 low, high = np.searchsorted(bucket, asked), np.searchsorted(bucket, asked, side="right")
                 size = high - low
-                seen = np.zeros(len(ids), np.bool_)
-                seen[which[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)]] = True
                 own = run.column("id")[row].as_py()
-                place = np.flatnonzero(seen & (ids != own))
+                place = _distinct(which[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)], len(ids))
+                place = place[ids[place] != own]
                 distance = distances(x[place], query)
                 top = best(ids[place], n[place], distance, k)
                 place = place[top]
@@ -197,6 +196,15 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(full * run.column("node")[row].as_py()), pa.array(full * own), pa.array(node[place]), pa.array(ids[place]), pa.array(n[place]), pa.array(distance[top]), pa.array(full * len(ids))], _FOUND)
 
 
+def _distinct(places: np.ndarray, count: int) -> np.ndarray:
+    """Different places below ``count`` in order; by marks where most are there, else without a look at all of them."""
+    if 8 * len(places) < count:
+        return np.unique(places)
+    marks = np.zeros(count, np.bool_)
+    marks[places] = True
+    return np.flatnonzero(marks)
+
+
 _FOUND = ["query", "query_id", "node", "vec_id", "n", "score", "seen"]
 _SCHEMA = ", ".join(f"{c} {'double' if c == 'score' else 'long'}" for c in _FOUND)
 
@@ -278,22 +286,23 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", ve
     fit = usable(F.col(f"`{vector}`")) & F.col(f"`{key}`").isNotNull()
     named = [F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")]
     number = F.xxhash64("id", "v").alias("node")
-    rows = written(df.where(fit).select(*named).groupBy("id", "v").agg(F.count("*").alias("n")).select(number, "id", "v", "n"), "vectors")
-    asked = written(df.where(fit & queries).select(*named).distinct().select(number, "id", "v", F.lit(1).cast("bigint").alias("n")), "queries")
-    if asked.isEmpty():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    count = rows.count()
-    found = None if exact else _probed(rows, asked, count, k)
-    once = lambda x: x.groupBy("query", "node").agg(*[F.min(c).alias(c) for c in ("query_id", "vec_id", "n", "score")])
-    if found is not None:
-        enough = once(found).groupBy("query").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
-        short = written(asked.join(enough, asked.node == enough["query"], "left_anti"), "short-queries")
-        found = found if short.isEmpty() else found.union(_exact(rows, short, k))
-    else:
-        found = _exact(rows, asked, k)
-    each = once(found).select("query", "query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with scratch() as keep:
+        rows = written(df.where(fit).select(*named).groupBy("id", "v").agg(F.count("*").alias("n")).select(number, "id", "v", "n"), "vectors")
+        asked = written(df.where(fit & queries).select(*named).distinct().select(number, "id", "v", F.lit(1).cast("bigint").alias("n")), "queries")
+        if asked.isEmpty():
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        count = rows.count()
+        found = None if exact else _probed(rows, asked, count, k)
+        once = lambda x: x.groupBy("query", "node").agg(*[F.min(c).alias(c) for c in ("query_id", "vec_id", "n", "score")])
+        if found is not None:
+            enough = once(found).groupBy("query").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+            short = written(asked.join(enough, asked.node == enough["query"], "left_anti"), "short-queries")
+            found = found if short.isEmpty() else found.union(_exact(rows, short, k))
+        else:
+            found = _exact(rows, asked, k)
+        each = once(found).select("query", "query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+        return keep(written(each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest"))
 
 
 def visited(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> tuple[float, float]:

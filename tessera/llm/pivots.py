@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.runs import whole_runs
 from tessera.llm.simhash import joined
-from tessera.llm.storage import written
+from tessera.llm.storage import scratch, written
 from tessera.llm.vectors import matrix, units, usable
 from tessera.shipping import ship
 
@@ -154,7 +154,7 @@ def list_links(classes: DataFrame, count: int, width: int, cosine: float = COSIN
                 if len(has):
                     yield pa.RecordBatch.from_arrays([pa.array(node[s][has]), pa.array(node[s][root[has]]), pa.array(w[has])], ["a", "b", "w"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * SHORT // (1 << 17)))
     return cells.repartition(parts, *places).sortWithinPartitions(*places).mapInArrow(run, "a long, b long, w long")
 
 
@@ -164,17 +164,18 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     fit = usable(v) & F.col(label).isNotNull() & F.col(key).isNotNull()
     rows = df.select(F.col(key).alias(key), F.when(fit, F.xxhash64(F.col(label), F.size(v), v)).alias("node"), F.col(label).alias("label"), v.alias("vector"))
     whole = rows.where("node IS NOT NULL").groupBy("node", "label", "vector").agg(F.min(key).alias("least"), F.count("*").alias("n"))
-    classes = written(whole, "classes")
-    found = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
-    if not found[0]:
-        return df.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.col(key).isNotNull().alias("kept"))
-    links = written(list_links(classes, found[0], found[1], cosine), "list-links")
-    roots = components(links.select("a", "b"))
-    weight = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
-    rooted = classes.select("node", "least", "n").join(roots, "node", "left").join(weight, "node", "left")
-    rooted = written(rooted.select("node", "least", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "roots")
-    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = written(rooted.join(least, "root").select("node", "n_links", "component_id"), "named")
+    with scratch() as keep:
+        classes = written(whole, "classes")
+        found = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
+        if not found[0]:
+            return df.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.col(key).isNotNull().alias("kept"))
+        links = written(list_links(classes, found[0], found[1], cosine), "list-links")
+        roots = components(links.select("a", "b"))
+        weight = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
+        rooted = classes.select("node", "least", "n").join(roots, "node", "left").join(weight, "node", "left")
+        rooted = written(rooted.select("node", "least", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "roots")
+        least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        named = keep(written(rooted.join(least, "root").select("node", "n_links", "component_id"), "named"))
     out = rows.select(key, "node").join(named, "node", "left")
     component = F.coalesce("component_id", key)
     return out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(False)).alias("kept"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.runs import beside, whole_runs
-from tessera.llm.storage import written
+from tessera.llm.storage import scratch, written
 from tessera.shipping import ship
 
 WORDS = 4
@@ -189,16 +189,18 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, tree: int = TRE
 
 def rooted(rows: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
     """For every fingerprint of ``rows`` its ``root``, which its component agrees on, and the ``least`` key that has it; a written table."""
-    seen = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
-    roots = components(links(seen.select("fp"), seen.count(), radius))
-    return written(seen.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    with scratch() as keep:
+        seen = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
+        roots = components(links(seen.select("fp"), seen.count(), radius))
+        return keep(written(seen.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots"))
 
 
 def components_of(rows: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
     """``rows`` (with ``fp``, a written table) with ``component_id``: the smallest key reachable over fingerprints within the radius."""
-    known = rooted(rows, radius, key)
-    least = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = written(known.join(least, "root").select("fp", "component_id"), "named")
+    with scratch() as keep:
+        known = rooted(rows, radius, key)
+        least = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        named = keep(written(known.join(least, "root").select("fp", "component_id"), "named"))
     return rows.join(named, "fp")
 
 

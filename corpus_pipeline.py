@@ -10,8 +10,11 @@ All but the last return the columns of ``documents``; ``n_chars`` follows the te
 4. ``mixing``: rows repeat as often as the mix of sources takes the document.
 5. ``tokens``: ids and digests of the encoded texts, in the order of the columns of op8.
 
-Null and empty texts pass the first three stages like others and leave at the fourth,
-as they have no words. Empty tables give empty results.
+Null and empty texts are judged like others: the classifier gives them the share of label
+1 among its rows, so they stay where that share is at the threshold or above and go
+in the first stage where it isn't; those that stay leave at the fourth, as they have no words.
+Very long texts are worked on whole; a task holds a few copies of one. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -53,7 +56,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alone = rows.groupBy("id", "hash").count().where("count > 1").isEmpty()
     if alone:
         return kept
-    whole = kept.groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")).agg(F.min(F.struct(*names)).alias("row"))
+    row = F.struct(*names)  # its JSON orders rows of any types, maps too
+    whole = kept.groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")).agg(F.min_by(row, F.to_json(row)).alias("row"))
     return whole.select("row.*")
 
 

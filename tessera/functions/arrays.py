@@ -28,20 +28,22 @@ def window_hashes(hashes: Column, n: int) -> Column:
     """The 64-bit hashes of all windows of ``n`` elements of an array of hashes, repeats included.
 
     Windows of m and the same ones further on make those of up to 2 m, so a window costs log n steps.
+    The last step hashes ``n`` too: else windows of 3 and of 4 equal elements would hash alike.
     """
     out, m = hashes, 1
     while m < n:
         step = min(m, n - m)
-        out, m = let(out, _together(step)), m + step
+        m += step
+        out = let(out, _together(step, [F.lit(n)] if m == n else []))
     return out
 
 
-def _together(step: int) -> Callable[[Column], Column]:
-    """Every element hashed with the one ``step`` behind it."""
+def _together(step: int, more: list[Column]) -> Callable[[Column], Column]:
+    """Every element hashed with the one ``step`` behind it and with ``more``."""
 
     def pairs(w: Column) -> Column:
         rest = F.greatest(F.size(w) - step, F.lit(0))
-        return F.zip_with(F.slice(w, F.lit(1), rest), F.slice(w, F.lit(1 + step), rest), lambda a, b: F.xxhash64(a, b))
+        return F.zip_with(F.slice(w, F.lit(1), rest), F.slice(w, F.lit(1 + step), rest), lambda a, b: F.xxhash64(a, b, *more))
 
     return pairs
 

@@ -401,3 +401,34 @@ def test_fences(spark):
     df = spark.createDataFrame([("```latex\nx\n```",), ("```latex\nx",), (None,), ("y",)], "t string")
     assert values(df.select(T.best_effort(F.col("t")).status.alias("s")), "s") == ["full_block", "open_block", "empty", "no_block"]
     assert values(df.select(T.one_block(F.col("t")).alias("s")), "s")[0] == "```latex\nx\n```"
+
+
+def test_windows_of_different_sizes_hash_apart(spark):
+    """Also where all elements are equal; windows of one size hash alike where their elements do."""
+    from tessera.functions.arrays import window_hashes
+
+    words = spark.createDataFrame([([7] * 12, [1, 2, 3, 1, 2, 3, 1])], "a array<bigint>, b array<bigint>")
+    row = words.select(*[window_hashes(F.col("a"), n).alias(f"a{n}") for n in range(1, 14)], *[window_hashes(F.col("b"), n).alias(f"b{n}") for n in range(1, 8)]).first()
+    assert [len(row[f"a{n}"]) for n in range(1, 14)] == [13 - n for n in range(1, 14)]
+    assert len({h for n in range(1, 13) for h in row[f"a{n}"]}) == 12
+    for n in range(1, 8):
+        b = [1, 2, 3, 1, 2, 3, 1]
+        windows = [tuple(b[k : k + n]) for k in range(8 - n)]
+        assert len(set(zip(windows, row[f"b{n}"], strict=True))) == len(set(windows)) == len(set(row[f"b{n}"]))
+
+
+def test_trivial_ngrams_of_repeated_words(spark):
+    from tessera.operators.stats import trivial_ngrams
+
+    rows = spark.createDataFrame([("the " * 9 + "a b c",), ("the the x " * 5,)], "t string")
+    words = lambda t: t.split()
+    counts = {}
+    for t in ("the " * 9 + "a b c", "the the x " * 5):
+        for n in range(1, 5):
+            for k in range(len(words(t)) - n + 1):
+                gram = "\x1f".join(words(t)[k : k + n])
+                counts[n, gram] = counts.get((n, gram), 0) + 1
+    want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    for k in (3, 6, 9):
+        got = [((r.n, r.gram), r["count"]) for r in trivial_ngrams(rows, F.split(F.trim("t"), " "), k).collect()]
+        assert sorted(got, key=lambda x: (-x[1], x[0])) == want[:k]

@@ -325,6 +325,12 @@ def ordered_log(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.log(spark, path, "doc_id long, lang string").withColumnRenamed(ordered.PLACE, "place")
 
 
+def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of users without a gap of six hours or more; times as whole microseconds."""
+    found = resume.sessions(table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "6 hours")
+    return found.select("user_id", F.unix_micros("session_window.start").alias("start"), F.unix_micros("session_window.end").alias("end"), "n")
+
+
 def imbalance(spark: SparkSession, folder: str) -> DataFrame:
     """Sums of eight runs of all documents as they come, and of eight sets dealt forth and back by length."""
     docs = row_numbers(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -519,6 +525,7 @@ QUERIES = {
     "bl3_greedy": greedy,
     "snk4_snk5_snk7_appended_answers": appended_answers,
     "snk4_snk7_ordered_log": ordered_log,
+    "sx1_user_sessions": user_sessions,
     "snk16_ck3_saved_batch": saved_batch,
     "mt8_kl_controllers": kl_controllers,
     "str30_model_templates": model_templates,
@@ -574,6 +581,9 @@ ORACLE = {
     "bl1_bl2_bl5_balanced": "WITH d AS (SELECT n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), p AS (SELECT i, n_chars FROM d UNION ALL SELECT i + n, n_chars FROM d WHERE i < (64 - n % 64) % 64) SELECT i // 64 AS g, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(8 AS BIGINT) AS most, CAST(8 AS BIGINT) AS parts, true AS even FROM p GROUP BY 1",
     "bl4_micro_batches": "WITH d AS (SELECT n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS g, 2 * max(n_chars) OVER () AS most FROM documents) SELECT g, least(count(*), CAST(ceil(sum(n_chars) / any_value(most)) AS BIGINT)) AS parts, count(*) AS docs, true AS heaviest_first, true AS even, count(*) AS restored FROM d GROUP BY g",
     "sx1_sx2_resumed_stream": "SELECT event_id AS id, event_type, CAST(length(event_type) AS INTEGER) AS n FROM events",
+    "sx1_user_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 21600000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM e)
+      SELECT user_id, min(t) AS start, max(t) + 21600000000 AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
     "snk4_snk7_ordered_log": "SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id % 3, doc_id DESC) - 1 AS place FROM documents",
     "snk4_snk5_snk7_appended_answers": "SELECT doc_id AS id, CASE WHEN doc_id % 6 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 6 <> 0 THEN 'plain' ELSE 'no prompt' END AS prompt_name, CAST(doc_id % 6 <> 0 AS INTEGER) AS n FROM documents",
     "snk16_ck3_saved_batch": "SELECT conv_id, CAST(count(*) AS INTEGER) AS n, true AS unequal_raises FROM conversations GROUP BY conv_id",

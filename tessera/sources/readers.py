@@ -253,7 +253,8 @@ def read(spark: SparkSession, entry: Entry) -> DataFrame:
     """The entry's table with ``messages``; with ``ranking`` also ``chosen`` and ``rejected``."""
     path = f"{entry.path.rstrip('/')}/{entry.subset}" if entry.subset else entry.path
     df = dataset(spark, path if entry.split == "train" else f"{path}@{entry.split}")
-    df = df.limit(entry.samples) if entry.samples else df
+    # which rows are taken is a matter of what they hold, so reruns agree
+    df = df.orderBy(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).cast("binary"))).limit(entry.samples) if entry.samples else df
     df = alpaca(df, entry) if entry.formatting == "alpaca" else sharegpt(df, entry)
     return df.withColumns({c: F.col(entry.columns.get(c, c)) for c in ("chosen", "rejected")}) if entry.ranking else df
 

@@ -56,6 +56,27 @@ def too_long(text: Column, most: int = 8192, tokens: Callable[[Column], Column]
     return F.size(tokens(T.strip(T.empty(text)))) > most
 
 
+def image_tokens(width: Column, height: Column, side: int = 28, least_pixels: int = 3136, most_pixels: int = 12_845_056) -> Column:
+    """The tokens of an image: squares of ``side`` pixels, after its sides are brought to multiples of it and its area between ``least_pixels`` and ``most_pixels``; null without a size."""
+    w, h = width.cast("double"), height.cast("double")
+    near = lambda x: F.greatest(F.rint(x / side), F.lit(1.0))
+    area = near(w) * near(h) * side * side
+    down, up = F.sqrt(w * h / most_pixels), F.sqrt(F.lit(float(least_pixels)) / F.when(w * h > 0, w * h))
+    less = F.greatest(F.floor(w / down / side), F.lit(1)) * F.greatest(F.floor(h / down / side), F.lit(1))
+    more = F.ceil(w * up / side) * F.ceil(h * up / side)
+    return F.when(w * h > 0, F.when(area > most_pixels, less).when(area < least_pixels, more).otherwise((area / (side * side)).cast("long"))).cast("long")
+
+
+def overlong(text: Column, most: int, images: Column | None = None, videos: Column | None = None, tokens: Callable[[Column], Column] = T.tokens, **sizes: int) -> Column:
+    """Whether a prompt has more than ``most`` tokens with its media: ``images`` an array of (width, height), ``videos`` one of (width, height, frames), of which two make one image. Media without a size count as too long."""
+    count = F.size(tokens(T.empty(text))).cast("long")
+    each = [(images, lambda m: image_tokens(m["width"], m["height"], **sizes)), (videos, lambda m: image_tokens(m["width"], m["height"], **sizes) * F.ceil(m["frames"] / 2))]
+    for media, said in each:
+        if media is not None:
+            count = count + F.when(media.isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(F.transform(media, said), F.lit(0).cast("long"), lambda a, b: a + b))
+    return F.coalesce(count > most, F.lit(True))
+
+
 def only_ok(df: DataFrame, status: str = "status") -> tuple[DataFrame, DataFrame]:
     """Rows whose status is null or ok in any case, and the others."""
     ok = F.coalesce(F.lower(status) == "ok", F.lit(True))

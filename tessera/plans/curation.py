@@ -53,6 +53,15 @@ def overlong_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return turns.where(F.size(T.tokens(F.col("text"))) <= 20).select("conv_id", "turn")
 
 
+def overlong_media(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as prompts with one to three images, every third with a video; sizes from ids, some missing."""
+    k = F.col("doc_id")
+    size = lambda n: F.struct((k * (37 + n) % 5000).alias("width"), F.when(k % 97 != 96, k * (53 + n) % 4000).alias("height"), (k % 30).alias("frames"))
+    images = F.slice(F.array(size(1), size(2), size(3)), F.lit(1), (k % 3 + 1).cast("int"))
+    videos = F.when(k % 3 == 0, F.array(F.struct((k % 800).alias("width"), (k % 600).alias("height"), (k % 30).alias("frames"))))
+    return documents(spark, folder).select("doc_id", L.overlong(F.col("text"), 9000, images, videos).alias("overlong"))
+
+
 _GEOMETRY = "CAST(p_size * 13 AS INTEGER) AS w, CAST(p_partkey % 700 * 10 AS INTEGER) AS h"
 
 
@@ -350,6 +359,7 @@ QUERIES = {
     "so5_fold": folds,
     "so6_src13_minibatches": minibatches,
     "so6_src13_permuted_batches": permuted,
+    "flt6_overlong_media": overlong_media,
 }
 ORACLE = {
     "curation_report": f"WITH {_TOK}, {_REPEATS}, f AS (SELECT len(t) AS n_tokens, coalesce(most, 0) >= {THRESHOLD} OR len(t) > 2000 AS bad FROM tok LEFT JOIN rep USING (doc_id)) SELECT count(*) AS docs, count(*) FILTER (bad) AS flagged, {_CUT}, max(n_tokens) AS longest, round(avg(n_tokens), 6) AS mean FROM f",
@@ -397,6 +407,14 @@ ORACLE = {
     "so3_pad_unpad": f"WITH {_BATCH} SELECT row_idx, o_orderkey, false AS is_pad FROM b UNION ALL SELECT row_idx + n, o_orderkey, true FROM b, (SELECT count(*) AS n FROM b) WHERE row_idx < (7 - n % 7) % 7 UNION ALL SELECT -row_idx - 1, o_orderkey, false FROM b",
     "so4_chunk": f"WITH {_BATCH} SELECT i.range AS row_idx, CAST(i.range // ((n + 6) // 7) AS INTEGER) AS chunk FROM (SELECT count(*) AS n FROM b), range((SELECT (count(*) + 6) // 7 * 7 FROM b)) i",
     "so5_fold": f"WITH {_BATCH} SELECT row_idx // 10 AS fold, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY row_idx) AS keys FROM b GROUP BY 1",
+    "flt6_overlong_media": f"""WITH m AS (SELECT doc_id, 'i' AS kind, doc_id * (37 + n) % 5000 AS w, CASE WHEN doc_id % 97 <> 96 THEN doc_id * (53 + n) % 4000 END AS h, 0 AS f FROM documents, (VALUES (1), (2), (3)) v(n) WHERE n <= doc_id % 3 + 1
+        UNION ALL SELECT doc_id, 'v', doc_id % 800, doc_id % 600, doc_id % 30 FROM documents WHERE doc_id % 3 = 0),
+      a AS (SELECT *, greatest(round_even(w / 28, 0), 1) * greatest(round_even(h / 28, 0), 1) * 784 AS area FROM m),
+      t AS (SELECT doc_id, CASE WHEN kind = 'v' THEN ceil(f / 2) ELSE 1 END * CASE WHEN NOT (w * h > 0) OR w * h IS NULL THEN NULL
+        WHEN area > 12845056 THEN greatest(floor(w / sqrt(w::DOUBLE * h / 12845056) / 28), 1) * greatest(floor(h / sqrt(w::DOUBLE * h / 12845056) / 28), 1)
+        WHEN area < 3136 THEN ceil(w * sqrt(3136.0::DOUBLE / (w * h)) / 28) * ceil(h * sqrt(3136.0::DOUBLE / (w * h)) / 28) ELSE area / 784 END AS n FROM a),
+      s AS (SELECT doc_id, sum(n) AS n, count(*) = count(n) AS sized FROM t GROUP BY doc_id)
+      SELECT d.doc_id, NOT sized OR len({_TOKENS}) + n > 9000 AS overlong FROM documents d JOIN s ON s.doc_id = d.doc_id""",
     "so6_src13_permuted_batches": "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), g AS (SELECT *, CAST(ceil(n / wide) AS BIGINT) AS high FROM (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS wide FROM d)), p AS ("
     + " UNION ALL ".join(f"SELECT {e}::INTEGER AS epoch, doc_id, n, {E.sql_place('i', 5, e)} AS place FROM g" for e in range(3))
     + ") SELECT epoch, CAST(place // 16 AS INTEGER) AS batch, place, doc_id FROM p WHERE place < n // 16 * 16 AND place // 16 + epoch * (n // 16) >= 10",

@@ -432,3 +432,17 @@ def test_trivial_ngrams_of_repeated_words(spark):
     for k in (3, 6, 9):
         got = [((r.n, r.gram), r["count"]) for r in trivial_ngrams(rows, F.split(F.trim("t"), " "), k).collect()]
         assert sorted(got, key=lambda x: (-x[1], x[0])) == want[:k]
+
+
+def test_tokens_of_media(spark):
+    """Squares of 28 pixels: small images grow, large ones shrink, a missing size is too long."""
+    from tessera.operators import filters
+
+    sizes = [(28, 28, None), (56, 56, 4), (10, 10, 4), (42, 28, None), (100, 280, 40), (5000, 4000, None), (None, 5, None), (0, 5, None)]
+    rows = spark.createDataFrame([(k, w, h) for k, (w, h, _) in enumerate(sizes)], "k int, w int, h int")
+    got = {r.k: r.n for r in rows.select("k", filters.image_tokens(F.col("w"), F.col("h")).alias("n")).collect()}
+    assert got[1] == 4 and got[2] == 4 and got[4] == 40 and got[6] is None and got[7] is None
+    assert got[5] <= 12_845_056 // 784 and got[5] > 15_000 and got[0] >= 4
+    text = spark.createDataFrame([(1, "a b", [(56, 56)], None), (2, "a b", [(56, 56)], [(56, 56, 4)]), (3, "a b", [(None, 5)], None), (4, None, None, None)], "k int, t string, i array<struct<width:int,height:int>>, v array<struct<width:int,height:int,frames:int>>")
+    long = {r.k: r.l for r in text.select("k", filters.overlong(F.col("t"), 6, F.col("i"), F.col("v")).alias("l")).collect()}
+    assert long == {1: False, 2: True, 3: True, 4: False}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,16 +83,18 @@ def only_ok(df: DataFrame, status: str = "status") -> tuple[DataFrame, DataFrame
     return df.where(ok), df.where(~ok)
 
 
-def informative_groups(df: DataFrame, group: str, score: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Rows of groups whose mean score lies strictly between the bounds."""
-    mean = df.groupBy(F.col(group).alias("_g")).agg(F.avg(score).alias("_mean")).where((F.col("_mean") > low) & (F.col("_mean") < high))
-    return df.join(mean, df[group] == mean["_g"], "left_semi")
+def informative_groups(df: DataFrame, group: str | Sequence[str], score: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Rows of groups (of one column or several) whose mean score lies strictly between the bounds."""
+    names = [group] if isinstance(group, str) else list(group)
+    mean = df.groupBy(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(names)]).agg(F.avg(score).alias("_mean")).where((F.col("_mean") > low) & (F.col("_mean") < high))
+    return df.join(mean, [df[g] == mean[f"_g{k}"] for k, g in enumerate(names)], "left_semi")
 
 
-def accumulated(batches: Iterable[DataFrame], keep: Callable[[DataFrame], DataFrame], wanted: int, order: str, most: int = 0) -> DataFrame:
+def accumulated(batches: Iterable[DataFrame], keep: Callable[[DataFrame], DataFrame], wanted: int, order: str, most: int = 0, strict: bool = True) -> DataFrame:
     """The first ``wanted`` rows by ``order`` of what ``keep`` leaves of batch after batch, as many as it takes; each batch's rows stand behind those before.
 
-    Raises RuntimeError if a batch leaves nothing, or ``most`` batches (0: any number) aren't enough.
+    Raises RuntimeError if a batch leaves nothing, or ``most`` batches (0: any number) aren't enough. If not
+    ``strict``, batches that leave nothing are passed over, and all rows are returned if there aren't enough.
     """
     out, count = None, 0
     for number, batch in enumerate(batches):
@@ -100,12 +102,32 @@ def accumulated(batches: Iterable[DataFrame], keep: Callable[[DataFrame], DataFr
             break
         left = kept(keep(batch).withColumn("_batch", F.lit(number)))
         some = left.count()
-        if not some:
+        if strict and not some:
             raise RuntimeError("no row is kept of a batch")
-        out, count = left if out is None else out.unionByName(left), count + some
+        if some or out is None:
+            out, count = left if not count else out.unionByName(left), count + some
         if count >= wanted:
-            return out.orderBy("_batch", order).limit(wanted).drop("_batch")
-    raise RuntimeError(f"{count} rows after all batches that may be taken; {wanted} are wanted")
+            break
+    if out is None or (strict and count < wanted):
+        raise RuntimeError(f"{count} rows after all batches that may be taken; {wanted} are wanted")
+    return out.orderBy("_batch", order).limit(wanted).drop("_batch")
+
+
+def ranges_of_batches(df: DataFrame, order: str, size: int, growth: int = 4) -> Iterator[DataFrame]:
+    """``df`` in ranges of its batches, one batch and then ``growth`` times as many a time, for :func:`accumulated`.
+
+    A batch is ``size`` values of the whole number ``order``, named in ``batch``; so few batches are looked at where
+    they give much, and few jobs run where they give little. Rows without a number are in none.
+    """
+    batch = F.call_function("div", F.col(order), F.lit(size).cast("bigint"))
+    ends = df.agg(F.min(batch).alias("first"), F.max(batch).alias("last")).first()
+    low, last, many = ends["first"] or 0, ends["last"] or 0, 1
+    named = df.withColumn("batch", batch)
+    while low <= last:
+        high = low + many
+        within = F.col(order).between((low - 1) * size + 1, high * size + size - 1)  # what files can be left out by
+        yield named.where(within & (F.col("batch") >= low) & (F.col("batch") < high))
+        low, many = high, many * growth
 
 
 def ready_for_second_stage(rendered: Column, size: Column, width: Column, height: Column) -> Column:

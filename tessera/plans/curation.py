@@ -303,11 +303,10 @@ def chained(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def accumulate(spark: SparkSession, folder: str) -> DataFrame:
-    """Groups that inform, from batch after batch of 250 events, until there are 64 rows."""
+    """Groups that inform, from batch after batch of 250 events, until there are 64 rows; as the SQL, batches may leave nothing."""
     e = table(spark, folder, "events").select("event_id", "user_id", (F.col("value") > 20).cast("double").alias("score"))
-    count = e.count()
-    batches = (e.where((F.col("event_id") >= k) & (F.col("event_id") < k + 250)) for k in range(0, count, 250))
-    return L.accumulated(batches, lambda b: L.informative_groups(b, "user_id", "score", 0.05, 0.95), 64, "event_id", most=40).select("event_id")
+    keep = lambda b: L.informative_groups(b, ["batch", "user_id"], "score", 0.05, 0.95)
+    return L.accumulated(L.ranges_of_batches(e, "event_id", 250), keep, 64, "event_id", strict=False).select("event_id")
 
 
 _NGRAMS = " UNION ALL ".join(f"SELECT {n} AS n, unnest(list_transform(range(1, len(t) - {n - 2}), lambda k: array_to_string(list_slice(t, k, k + {n - 1}), chr(31)))) AS gram FROM tok" for n in range(1, 5))

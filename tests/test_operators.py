@@ -277,6 +277,18 @@ def test_accumulated(spark):
         L.accumulated(iter(parts), lambda b: b.where("id < 0"), 1, "id")
 
 
+def test_accumulated_of_sparse_batches(spark, tmp_path):
+    """Batches that leave nothing, gaps of ids and too few rows: the query says what its SQL says."""
+    from tessera.plans import curation
+    from tests.compare import same
+
+    rows = [(k * 250 + j, j if k % 9 else 7, 30.0 if j else 10.0) for k in range(60) for j in range(2)] + [(9_000_000 + j, 7, 10.0 + j * 20) for j in range(2)] + [(-300, 8, 30.0), (-260, 8, 1.0), (None, 8, 1.0)]
+    name = "st4_accumulate_until_full"
+    for number, some in enumerate((rows, rows * 5, rows[:0])):
+        spark.createDataFrame(some, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/{number}/events.parquet")
+        same(curation.QUERIES[name], curation.ORACLE[name], spark, f"{tmp_path}/{number}")
+
+
 def test_options():
     from dataclasses import dataclass, field
 

@@ -124,43 +124,48 @@ def ngram_counts(df: DataFrame, tokens: Column, orders: int = 4) -> DataFrame:
     return df.select(F.explode(grams).alias("g")).groupBy("g.n", "g.gram").count()
 
 
-#: Marks of n-gram hashes that go to every row when n-grams are spelled.
-_MARKS = 1 << 16
+#: Classes of n-gram hashes that are counted instead of n-grams: a row of each, a task, is all that is shuffled.
+_CLASSES = 1 << 18
 
 
 def trivial_ngrams(df: DataFrame, tokens: Column, k: int = 500, orders: int = 4) -> DataFrame:
     """The ``k`` commonest n-grams; ties by order, then by n-gram.
 
-    Hashes are counted first. N-grams are only spelled, and counted again as such, if
-    their hash is as common as the k-th commonest one. Ties at that place make no
-    difference but to the number spelled. Two texts of one 64-bit hash would count
-    together in the first pass only.
+    Classes of hashes are counted first; a class holds as many as each of its n-grams at least. N-grams
+    are spelled, and counted as such, in classes half as common as the k-th. If the k-th n-gram isn't
+    as common as that, those of all classes as common as it are spelled. So no n-gram is missed whatever the classes hold.
     """
-    words = df.select(tokens.alias("_t")).select("_t", F.transform("_t", lambda w: F.xxhash64(w)).alias("_h"))
-    every = F.concat(*[window_hashes(F.col("_h"), n) for n in range(1, orders + 1)])
-    counted = words.select(F.explode(every).alias("hash")).groupBy("hash").count()
-    counts = kept(counted.where("count > 1"))  # most n-grams stand once
-    if counts.count() < k:
-        counts = kept(counted)
-    least = counts.orderBy(F.desc("count")).limit(k).agg(F.min("count")).first()[0]
-    common = counts.where(F.col("count") >= (least or 0)).select("hash")
-    at = F.col("hash").bitwiseAND(F.lit(_MARKS - 1)).cast("int")
-    bits = [0] * (_MARKS // 64)
-    for r in common.select(at.alias("at")).distinct().collect():  # at most _MARKS
-        bits[r["at"] >> 6] |= 1 << (r["at"] & 63)
-    marks = df.sparkSession.createDataFrame([([x - (1 << 64) if x >> 63 else x for x in bits],)], "_marks array<bigint>")
-
-    def marked(hash_: Column) -> Column:
-        low = hash_.bitwiseAND(F.lit(_MARKS - 1)).cast("int")
-        return F.getbit(F.get("_marks", F.shiftright(low, 6)), low.bitwiseAND(F.lit(63))) == 1
-
-    def spelled(n: int) -> Column:
-        placed = let(window_hashes(F.col("_h"), n), lambda g: F.filter(F.transform(g, lambda h, k: F.struct(h.alias("h"), k.alias("k"))), lambda x: marked(x["h"])))
-        return F.transform(placed, lambda x: F.struct(F.lit(n).alias("n"), x["h"].alias("hash"), F.array_join(F.slice("_t", x["k"] + 1, F.lit(n)), "\x1f").alias("gram")))
-
-    texts = words.crossJoin(F.broadcast(marks)).select(F.explode(F.concat(*[spelled(n) for n in range(1, orders + 1)])).alias("g"))
-    spelled_ = texts.groupBy("g.n", "g.hash", "g.gram").count().join(common, "hash", "left_semi")
-    return spelled_.select("n", "gram", "count").orderBy(F.desc("count"), "n", "gram").limit(k)
+    words = df.select(tokens.alias("_t"))
+    hashes = F.transform("_t", lambda w: F.xxhash64(w))
+    class_of = lambda h: h.bitwiseAND(F.lit(_CLASSES - 1)).cast("int")
+    every = let(hashes, lambda h: F.concat(*[window_hashes(h, n) for n in range(1, orders + 1)]))
+    classes = kept(words.select(F.explode(every).alias("h")).groupBy(class_of(F.col("h")).alias("class")).count())
+    top = classes.orderBy(F.desc("count")).limit(k).agg(F.count("*"), F.min("count")).first()
+    least = top[1] // 2 if top[0] == k and k else 0
+
+    def common(least: int) -> DataFrame:
+        """Counts of the n-grams in classes of ``least`` at least."""
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("class").bitwiseAND(F.lit(63)))
+        bits = [0] * (_CLASSES // 64)
+        for r in classes.where(F.col("count") >= least).groupBy(F.shiftright("class", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).collect():  # at most as many as ``bits``
+            bits[r["at"]] = r["bits"]
+        marks = df.sparkSession.createDataFrame([(bits,)], "_marks array<bigint>")
+
+        def spelled(h: Column, n: int) -> Column:
+            marked = lambda c: F.getbit(F.get("_marks", F.shiftright(c, 6)), c.bitwiseAND(F.lit(63))) == 1
+            placed = F.filter(F.transform(window_hashes(h, n), lambda g, k: F.when(marked(class_of(g)), k)), lambda k: k.isNotNull())
+            return F.transform(placed, lambda k: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_t", k + 1, F.lit(n)), "\x1f").alias("gram")))
+
+        each = let(hashes, lambda h: F.concat(*[spelled(h, n) for n in range(1, orders + 1)]))
+        texts = words.crossJoin(F.broadcast(marks)).select(F.explode(each).alias("g"))
+        return texts.groupBy("g.n", "g.gram").count().orderBy(F.desc("count"), "n", "gram").limit(k)
+
+    found = kept(common(least))
+    if least:
+        last = found.agg(F.count("*"), F.min("count")).first()
+        if last[0] < k or last[1] < least:
+            found = kept(common(last[1] if last[0] == k else 0))
+    return found.orderBy(F.desc("count"), "n", "gram")
 
 
 def fingerprint(df: DataFrame, column: str) -> DataFrame:

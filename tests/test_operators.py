@@ -222,6 +222,22 @@ def test_trivial_ngrams_with_ties(spark):
     assert stats.trivial_ngrams(df.where("false"), F.col("t"), 5).count() == 0
 
 
+def test_trivial_ngrams_of_crowded_classes(spark, monkeypatch):
+    """Few classes, so that rare n-grams make the k-th class look common: all n-grams as common as the k-th are still found."""
+    from collections import Counter
+
+    monkeypatch.setattr(stats, "_CLASSES", 64)
+    texts = [" ".join(f"w{k * 31 + j}" for j in range(40)) for k in range(40)] + ["b b a"] * 3 + ["c", "d"] * 2
+    counted = Counter()
+    for t in texts:
+        w = t.split()
+        counted.update((n, "\x1f".join(w[k : k + n])) for n in range(1, 5) for k in range(len(w) - n + 1))
+    want = sorted(((c, n, g) for (n, g), c in counted.items()), key=lambda x: (-x[0], x[1], x[2]))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for k in (2, 5, 60):
+        assert [(r["count"], r.n, r.gram) for r in stats.trivial_ngrams(df, F.split("t", " "), k).collect()] == want[:k]
+
+
 def test_largest_differencing_ties():
     """Written out: two candidates at a time, the widest spread first, of equal ones the greater first set."""
 

@@ -1,7 +1,7 @@
 """Similarity metrics over pairs of texts, vectors and images.
 
 BLEU counts stay in the row of a pair.
-Edit distance and image similarity are numpy functions behind Arrow UDFs. A metric that
+They, edit distance and image similarity are numpy functions behind Arrow UDFs. A metric that
 needs a neural model takes its distance as a column.
 """
 
@@ -11,13 +11,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import lexer as X
 from tessera.functions import maths as M
 from tessera.functions import text as T
-from tessera.functions.arrays import let, window_hashes
 from tessera.shipping import ship
 
 _SEP = "\x1f"
@@ -38,93 +38,108 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _matches(trivial: Column, ref: Column, hyp: Column) -> Column:
-    """Struct of ``matched``, ``total`` and ``kinds`` of n-gram hashes: one pass over all in order, where the trivial ones of a hash come first, then the reference's, then the hypothesis's."""
-    marked = lambda x, mark: F.transform(x, lambda h: h.bitwiseAND(F.lit(-4)) + mark)
-    every = F.sort_array(F.concat(marked(trivial, 0), marked(ref, 1), marked(hyp, 2)))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("left"), zero.alias("matched"), zero.alias("total"), zero.alias("kinds"))
-
-    def step(s: Column, x: Column) -> Column:
-        mark = x.bitwiseAND(F.lit(3))
-        same = F.coalesce(F.shiftright(x, 2) == F.shiftright(s.last, 2), F.lit(False))
-        left = F.when(same, s.left).otherwise(0)
-        counts = (mark == 2) & (left >= 0)
-        hit = counts & (left > 0)
-        fresh = counts & ~(same & (s.last.bitwiseAND(F.lit(3)) == 2))
-        after = F.when(mark == 0, -1).when(left < 0, -1).when(mark == 1, left + 1).when(hit, left - 1).otherwise(left)
-        return F.struct(x.alias("last"), after.alias("left"), (s.matched + hit.cast("bigint")).alias("matched"), (s.total + counts.cast("bigint")).alias("total"), (s.kinds + fresh.cast("bigint")).alias("kinds"))
-
-    return F.aggregate(every, start, step)
-
-
-def _again(hashes: Column) -> Column:
-    """What an array of hashes holds besides the first of each: in order, without trivial ones it may be scanned."""
-
-    def behind(x: Column) -> Column:
-        rest = F.greatest(F.size(x) - 1, F.lit(0))
-        return F.filter(F.zip_with(F.slice(x, F.lit(2), rest), F.slice(x, F.lit(1), rest), lambda b, a: F.when(a == b, a)), lambda v: v.isNotNull())
-
-    return let(F.sort_array(hashes), behind)
+#: An odd number whose powers weigh the places of a window; hashes of words are as good as random, so sums of them are.
+_PLACES = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _windows(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all windows of ``n`` words that lie in one row, and their rows."""
+    count = max(0, len(words) - n + 1)
+    out = words[:count].copy()
+    for k in range(1, n if count else 1):
+        out *= _PLACES
+        out += words[k : k + count]
+    inside = row[:count] == row[n - 1 :] if count else np.zeros(0, np.bool_)
+    return out[inside], row[:count][inside]
+
+
+def ngram_matches(hyp: pa.ListArray, ref: pa.ListArray, trivial: list[np.ndarray]) -> np.ndarray:
+    """Per row of hashes of words: ``matched``, ``total`` and ``kinds`` of every order, then the words of either side; ``trivial`` holds hashes of windows by order. The n-grams of all rows are put in order together."""
+    sides = []
+    for side in (hyp, ref):
+        ends = side.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(ends)
+        row = np.repeat(np.arange(len(side), dtype=np.uint16 if len(side) < 1 << 16 else np.int64), sizes)
+        sides.append((side.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64).view(np.uint64), row, sizes))
+    out = np.zeros((len(hyp), 3 * len(trivial) + 2), np.int64)
+    for n, few in enumerate(trivial, 1):
+        (h, at), (other, where) = (_windows(*side[:2], n) for side in sides)
+        hashes, rows = np.concatenate([h, other]), np.concatenate([at, where])
+        order = np.argsort(hashes)
+        order = order[np.argsort(rows[order], kind="stable")]
+        hashes, rows, said = hashes[order], rows[order], order < len(h)
+        if not len(order):
+            continue
+        first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])])
+        mine = np.add.reduceat(said.astype(np.int64), first)
+        others = np.diff(np.r_[first, len(order)]) - mine
+        mine[np.isin(hashes[first], few)] = 0
+        for k, count in enumerate((np.minimum(mine, others), mine, mine > 0)):
+            out[:, 3 * n - 3 + k] = np.bincount(rows[first], count, len(hyp))
+    out[:, -2], out[:, -1] = sides[0][2], sides[1][2]
+    return out
 
 
-def _counted(trivial: Column, ref: Column, hyp: Column) -> Column:
-    """As :func:`_matches`: different n-grams by sets, and only what stands again, the lesser part, by a scan."""
+def matches(spark: SparkSession, hyp: Column, ref: Column, trivial: DataFrame | None = None, orders: int = 4) -> Column:
+    """An array of what :func:`ngram_matches` says of two arrays of words, without n-grams in ``trivial`` (``n``, ``gram``), a list of bounded length (the k commonest)."""
+    ship(spark)
+    few: list[list[np.ndarray]] = [[] for _ in range(orders)]
+    for r in trivial.select("n", word_hashes(F.split("gram", _SEP)).alias("words")).collect() if trivial is not None else []:
+        words = np.array(r["words"], np.int64).view(np.uint64)[: r["n"]]
+        if 0 < r["n"] <= orders:
+            few[r["n"] - 1].append(_windows(words, np.zeros(len(words), np.uint16), r["n"])[0])
+    listed = [np.concatenate([np.zeros(0, np.uint64), *some]) for some in few]
 
-    def inner(x: Column) -> Column:
-        kinds = F.array_except(x["hyp"], trivial)
-        more = _matches(trivial, _again(x["ref"]), _again(x["hyp"]))
-        first = lambda m: F.struct(
-            (F.size(F.array_intersect(kinds, x["ref"])) + m["matched"]).alias("matched"), (F.size(kinds) + m["total"]).alias("total"), F.size(kinds).cast("bigint").alias("kinds")
-        )
-        return let(more, first)
+    @F.arrow_udf("array<bigint>")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        found = ngram_matches(left, right, listed)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
 
-    return let(F.struct(ref.alias("ref"), hyp.alias("hyp")), inner)
+    return run(word_hashes(hyp), word_hashes(ref))
 
 
 def bleu_counts(pairs: DataFrame, key: str, hyp: str, ref: str, trivial: DataFrame | None = None, orders: int = 4) -> DataFrame:
     """Per key and order ``n``: ``matched``, ``total`` (n-grams of the hypothesis) and ``kinds`` (different ones), without those in ``trivial`` (``n``, ``gram``).
 
-    A pair's n-grams are counted in its row, by 62-bit hashes; nothing is shuffled. ``trivial``
-    is a list of bounded length (the k commonest) and goes to every row.
+    A pair's n-grams are counted in its row, by 64-bit hashes; nothing is shuffled.
     """
-    none = F.array().cast("array<bigint>")
-    few = [none] * orders
-    if trivial is not None:
-        words = word_hashes(F.split("gram", _SEP))
-        listed = trivial.agg(*[F.collect_list(F.when(F.col("n") == n, F.get(window_hashes(words, n), F.lit(0)))).alias(f"_trivial{n}") for n in range(1, orders + 1)])
-        pairs = pairs.crossJoin(F.broadcast(listed))
-        few = [F.col(f"_trivial{n}") for n in range(1, orders + 1)]
-    hashed = pairs.select(key, word_hashes(F.col(hyp)).alias("_hyp"), word_hashes(F.col(ref)).alias("_ref"), *([] if trivial is None else few))
-    each = [F.struct(F.lit(n).alias("n"), _counted(few[n - 1], window_hashes(F.col("_ref"), n), window_hashes(F.col("_hyp"), n)).alias("x")) for n in range(1, orders + 1)]
-    return hashed.select(key, F.explode(F.array(*each)).alias("c")).select(key, "c.n", "c.x.matched", "c.x.total", "c.x.kinds")
-
-
-def _score(counts: DataFrame, lengths: DataFrame, key: list[str], under: str, orders: int) -> DataFrame:
-    logs = counts.groupBy(*key).agg(F.sum(F.when(F.col("matched") > 0, F.log(F.col("matched") / F.col(under)))).alias("logs"), F.count_if(F.col("matched") > 0).alias("good"))
-    joined = lengths.join(logs, key, "left") if key else lengths.join(F.broadcast(logs))
-    short = F.when(F.col("hyp_len") > F.col("ref_len"), 1.0).otherwise(F.exp(1 - F.col("ref_len") / F.when(F.col("hyp_len") > 0, F.col("hyp_len"))))
-    value = F.when((F.col("good") == orders) & (F.col("hyp_len") > 0) & (F.col("ref_len") > 0), short * F.exp(F.col("logs") / orders)).otherwise(0.0)
-    return joined.select(*key, value.alias("bleu"))
+    counted = pairs.select(key, matches(pairs.sparkSession, F.col(hyp), F.col(ref), trivial, orders).alias("_c"))
+    each = [F.struct(F.lit(n + 1).alias("n"), *[F.get("_c", F.lit(3 * n + k)).alias(c) for k, c in enumerate(("matched", "total", "kinds"))]) for n in range(orders)]
+    return counted.select(key, F.explode(F.array(*each)).alias("c")).select(key, "c.n", "c.matched", "c.total", "c.kinds")
+
+
+def _score(counts: Column, under: str, orders: int) -> Column:
+    """BLEU from an array as of :func:`matches`."""
+    at = lambda k: F.get(counts, F.lit(k))
+    matched, total = [at(3 * n) for n in range(orders)], [at(3 * n + ("total", "kinds").index(under) + 1) for n in range(orders)]
+    hyp, ref = at(3 * orders), at(3 * orders + 1)
+    whole = (hyp > 0) & (ref > 0)
+    for m in matched:
+        whole = whole & (m > 0)
+    logs = F.lit(0.0)
+    for m, t in zip(matched, total, strict=True):
+        logs = logs + F.log(m / F.when(t > 0, t))
+    short = F.when(hyp > ref, 1.0).otherwise(F.exp(1 - ref / F.when(hyp > 0, hyp)))
+    return F.when(whole, short * F.exp(logs / orders)).otherwise(0.0)
 
 
 def crystal_bleu(pairs: DataFrame, key: str, hyp: str, ref: str, trivial: DataFrame | None = None, orders: int = 4) -> DataFrame:
     """Per key ``bleu``: BLEU that leaves trivially shared n-grams out; 0 if a side is empty or an order has no match."""
-    lengths = pairs.select(key, F.size(hyp).alias("hyp_len"), F.size(ref).alias("ref_len"))
-    return _score(bleu_counts(pairs, key, hyp, ref, trivial, orders), lengths, [key], "total", orders)
+    counted = pairs.select(key, matches(pairs.sparkSession, F.col(hyp), F.col(ref), trivial, orders).alias("_c"))
+    return counted.select(key, _score(F.col("_c"), "total", orders).alias("bleu"))
 
 
 def corpus_bleu(pairs: DataFrame, key: str, hyp: str, ref: str, trivial: DataFrame | None = None, orders: int = 4) -> DataFrame:
     """One row: BLEU of pooled counts."""
-    lengths = pairs.agg(F.sum(F.size(hyp)).alias("hyp_len"), F.sum(F.size(ref)).alias("ref_len"))
-    pooled = bleu_counts(pairs, key, hyp, ref, trivial, orders).groupBy("n").agg(F.sum("matched").alias("matched"), F.sum("total").alias("total"))
-    return _score(pooled, lengths, [], "total", orders)
+    counted = pairs.select(matches(pairs.sparkSession, F.col(hyp), F.col(ref), trivial, orders).alias("_c"))
+    pooled = counted.agg(*[F.coalesce(F.sum(F.get("_c", F.lit(k))), F.lit(0)).alias(f"_{k}") for k in range(3 * orders + 2)])
+    return pooled.select(F.array(*pooled.columns).alias("_c")).select(_score(F.col("_c"), "total", orders).alias("bleu"))
 
 
 def fallback_bleu(pairs: DataFrame, key: str, hyp: str, ref: str, orders: int = 4, clip: bool = False) -> DataFrame:
     """Per key ``bleu`` whose precisions divide by the number of different n-grams; may exceed 1 unless clipped."""
-    lengths = pairs.select(key, F.size(hyp).alias("hyp_len"), F.size(ref).alias("ref_len"))
-    out = _score(bleu_counts(pairs, key, hyp, ref, None, orders), lengths, [key], "kinds", orders)
+    counted = pairs.select(key, matches(pairs.sparkSession, F.col(hyp), F.col(ref), None, orders).alias("_c"))
+    out = counted.select(key, _score(F.col("_c"), "kinds", orders).alias("bleu"))
     return out.withColumn("bleu", F.least("bleu", F.lit(1.0))) if clip else out
 
 
@@ -243,9 +258,10 @@ def code_metrics(pairs: DataFrame, key: str, hyp: str, ref: str, trivial: DataFr
     """
     body = lambda c: T.normalize_tex(T.document_body(F.col(c)))
     both = pairs.select(key, X.edit_words(body(hyp)).alias("_h"), X.edit_words(body(ref)).alias("_r"), X.code_words(body(hyp)).alias("_hw"), X.code_words(body(ref)).alias("_rw"))
-    d = both.select(key, edit_distance(pairs.sparkSession, F.col("_h"), F.col("_r")).alias("token_edit_dist_norm"), F.size("_r").alias("_n"))
-    d = d.select(key, "token_edit_dist_norm", M.edit_count(F.col("token_edit_dist_norm"), F.col("_n")).alias("token_edit_dist"), M.from_distance(F.col("token_edit_dist_norm"), tau).alias("token_edit_sim"))
-    return d.join(crystal_bleu(both, key, "_hw", "_rw", trivial).withColumnRenamed("bleu", "crystalbleu"), key)
+    spark = pairs.sparkSession
+    d = both.select(key, edit_distance(spark, F.col("_h"), F.col("_r")).alias("token_edit_dist_norm"), F.size("_r").alias("_n"), matches(spark, F.col("_hw"), F.col("_rw"), trivial).alias("_c"))
+    distance = F.col("token_edit_dist_norm")
+    return d.select(key, distance, M.edit_count(distance, F.col("_n")).alias("token_edit_dist"), M.from_distance(distance, tau).alias("token_edit_sim"), _score(F.col("_c"), "total", 4).alias("crystalbleu"))
 
 
 def pixels(width: int, data: bytes, channels: int = 3) -> np.ndarray:

@@ -238,6 +238,26 @@ def test_trivial_ngrams_of_crowded_classes(spark, monkeypatch):
         assert [(r["count"], r.n, r.gram) for r in stats.trivial_ngrams(df, F.split("t", " "), k).collect()] == want[:k]
 
 
+def test_bleu_stays_in_the_row(spark):
+    """Counts by a loop, nulls and repeats included; no pair leaves its row."""
+    import random
+    from collections import Counter
+
+    chance = random.Random(5)
+    some = lambda: chance.choice([None, [], [chance.choice("aabc") for _ in range(chance.randrange(30))]])
+    data = [(k, some(), some()) for k in range(300)]
+    trivial = {(1, "a"), (2, "a\x1fb"), (3, "a\x1fa\x1fa")}
+    df = spark.createDataFrame(data, "id int, hyp array<string>, ref array<string>")
+    got = {(r.id, r.n): (r.matched, r.total, r.kinds) for r in S.bleu_counts(df, "id", "hyp", "ref", spark.createDataFrame(sorted(trivial), "n int, gram string")).collect()}
+    for key, hyp, ref in data:
+        for n in range(1, 5):
+            h, r = (Counter(g for k in range(len(x or []) - n + 1) if (n, g := "\x1f".join(x[k : k + n])) not in trivial) for x in (hyp, ref))
+            assert got[key, n] == ((h & r).total(), h.total(), len(h))
+    for found in (S.crystal_bleu(df, "id", "hyp", "ref"), S.fallback_bleu(df, "id", "hyp", "ref")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_largest_differencing_ties():
     """Written out: two candidates at a time, the widest spread first, of equal ones the greater first set."""
 

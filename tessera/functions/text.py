@@ -7,6 +7,8 @@ A null text counts as empty unless said otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -265,10 +267,14 @@ def estimated_tokens(code: Column) -> Column:
     return F.floor(F.length(empty(code)) / 4).cast("int")
 
 
+def compact(text: Column) -> Column:
+    """A text in lower case without blanks and line feeds."""
+    return F.replace(F.replace(F.lower(text), F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+
+
 def char_grams(text: Column, n: int = 3) -> Column:
     """The set of character n-grams of a text in lower case without blanks and line feeds, as 64-bit hashes."""
-    text = F.replace(F.replace(F.lower(text), F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
-    wide = F.encode(text, "UTF-32")  # four bytes a character: a gram is a slice at a known place
+    wide = F.encode(compact(text), "UTF-32")  # four bytes a character: a gram is a slice at a known place
     return let(wide, lambda t: F.array_distinct(F.transform(places(F.shiftright(F.octet_length(t), 2), n), lambda k: F.xxhash64(F.substring(t, 4 * k - 3, F.lit(4 * n))))))
 
 
@@ -279,11 +285,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / union)
 
 
-def text_similarity(code: Column, reference: Column) -> Column:
-    """Jaccard of character trigrams; without a reference 0.3 for code that draws, else 0."""
+def text_similarity(code: Column, reference: Column, share: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Jaccard of character trigrams, or what ``share`` gives for it (:func:`tessera.operators.metrics.trigram_share` for much text); without a reference 0.3 for code that draws, else 0."""
     code, reference = empty(code), empty(reference)
     draws = F.lower(code).contains("tikz") & (code.contains("\\draw") | code.contains("\\node"))
-    return F.when(code == "", 0.0).when(reference == "", F.when(draws, 0.3).otherwise(0.0)).otherwise(jaccard(char_grams(code), char_grams(reference)))
+    return F.when(code == "", 0.0).when(reference == "", F.when(draws, 0.3).otherwise(0.0)).otherwise(share(code, reference) if share else jaccard(char_grams(code), char_grams(reference)))
 
 
 def log_message(log: Column, errors: Column) -> Column:

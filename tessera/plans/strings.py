@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.filters import depends_on_files
+from tessera.operators.metrics import trigram_share
 from tessera.plans.fixtures import SAMPLES, quoted, samples
 
 
@@ -176,7 +177,7 @@ def _query(columns: dict[str, object]):
 
 def _similarity(spark: SparkSession, folder: str) -> DataFrame:
     both = samples(spark, folder).select("doc_id", F.col("tex").alias("a"), F.substring("tex", F.lit(20), F.length("tex")).alias("b"))
-    return both.select("doc_id", F.round(T.text_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
+    return both.select("doc_id", F.round(T.text_similarity(F.col("a"), F.col("b"), trigram_share(spark)), 9).alias("similarity"))
 
 
 def _ids(spark: SparkSession, folder: str) -> DataFrame:

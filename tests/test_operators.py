@@ -258,6 +258,18 @@ def test_bleu_stays_in_the_row(spark):
         assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_trigram_share(spark):
+    """As sets of characters say, beyond the basic plane too, and as the column functions."""
+    texts = ["", "ab", "aB c", "abcabcabc", "\U0001f600x\U0001f600x\n\U0001f600", "xyz " * 900, "ab" + "\u00e9" * 9, None]
+    pairs = [(k * 8 + j, a, b) for k, a in enumerate(texts) for j, b in enumerate(texts)]
+    df = spark.createDataFrame(pairs, "id int, a string, b string")
+    said = df.select("id", T.text_similarity(F.col("a"), F.col("b"), S.trigram_share(spark)).alias("x"), T.text_similarity(F.col("a"), F.col("b")).alias("y"))
+    got = {r.id: (r.x, r.y) for r in said.collect()}
+    for key, a, b in pairs:
+        x, y = ({t[k : k + 3] for k in range(len(t) - 2)} for t in ((s or "").lower().replace(" ", "").replace("\n", "") for s in (a, b)))
+        assert got[key] == (len(x & y) / len(x | y) if x and y else 0.0,) * 2
+
+
 def test_largest_differencing_ties():
     """Written out: two candidates at a time, the widest spread first, of equal ones the greater first set."""
 

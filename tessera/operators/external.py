@@ -139,6 +139,15 @@ def errors_of(log: str, last: int = 20, most: int = 3000) -> str:
     return text if len(text) <= most else text[:most] + "\n...[log truncated]"
 
 
+#: Rows that are handed on together: images of a batch need not all be held.
+_AT_ONCE = 256
+
+
+def slices(part: pd.DataFrame, most: int = _AT_ONCE) -> Iterator[pd.DataFrame]:
+    """``part`` in order, ``most`` rows at once."""
+    return (part.iloc[start : start + most] for start in range(0, len(part), most))
+
+
 def rendered(df: DataFrame, renderer: Renderer, key: str = "id", code: str = "code") -> DataFrame:
     """``key``, ``code``, ``image`` (null on failure) and ``error`` (null on success)."""
     ship(df.sparkSession)
@@ -146,13 +155,14 @@ def rendered(df: DataFrame, renderer: Renderer, key: str = "id", code: str = "co
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for k, c in zip(part[key], part[code], strict=True):
-                try:
-                    rows.append((k, c, renderer.render(c or ""), None))
-                except Exception as e:  # the sample's fault becomes its status
-                    rows.append((k, c, None, str(e)))
-            yield pd.DataFrame(rows, columns=[key, "code", "image", "error"])
+            for some in slices(part):
+                rows = []
+                for k, c in zip(some[key], some[code], strict=True):
+                    try:
+                        rows.append((k, c, renderer.render(c or ""), None))
+                    except Exception as e:  # the sample's fault becomes its status
+                        rows.append((k, c, None, str(e)))
+                yield pd.DataFrame(rows, columns=[key, "code", "image", "error"])
 
     return df.select(key, code).mapInPandas(run, f"`{key}` {kind}, code string, image binary, error string")
 

@@ -270,6 +270,18 @@ def test_trigram_share(spark):
         assert got[key] == (len(x & y) / len(x | y) if x and y else 0.0,) * 2
 
 
+def test_rendered_in_slices(spark):
+    """A batch is handed on in parts, none of its rows missing."""
+    import pandas as pd
+
+    from tessera.operators import external as E
+
+    assert [len(x) for x in E.slices(pd.DataFrame({"id": range(600)}))] == [256, 256, 88]
+    code = F.when(F.col("id") % 3 > 0, F.concat(F.lit("\\begin{document}"), F.col("id"), F.lit("\\end{document}")))
+    got = {r.id: r for r in E.rendered(spark.range(600).coalesce(1).withColumn("code", code), E.StubRenderer()).collect()}
+    assert sorted(got) == list(range(600)) and all((r.image is None) == (k % 3 == 0) == (r.error is not None) for k, r in got.items())
+
+
 def test_largest_differencing_ties():
     """Written out: two candidates at a time, the widest spread first, of equal ones the greater first set."""
 

@@ -147,3 +147,23 @@ def test_code_metrics_keep_case_and_commands(spark):
     rows = spark.createDataFrame([(1, "\\draw (A) -- (B); $x$", "\\draw (A) -- (B); $x$"), (2, "\\draw (a) -- (b); $X$", "\\draw (A) -- (B); $x$")], "id int, hyp string, ref string")
     got = {r.id: r for r in M.code_metrics(rows, "id", "hyp", "ref").collect()}
     assert got[1].crystalbleu == pytest.approx(1) and got[1].token_edit_sim > got[2].token_edit_sim and got[2].crystalbleu < 0.8
+
+
+def test_steps_of_a_batch(ranks, monkeypatch):
+    """A batch of many pieces is encoded in steps of bounded size, with the ids that each text has by itself; what a worker keeps is bounded."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(W, "PIECES", 50)
+    monkeypatch.setattr(W, "KNOWN", 30)
+    rng = np.random.default_rng(3)
+    rows = [[f" w{k}" for k in rng.integers(0, 90, int(n))] for n in [0, 200, *rng.integers(0, 40, 60), 0]] + [["x" * 300, "x" * 300], []]
+    column = pa.array([["cut"], *rows], pa.list_(pa.string())).slice(1)
+    table = W.Merges(ranks)
+    steps = list(W._steps(column))
+    assert [a for a, _ in steps] + [len(rows)] == [0] + [b for _, b in steps] and len(steps) > 20
+    assert all(b - a == 1 or sum(map(len, rows[a:b])) <= 50 for a, b in steps)
+    got = []
+    for a, b in steps:
+        got += W._ids(table, column.slice(a, b - a)).to_pylist()
+        assert len(table.known) <= 30 + 200 and "x" * 300 not in table.known
+    assert got == [[i for p in row for i in merged(p.encode(), ranks)] for row in rows]

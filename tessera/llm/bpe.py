@@ -15,7 +15,7 @@ text, else all but its last character), so it goes to the merges directly.
 Null texts count as empty: no ids, no bytes. Null id lists decode to no bytes.
 Order and number of rows are kept, repeated rows included; further columns pass
 through, except one named like an output column, which the output replaces. A step holds
-some megabytes of text and its ids, whatever the batch.
+a megabyte of text and its ids, or one longer text, whatever the batch.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from tessera.shipping import ship
 #: Code points with the Unicode property White_Space: what ``\s`` means to tiktoken's regex engine.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG_TEXT = 1 << 16
+#: Bytes of text of a step: its ids, objects in Python, take some ten times as much.
+PIECE = 1 << 20
 LONG_RUN = 2000
 _runs = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
 _edge = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
@@ -113,7 +115,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(rank_file, pattern)
         for whole in batches:
-            for batch in _pieces(whole, source, 1 << 22):
+            for batch in _pieces(whole, source, PIECE):
                 ids = [encode_text(enc, t.as_py()) if t.is_valid else [] for t in batch.columns[-1]]
                 back = [pa.array(map(enc.decode_bytes, ids), pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(ids, np.int32), *back], [*rest, *added])

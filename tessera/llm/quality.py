@@ -37,6 +37,8 @@ DIMS = 64
 NEAREST = 15
 POWER = 8
 THRESHOLD = 0.7
+#: Texts that are worked on at once.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -145,7 +147,7 @@ def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
     return np.nonzero(chosen)[1].reshape(len(cosine), k)
 
 
-def votes(model: Model, texts: list[str | None], block: int = 256) -> np.ndarray:
+def votes(model: Model, texts: list[str | None], block: int = BLOCK) -> np.ndarray:
     """The score of each text."""
     out = np.full(len(texts), model.prior)
     for first in range(0, len(texts), block) if len(model.labels) else ():
@@ -167,4 +169,9 @@ def votes(model: Model, texts: list[str | None], block: int = 256) -> np.ndarray
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
     """The columns ``keep`` of every row with its score as ``out``; underscores go before that name if ``keep`` has it."""
     shared = df.sparkSession.sparkContext.broadcast((model.idf, model.project, model.vectors, model.labels, model.prior))
-    return beside(df, keep, text, lambda texts: [pa.array(votes(Model(*shared.value), texts.to_pylist()))], {out: "double"})
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        each = [votes(Model(*shared.value), texts[at : at + BLOCK].to_pylist()) for at in range(0, len(texts), BLOCK)]
+        return [pa.array(np.concatenate([np.zeros(0), *each]))]
+
+    return beside(df, keep, text, make, {out: "double"})

@@ -10,14 +10,14 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 _BYTES, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-#: Texts can be long; a worker holds a few copies of a batch.
-BATCH = "16m"
+#: Texts can be long; a worker and the JVM beside it hold a few copies of a batch each.
+BATCH = "4m"
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package to the Python workers of this application, once, and bound the batches they get by ``BATCH`` unless the session says otherwise."""
     context = spark.sparkContext
-    if spark.conf.get(_BYTES, None) == _DEFAULT:
+    if spark.conf.get(_BYTES) == _DEFAULT:  # asked for without a default of our own, which would come back instead of Spark's
         spark.conf.set(_BYTES, BATCH)
     if context.applicationId in _shipped:
         return

@@ -242,3 +242,17 @@ def test_bpe_long_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: list(r.ids) for r in bpe.encode(df, ranks, pattern).collect()}
     assert all(got[k] == enc.encode_ordinary(t) for k, t in enumerate(texts))
+
+
+def test_batches_are_small(spark):
+    """What a Python worker and the JVM beside it hold of texts at a time: batches of a few megabytes, not 16, and a step of the encoder of about one."""
+    import pyarrow as pa
+
+    from tessera.llm.runs import beside
+
+    rows = spark.range(0, 600, 1, 1).select("id", F.repeat(F.lit("some words "), 4000).alias("text"))
+    sizes = beside(rows, ("id",), "text", lambda texts: [pa.array([texts.nbytes] * len(texts))], {"size": "long"})
+    assert sizes.count() == 600 and sizes.agg(F.max("size")).first()[0] <= 6 << 20
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 40_000] * 300)], ["text"])
+    steps = list(bpe._pieces(batch, "text", bpe.PIECE))
+    assert sum(s.num_rows for s in steps) == 300 and max(s.num_rows for s in steps) * 40_000 <= 2 << 20

@@ -281,10 +281,19 @@ def code_metrics(pairs: DataFrame, key: str, hyp: str, ref: str, trivial: DataFr
 
     Both compare tokens of the TeX lexer; ``trivial`` holds n-grams of :func:`tessera.functions.lexer.code_words`.
     """
+    return code_record(code_tokens(pairs, key, hyp, ref), key, trivial, tau)
+
+
+def code_tokens(pairs: DataFrame, key: str, hyp: str, ref: str) -> DataFrame:
+    """Per key what :func:`code_record` compares: the normalised bodies of both sides as tokens of the edit distance (``_h``, ``_r``) and of n-grams (``_hw``, ``_rw``). Written once, it spares those who need them again the lexer."""
     body = lambda c: T.normalize_tex(T.document_body(F.col(c)))
-    both = pairs.select(key, X.edit_words(body(hyp)).alias("_h"), X.edit_words(body(ref)).alias("_r"), X.code_words(body(hyp)).alias("_hw"), X.code_words(body(ref)).alias("_rw"))
-    spark = pairs.sparkSession
-    d = both.select(key, edit_distance(spark, F.col("_h"), F.col("_r")).alias("token_edit_dist_norm"), F.size("_r").alias("_n"), matches(spark, F.col("_hw"), F.col("_rw"), trivial).alias("_c"))
+    return pairs.select(key, X.edit_words(body(hyp)).alias("_h"), X.edit_words(body(ref)).alias("_r"), X.code_words(body(hyp)).alias("_hw"), X.code_words(body(ref)).alias("_rw"))
+
+
+def code_record(tokens: DataFrame, key: str, trivial: DataFrame | None = None, tau: float = 0.4) -> DataFrame:
+    """:func:`code_metrics` of the table of :func:`code_tokens`."""
+    spark = tokens.sparkSession
+    d = tokens.select(key, edit_distance(spark, F.col("_h"), F.col("_r")).alias("token_edit_dist_norm"), F.size("_r").alias("_n"), matches(spark, F.col("_hw"), F.col("_rw"), trivial).alias("_c"))
     distance = F.col("token_edit_dist_norm")
     return d.select(key, distance, M.edit_count(distance, F.col("_n")).alias("token_edit_dist"), M.from_distance(distance, tau).alias("token_edit_sim"), _score(F.col("_c"), "total", 4).alias("crystalbleu"))
 

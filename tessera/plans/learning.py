@@ -13,6 +13,7 @@ from tessera.operators import advantage as V
 from tessera.operators import metrics as S
 from tessera.operators import rewards as W
 from tessera.plans.fixtures import AROUND, SAMPLES, documents, samples, table
+from tessera.sources.scratch import kept
 
 #: Responses: sixteen events in order of their ids each; four responses of a group.
 _ROLL = """tok AS (SELECT event_id // 16 AS row_idx, event_id // 64 AS uid, event_id % 16 AS t, round(value, 2) AS r, (event_id % 7) / 10.0 AS v, CAST(event_id % 5 <> 3 AS INTEGER) AS m,
@@ -247,9 +248,8 @@ def edit_distances(spark: SparkSession, folder: str) -> DataFrame:
     """The record of code metrics of every turn against the one before it."""
     from tessera.operators.stats import trivial_ngrams
 
-    p = _turns(spark, folder)
-    trivial = trivial_ngrams(p, X.code_words(T.normalize_tex(T.document_body(F.col("ref")))), 50)
-    out = S.code_metrics(p, "id", "hyp", "ref", trivial)
+    read = kept(S.code_tokens(_turns(spark, folder), "id", "hyp", "ref"))
+    out = S.code_record(read, "id", trivial_ngrams(read, F.col("_rw"), 50))
     return out.select("id", *[F.round(c, 6).alias(c) for c in ("token_edit_dist_norm", "token_edit_dist", "token_edit_sim", "crystalbleu")])
 
 

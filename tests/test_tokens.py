@@ -167,3 +167,12 @@ def test_steps_of_a_batch(ranks, monkeypatch):
         got += W._ids(table, column.slice(a, b - a)).to_pylist()
         assert len(table.known) <= 30 + 200 and "x" * 300 not in table.known
     assert got == [[i for p in row for i in merged(p.encode(), ranks)] for row in rows]
+
+
+def test_edit_distance_lexes_once(spark, tables):
+    """SM1, SM10: the metrics read tokens that were written once; no text goes through the lexer again."""
+    from tessera.plans import learning
+
+    found = learning.edit_distances(spark, tables)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == spark.read.parquet(f"{tables}/conversations.parquet").count()

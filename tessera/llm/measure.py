@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import lines, lsh, pivots, shingles
+from tessera.llm.simhash import joined
 from tessera.llm.vectors import matrix, units, usable
 
 
@@ -34,15 +35,11 @@ def line_pairs(docs: DataFrame) -> tuple[int, int, int, int]:
     flat, sizes = shingles.sets(every)
     zeros = np.zeros(len(every), np.int64)
     a, b = shingles.near(zeros, zeros, np.arange(len(every)), flat, sizes, lines.JACCARD)
-    keys, n = [], []
-    for at in shingles.parts([len(x) for x in every]):
-        key, count = shingles.bands(every[at])
-        keys.append(key)
-        n.append(count)
-    each = np.split(np.concatenate(keys), np.cumsum(np.concatenate(n))[:-1])
-    shared = sum(bool(len(np.intersect1d(each[x], each[y]))) for x, y in zip(a, b, strict=True))
+    rows = docs.sparkSession.createDataFrame(list(enumerate(every)), "line_id long, line string")
+    each = {r.line_id: r.bands for r in lines.banded(rows, ["line_id"]).collect()}
+    shared = sum(not set(each[x]).isdisjoint(each[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True))
     labels = np.arange(len(every))
-    lines.joined(labels, a, b)
+    joined(labels, a, b)
     kept = lines.dedup_lines(docs.select("doc_id", "text")).agg(F.sum("__kept")).first()[0]
     return shared, len(a), kept, len(np.unique(labels))
 

@@ -151,3 +151,42 @@ def test_columns_that_clash(spark):
     out = lines.dedup_lines(df, "te.xt", "doc.id")
     assert out.columns == ["doc.id", "te.xt", "__lines", "__kept", "___lines", "___kept"]
     assert [tuple(r) for r in out.orderBy("`doc.id`").collect()] == [("a", "x\ny", 1, 2, 2, 2), ("b", "z", 3, 4, 2, 1)]
+
+
+def test_no_python(spark):
+    """Signatures and similarities are DataFrame functions."""
+    docs = spark.createDataFrame([(1, "one line\nanother")], "doc_id long, text string")
+    cells = spark.createDataFrame([(1, 0, 0, 0, 5, "one line", [1])], "band long, i int, j int, side int, line_id long, line string, bands array<long>")
+    for made in (lines.signatures(docs, "text", "doc_id"), lines.similar(cells, 0.8)):
+        plan = made._jdf.queryExecution().toString()
+        assert "Exchange" in plan and "Arrow" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_cells_are_dealt_once(spark):
+    """Shingle sets of a cell's lines are made where the cell is and never shuffled."""
+    members = spark.createDataFrame([(1, 5)], "band long, line_id long")
+    texts = spark.createDataFrame([(5, "one line", 8)], "line_id long, line string, chars int")
+    asked = spark.createDataFrame([(5, [1])], "line_id long, bands array<long>")
+    plan = lines.similar(lines._cells(members, texts, asked), 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(hashes" in plan
+    assert "Exchange" not in plan.partition("REPARTITION_BY_NUM")[0].rpartition("Exchange")[0]
+
+
+def test_recall_of_columns(spark):
+    """Of pairs at a Jaccard similarity of 0.8 to 0.85, those that share a band."""
+    rng = np.random.default_rng(11)
+    found = []
+    for size in (12, 40, 120):
+        while len(found) % 1200 < 1198 or not found:
+            line = "x" + "".join(rng.choice(list("abcdefghij "), size + 30)) + "y"
+            other = list(line)
+            for k in rng.choice(len(line), rng.integers(0, size // 60 + 1), replace=False):
+                other[k] = "z"
+            other = "".join(other)[rng.integers(0, 12) :]
+            if 0.8 <= jaccard(line, other) <= 0.85:
+                found += [line, other]
+        found += ["a", "b"]  # no pair, fill the size up
+    rows = spark.createDataFrame(list(enumerate(found)), "line_id long, line string")
+    bands = {r.line_id: set(r.bands) for r in lines.banded(rows, ["line_id"]).collect()}
+    pairs = [k for k in range(0, len(found), 2) if found[k] != "a"]
+    assert len(pairs) == 1797 and sum(bool(bands[k] & bands[k + 1]) for k in pairs) >= 0.99 * len(pairs)
